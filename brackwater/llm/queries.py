@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.llm import packing, tokens
+from brackwater.llm import fingerprints, language, licences, packing, quality, tokens
 from brackwater.session import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = language.fold_of("doc_id", 3)
+    known = language.fit_dictionaries(docs.filter(fold != 1))
+    return language.identify(docs, known).withColumn("held_out", fold == 1)
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = tokens.piece_decode(tokens.piece_encode(table(spark, sf_dir, "documents")))
     return decoded.select(
@@ -21,17 +28,31 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit_trees(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("rules", "licences")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_piece_codec, op6_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op4_piece_codec, op5_quality_rules, op6_packing, op8_fingerprints, op9_token_counts, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_licence_scan": licences.oracle()}
