@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from brackwater.llm.words import LOWER, SPACE, Spans, find_words, gather, ragged, slices, text_bytes
 
-CACHE = 300_000
+CACHE = 200_000
 #: Where the public vocabulary files lie, for workers; None asks the installed package.
 TOKENIZER_DIR: str | None = None
 
@@ -273,7 +273,8 @@ def frequent_segments(docs: DataFrame, model: str, text: str, rows: int, size: i
 
     The table only saves work: a segment that is not in it is encoded by the task that meets it.
     """
-    sample = docs.select(text).where(F.col(text).isNotNull()).limit(rows).toArrow()
+    found = docs.select(text).where(F.col(text).isNotNull()).take(rows)  # reads only as many partitions as it needs
+    sample = pa.table({text: pa.array([r[0] for r in found], pa.string())})
     seen: Counter = Counter()
     strings: dict[int, bytes] = {}
     for part in slices(sample, text):

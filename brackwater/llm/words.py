@@ -88,14 +88,25 @@ class Spans:
         return hash_spans(self.buf, self.start, self.end, lower)
 
 
-def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    if not len(start):
-        return np.zeros(0, U64)
-    up, down = _power(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, U64)
-    sums[0] = 0
-    np.cumsum((_TABLE[LOWER] if lower else _TABLE)[buf] * up[: len(buf)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, block: int = 1_000_000) -> np.ndarray:
+    """64-bit hash of buf[start:end] for ascending spans that do not overlap, in blocks of bounded size."""
+    out = np.zeros(len(start), U64)
+    table = _TABLE[LOWER] if lower else _TABLE
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + block, "right")))
+        lo, hi = int(start[i]), int(end[j - 1])
+        if hi - lo > block:  # one long span: its blocks' sums, each moved to its place
+            up, _ = _power(block)
+            total = sum(int((table[buf[p : p + block]] * up[: min(block, hi - p)]).sum(dtype=U64)) * pow(_BASE, p - lo, 2**64) for p in range(lo, hi, block))
+            out[i] = U64(total % 2**64)
+        else:
+            up, down = _power(hi - lo + 1)
+            sums = np.zeros(hi - lo + 1, U64)
+            np.cumsum(table[buf[lo:hi]] * up[: hi - lo], out=sums[1:])
+            out[i:j] = (sums[end[i:j] - lo] - sums[start[i:j] - lo]) * down[start[i:j] - lo]
+        i = j
+    return mix(out + (end - start).astype(U64))
 
 
 def find_words(buf: np.ndarray, offs: np.ndarray) -> Spans:
