@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.llm import fingerprints, language, licences, packing, quality, substrings, tokens
+from brackwater.llm import fingerprints, language, licences, packing, quality, similar, substrings, tokens
 from brackwater.session import table
 
 
@@ -42,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.jaccard_join(table(spark, sf_dir, "documents")).drop("row_id")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op4_piece_codec, op5_quality_rules, op6_packing, op8_fingerprints, op9_token_counts, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op4_piece_codec, op5_quality_rules, op6_packing, op7_ngram_jaccard, op8_fingerprints, op9_token_counts, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -361,7 +361,7 @@ class WordIds:
 
         self.library = Tokenizer.from_file(vocabulary_path(model, folder))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache = SegmentCache(self._encode)
+        self.cache = SegmentCache(self._encode, 500_000)
 
     def _encode(self, segments: list[bytes]) -> list[bytes]:
         got = self.library.encode_batch_fast([s.decode() for s in segments], add_special_tokens=False)
