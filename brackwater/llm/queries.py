@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.llm import fingerprints, language, licences, packing, quality, similar, substrings, tokens
+from brackwater.llm import fingerprints, language, language_model, licences, packing, quality, similar, substrings, tokens
 from brackwater.session import table
 
 
@@ -23,6 +23,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), language.fold_of("doc_id", 5) == 1)
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = tokens.piece_decode(tokens.piece_encode(table(spark, sf_dir, "documents")))
     return decoded.select(
@@ -60,7 +64,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op4_piece_codec, op5_quality_rules, op6_packing, op7_ngram_jaccard, op8_fingerprints, op9_token_counts, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_lm_scores, op4_piece_codec, op5_quality_rules, op6_packing, op7_ngram_jaccard, op8_fingerprints, op9_token_counts, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
