@@ -62,17 +62,10 @@ def fit_dictionaries(train: DataFrame, *, key: str = "doc_id", text: str = "text
     return out
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, key: str = "doc_id", text: str = "text", margin: int = 1, level: int = 9, second_level: int = 3, narrow: int = 4) -> DataFrame:
-    """key, lang_pred, score (0 to 1, from the lead over the runner-up), lead (bytes), rejected.
+class Classifier:
+    """The dictionaries' coders, for use inside a task."""
 
-    Where the lead is under `narrow` bytes, the sizes at `second_level` are added before choosing.
-    """
-    kind, arrow = _key_type(docs, key)
-    schema = pa.schema([(key, arrow), ("lang_pred", pa.string()), ("score", pa.float64()), ("lead", pa.int64()), ("rejected", pa.bool_())])
-    names = sorted(dictionaries)
-    shared = docs.sparkSession.sparkContext.broadcast([dictionaries[n] for n in names])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, dictionaries: dict[str, bytes], margin: int = 1, level: int = 9, second_level: int = 3, narrow: int = 4):
         import zstandard
 
         def coder(content: bytes, strength: int):
@@ -80,31 +73,64 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, key: str = "doc
             own.precompute_compress(level=strength)
             return zstandard.ZstdCompressor(dict_data=own, level=strength, write_content_size=False, write_checksum=False).compress
 
-        coders, second = ([coder(d, x) for d in shared.value] for x in (level, second_level))
+        self.names = sorted(dictionaries)
+        self.margin, self.narrow = margin, narrow
+        self.first, self.second = ([coder(dictionaries[n], x) for n in self.names] for x in (level, second_level))
+
+    def decide(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, lead in bytes, and whether the choice is rejected, of each whole text.
+
+        Where the lead is under `narrow` bytes, the sizes at the second level are added before choosing.
+        """
+        letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_pylist()
+        pred, lead = [], []
+        for some, raw in zip(letters, folded(texts), strict=True):
+            if not some or not self.first:
+                pred.append("und")
+                lead.append(0)
+                continue
+            sizes = [len(c(raw)) for c in self.first]
+            best = min(sizes)
+            if sum(x < best + self.narrow for x in sizes) > 1:
+                sizes = [x + len(c(raw)) for x, c in zip(sizes, self.second, strict=True)]
+                best = min(sizes)
+            at = sizes.index(best)
+            sizes[at] = 1 << 60
+            pred.append(self.names[at])
+            lead.append(min(sizes) - best if len(sizes) > 1 else len(raw))
+        lead = np.array(lead, np.int64)
+        return pred, lead, lead < self.margin
+
+
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, key: str = "doc_id", text: str = "text", margin: int = 1) -> DataFrame:
+    """key, lang_pred, score (0 to 1, from the lead over the runner-up), lead (bytes), rejected."""
+    kind, arrow = _key_type(docs, key)
+    schema = pa.schema([(key, arrow), ("lang_pred", pa.string()), ("score", pa.float64()), ("lead", pa.int64()), ("rejected", pa.bool_())])
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier = Classifier(shared.value, margin)
         for batch in batches:
             for part in slices(batch, text):
-                texts = part.column(text)
-                letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                pred, score, lead = [], [], []
-                for some, raw in zip(letters.tolist(), folded(texts), strict=True):
-                    if not some or not coders:
-                        pred.append("und"), score.append(0.0), lead.append(0)
-                        continue
-                    sizes = [len(c(raw)) for c in coders]
-                    best = min(sizes)
-                    if sum(x < best + narrow for x in sizes) > 1:
-                        sizes = [x + len(c(raw)) for x, c in zip(sizes, second, strict=True)]
-                        best = min(sizes)
-                    at = sizes.index(best)
-                    sizes[at] = 1 << 60
-                    ahead = min(sizes) - best if len(sizes) > 1 else len(raw)
-                    pred.append(names[at]), score.append(ahead / (ahead + 4.0)), lead.append(ahead)
-                lead = np.array(lead, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(lead), pa.array(lead < margin)], schema=schema)
+                pred, lead, rejected = classifier.decide(part.column(text))
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(pred, pa.string()), pa.array(lead / (lead + 4.0)), pa.array(lead), pa.array(rejected)], schema=schema)
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, lead long, rejected boolean")
 
 
+def keep_sure(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text", margin: int = 1) -> DataFrame:
+    """The rows of docs, all columns, whose language is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier = Classifier(shared.value, margin)
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(~classifier.decide(part.column(text))[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold_of(key: str, folds: int) -> Column:
     """crc32 of the key's text, modulo `folds`."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds

@@ -227,3 +227,20 @@ def judge(docs: DataFrame, model: Trees | None, *, key: str = "doc_id", text: st
     scored = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in COUNTS)}, score double")
     scored = scored.withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= cut, F.lit(True)))
+
+
+def keep_good(docs: DataFrame, model: Trees | None, *, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that `judge` keeps."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared.value
+        for batch in batches:
+            for part in slices(batch, text):
+                counts, x = statistics(part.column(text))
+                good = (counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0])
+                if trees is not None:
+                    good &= trees.score(x) >= trees.cut
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
