@@ -24,7 +24,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """Imports the modules that register queries."""
+    import brackwater.plans.intelligence
+    import brackwater.plans.modelling
+    import brackwater.plans.telemetry  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
