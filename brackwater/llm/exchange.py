@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brackwater.llm.words import bounded_batches
+
 
 def text_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -18,7 +20,7 @@ def in_chunks(docs: DataFrame, total: int, *columns: str, key: str = "doc_id", t
     executor is lost has the same number.
     """
     n = max(1, -(-total // chunk_bytes))
-    return docs.select(key, text, *columns, F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("chunk"))
+    return bounded_batches(docs).select(key, text, *columns, F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("chunk"))
 
 
 def index_blocks(total: int, block_bytes: int = 8_000_000) -> int:

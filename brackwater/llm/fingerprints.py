@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.llm.tokens import _key_type
-from brackwater.llm.words import slices
+from brackwater.llm.words import bounded_batches, slices
 from brackwater.session import cut_lineage
 
 
@@ -53,7 +53,7 @@ def fingerprint(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wit
                 columns = [part.column(key), pa.array([digest(f) for f in forms], pa.string()), pa.array(forms, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns[: len(names)], schema=schema)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fingerprint string" + ", canonical binary" * with_form)
+    return bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, fingerprint string" + ", canonical binary" * with_form)
 
 
 def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,7 +129,7 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[:7], strict=True)], schema=pa.schema(fields))
 
     order = [F.col(key).desc_nulls_last(), F.xxhash64(text)]
-    ranged = docs.select(key, text).repartitionByRange(_partitions(docs, text), *order).sortWithinPartitions(*order)
+    ranged = bounded_batches(docs).select(key, text).repartitionByRange(_partitions(docs, text), *order).sortWithinPartitions(*order)
     streamed = cut_lineage(ranged.mapInArrow(stream, f"{ddl}, place int, part int, edge string"))
     done = streamed.filter("place = 0").drop("place", "part", "edge")
     edges = streamed.filter("place > 0").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(join_edges, ddl)

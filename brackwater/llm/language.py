@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.llm.tokens import _key_type
-from brackwater.llm.words import slices, text_bytes
+from brackwater.llm.words import bounded_batches, slices, text_bytes
 
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -115,7 +115,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, key: str = "doc
                 pred, lead, rejected = classifier.decide(part.column(text))
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(pred, pa.string()), pa.array(lead / (lead + 4.0)), pa.array(lead), pa.array(rejected)], schema=schema)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, lead long, rejected boolean")
+    return bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, lead long, rejected boolean")
 
 
 def keep_sure(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text", margin: int = 1) -> DataFrame:
@@ -128,7 +128,7 @@ def keep_sure(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "t
             for part in slices(batch, text):
                 yield part.filter(pa.array(~classifier.decide(part.column(text))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def fold_of(key: str, folds: int) -> Column:

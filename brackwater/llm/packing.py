@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.tokens import TOKENIZER_DIR, WordIds, _key_type
-from brackwater.llm.words import slices
+from brackwater.llm.tokens import SLICE, TOKENIZER_DIR, WordIds, _key_type
+from brackwater.llm.words import bounded_batches, slices
 
 
 def binary_pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +59,7 @@ def pack(docs: DataFrame, model: str = "word_bpe_49k.json", *, key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(model, folder)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 ids, ptr = words.lists(part.column(text))
                 ids, ptr = np.insert(ids, ptr[1:], end_id), ptr + np.arange(len(ptr))
                 sizes = np.diff(ptr)
@@ -70,5 +70,5 @@ def pack(docs: DataFrame, model: str = "word_bpe_49k.json", *, key: str = "doc_i
                 blobs = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(doc)), pa.array(start), pa.array(length), blobs, pa.array(sizes[doc])], schema=schema)
 
-    pieces = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long")
+    pieces = bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long")
     return pieces.select("*", F.log2("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

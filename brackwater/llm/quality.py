@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.llm.tokens import _key_type
-from brackwater.llm.words import find_words, hash_spans, mix, rolling, slices, text_bytes, whole
+from brackwater.llm.words import bounded_batches, find_words, hash_spans, mix, rolling, slices, text_bytes, whole
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -186,7 +186,7 @@ def measure(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(c) for c in counts.T), rows], schema=schema)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in COUNTS)}, features array<float>")
+    return bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in COUNTS)}, features array<float>")
 
 
 def base_failed() -> F.Column:
@@ -224,7 +224,7 @@ def judge(docs: DataFrame, model: Trees | None, *, key: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(c) for c in counts.T), score], schema=schema)
 
     cut = model.cut if model else 0.0
-    scored = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in COUNTS)}, score double")
+    scored = bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, {', '.join(f'{c} long' for c in COUNTS)}, score double")
     scored = scored.withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= cut, F.lit(True)))
 
@@ -243,4 +243,4 @@ def keep_good(docs: DataFrame, model: Trees | None, *, text: str = "text") -> Da
                     good &= trees.score(x) >= trees.cut
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.words import U64, find_words, mix, rolling, slices, text_bytes, whole
+from brackwater.llm.words import U64, bounded_batches, find_words, mix, rolling, slices, text_bytes, whole
 from brackwater.session import cut_lineage
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -91,7 +91,7 @@ def sign(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(own.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column(key), *(pa.array(np.ascontiguousarray(m).view(np.int64)) for m in marks.T), pa.array(np.diff(ptr)), lists], schema=schema)
 
-    return docs.select(_row_id(key, text).alias("row_id"), key, text).mapInArrow(run, f"row_id long, `{key}` {kind.simpleString()}, set_a long, set_b long, n_grams long, bands array<long>")
+    return bounded_batches(docs).select(_row_id(key, text).alias("row_id"), key, text).mapInArrow(run, f"row_id long, `{key}` {kind.simpleString()}, set_a long, set_b long, n_grams long, bands array<long>")
 
 
 def _overlaps(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:

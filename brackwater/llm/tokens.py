@@ -15,6 +15,7 @@ in the library; repeated rows give repeated results; an empty table gives an emp
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -24,9 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.words import LOWER, SPACE, Spans, find_words, gather, ragged, slices, text_bytes
+from brackwater.llm.words import LOWER, SPACE, Spans, bounded_batches, find_words, gather, ragged, slices, text_bytes
 
 CACHE = 200_000
+#: Bytes of text encoded at once: larger than elsewhere, as each slice looks up its distinct segments.
+SLICE = 2_000_000
 #: Where the public vocabulary files lie, for workers; None asks the installed package.
 TOKENIZER_DIR: str | None = None
 
@@ -218,14 +221,14 @@ def piece_encode(docs: DataFrame, model: str = "piece_bpe_32k.model", *, key: st
         table = PieceTable(vocabulary_path(model, folder))
         cache = SegmentCache(table.encode)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 spans = piece_segments(part.column(text))
                 ids, ptr = cache.lists(spans, spans.hashes())
                 if end:
                     ids, ptr = np.insert(ids, ptr[1:], table.end), ptr + np.arange(len(ptr))
                 yield _with_lists(part.column(key), "ids", ids, ptr, schema)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def piece_decode(encoded: DataFrame, model: str = "piece_bpe_32k.model", *, key: str = "doc_id", ids: str = "ids", folder: str | None = TOKENIZER_DIR) -> DataFrame:
@@ -302,7 +305,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", *, key: st
         count = _library_counts(model, folder)
         cache = SegmentCache(lambda segments: [n.to_bytes(4, "little") for n in count(segments)])
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 spans = piece_segments(part.column(text))
                 h = spans.hashes()
                 n = np.zeros(len(h), np.int64)
@@ -321,7 +324,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", *, key: st
                 size = pc.fill_null(pc.binary_length(part.column(text)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(key), size, pa.array(np.diff(total[spans.ptr]))], schema=schema)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long")
+    return bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long")
 
 
 _KIND = np.full(256, 4, np.uint8)  # 4: signs and control characters
@@ -340,6 +343,9 @@ def word_segments(texts: pa.Array) -> Spans:
     if not len(buf):
         return words
     kind = _KIND[buf]
+    if not ((buf == 0xCC) | (buf == 0xCD)).any():  # no combining marks: Latin-1 letters are letters like a to z
+        second = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)) + 1
+        kind[second] = kind[second - 1] = 1
     begins = np.zeros(len(buf) + 1, bool)
     begins[words.start] = begins[words.end] = True
     left, right = kind[:-1], kind[1:]
@@ -350,6 +356,20 @@ def word_segments(texts: pa.Array) -> Spans:
     return Spans(buf, offs, start, end, np.searchsorted(start, offs))
 
 
+#: Printable ASCII without an apostrophe: such a segment is all letters, one digit or all signs.
+_PLAIN = re.compile(rb"[!-&(-~]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest for letters from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordIds:
     """ids of whole texts by a `tokenizers` JSON model, without added special tokens."""
 
@@ -364,8 +384,18 @@ class WordIds:
         self.cache = SegmentCache(self._encode, 500_000)
 
     def _encode(self, segments: list[bytes]) -> list[bytes]:
-        got = self.library.encode_batch_fast([s.decode() for s in segments], add_special_tokens=False)
-        return [np.array(g.ids, "<i4").tobytes() for g in got]
+        """A segment that normalising leaves alone and the pre-tokenizer does not cut goes straight to the library's merges."""
+        merge, out, rest = self.library.model.tokenize, [b""] * len(segments), []
+        for i, s in enumerate(segments):
+            if _PLAIN(s) or ((t := s.decode()).isalpha() and max(t) < "\u0180" and t == t.lower()):
+                out[i] = b"".join([t.id.to_bytes(4, "little") for t in merge(s.decode("latin-1").translate(_BYTE_LETTERS))])
+            else:
+                rest.append(i)
+        if rest:
+            got = self.library.encode_batch_fast([segments[i].decode() for i in rest], add_special_tokens=False)
+            for i, g in zip(rest, got, strict=True):
+                out[i] = np.array(g.ids, "<i4").tobytes()
+        return out
 
     def lists(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.fill_null("")

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -52,7 +53,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(table: pa.Table | pa.RecordBatch, column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def bounded_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, in a session that hands at most `rows` rows at once to Python: texts are long, and both sides of the pipe hold
+    whole batches outside the heap. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(name)) <= rows:
+        docs.sparkSession.conf.set(name, rows)
+    return docs
+
+
+def slices(table: pa.Table | pa.RecordBatch, column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `most` bytes of text; a longer text is a slice of its own. No row is left out."""
     for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
         if not len(batch):

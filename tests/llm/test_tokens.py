@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from brackwater.llm import packing, queries, tokens
 
-ODD = [None, "", " ", "  a  b ", "a\n b\n\nc", "\n", "\nfoo\r\nbar", "é́x 　y", "</s> <s> <unk> <0x0A>", "a▁b", "x\x00y", "ﬁ \U0001f600\U0001f469‍\U0001f469", "a\tb", "日本語のテキスト", "It's 'twas don't 'Something 12a3b!!?? <|endoftext|> end", "É́ İstanbul ΑΣ ß-ß", "wordé.—.x“y”", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "z" * 30000 + " \r\r  ", "The Cat's  cat"]
+ODD = [None, "", " ", "  a  b ", "a\n b\n\nc", "\n", "\nfoo\r\nbar", "é́x 　y", "</s> <s> <unk> <0x0A>", "a▁b", "x\x00y", "ﬁ \U0001f600\U0001f469‍\U0001f469", "a\tb", "日本語のテキスト", "It's 'twas don't 'Something 12a3b!!?? <|endoftext|> end", "É́ İstanbul ΑΣ ß-ß", "wordé.—.x“y”", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "z" * 30000 + " \r\r  ", "The Cat's  cat", "é,è.Ÿ!ß3ñ×÷ÀÉ-ö's naïve’s ﬁ ŉ K Å", "e\u0301,ab,\u0301 ç", "\x00a\x1cb\x7f\x85c\xa0d", "ÿ\u0300. ǆ ǅ"]
 DIR = "/root/testdata/sf0.001"
 
 
