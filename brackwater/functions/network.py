@@ -1,13 +1,11 @@
-"""IP addresses and indicators as Column expressions; pandas UDFs only see strings with a colon (IPv6)."""
+"""IP addresses and indicators as Column expressions over built-in functions."""
 
 from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = f"^{OCTET}\\.{OCTET}\\.{OCTET}\\.{OCTET}$"
@@ -24,21 +22,43 @@ def private_ranges() -> list[tuple[int, int]]:
     return [(int(n.network_address), int(n.broadcast_address)) for n in nets]
 
 
-def _six(s: str | None):
-    try:
-        return ipaddress.IPv6Address(s)
-    except ValueError:
-        return None
+_HEX = "[0-9a-fA-F]{1,4}"
 
 
-@F.pandas_udf(BooleanType())
-def is_ipv6(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x is not None and _six(x) is not None)
+def _ipv6_text(ip: Column) -> Column:
+    """Without a scope, and with an IPv4 tail as two groups."""
+    plain = F.regexp_replace(ip, "%[^%]+$", "")
+    tail = F.substring_index(plain, ":", -1)
+    number = ipv4_number(tail)
+    groups = F.concat(F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(0xFFFF)))
+    return F.when(is_ipv4(tail), F.concat(F.left(plain, F.length(plain) - F.length(tail)), groups)).otherwise(plain)
 
 
-@F.pandas_udf(BooleanType())
-def is_private_ipv6(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x is not None and (a := _six(x)) is not None and any(a in n for n in _V6))
+def is_ipv6(ip: Column) -> Column:
+    """Whether ip is an IPv6 address: eight groups, or fewer around one double colon."""
+    s = _ipv6_text(ip)
+    short = s.rlike(f"^({_HEX}(:{_HEX})*)?::({_HEX}(:{_HEX})*)?$") & (F.size(F.regexp_extract_all(s, F.lit(f"({_HEX})"), F.lit(1))) <= 7)
+    return F.coalesce(ip.contains(":") & (s.rlike(f"^({_HEX}:){{7}}{_HEX}$") | short), F.lit(False))
+
+
+def ipv6_groups(ip: Column) -> Column:
+    """The eight groups as numbers; null for anything else."""
+    s = _ipv6_text(ip)
+    side = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    left, right = side(F.substring_index(s, "::", 1)), F.when(s.contains("::"), side(F.substring_index(s, "::", -1))).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))
+    return F.when(is_ipv6(ip), F.transform(F.concat(left, zeros, right), lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def is_private_ipv6(ip: Column) -> Column:
+    groups, inside = ipv6_groups(ip), F.lit(False)
+    for net in _V6:
+        number, same = int(net.network_address), F.lit(True)
+        for i in range(-(-net.prefixlen // 16)):
+            drop = max(0, 16 * (i + 1) - net.prefixlen)
+            same = same & (F.shiftright(groups[i], drop) == ((number >> (112 - 16 * i)) & 0xFFFF) >> drop)
+        inside = inside | same
+    return F.coalesce(inside, F.lit(False))
 
 
 def is_ipv4(ip: Column) -> Column:
@@ -47,7 +67,7 @@ def is_ipv4(ip: Column) -> Column:
 
 def is_valid_ip(ip: Column, v6: bool = True) -> Column:
     """Whether ip is an IPv4 address without leading zeros, or (with `v6`) an IPv6 address. Null is not valid."""
-    return is_ipv4(ip) | (ip.contains(":") & is_ipv6(F.when(ip.contains(":"), ip))) if v6 else is_ipv4(ip)
+    return is_ipv4(ip) | is_ipv6(ip) if v6 else is_ipv4(ip)
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -65,7 +85,7 @@ def is_private_ip(ip: Column, v6: bool = True) -> Column:
     for lo, hi in private_ranges():
         inside = inside | number.between(lo, hi)
     inside = F.coalesce(inside, F.lit(False))
-    return inside | (ip.contains(":") & is_private_ipv6(F.when(ip.contains(":"), ip))) if v6 else inside
+    return inside | (ip.contains(":") & is_private_ipv6(ip)) if v6 else inside
 
 
 def is_external_facing(source: Column, line: Column, log_type: Column) -> Column:

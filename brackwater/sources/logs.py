@@ -1,6 +1,6 @@
 """Raw log lines: scan with line numbers, detect the format, parse, and set bad lines aside.
 
-Everything is a projection over built-in functions; only addresses with a colon go through an Arrow UDF.
+Everything is a projection over built-in functions, so it works on streams as well.
 """
 
 from __future__ import annotations

@@ -69,7 +69,7 @@ def test_security_events(spark, tmp_path):
     assert [r.user_id for r in ok.collect()] == [""] and bad.count() == 2
 
 
-IPS = ["1.2.3.4", "01.2.3.4", "256.1.1.1", "1.2.3", "", None, "10.1.2.3", "172.31.0.1", "172.32.0.1", "198.51.100.12", "203.0.113.88", "127.0.0.1", "8.8.8.8", "2001:db8::1", "2606:4700::1111", "fe80::1", ":", "240.0.0.1", "169.254.1.1"]
+IPS = ["1.2.3.4", "01.2.3.4", "256.1.1.1", "1.2.3", "", None, "10.1.2.3", "172.31.0.1", "172.32.0.1", "198.51.100.12", "203.0.113.88", "127.0.0.1", "8.8.8.8", "2001:db8::1", "2606:4700::1111", "fe80::1", ":", "240.0.0.1", "169.254.1.1", "::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1::2:3:4:5:6:7:8", "1:2:3", "1::2::3", "12345::", ":::", "::1.2.3.4", "64:ff9b:1::5", "64:ff9b::5", "fc00::1", "fdff::", "fec0::1", "febf::1", "100::1", "100:0:0:1::", "2001:1ff::", "2001:200::", "::g", "fe80::1%eth0", "::256.1.1.1", "1.2.3.4::"]
 
 
 def test_ips(spark):
