@@ -41,45 +41,62 @@ def in_windows(events: DataFrame, length_s: int = LENGTH_S, step_s: int = STEP_S
 
 def window_features(events: DataFrame, which: Sequence[str] = FEATURES, open_hour: int = 9, close_hour: int = 17) -> DataFrame:
     """entity, win, win_start, event_count and the features asked for. events: entity, us, seq, event_type and the
-    detail columns; rows without an entity are dropped. Empty tables give none; ties in time are ordered by seq."""
+    detail columns; rows without an entity are dropped. Empty tables give none; ties in time are ordered by seq.
+
+    One shuffle, on (entity, window): the window functions, the sums by five-minute bin and the sums over bins all keep its
+    partitioning. A busy entity is spread over its windows. Without geo_velocity and connection_burstiness there are no
+    window functions, and rows are added up before the shuffle.
+    """
     e = in_windows(events.filter("entity IS NOT NULL"))
     keys = ("entity", "win", "win_start")
-    by = Window.partitionBy(*keys)
     kind = F.col("event_type")
     login = (kind == "auth") & (F.col("action") == "login")
-    count = lambda c: F.count(F.when(c, F.lit(1)))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    placed = (kind == "auth") & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    hour = F.hour(F.timestamp_micros("us"))
+    one = lambda c: F.count(F.when(c, F.lit(1)))
     extra: dict[str, Column] = {}
     if "geo_velocity" in which:
-        placed = (kind == "auth") & F.col("lat").isNotNull() & F.col("lon").isNotNull()
-        before = Window.partitionBy(*keys, F.when(placed, 1).otherwise(0)).orderBy("us", "seq")
-        gap = (F.col("us") - F.lag("us").over(before)) / 3.6e9
-        far = haversine_km(F.lag("lat").over(before), F.lag("lon").over(before), F.col("lat"), F.col("lon"))
-        extra["speed"] = F.when(placed & (gap > 0), far / gap)
+        before = Window.partitionBy(*keys).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
+        last = F.last(F.when(placed, F.struct("us", "lat", "lon")), ignorenulls=True).over(before)
+        gap = (F.col("us") - last["us"]) / 3.6e9
+        extra["speed"] = F.when(placed & (gap > 0), haversine_km(last["lat"], last["lon"], F.col("lat"), F.col("lon")) / gap)
     if "connection_burstiness" in which:
-        extra["bin"] = floor_div(F.col("us") - F.min("us").over(by), BIN_S * 1_000_000)
+        extra["bin"] = floor_div(F.col("us") - F.min("us").over(Window.partitionBy(*keys)), BIN_S * 1_000_000)
     if "dns_query_entropy" in which:
         extra["bits"] = F.when((kind == "dns") & F.col("query").isNotNull(), entropy_bits(F.col("query")))
     e = e.withColumns(extra)
-    hour = F.hour(F.timestamp_micros("us"))
-    sent, received = (F.coalesce(F.sum(F.when(kind == "network", F.col(c))), F.lit(0)) for c in ("bytes_sent", "bytes_received"))
+    # name -> what is gathered from rows, and how the parts of a window (its bins) are put together
+    total = lambda n: F.sum(n).alias(n)
+    parts: dict[str, tuple[Column, Column]] = {"event_count": (F.count("*"), total("event_count"))}
+    needs = {
+        "failed_login_ratio": {"failed": (one(login & (F.col("status") == "failure")), total("failed")), "logins": (one(login), total("logins"))},
+        "login_frequency": {"logged_in": (one(login & (F.col("status") == "success")), total("logged_in"))},
+        "geo_velocity": {"fastest": (F.max("speed") if "speed" in extra else F.lit(None), F.max("fastest").alias("fastest"))},
+        "port_scan_index": {"ports": (F.collect_set(F.when(kind == "network", F.col("dest_port"))), F.size(F.array_distinct(F.flatten(F.collect_list("ports")))).alias("ports"))},
+        "dns_query_entropy": {"bits": (F.sum("bits") if "bits" in extra else F.lit(None), total("bits")), "names": (F.count("bits") if "bits" in extra else F.lit(0), total("names"))},
+        "data_exfil_ratio": {c: (F.coalesce(F.sum(F.when(kind == "network", F.col(f"bytes_{c}"))), F.lit(0)), total(c)) for c in ("sent", "received")},
+        "privilege_escalation_score": {"raised": (one((kind == "endpoint") & (F.col("privilege_change") == "user_to_admin")), total("raised"))},
+        "off_hours_ratio": {"off_hours": (one((hour < open_hour) | (hour >= close_hour)), total("off_hours"))},
+        "connection_burstiness": {"first": (F.min("us"), F.min("first").alias("first")), "last": (F.max("us"), F.max("last").alias("last")), "spread": (F.count("*"), F.var_pop("spread").alias("spread"))},
+    }
+    for f in which:
+        parts |= needs.get(f, {})
+    by_bin = e.groupBy(*keys, *(["bin"] if "bin" in extra else [])).agg(*[c.alias(n) for n, (c, _) in parts.items()])
+    g = by_bin.groupBy(*keys).agg(*[c for _, c in parts.values()])
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     made = {
-        "failed_login_ratio": ratio(count(login & (F.col("status") == "failure")), count(login)),
-        "login_frequency": count(login & (F.col("status") == "success")).cast("double"),
-        "geo_velocity": F.coalesce(F.max("speed"), F.lit(0.0)) if "speed" in extra else None,
-        "session_duration_anomaly": F.lit(0.0),
-        "port_scan_index": F.count_distinct(F.when(kind == "network", F.col("dest_port"))) / 3600.0,
-        "dns_query_entropy": F.coalesce(F.avg("bits"), F.lit(0.0)) if "bits" in extra else None,
-        "data_exfil_ratio": F.when(received == 0, sent.cast("double")).otherwise(sent / received),
-        "privilege_escalation_score": count((kind == "endpoint") & (F.col("privilege_change") == "user_to_admin")).cast("double"),
-        "off_hours_ratio": ratio(count((hour < open_hour) | (hour >= close_hour)), F.count("*")),
+        "failed_login_ratio": lambda: ratio("failed", "logins"),
+        "login_frequency": lambda: F.col("logged_in").cast("double"),
+        "geo_velocity": lambda: F.coalesce("fastest", F.lit(0.0)),
+        "session_duration_anomaly": lambda: F.lit(0.0),
+        "port_scan_index": lambda: F.col("ports") / 3600.0,
+        "dns_query_entropy": lambda: ratio("bits", "names"),
+        "data_exfil_ratio": lambda: F.when(F.col("received") == 0, F.col("sent").cast("double")).otherwise(F.col("sent") / F.col("received")),
+        "privilege_escalation_score": lambda: F.col("raised").cast("double"),
+        "off_hours_ratio": lambda: ratio("off_hours", "event_count"),
+        "connection_burstiness": lambda: F.when(F.col("last") - F.col("first") < BIN_S * 1_000_000, 0.0).otherwise(F.col("spread")),
     }
-    out = e.groupBy(*keys).agg(F.count("*").alias("event_count"), *[v.alias(k) for k, v in made.items() if k in which])
-    if "connection_burstiness" in which:
-        bins = e.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.min("us").alias("a"), F.max("us").alias("b"))
-        spread = F.when(F.max("b") - F.min("a") < BIN_S * 1_000_000, 0.0).otherwise(F.var_pop("n"))
-        out = out.join(bins.groupBy(*keys).agg(spread.alias("connection_burstiness")), list(keys))
-    return out.select(*keys, "event_count", *[f for f in FEATURES if f in which])
+    return g.select(*keys, "event_count", *[made[f]().alias(f) for f in FEATURES if f in which])
 
 
 def private_features(features: DataFrame, salt: str, epsilon: float = 0.5, minutes: int = 60, seed: int | None = 7, clip: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brackwater.operators.metrics import threshold_sweep
+
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
     """Average path length of an unsuccessful search in a binary tree of n rows."""
@@ -40,9 +42,21 @@ class Forest:
             node = np.where(x[row, self.feature[node]] < self.threshold[node], self.left[node], self.right[node])
         return -(2.0 ** (-self.length[node].mean(1) / max(float(mean_path(self.sample)), 1e-9)))
 
-    def table(self, spark) -> DataFrame:
-        """The nodes as a table, for saving."""
-        return spark.createDataFrame(pd.DataFrame({"node": np.arange(len(self.left)), "feature": self.feature, "threshold": self.threshold, "left": self.left, "right": self.right, "length": self.length}))
+    def save(self, spark, path: str) -> None:
+        """The nodes as a Parquet table, and the rest as one JSON row."""
+        nodes = pd.DataFrame({"node": np.arange(len(self.left)), "feature": self.feature, "threshold": self.threshold, "left": self.left, "right": self.right, "length": self.length})
+        spark.createDataFrame(nodes).write.mode("overwrite").parquet(f"{path}/nodes")
+        row = (list(self.columns), self.roots.tolist(), self.sample, self.depth, self.offset)
+        spark.createDataFrame([row], _META).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+_META = "columns array<string>, roots array<long>, sample int, depth int, offset double"
+
+
+def load(spark, path: str) -> Forest:
+    m = spark.read.schema(_META).json(f"{path}/meta").first()
+    t = spark.read.parquet(f"{path}/nodes").toPandas().sort_values("node")
+    return Forest(tuple(m.columns), np.array(m.roots), *(t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "length")), m.sample, m.depth, m.offset)
 
 
 def grow(x: np.ndarray, columns: Sequence[str], trees: int, sample: int, seed: int) -> Forest:
@@ -100,6 +114,11 @@ def predict(df: DataFrame, forest: Forest, threshold: float = 0.0) -> DataFrame:
     return out.withColumn("is_anomaly", (F.col("anomaly_score") < threshold).cast("int"))
 
 
+def tune(df: DataFrame, forest: Forest, label: str, thresholds: Sequence[float]) -> DataFrame:
+    """Rates of `anomaly_score < threshold` at each threshold; metrics.best_threshold picks one."""
+    return threshold_sweep(predict(df, forest), label, "anomaly_score", thresholds, below=True)
+
+
 def noise_attack(df: DataFrame, columns: Sequence[str], sigma: float, scale: dict[str, tuple[float, float]], seed: int = 42) -> DataFrame:
     """Gaussian noise of `sigma` deviations on each column."""
     return df.withColumns({c: F.col(c) + F.randn(seed + i) * F.lit(sigma * scale[c][1]) for i, c in enumerate(columns)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brackwater.operators.scoring import confidence
+from brackwater.operators.scoring import Client, confidence, enrich_indicators, offline_client
 
 # Days an indicator lives, by type.
 TTL_DAYS = {"ipv4": 30, "domain": 60, "url": 30, "hash": 180}
@@ -58,6 +58,16 @@ def upsert(store: DataFrame, enriched: DataFrame, now: Column, keep_revoked: boo
     )
 
 
+def refresh_active(store: DataFrame, now: Column, client: Client = offline_client, lanes: int = 1) -> DataFrame:
+    """The store after asking the feeds again about its active indicators."""
+    return upsert(store, enrich_indicators(store.filter("status = 'active'").select("indicator"), client, lanes=lanes), now)
+
+
+def ingest(store: DataFrame, listed: DataFrame, now: Column, client: Client = offline_client, lanes: int = 1) -> DataFrame:
+    """The store after enriching and adding a list of indicators (see sources.indicators)."""
+    return upsert(store, enrich_indicators(listed.select("indicator"), client, lanes=lanes), now)
+
+
 def prunable(now: Column, days: int) -> Column:
     """Rows already expired whose last sight is more than `days` whole days ago."""
     whole = F.floor((F.unix_micros(now) - F.unix_micros("last_seen")) / 86_400_000_000)

@@ -89,6 +89,37 @@ def offline_client(indicator: str, kind: str) -> Mapping[str, str]:
     return {"virustotal": '{"status": "error"}', "abuseipdb": '{"status": "n_a"}' if kind != "ipv4" else '{"status": "error"}', "alienvault_otx": '{"status": "error"}'}
 
 
+class TooManyRequests(Exception):
+    """A feed asks to wait `seconds`."""
+
+    def __init__(self, seconds: float):
+        super().__init__(f"retry after {seconds} s")
+        self.seconds = seconds
+
+
+def with_retries(client: Client, attempts: int = 3, pause_s: float = 2.0) -> Client:
+    """The client called again after TooManyRequests (when it says) and after timeouts (pauses grow by `pause_s`); any other
+    error, and the last one, becomes an error payload."""
+
+    def call(indicator: str, kind: str) -> Mapping[str, str]:
+        import time
+
+        for n in range(1, attempts + 1):
+            try:
+                return client(indicator, kind)
+            except TooManyRequests as e:
+                wait = e.seconds
+            except TimeoutError:
+                wait = pause_s * n
+            except Exception:
+                break
+            if n < attempts:
+                time.sleep(wait)
+        return dict.fromkeys(("virustotal", "abuseipdb", "alienvault_otx"), '{"status": "error"}')
+
+    return call
+
+
 def query_feeds(indicators: DataFrame, client: Client = offline_client, min_interval_s: float = 0.0, lanes: int = 1) -> DataFrame:
     """JSON payloads of the three feeds by indicator. `lanes` partitions call at once, each no faster than one call in
     `min_interval_s` seconds; retries are the client's matter."""
@@ -138,6 +169,11 @@ def enrich(payloads: DataFrame, weights: Mapping[str, tuple[float, float, float]
     })
 
 
+def enrich_indicators(indicators: DataFrame, client: Client = offline_client, min_interval_s: float = 0.0, lanes: int = 1) -> DataFrame:
+    """From a column of indicators to scored rows: ask, parse, score."""
+    return enrich(parse_feeds(query_feeds(indicators, client, min_interval_s, lanes)))
+
+
 def flat(enriched: DataFrame) -> DataFrame:
     """The table form: N/A where a feed did not succeed, tags joined by semicolons."""
     e = F.col("enrichment")

@@ -128,8 +128,7 @@ query("evasion_scale")(_attack(lambda f, scale: isolation.scaling_attack(f, COLU
 
 def iforest_tuning(spark, d):
     f = ad.flows(spark, d)
-    s = isolation.predict(f, isolation.fit(f, COLUMNS, trees=50))
-    return metrics.threshold_sweep(s, "label", "anomaly_score", [float(x) for x in np.round(np.arange(-0.1, 0.11, 0.05), 2)], below=True)
+    return isolation.tune(f, isolation.fit(f, COLUMNS, trees=50), "label", [float(x) for x in np.round(np.arange(-0.1, 0.11, 0.05), 2)])
 
 
 query("iforest_tuning")(iforest_tuning)

@@ -243,6 +243,30 @@ def test_store(spark, tmp_path):
     assert (next((tmp_path / "list").glob("part*"))).read_text() == "# header\ni/32  # Risk: 86, Conf: 100, Tags: [botnet]\n"
 
 
+def test_clients_and_ingest(spark, tmp_path):
+    calls = []
+
+    def flaky(indicator, kind):
+        calls.append(indicator)
+        if len(calls) == 1:
+            raise scoring.TooManyRequests(0)
+        if len(calls) == 2:
+            raise TimeoutError
+        if indicator == "bad":
+            raise ValueError
+        return {"virustotal": "{}", "abuseipdb": "{}", "alienvault_otx": "{}"}
+
+    once = scoring.with_retries(flaky, pause_s=0)
+    assert once("x", "ipv4")["virustotal"] == "{}" and len(calls) == 3 and "error" in once("bad", "url")["virustotal"]
+    (tmp_path / "list.txt").write_text("9.9.9.9\nevil.com\n")
+    empty = spark.createDataFrame([], f"indicator string, type string, first_seen timestamp, last_seen timestamp, expiration timestamp, confidence int, risk_score int, risk_tier string, status string, sources array<string>, tags array<string>, enrichment_data {scoring.ENRICHMENT}, history {lifecycle.HISTORY}")
+    t0 = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    store = lifecycle.ingest(empty, indicators.read_indicators(spark, f"{tmp_path}/list.txt"), t0)
+    assert {r.indicator: (r.type, r.risk_score, r.confidence) for r in store.collect()} == {"9.9.9.9": ("ipv4", 0, 25), "evil.com": ("domain", 0, 25)}
+    again = lifecycle.refresh_active(store, t0, lambda i, k: {"virustotal": '{"status": "success", "malicious": 9}'})
+    assert {r.risk_tier for r in again.collect()} == {"SUSPICIOUS", "HIGH"}
+
+
 def test_suricata_gaps(spark):
     rows = [(i, f"x{i}", k, r, 60, "active") for i, (k, r) in enumerate([("hash", 90), ("ipv4", 90), ("domain", 70), ("url", 95), ("ipv4", 10)])]
     df = spark.createDataFrame(rows, "seq long, indicator string, type string, risk_score int, confidence int, status string")
@@ -258,7 +282,7 @@ def test_documents(spark):
     assert "event: type" in got[3] and got[4] == got[5] == ["json"]
 
 
-def test_isolation_ranks_planted_outliers(spark):
+def test_isolation_ranks_planted_outliers(spark, tmp_path):
     df = generators.flows(spark, 3000)
     cols = ["dur", "spkts", "dpkts", "sbytes", "dbytes", "rate"]
     forest = isolation.fit(df, cols, trees=50)
@@ -266,6 +290,11 @@ def test_isolation_ranks_planted_outliers(spark):
     r = scored.agg(F.avg("is_anomaly"), F.min("anomaly_score"), F.max("anomaly_score")).first()
     assert 0.07 < r[0] < 0.13 and -1 < r[1] < r[2] < 1
     assert metrics.roc_auc(scored.withColumn("s", -F.col("anomaly_score")), "label", "s").first()[0] > 0.95
+    forest.save(spark, f"{tmp_path}/forest")
+    again = isolation.load(spark, f"{tmp_path}/forest")
+    assert isolation.predict(df, again).agg(F.avg("is_anomaly")).first()[0] == r[0]
+    sweep = isolation.tune(df, forest, "label", [-0.2, 0.0, 0.1])
+    assert metrics.best_threshold(sweep).first().threshold == 0.0
     scale = learning.fit_scale(df, cols)
     assert isolation.scaling_attack(df, cols, 2.0).count() == isolation.noise_attack(df, cols, 0.1, scale).count() == 3000
 
