@@ -27,6 +27,7 @@ from brackwater.llm.words import U64, bounded_batches, find_words, mix, rolling,
 from brackwater.session import cut_lineage
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
+ROW = "_brackwater_row_id"
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
@@ -229,6 +230,6 @@ def one_of_each(docs: DataFrame, joined: DataFrame, *, key: str = "doc_id", text
     """The rows of docs that stand for their class: of each class the least key, of rows with that key the least row id."""
     same = F.col(key).eqNullSafe(F.col("class_id"))
     # texts without n-grams are classes of their own, unless rows repeat
-    keepers = joined.filter(same).groupBy("class_id").agg(F.min("row_id").alias("row_id")).select("row_id")
-    found = docs.withColumn("row_id", _row_id(key, text)).join(keepers, "row_id", "left_semi")
-    return found.dropDuplicates(["row_id"]).drop("row_id")
+    keepers = joined.filter(same).groupBy("class_id").agg(F.min("row_id").alias(ROW)).select(ROW)
+    found = docs.withColumn(ROW, _row_id(key, text)).join(keepers, ROW, "left_semi")
+    return found.dropDuplicates([ROW]).drop(ROW)

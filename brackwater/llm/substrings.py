@@ -22,6 +22,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from brackwater.llm.exchange import block_bounds, expand, in_chunks, index_blocks, squeeze, text_size
 from brackwater.llm.words import Spans, find_words, rolling, text_bytes, whole
@@ -79,10 +81,13 @@ def kept_texts(spans: Spans, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, n_words, n_removed, kept_text, factors (first word, words, source key) and the columns `carry`."""
+    """key, n_words, n_removed, kept_text, factors (first word, words, source key) and, if asked for, the struct `carried`
+    of the columns `carry` (a struct, so that their names may be any)."""
     total = text_size(docs, text)
     blocks = index_blocks(total)
-    chunks = in_chunks(docs, total, *carry, key=key, text=text)
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    docs = docs.select(key, text, *carried)
+    chunks = in_chunks(docs, total, *(["carried"] if carry else []), key=key, text=text)
 
     def send(group: tuple, table: pa.Table) -> pa.Table:
         _, _, h, k = _phrases(table, key, text, span)
@@ -125,11 +130,11 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         values = pa.StructArray.from_arrays([pa.array(first - spans.ptr[owner]), pa.array(size), pa.array(source)], ["start", "words", "source"])
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
         removed = np.bincount(doc, ~keep, n).astype(np.int64)
-        return pa.table({key: table.column(key), "n_words": pa.array(np.diff(spans.ptr)), "n_removed": pa.array(removed), "kept_text": texts, "factors": lists, **{c: table.column(c) for c in carry}})
+        return pa.table({key: table.column(key), "n_words": pa.array(np.diff(spans.ptr)), "n_removed": pa.array(removed), "kept_text": texts, "factors": lists, **({"carried": table.column("carried")} if carry else {})})
 
     sent = chunks.groupBy("chunk").applyInArrow(send, "block int, chunk int, hashes binary, sources binary")
     answers = sent.groupBy("block").applyInArrow(answer, "chunk int, hashes binary, sources binary")
-    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_words long, n_removed long, kept_text string, factors array<struct<start: long, words: long, source: long>>{extra}"
+    source = StructType().add("start", "long").add("words", "long").add("source", "long")
+    schema = StructType([docs.schema[key]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("factors", ArrayType(source))
+    schema = StructType([*schema.fields, docs.schema["carried"]]) if carry else schema
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(parse, schema)

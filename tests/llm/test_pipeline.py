@@ -5,6 +5,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -73,3 +74,17 @@ def test_packed_tokens(spark, stages):
         got.setdefault(r.doc_id, []).extend(np.frombuffer(bytes(r.ids), "<u4").tolist())
     assert got == {k: library.encode(r.text, add_special_tokens=False).ids + [2] for k, r in rows(stages[4]).items()}
     assert corpus_pipeline.run(spark, DIR).count() == stages[5].count()
+
+
+def test_clashing_columns_nulls_and_empty_tables(spark, stages):
+    names = ("chunk", "n_words", "factors", "row_id", "carried", "block", "features", "rep", "ids", "score")
+    docs = stages[0].limit(60).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    odd = docs.limit(1).select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    docs = docs.unionByName(odd).unionByName(docs.limit(3))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, docs.limit(0), DIR).count() == 0, name
+        out = f(spark, docs, DIR)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert r.doc_id is None or [r[n] for n in names] == list(range(len(names))), name
+    assert corpus_pipeline.pack(spark, docs, DIR).count() > 60 and corpus_pipeline.pack(spark, docs.limit(0), DIR).count() == 0
