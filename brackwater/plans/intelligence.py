@@ -33,8 +33,8 @@ def cache_ttl(spark, d):
 
 _W = "CASE type WHEN 'ipv4' THEN {0} WHEN 'hash' THEN {1} ELSE {2} END"
 _RISK = f"""{ad.FEEDS},
-parts AS (SELECT *, CASE WHEN vt_ok THEN least(100.0, m * 14.0 + s * 4.0) ELSE 0.0 END AS s_vt, CASE WHEN ab_ok AND NOT (white AND m = 0) THEN CAST(score AS DOUBLE) ELSE 0.0 END AS s_ab,
-  CASE WHEN otx_ok THEN least(100.0, pulses * 12.0 + crit * 6.0) ELSE 0.0 END AS s_otx FROM feeds),
+parts AS (SELECT *, CAST(CASE WHEN vt_ok THEN least(100.0, m * 14.0 + s * 4.0) ELSE 0.0 END AS DOUBLE) AS s_vt, CASE WHEN ab_ok AND NOT (white AND m = 0) THEN CAST(score AS DOUBLE) ELSE 0.0 END AS s_ab,
+  CAST(CASE WHEN otx_ok THEN least(100.0, pulses * 12.0 + crit * 6.0) ELSE 0.0 END AS DOUBLE) AS s_otx FROM feeds),
 whole AS (SELECT *, CASE WHEN ab_ok AND white AND m = 0 AND pulses = 0 THEN 0.0 ELSE {_W.format(0.35, 0.75, 0.7)}::DOUBLE * s_vt + {_W.format(0.45, '0.0', '0.0')}::DOUBLE * s_ab + {_W.format(0.2, 0.25, 0.3)}::DOUBLE * s_otx END AS w FROM parts),
 risked AS (SELECT *, CAST(round_even(round(least(100.0, greatest(0.0, w)), 9), 0) AS INTEGER) AS risk_score FROM whole)"""
 

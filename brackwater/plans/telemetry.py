@@ -221,12 +221,12 @@ def drift_ks_stat(spark, d):
 # exploration ---------------------------------------------------------------------------------------------------------
 KINDS = ("click", "error", "purchase", "signup", "view")
 query("eda_value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")(lambda spark, d: exploration.value_counts(table(spark, d, "events"), "event_type"))
-query("eda_hourly", "SELECT hour(ts) AS hour, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1, 2")(
+query("eda_hourly", "SELECT CAST(hour(ts) AS INTEGER) AS hour, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1, 2")(
     lambda spark, d: table(spark, d, "events").groupBy(F.hour("ts").alias("hour"), F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n")))
-query("eda_pivot", "SELECT hour(ts) AS hour, " + ", ".join(f"count_if(event_type = '{k}') AS {k}" for k in KINDS) + " FROM events GROUP BY 1")(lambda spark, d: exploration.hour_by_type(table(spark, d, "events"), "ts", "event_type", KINDS))
+query("eda_pivot", "SELECT CAST(hour(ts) AS INTEGER) AS hour, " + ", ".join(f"count_if(event_type = '{k}') AS {k}" for k in KINDS) + " FROM events GROUP BY 1")(lambda spark, d: exploration.hour_by_type(table(spark, d, "events"), "ts", "event_type", KINDS))
 _NUM = ("quantity", "price", "discount", "tax")
-query("eda_describe", f"WITH {ad.FLOWS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS \"min\", round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS \"max\" FROM flows" for c in _NUM))(
-    lambda spark, d: exploration.describe(ad.flows(spark, d), _NUM).withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "p50", "p75")}))
+query("eda_describe", f"WITH {ad.FLOWS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, min({c}) AS \"min\", round(quantile_cont({c}, 0.25), 3) AS p25, round(quantile_cont({c}, 0.5), 3) AS p50, round(quantile_cont({c}, 0.75), 3) AS p75, max({c}) AS \"max\" FROM flows" for c in _NUM))(
+    lambda spark, d: exploration.describe(ad.flows(spark, d), _NUM).withColumns({c: F.round(c, 3) for c in ("mean", "std", "p25", "p50", "p75")}))
 query("eda_profile", "SELECT 'event_type' AS \"column\", count(DISTINCT event_type) AS n_unique, min(event_type) AS \"min\", max(event_type) AS \"max\", count(event_type) * 100.0 / count(*) AS completeness FROM events UNION ALL SELECT 'user_id', count(DISTINCT user_id), CAST(min(user_id) AS VARCHAR), CAST(max(user_id) AS VARCHAR), count(user_id) * 100.0 / count(*) FROM events")(
     lambda spark, d: exploration.profile(table(spark, d, "events"), ("event_type", "user_id")).withColumn("completeness", F.col("completeness").cast("double")))
 _PAIRS = [(a, b) for i, a in enumerate((*_NUM, "label")) for b in (*_NUM, "label")[i + 1 :]]
