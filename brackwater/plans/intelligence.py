@@ -102,13 +102,13 @@ query("top_risk", f"WITH {ad.IOCS} SELECT indicator, risk_score, confidence FROM
     lambda spark, d: ad.iocs(spark, d).orderBy(F.desc("risk_score"), F.desc("confidence"), "seq").limit(10).select("indicator", "risk_score", "confidence"))
 
 
-@query("compliance", """WITH c AS (SELECT c_custkey % 50 AS host, c_custkey // 50 AS control, c_custkey % 3 AS rc, CASE WHEN c_custkey % 4 = 0 THEN 'Status: active' ELSE 'Status: inactive' END AS stdout FROM customer WHERE c_custkey < 500)
+@query("compliance", """WITH c AS (SELECT c_custkey // 10 AS host, c_custkey % 10 AS control, c_custkey % 3 AS rc, CASE WHEN c_custkey % 4 = 0 THEN 'Status: active' ELSE 'Status: inactive' END AS stdout FROM customer)
 SELECT host, CAST(count_if(rc = 0 AND (control <> 5 OR contains(stdout, 'Status: active')) AND (control <> 7 OR stdout = 'Status: active')) AS BIGINT) AS passed,
   CAST(count_if(rc = 0 AND (control <> 5 OR contains(stdout, 'Status: active')) AND (control <> 7 OR stdout = 'Status: active')) * 10 AS BIGINT) AS score FROM c GROUP BY host""")
 def compliance(spark, d):
     k = F.col("c_custkey")
-    control = F.floor(k / 50)
-    c = table(spark, d, "customer").filter(k < 500).select((k % 50).alias("host"), (k % 3).alias("rc"), F.when(k % 4 == 0, "Status: active").otherwise("Status: inactive").alias("stdout"), F.when(control == 5, "Status: active").alias("must_contain"), F.when(control == 7, "Status: active").alias("must_equal"))
+    control = k % 10
+    c = table(spark, d, "customer").select(F.floor(k / 10).alias("host"), (k % 3).alias("rc"), F.when(k % 4 == 0, "Status: active").otherwise("Status: inactive").alias("stdout"), F.when(control == 5, "Status: active").alias("must_contain"), F.when(control == 7, "Status: active").alias("must_equal"))
     return lifecycle.compliance(c)
 
 

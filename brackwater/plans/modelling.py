@@ -83,23 +83,32 @@ def doc_validate(spark, d):
     return documents.validate(df).select("event_id", F.array_join("violations", ";").alias("violations"), "valid")
 
 
-def _sample(spark, d, n=4000):
-    """Flows for the model queries, the same ones each time."""
-    return exploration.hash_sample(ad.flows(spark, d), "l_orderkey", n)
-
-
 query("mi_topk")(lambda spark, d: learning.mutual_information(ad.flows(spark, d), COLUMNS, "label").orderBy(F.desc("mi")).limit(3))
 query("smote")(lambda spark, d: learning.smote(ad.flows(spark, d), COLUMNS, "label").groupBy("label").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in COLUMNS]))
 
 
 def _model(kind, **params):
     def run(spark, d):
-        f = _sample(spark, d)
+        f = ad.flows(spark, d)
         return learning.probabilities(learning.train_classifier(f, kind, COLUMNS, **params), f).select("l_orderkey", "l_linenumber", "label", "score", "predicted")
 
     return run
 
 
+def model_search(spark, d):
+    """Parameters and cross-validated F1 of a small random search."""
+    _, scores = learning.search(ad.flows(spark, d), "logistic", COLUMNS, n_iter=2, folds=3)
+    return spark.createDataFrame([(str(sorted(p.items())), float(f1)) for p, f1 in scores], "parameters string, f1 double")
+
+
+def perm_importance(spark, d):
+    f = ad.flows(spark, d)
+    return learning.permutation_importance(learning.train_classifier(f, "logistic", COLUMNS), f, COLUMNS)
+
+
+query("model_search")(model_search)
+query("perm_importance")(perm_importance)
+query("hash_sample")(lambda spark, d: exploration.hash_sample(ad.flows(spark, d), "l_orderkey", 500))
 query("rf")(_model("random_forest", numTrees=20, maxDepth=6))
 query("gbt")(_model("boosted_trees", maxIter=10, maxDepth=4))
 query("lr")(_model("logistic", regParam=0.001))
