@@ -13,9 +13,9 @@ from brackwater.session import table
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fold = language.fold_of("doc_id", 3)
-    known = language.fit_dictionaries(docs.filter(fold != 1))
-    return language.identify(docs, known).withColumn("held_out", fold == 1)
+    held_out = F.coalesce(language.fold_of("doc_id", 3) == 1, F.lit(False))
+    known = language.fit_dictionaries(docs.filter(~held_out))
+    return language.identify(docs, known).withColumn("held_out", held_out)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
