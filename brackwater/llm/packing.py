@@ -30,7 +30,7 @@ def binary_pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarr
     first = np.repeat(np.cumsum(count) - count, count)
     nth = np.arange(len(doc)) - first
     length = np.full(len(doc), longest, np.int64)
-    rest, at = nth >= full[doc], nth - full[doc]
+    rest = nth >= full[doc]
     digits = np.array([[b for b in range(bits)][::-1]], np.int64)
     for lo in range(0, len(sizes), 4096):  # the digits of the remainders, most significant first
         part = sizes[lo : lo + 4096, None] % longest
@@ -39,7 +39,6 @@ def binary_pieces(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarr
         begin, end = np.searchsorted(doc, [lo, lo + len(part)])
         where = np.flatnonzero(rest[begin:end]) + begin
         length[where] = values
-    del at
     start = np.cumsum(length) - length
     base = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=base[1:])
