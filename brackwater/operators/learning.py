@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from itertools import product
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,8 +55,6 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins:
     place = lambda c: sum((F.col(c).cast("double") > v).cast("int") for v in sorted(set(cuts[c] or []))) if cuts[c] else F.lit(0)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(place(c), F.lit(-1)).alias("bin")) for c in columns])
     counts = df.filter(F.col(label).isNotNull()).select(F.inline(rows), F.col(label).alias("y")).groupBy("column", "bin", "y").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     w = lambda *k: Window.partitionBy("column", *k)
     counts = counts.withColumns({"nx": F.sum("n").over(w("bin")), "ny": F.sum("n").over(w("y")), "all": F.sum("n").over(w())})
     term = F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))
@@ -164,20 +162,8 @@ def permutation_importance(fitted, df: DataFrame, columns: Sequence[str], label:
     base = right(df)
     rows = []
     for i, c in enumerate(columns):
-        from pyspark.sql import Window
-
         part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(64))
         d = df.withColumn("_p", part).withColumn("_r", F.rand(seed + i))
         moved = F.coalesce(F.lead(c).over(Window.partitionBy("_p").orderBy("_r")), F.first(c).over(Window.partitionBy("_p").orderBy("_r")))
         rows.append((c, float(base - right(d.withColumn(c, moved).drop("_p", "_r")))))
     return spark.createDataFrame(rows, "column string, importance double")
-
-
-def batches_of(df: DataFrame, f) -> DataFrame:
-    """Applies f to Arrow batches as pandas frames; f keeps the columns."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            yield f(b)
-
-    return df.mapInPandas(run, df.schema)
