@@ -7,6 +7,8 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brackwater.functions.scalars import let
+
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = f"^{OCTET}\\.{OCTET}\\.{OCTET}\\.{OCTET}$"
 # Networks that count as private, pinned here so that no interpreter version decides.
@@ -51,14 +53,17 @@ def ipv6_groups(ip: Column) -> Column:
 
 
 def is_private_ipv6(ip: Column) -> Column:
-    groups, inside = ipv6_groups(ip), F.lit(False)
-    for net in _V6:
-        number, same = int(net.network_address), F.lit(True)
-        for i in range(-(-net.prefixlen // 16)):
-            drop = max(0, 16 * (i + 1) - net.prefixlen)
-            same = same & (F.shiftright(groups[i], drop) == ((number >> (112 - 16 * i)) & 0xFFFF) >> drop)
-        inside = inside | same
-    return F.coalesce(inside, F.lit(False))
+    def any_net(x: Column) -> Column:
+        inside = F.lit(False)
+        for net in _V6:
+            number, same = int(net.network_address), F.lit(True)
+            for i in range(-(-net.prefixlen // 16)):
+                drop = max(0, 16 * (i + 1) - net.prefixlen)
+                same = same & (F.shiftright(x["groups"][i], drop) == ((number >> (112 - 16 * i)) & 0xFFFF) >> drop)
+            inside = inside | same
+        return F.coalesce(inside, F.lit(False))
+
+    return let({"groups": ipv6_groups(ip)}, any_net)
 
 
 def is_ipv4(ip: Column) -> Column:
@@ -72,19 +77,25 @@ def is_valid_ip(ip: Column, v6: bool = True) -> Column:
 
 def ipv4_number(ip: Column) -> Column:
     """IPv4 address as a number; null for anything else."""
-    parts = F.split(ip, "\\.")
-    value = F.lit(0).cast("long")
-    for i in range(4):
-        value = value * 256 + F.get(parts, F.lit(i)).try_cast("long")
-    return F.when(is_ipv4(ip), value)
+
+    def value(x: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for i in range(4):
+            out = out * 256 + F.get(x["parts"], F.lit(i)).try_cast("long")
+        return out
+
+    return F.when(is_ipv4(ip), let({"parts": F.split(ip, "\\.")}, value))
 
 
 def is_private_ip(ip: Column, v6: bool = True) -> Column:
-    number = ipv4_number(ip)
-    inside = F.lit(False)
-    for lo, hi in private_ranges():
-        inside = inside | number.between(lo, hi)
-    inside = F.coalesce(inside, F.lit(False))
+
+    def any_range(x: Column) -> Column:
+        out = F.lit(False)
+        for lo, hi in private_ranges():
+            out = out | x["number"].between(lo, hi)
+        return F.coalesce(out, F.lit(False))
+
+    inside = let({"number": ipv4_number(ip)}, any_range)
     return inside | (ip.contains(":") & is_private_ipv6(ip)) if v6 else inside
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ EARTH_KM = 6371.0
 _ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 
 
+def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """body of a struct of `values`, each of which is worked out once a row however often the body names it."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body), F.lit(0))
+
+
 def to_instant(s: Column) -> Column:
     """Timestamp of 'Y-m-d H:M:S' (UTC) or an ISO form with fraction, Z or offset; a form without zone is UTC; else null."""
     return F.when(s.rlike(_ISO), s.try_cast("timestamp"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brackwater.functions.network import is_external_facing, is_private_ip, is_valid_ip
-from brackwater.functions.scalars import to_instant
+from brackwater.functions.scalars import let, to_instant
 
 # Names of the checks as they stand in reports.
 CHECKS = ("Check 1: Missing Fields", "Check 2: IP Validation", "Check 3: Timestamp Anomalies", "Check 4: Duplicate Detection", "Check 5: Suspicious Patterns")
@@ -43,18 +43,23 @@ def stateless_issues(now: dt.datetime, v6: bool = True) -> Column:
     """Array of the issues that one record shows by itself (checks 1 to 3 and most of 5); works on streams as well."""
     blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
     missing = F.filter(F.array(*[F.when(blank(c), F.lit(c)) for c in CRITICAL]), lambda x: x.isNotNull())
+    facts = {"missing": missing, "valid": is_valid_ip(F.col("source_ip"), v6), "target_valid": is_valid_ip(F.col("target_ip"), v6), "at": to_instant(F.col("timestamp"))}
+    return let(facts, lambda x: _found(x, now, v6))
+
+
+def _found(x: Column, now: dt.datetime, v6: bool) -> Column:
     src, dst, ts = F.col("source_ip"), F.col("target_ip"), F.col("timestamp")
     there = lambda c: F.coalesce(c, F.lit("")) != ""
-    at = to_instant(ts)
+    missing, at = x["missing"], x["at"]
     clock = F.lit(now.astimezone(dt.timezone.utc) if now.tzinfo else now.replace(tzinfo=dt.timezone.utc))
     age = (F.unix_micros(clock) - F.unix_micros(at)) / 1e6
     size = F.col("bytes").try_cast("long")
     say = F.concat
     found = F.array(
         _issue(F.size(missing) > 0, 1, "ERROR", "missing", say(F.lit("Missing critical field(s): "), F.array_join(missing, ", "))),
-        _issue(there(src) & ~is_valid_ip(src, v6), 2, "ERROR", "source_ip", say(F.lit("Invalid source address: "), src)),
-        _issue(there(src) & is_valid_ip(src, v6) & is_private_ip(src, v6) & is_external_facing(F.lit(None).cast("string"), F.col("original_line"), F.col("log_type")), 2, "WARNING", "private_ip", say(F.lit("Private address in an outward-facing log: "), src)),
-        _issue(there(dst) & ~is_valid_ip(dst, v6), 2, "ERROR", "target_ip", say(F.lit("Invalid target address: "), dst)),
+        _issue(there(src) & ~x["valid"], 2, "ERROR", "source_ip", say(F.lit("Invalid source address: "), src)),
+        _issue(there(src) & x["valid"] & is_external_facing(F.lit(None).cast("string"), F.col("original_line"), F.col("log_type")) & is_private_ip(src, v6), 2, "WARNING", "private_ip", say(F.lit("Private address in an outward-facing log: "), src)),
+        _issue(there(dst) & ~x["target_valid"], 2, "ERROR", "target_ip", say(F.lit("Invalid target address: "), dst)),
         _issue(there(ts) & (age < -5), 3, "ERROR", "future", say(F.lit("Timestamp in the future: "), ts)),
         _issue(there(ts) & (F.floor(age / 86400) > 365), 3, "WARNING", "archived", say(F.lit("Timestamp older than a year: "), ts)),
         _issue(there(ts) & at.isNull(), 3, "ERROR", "bad_time", say(F.lit("Timestamp is not ISO 8601: "), ts)),
@@ -95,11 +100,10 @@ def summary(events: DataFrame, found: DataFrame) -> DataFrame:
     n = events.agg(F.count("*").alias("total_records"))
     bad = lines.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     worst = F.when(F.count_if(F.col("severity") == "ERROR") > 0, "ERROR").otherwise("WARNING")
-    per = found.groupBy("check_type").agg(worst.alias("status"), F.count("*").alias("issues_count"))
+    per = found.groupBy("check_type").agg(worst.alias("status"), F.count("*").alias("issues_count"), F.count_if(F.col("severity") == "ERROR").alias("errors"))
     every = found.sparkSession.createDataFrame([(c,) for c in CHECKS], "check_type string").join(F.broadcast(per), "check_type", "left")
-    by_check = every.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("check_type", F.struct(F.coalesce("status", F.lit("PASS")).alias("status"), F.coalesce("issues_count", F.lit(0)).alias("issues_count")))))).alias("by_check"))
-    totals = found.agg(F.count_if(F.col("severity") == "ERROR").alias("error_count"), F.count_if(F.col("severity") == "WARNING").alias("warning_count"))
-    return n.join(bad).join(totals).join(by_check).select("total_records", (F.col("total_records") - F.col("bad")).alias("valid_records"), "error_count", "warning_count", "by_check")
+    by_check = every.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("check_type", F.struct(F.coalesce("status", F.lit("PASS")).alias("status"), F.coalesce("issues_count", F.lit(0)).alias("issues_count")))))).alias("by_check"), F.coalesce(F.sum("errors"), F.lit(0)).alias("error_count"), F.coalesce(F.sum("issues_count") - F.sum("errors"), F.lit(0)).alias("warning_count"))
+    return n.join(bad).join(by_check).select("total_records", (F.col("total_records") - F.col("bad")).alias("valid_records"), "error_count", "warning_count", "by_check")
 
 
 def top_recommendations(found: DataFrame, n: int = 5) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brackwater.functions.network import is_valid_ip
-from brackwater.functions.scalars import normalize_timestamp
+from brackwater.functions.scalars import let, normalize_timestamp
 
 EVENT_COLUMNS = ("line_number", "event_id", "timestamp", "source_ip", "target_ip", "user", "action", "status", "log_type", "bytes", "dns_query", "original_line")
 
@@ -40,63 +40,82 @@ def parse_lines(lines: DataFrame, line: str = "line", v6: bool = True) -> DataFr
 
     First fit decides the format: DNS (`query_time=` and a bar), firewall (comma and ALLOW or DENY), auth (SUCCESS or
     FAILURE and six tokens). The first failed check of a format names the error. A null line is unknown_format.
+    Each step is bound once (`let`), so that a filter on error_code does not take a line apart for every check.
     """
     s = F.trim(F.coalesce(F.col(line), F.lit("")))
-    upper = F.upper(s)
-    tokens = F.split(s, "\\s+")
-    kind = (
-        F.when(s.contains("query_time=") & s.contains("|"), "dns")
-        .when(s.contains(",") & (upper.contains("ALLOW") | upper.contains("DENY")), "firewall")
-        .when((upper.contains("SUCCESS") | upper.contains("FAILURE")) & (F.size(tokens) >= 6), "auth")
-    )
-    fields = F.transform(F.split(s, ","), lambda x: F.trim(x))
-    pairs = F.filter(F.transform(F.split(s, "\\|"), lambda x: F.trim(x)), lambda x: x.contains("="))
-    keys = F.transform(pairs, lambda x: F.trim(F.substring_index(x, "=", 1)))
-    values = F.transform(pairs, lambda x: F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))))
-    df = lines.withColumns({"_kind": kind, "_f": fields, "_t": tokens, "_k": keys, "_v": values})
-    k, f, t = F.col("_kind"), F.col("_f"), F.col("_t")
-
-    def dns(name: str) -> Column:  # the last of equal keys counts
-        at = F.size("_k") - F.array_position(F.reverse("_k"), name).cast("int")
-        return F.when(F.array_contains("_k", name), F.get(F.col("_v"), at))
-
-    fire, auth, query = k == "firewall", k == "auth", k == "dns"
-    raw_ts = F.when(fire, _part(f, 0)).when(auth, F.concat_ws(" ", _part(t, 0), _part(t, 1))).when(query, dns("query_time"))
-    source = F.when(fire, _part(f, 1)).when(auth, _part(t, 5)).when(query, dns("client"))
-    target = F.when(fire, _part(f, 2))
-    verb = F.when(fire, F.upper(_part(f, 4))).when(auth, F.upper(_part(t, 4)))
-    reply = dns("response")
-    df = df.withColumns({"_source": source, "_target": target, "_ts": normalize_timestamp(raw_ts), "_verb": verb, "_port": _part(f, 3).try_cast("int"), "_bytes": _part(f, 5).try_cast("long"), "_reply": reply})
-    needed = F.array_contains("_k", "query_time") & F.array_contains("_k", "client") & F.array_contains("_k", "domain") & F.array_contains("_k", "type")
-    bad_time, bad_source = F.col("_ts").isNull(), ~is_valid_ip(F.col("_source"), v6)
-    code = (
-        F.when(k.isNull(), "unknown_format")
-        .when(fire & (F.size("_f") != 6), "field_count")
-        .when(query & ~needed, "missing_fields")
-        .when(bad_time, "timestamp")
-        .when(bad_source, "source_ip")
-        .when(fire & ~is_valid_ip(F.col("_target"), v6), "target_ip")
-        .when(fire & ~F.coalesce(F.col("_port").between(0, 65535), F.lit(False)), "port")
-        .when(fire & F.col("_bytes").isNull(), "bytes")
-        .when(fire & ~F.col("_verb").isin("ALLOW", "DENY"), "action")
-        .when(auth & ~F.col("_verb").isin("SUCCESS", "FAILURE"), "status")
-    )
-    answered = F.coalesce(F.col("_reply"), F.lit("")) != ""
-    status = F.when(query, F.when(~answered, "unknown").when(F.col("_reply").isin("NXDOMAIN", "SERVFAIL"), "failure").otherwise("success")).when(F.col("_verb").isin("ALLOW", "SUCCESS"), "success").otherwise("failure")
-    df = df.withColumn("error_code", code)
-    good = F.col("error_code").isNull()
-    return df.withColumns({
-        "timestamp": F.when(good, F.col("_ts")),
-        "source_ip": F.when(good, F.col("_source")),
-        "target_ip": F.when(good, F.col("_target")),
-        "user": F.when(good & auth, _part(t, 2)),
-        "action": F.when(good, F.when(query, F.when(answered, "RESPONSE").otherwise("QUERY")).otherwise(F.col("_verb"))),
-        "status": F.when(good, status),
-        "log_type": F.when(good, k),
-        "bytes": F.when(good & fire, F.col("_bytes")),
-        "dns_query": F.when(good & query, F.struct(dns("domain").alias("domain"), dns("type").alias("type"), F.col("_reply").alias("response"))),
-        "original_line": s,
-    }).drop("_kind", "_f", "_t", "_k", "_v", "_source", "_target", "_ts", "_verb", "_port", "_bytes", "_reply")
+
+    def taken_apart(x: Column) -> dict[str, Column]:
+        s, upper = x["s"], F.upper(x["s"])
+        kind = (
+            F.when(s.contains("query_time=") & s.contains("|"), "dns")
+            .when(s.contains(",") & (upper.contains("ALLOW") | upper.contains("DENY")), "firewall")
+            .when((upper.contains("SUCCESS") | upper.contains("FAILURE")) & (F.size(F.split(s, "\\s+")) >= 6), "auth")
+        )
+        pairs = F.filter(F.transform(F.split(s, "\\|"), lambda p: F.trim(p)), lambda p: p.contains("="))
+        return {"k": kind, "f": F.transform(F.split(s, ","), lambda p: F.trim(p)), "t": F.split(s, "\\s+"), "pairs": pairs}
+
+    def named(x: Column) -> dict[str, Column]:
+        k, f, t = x["k"], x["f"], x["t"]
+        fire, auth, query = k == "firewall", k == "auth", k == "dns"
+        keys = F.transform(x["pairs"], lambda p: F.trim(F.substring_index(p, "=", 1)))
+        values = F.transform(x["pairs"], lambda p: F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))))
+        pairs = F.when(query, F.reverse(F.arrays_zip(keys.alias("key"), values.alias("value"))))
+
+        def dns(name: str) -> Column:  # the last of equal keys counts
+            return F.get(F.filter(pairs, lambda p: p["key"] == name), F.lit(0))["value"]
+
+        raw_ts = F.when(fire, _part(f, 0)).when(auth, F.concat_ws(" ", _part(t, 0), _part(t, 1))).when(query, dns("query_time"))
+        return {
+            "ts": normalize_timestamp(raw_ts),
+            "source": F.when(fire, _part(f, 1)).when(auth, _part(t, 5)).when(query, dns("client")),
+            "target": F.when(fire, _part(f, 2)),
+            "verb": F.when(fire, F.upper(_part(f, 4))).when(auth, F.upper(_part(t, 4))),
+            "port": F.when(fire, _part(f, 3).try_cast("int")),
+            "bytes": F.when(fire, _part(f, 5).try_cast("long")),
+            "reply": dns("response"),
+            "domain": dns("domain"),
+            "type": dns("type"),
+            "needed": dns("query_time").isNotNull() & dns("client").isNotNull() & dns("domain").isNotNull() & dns("type").isNotNull(),
+        }
+
+    def checked(x: Column, y: Column) -> dict[str, Column]:
+        k = x["k"]
+        fire, auth, query = k == "firewall", k == "auth", k == "dns"
+        code = (
+            F.when(k.isNull(), "unknown_format")
+            .when(fire & (F.size(x["f"]) != 6), "field_count")
+            .when(query & ~y["needed"], "missing_fields")
+            .when(y["ts"].isNull(), "timestamp")
+            .when(~is_valid_ip(y["source"], v6), "source_ip")
+            .when(fire & ~is_valid_ip(y["target"], v6), "target_ip")
+            .when(fire & ~F.coalesce(y["port"].between(0, 65535), F.lit(False)), "port")
+            .when(fire & y["bytes"].isNull(), "bytes")
+            .when(fire & ~y["verb"].isin("ALLOW", "DENY"), "action")
+            .when(auth & ~y["verb"].isin("SUCCESS", "FAILURE"), "status")
+        )
+        return {"code": code}
+
+    def event(x: Column, y: Column, code: Column) -> Column:
+        k, good = x["k"], code.isNull()
+        fire, auth, query = k == "firewall", k == "auth", k == "dns"
+        answered = F.coalesce(y["reply"], F.lit("")) != ""
+        status = F.when(query, F.when(~answered, "unknown").when(y["reply"].isin("NXDOMAIN", "SERVFAIL"), "failure").otherwise("success")).when(y["verb"].isin("ALLOW", "SUCCESS"), "success").otherwise("failure")
+        fields = {
+            "error_code": code,
+            "timestamp": F.when(good, y["ts"]),
+            "source_ip": F.when(good, y["source"]),
+            "target_ip": F.when(good, y["target"]),
+            "user": F.when(good & auth, _part(x["t"], 2)),
+            "action": F.when(good, F.when(query, F.when(answered, "RESPONSE").otherwise("QUERY")).otherwise(y["verb"])),
+            "status": F.when(good, status),
+            "log_type": F.when(good, k),
+            "bytes": F.when(good & fire, y["bytes"]),
+            "dns_query": F.when(good & query, F.struct(y["domain"].alias("domain"), y["type"].alias("type"), y["reply"].alias("response"))),
+        }
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    parsed = let({"s": s}, lambda w: let(taken_apart(w), lambda x: let(named(x), lambda y: let(checked(x, y), lambda z: event(x, y, z["code"])))))
+    return lines.withColumn("_parsed", parsed).select(*lines.columns, "_parsed.*", s.alias("original_line"))
 
 
 def events_of(parsed: DataFrame) -> DataFrame:
