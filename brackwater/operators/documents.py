@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brackwater.functions.scalars import let
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -65,8 +67,11 @@ def _check(doc: Column, rule: Rule) -> Column:
 def validate(docs: DataFrame, json: str = "json", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns, `violations` (empty for a valid document) and `valid`. Text that is no JSON object has the one
     violation 'json'; null text as well. Formats are not checked and further keys are allowed."""
-    doc = F.try_parse_json(json)
-    object_ = F.coalesce(F.schema_of_variant(doc).rlike("^OBJECT"), F.lit(False))
-    found = F.filter(F.array(*[_check(doc, r) for r in rules]), lambda x: x.isNotNull())
-    out = docs.withColumn("violations", F.when(object_, found).otherwise(F.array(F.lit("json"))))
+
+    def all_checks(x: Column) -> Column:
+        object_ = F.coalesce(F.schema_of_variant(x["doc"]).rlike("^OBJECT"), F.lit(False))
+        found = F.filter(F.array(*[_check(x["doc"], r) for r in rules]), lambda v: v.isNotNull())
+        return F.when(object_, found).otherwise(F.array(F.lit("json")))
+
+    out = docs.withColumn("violations", let({"doc": F.try_parse_json(json)}, all_checks))
     return out.withColumn("valid", F.size("violations") == 0)
