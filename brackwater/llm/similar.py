@@ -11,7 +11,7 @@
 
 Defined cases: a text of one to n-1 words has one n-gram, all its words; a null text or one without words has no n-grams,
 no link, and is a class of its own; repeated rows are members of one class; a null key is larger than all others;
-an empty table gives an empty table; other columns are not read.
+unlike texts that share a key (or have none) share a class_id, not a root; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -171,8 +171,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = 128) -> DataFrame:
-    """One row per document: row_id (hash of key and text), key, class_id (least key of its component), n_links (other
-    documents alike at the threshold) and n_set_links (other n-gram sets alike)."""
+    """One row per document: row_id (hash of key and text), key, class_id (least key of its component), root (least row_id of
+    its component; unlike class_id no two components share one), n_links (other documents alike at the threshold) and
+    n_set_links (other n-gram sets alike)."""
     bands, rows = bands_for(threshold, recall)
     signed = cut_lineage(sign(docs, key=key, text=text, n=n, bands=bands, rows=rows))
     sets = signed.filter("n_grams > 0").groupBy("set_a", "set_b").agg(F.min("row_id").alias("rep"), F.min(key).alias("least"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
@@ -220,16 +221,17 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
     roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     joined = sets.join(roots, sets.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep")).join(counts, "rep", "left")
     least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = joined.join(least, "root").select("set_a", "set_b", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"))
-    alone = signed.filter("n_grams = 0").select("row_id", key, F.col(key).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_set_links"))
-    rest = signed.filter("n_grams > 0").join(classes, ["set_a", "set_b"]).select("row_id", key, "class_id", "n_links", "n_set_links")
+    classes = joined.join(least, "root").select("set_a", "set_b", "class_id", "root", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"))
+    alone = signed.filter("n_grams = 0").select("row_id", key, F.col(key).alias("class_id"), F.col("row_id").alias("root"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_set_links"))
+    rest = signed.filter("n_grams > 0").join(classes, ["set_a", "set_b"]).select("row_id", key, "class_id", "root", "n_links", "n_set_links")
     return rest.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stand for their class: of each class the least key, of rows with that key the least row id."""
+    """The rows of docs that stand for their component: of each root the least key, of rows with that key the least row id.
+    Components that share their least key, or have none but nulls, keep a row each."""
     same = F.col(key).eqNullSafe(F.col("class_id"))
     # texts without n-grams are classes of their own, unless rows repeat
-    keepers = joined.filter(same).groupBy("class_id").agg(F.min("row_id").alias(ROW)).select(ROW)
+    keepers = joined.filter(same).groupBy("root").agg(F.min("row_id").alias(ROW)).select(ROW)
     found = docs.withColumn(ROW, _row_id(key, text)).join(keepers, ROW, "left_semi")
     return found.dropDuplicates([ROW]).drop(ROW)

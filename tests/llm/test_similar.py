@@ -67,6 +67,23 @@ def test_groups_of_near_copies(spark, block):
     assert similar.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_unlike_texts_under_one_key(spark):
+    unlike = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcdefgh"]
+    rows = [(None, t) for t in unlike[:3]] + [(None, unlike[0] + " more")] + [(5, t) for t in unlike[3:6]] + [(7, unlike[6]), (5, unlike[6]), (5, unlike[6]), (9, unlike[7])]
+    rows += [(None, None), (None, ""), (None, " "), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = similar.jaccard_join(docs)
+    assert got(joined) == brute(rows)
+    kept = Counter((r.doc_id, r.text) for r in similar.one_of_each(docs, joined).collect())
+    near = {(None, unlike[0]), (None, unlike[0] + " more")}
+    assert len(near & set(kept)) == 1
+    assert Counter({r: n for r, n in kept.items() if r not in near}) == Counter(set(rows) - near - {(7, unlike[6])})
+    roots = {}
+    for r in joined.join(docs.select(similar._row_id("doc_id", "text").alias("row_id"), "text").distinct(), "row_id").collect():
+        roots.setdefault(r.root, set()).add(r.text)
+    assert len(roots) == 12 and {unlike[0], unlike[0] + " more"} in roots.values()
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.root for r in similar.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
