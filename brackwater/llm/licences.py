@@ -76,8 +76,9 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-4-long",)),
     ("LicenseRef-All-Rights-Reserved", ("rights-reserved",)),
 )
-# Every known sentence has one of these words, so that a text without them needs no cutting.
-ANCHORS = ("licens", "permission", "warrant", "liable", "redistribut", "this program is free software", "rights reserved", "copyright")
+# Every known sentence has one of these in a single word, which no line end, space or sign can part, so that a
+# text without them needs no cutting.
+ANCHORS = ("licens", "permission", "warrant", "liable", "redistribut", "reserved", "copyright")
 _CODE = {name: i for i, name in enumerate(SENTENCES)}
 _SENTENCE_END = "[.;:!?]+([ \\t\\r\\n]+|$)"
 

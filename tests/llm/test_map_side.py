@@ -148,3 +148,14 @@ def test_licence_oracle(spark):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
     want = db.execute(licences.oracle()).df().sort_values("doc_id").reset_index(drop=True)
     assert got[list(want.columns)].equals(want) and (got.licences != "").sum() > 10
+
+
+def test_wrapped_licences_against_the_oracle(spark):
+    gaps = (" ", "\n", "\r\n", "  ", "\t", "\n# ", " * ", "\n// ")
+    texts = [f"{a}{s.upper().replace(' ', gap)}{b}" for s in licences.SENTENCES.values() for gap in gaps for a, b in (("", ""), ("Some words before. ", ".\nMore after."))]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_sentences, r.sentence_ids, ",".join(map(str, r.rules)), ",".join(r.licences)) for r in licences.scan(documents).collect()}
+    db = duckdb.connect()
+    db.register("documents", documents.toPandas())
+    want = {k: tuple(r) for k, *r in db.execute(f"SELECT doc_id, n_sentences, sentence_ids, rules, licences FROM ({licences.oracle()})").fetchall()}
+    assert got == want and all(r[0] == 1 for r in got.values())
