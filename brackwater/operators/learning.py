@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
@@ -61,11 +61,33 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins:
     return counts.groupBy("column").agg(F.greatest(F.lit(0.0), F.sum(term)).alias("mi"))
 
 
+BLOCK_SPAN = 1 << 32  # numbers of blocks kept apart for each table
+
+
+def _in_blocks(df: DataFrame, line: str, blocks: int, base: int) -> DataFrame:
+    """df with `_block`: about equal ranges of `line`, found by binary search in the cut points; NaN has its own."""
+    cuts = df.filter(~F.isnan(line)).select(F.percentile_approx(line, [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks))).first()[0] if blocks > 1 else []
+    if not cuts:
+        return df.withColumn("_block", F.lit(base))
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    found = Bucketizer(splits=splits, inputCol=line, outputCol="_at", handleInvalid="keep").transform(df)
+    return found.withColumn("_block", F.lit(base) + F.col("_at").cast("long")).drop("_at")
+
+
+def _in_parts(df: DataFrame, block_rows: int, seed: int) -> DataFrame:
+    """df with `_part`: 0, but for blocks of 1.5 times `block_rows` counted rows or more (cut points are not exact), whose rows
+    are dealt at random (not by value, so that copies of one row are dealt too). A part has about 0.75 to 1.5 times `block_rows`."""
+    sizes = df.groupBy("_block").agg(F.greatest(F.lit(1.0), F.round(F.count("*") / F.lit(block_rows))).alias("_parts"))
+    drawn = df.withColumn("_u", F.rand(seed))
+    return drawn.join(F.broadcast(sizes), "_block").withColumn("_part", F.floor(F.col("_u") * F.col("_parts"))).drop("_u", "_parts")
+
+
 def smote(train: DataFrame, columns: Sequence[str], label: str, minority: int = 1, k: int = 5, tables: int = 4, block_rows: int = 2000, seed: int = 42) -> DataFrame:
     """Synthetic minority rows (columns and label), as many as bring the minority level with the rest.
 
-    Neighbours come from the minority alone: rows are dealt by random projection into blocks of bounded size, `tables`
-    times; in each, a row's k nearest of the block are found and one draws the synthetic row. No pairs leave a block.
+    Neighbours come from the minority alone: rows are dealt by random projection into blocks of about `block_rows` near
+    ones, `tables` times; in each, a row's k nearest of the block are found and one draws the synthetic row. No pairs leave
+    a block. Only a block that is counted to be far larger (ties of the projection) is dealt at random into parts of that size.
     """
     few = train.filter(F.col(label) == minority).select(*[F.col(c).cast("double").alias(c) for c in columns])
     n = train.groupBy().agg(F.count_if(F.col(label) == minority).alias("a"), F.count_if(F.col(label) != minority).alias("b")).first()
@@ -78,12 +100,11 @@ def smote(train: DataFrame, columns: Sequence[str], label: str, minority: int =
     for t in range(tables):
         weights = rng.normal(size=len(columns))
         line = sum(((F.col(c) - F.lit(fitted[c][0])) / F.lit(fitted[c][1])) * F.lit(float(w)) for c, w in zip(columns, weights, strict=True))
-        cuts = few.select(F.percentile_approx(line, [i / blocks for i in range(1, blocks)] or [0.5], 10_000)).first()[0] if blocks > 1 else []
-        block = sum((line > c).cast("int") for c in cuts) if cuts else F.lit(0)
-        salted = few.withColumn("_block", F.lit(t * 1_000_000) + block).withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(max(1, blocks // 4))))
+        dealt = few.withColumn("_line", F.coalesce(line, F.lit(float("nan"))))
+        salted = _in_parts(_in_blocks(dealt, "_line", blocks, t * BLOCK_SPAN), block_rows, seed + t).drop("_line")
 
         def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-            t = int(pdf["_block"].iloc[0]) // 1_000_000
+            t = int(pdf["_block"].iloc[0]) // BLOCK_SPAN
             x = pdf[list(columns)].to_numpy()
             own = np.random.default_rng([seed, t, len(x), int(abs(x[0, 0] * 1000)) % 2**31])
             per = share / tables

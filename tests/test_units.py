@@ -314,6 +314,27 @@ def test_models(spark):
     assert 0.8 * want < made.count() < 1.2 * want and made.agg(F.min("spkts")).first()[0] > 100
 
 
+def test_smote_neighbours_stay_near_at_every_size(spark):
+    off = []
+    for n in (1200, 12000):
+        x = F.col("id") / F.lit(float(n))
+        df = spark.range(n).select(x.alias("a"), (x * x).alias("b"), F.lit(1).alias("label")).unionByName(spark.range(2 * n).select(F.lit(9.0).alias("a"), F.lit(9.0).alias("b"), F.lit(0).alias("label")))
+        made = learning.smote(df, ["a", "b"], "label", block_rows=100).toPandas()
+        at = made["a"].to_numpy() * n
+        assert abs(len(made) / n - 1) < 0.1 and (np.abs(at - np.round(at)) < 1e-6).mean() < 0.01
+        off.append(float(((made["b"] - made["a"] ** 2).abs() * n * n).median()))
+    assert max(off) < 1.5 * min(off)
+
+
+def test_smote_deals_only_full_blocks(spark):
+    same = spark.range(1000).select(F.lit(1.0).alias("_line"))
+    df = same.unionByName(spark.range(500).select((F.col("id") + 2.0).alias("_line"))).unionByName(spark.range(3).select(F.lit(float("nan")).alias("_line")))
+    sizes = learning._in_parts(learning._in_blocks(df, "_line", 16, 0), 100, 1).groupBy("_block", "_part").agg(F.count("*").alias("n"), F.min("_line").alias("low")).toPandas()
+    hot = sizes[sizes["low"] == 1.0]
+    assert sizes["n"].sum() == 1503 and len(hot) >= 10 and hot["n"].max() < 160
+    assert (sizes.groupby("_block").size() > 1).sum() == 1
+
+
 def test_search_and_importance(spark):
     df = generators.flows(spark, 400)
     best, scores = learning.search(df, "logistic", ["spkts", "dur"], n_iter=2, folds=3)
