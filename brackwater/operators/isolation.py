@@ -1,4 +1,4 @@
-"""Isolation forest: each tree grows from a bounded seeded sample; scoring is one Arrow pass with flattened trees."""
+"""Isolation forest: each tree grows from its own seeded sample of all rows; scoring is one Arrow pass with flattened trees."""
 
 from __future__ import annotations
 
@@ -70,9 +70,11 @@ def grow(x: np.ndarray, columns: Sequence[str], trees: int, sample: int, seed: i
             a.append(v)
         return len(left) - 1
 
-    for _ in range(trees):
+    dealt = rng.permutation(len(x)) if len(x) >= trees * sample else None
+    for t in range(trees):
         roots.append(node())
-        todo = [(roots[-1], x[rng.permutation(len(x))[:sample]], 0)]
+        own = rng.permutation(len(x))[:sample] if dealt is None else dealt[t * sample : (t + 1) * sample]
+        todo = [(roots[-1], x[own], 0)]
         while todo:
             at, rows, level = todo.pop()
             low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
@@ -88,11 +90,19 @@ def grow(x: np.ndarray, columns: Sequence[str], trees: int, sample: int, seed: i
     return Forest(tuple(columns), *(np.array(a) for a in (roots, feature, threshold, left, right, length)), sample, limit)
 
 
-def fit(train: DataFrame, columns: Sequence[str], trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42, pool: int = 20_000) -> Forest:
-    """Trees from `pool` rows chosen by a seeded hash (every tree samples them anew); the offset is the contamination
-    quantile of the scores of all training rows. Nulls count 0."""
+def draw_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """n rows of df (all, if it has no more), every row with the same chance. Rows beyond a bound on the draw, which is n at
+    more than ten deviations, are dropped before they are ordered."""
+    bound = (n + 10 * n**0.5 + 100) / max(1, df.count())
+    return df.withColumn("_drawn", F.rand(seed)).filter(F.col("_drawn") < bound).orderBy("_drawn").limit(n).drop("_drawn")
+
+
+def fit(train: DataFrame, columns: Sequence[str], trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42) -> Forest:
+    """Each tree samples `sample` of all training rows: `trees * sample` rows are drawn in Spark, each row with the same chance
+    whatever its values, and dealt to the trees; where there are fewer, every tree samples them all. The offset is the
+    contamination quantile of the scores of all training rows. Nulls count 0."""
     clean = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    picked = clean.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(pool).toPandas().to_numpy(float)
+    picked = draw_rows(clean, trees * sample, seed).toPandas().to_numpy(float)
     forest = grow(picked, columns, trees, sample, seed)
     q = clean.select(score_column(forest).alias("s")).agg(F.percentile_approx("s", contamination, 100_000)).first()[0]
     forest.offset = float(q) if q is not None else -0.5

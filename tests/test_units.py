@@ -335,6 +335,16 @@ def test_smote_deals_only_full_blocks(spark):
     assert (sizes.groupby("_block").size() > 1).sum() == 1
 
 
+def test_forest_draws_rows_whatever_their_values(spark, monkeypatch):
+    seen = []
+    grow = isolation.grow
+    monkeypatch.setattr(isolation, "grow", lambda x, *a: seen.append(x) or grow(x, *a))
+    df = spark.range(60000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(3)).alias("a"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(4)).alias("b"))
+    isolation.fit(df, ["a", "b"], trees=50)
+    assert len(seen[0]) == 50 * 256 and abs((seen[0] == 0.5).all(1).mean() - 1 / 3) < 0.03
+    assert isolation.draw_rows(df.limit(70), 100, 1).count() == 70
+
+
 def test_search_and_importance(spark):
     df = generators.flows(spark, 400)
     best, scores = learning.search(df, "logistic", ["spkts", "dur"], n_iter=2, folds=3)
