@@ -1,10 +1,16 @@
-"""Validation of nested event documents against a declared table of rules, with all violations of a document."""
+"""Validation of nested JSON documents against declared rules, with all violations of a document.
+
+Rules come from a JSON Schema (`load_schema`) or from the declared table `RULES`. A path may pass through arrays: `a[].b` is
+the field b of each item of a. Every check is a projection over variant values; nothing is shuffled.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brackwater.functions.scalars import let
@@ -21,57 +27,157 @@ class Rule:
     min_items: int = 0
 
 
-# The declared document, one rule for each field.
+# The declared document, one rule for each field and each kind of item.
 RULES = (
     Rule("event", "object", True),
     Rule("event.event_id", "string", True),
     Rule("event.timestamp", "string", True),
     Rule("event.source", "string", True),
-    Rule("event.event_type", "string", True),
+    Rule("event.event_type", "string", True, ("firewall", "auth", "dns", "web", "system")),
     Rule("event.severity", "string", True, ("low", "medium", "high", "critical")),
     Rule("enrichment", "object"),
     Rule("enrichment.threat_intel_matches", "array"),
+    Rule("enrichment.threat_intel_matches[]", "object"),
+    Rule("enrichment.threat_intel_matches[].indicator", "string", True),
+    Rule("enrichment.threat_intel_matches[].source", "string", True),
+    Rule("enrichment.threat_intel_matches[].threat_type", "string", True),
+    Rule("enrichment.asset_context", "object"),
+    Rule("enrichment.asset_context.owner", "string"),
+    Rule("enrichment.asset_context.environment", "string", False, ("production", "staging", "development")),
+    Rule("enrichment.asset_context.criticality", "string", False, ("low", "medium", "high", "mission-critical")),
     Rule("enrichment.related_events", "array"),
+    Rule("enrichment.related_events[]", "string"),
     Rule("confidence", "object", True),
     Rule("confidence.score", "number", True, low=0.0, high=1.0),
-    Rule("confidence.scale", "string"),
-    Rule("confidence.applies_to", "array", min_items=1),
+    Rule("confidence.scale", "string", True, ("0.0-1.0",)),
+    Rule("confidence.applies_to", "array", True, min_items=1),
+    Rule("confidence.applies_to[]", "string"),
     Rule("approval", "object", True),
-    Rule("approval.approval_status", "string", True, ("pending", "approved", "rejected")),
-    Rule("approval.approver_id", "string"),
+    Rule("approval.approval_status", "string", True, ("pending", "approved", "rejected", "auto-approved")),
+    Rule("approval.approver_id", "string", True),
+    Rule("approval.approval_timestamp", "string", True),
     Rule("audit_trail", "array", True),
+    Rule("audit_trail[]", "object"),
+    Rule("audit_trail[].actor", "object", True),
+    Rule("audit_trail[].actor.id", "string", True),
+    Rule("audit_trail[].actor.type", "string", True, ("human", "system")),
+    Rule("audit_trail[].action", "string", True),
+    Rule("audit_trail[].timestamp", "string", True),
 )
 _KINDS = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING", "number": "^(BIGINT|DOUBLE|DECIMAL|INT|SMALLINT|TINYINT|FLOAT)"}
+_USED = {"type", "required", "properties", "items", "enum", "minimum", "maximum", "minItems"}
+_NOTES = {"$schema", "$id", "$comment", "title", "description", "format", "default", "examples"}
+
+
+def rules_of(schema: Mapping, path: str = "", required: bool = False) -> Iterator[Rule]:
+    """One rule for each node of a JSON Schema below its root, parents first. Formats are notes, not checks; a keyword that
+    is neither used here nor a note is an error."""
+    unknown = set(schema) - _USED - _NOTES
+    if unknown:
+        raise ValueError(f"{path or 'the schema'} uses {', '.join(sorted(unknown))}")
+    if path:
+        if schema.get("type") not in _KINDS:
+            raise ValueError(f"{path} has no type of {', '.join(_KINDS)}")
+        yield Rule(path, schema["type"], required, tuple(schema.get("enum", ())), schema.get("minimum"), schema.get("maximum"), schema.get("minItems", 0))
+    needed = schema.get("required", ())
+    missing = set(needed) - set(schema.get("properties", {}))
+    if missing:
+        raise ValueError(f"{path or 'the schema'} requires undeclared fields: {', '.join(sorted(missing))}")
+    for name, own in schema.get("properties", {}).items():
+        yield from rules_of(own, f"{path}.{name}" if path else name, name in needed)
+    if "items" in schema:
+        yield from rules_of(schema["items"], f"{path}[]")
+
+
+def load_schema(spark: SparkSession, path: str) -> tuple[Rule, ...]:
+    """The rules of a JSON Schema file that Spark can read. A file that is missing, or no JSON object, is an error."""
+    text = spark.read.text(path, wholetext=True).first()
+    schema = json.loads(text[0]) if text else None
+    if not isinstance(schema, dict):
+        raise ValueError(f"{path} holds no JSON Schema")
+    return tuple(rules_of(schema))
+
+
+@dataclass
+class _Node:
+    rule: Rule
+    fields: dict[str, _Node]
+    item: _Node | None = None
+
+    def paths(self) -> list[str]:
+        below = [*self.fields.values(), *([self.item] if self.item else [])]
+        return [self.rule.path, *(p for n in below for p in n.paths())]
+
+
+def _tree(rules: tuple[Rule, ...]) -> dict[str, _Node]:
+    """The nodes of the top fields; a rule comes after that of the object or array which holds it."""
+    nodes: dict[str, _Node] = {"": _Node(Rule("", "object"), {})}
+    for r in rules:
+        above = r.path[:-2] if r.path.endswith("[]") else r.path.rpartition(".")[0]
+        nodes[r.path] = own = _Node(r, {})
+        if r.path.endswith("[]"):
+            nodes[above].item = own
+        else:
+            nodes[above].fields[r.path.rpartition(".")[2]] = own
+    return nodes[""].fields
 
 
-def _check(doc: Column, rule: Rule) -> Column:
-    """Name of the violation, or null."""
-    path = f"$.{rule.path}"
-    value = F.try_variant_get(doc, path, "variant")
-    kind = F.schema_of_variant(value)
+_MAP, _LIST = "map<string,variant>", "array<variant>"
+
+
+def _fault(value: Column, shape: Column, owned: Column, rule: Rule) -> Column:
+    """Kind of the first violation of one value, or null. `shape` is null where the type is wrong."""
     there = value.isNotNull()
-    parent = rule.path.rpartition(".")[0]
-    owner = F.try_variant_get(doc, f"$.{parent}", "variant").isNotNull() if parent else F.lit(True)
-    out = F.when(owner & ~there & F.lit(rule.required), F.lit(f"{rule.path}: required"))
-    out = out.when(there & ~kind.rlike(_KINDS[rule.type]), F.lit(f"{rule.path}: type"))
+    out = F.when(owned & ~there, F.lit("required")) if rule.required else F.when(F.lit(False), F.lit(""))
+    out = out.when(there & shape.isNull(), "type")
     if rule.values:
-        out = out.when(there & ~F.try_variant_get(doc, path, "string").isin(*rule.values), F.lit(f"{rule.path}: enum"))
-    if rule.low is not None:
-        number = F.try_variant_get(doc, path, "double")
-        out = out.when(there & ((number < rule.low) | (number > rule.high)), F.lit(f"{rule.path}: range"))
+        out = out.when(there & ~F.try_variant_get(value, "$", "string").isin(*rule.values), "enum")
+    if rule.low is not None or rule.high is not None:
+        number = F.try_variant_get(value, "$", "double")
+        outside = [number < rule.low] if rule.low is not None else []
+        outside += [number > rule.high] if rule.high is not None else []
+        out = out.when(there & (outside[0] | outside[-1]), "range")
     if rule.min_items:
-        out = out.when(there & (F.size(F.try_variant_get(doc, path, "array<variant>")) < rule.min_items), F.lit(f"{rule.path}: items"))
+        out = out.when(F.size(shape) < rule.min_items, "items")
+    return out
+
+
+def _faults(value: Column, owned: Column, node: _Node) -> Column:
+    """The kind of violation, or null, of a node and of all below it, in the order of `paths`. Each value is taken out of
+    its holder once; the shape of an object is its map, of an array its list."""
+    rule = node.rule
+    scalar = lambda v: F.when(F.schema_of_variant(v).rlike(_KINDS[rule.type]), F.lit(True))
+    shape = {"object": lambda v: F.try_variant_get(v, "$", _MAP), "array": lambda v: F.try_variant_get(v, "$", _LIST)}.get(rule.type, scalar)
+
+    def with_shape(b: Column, c: Column) -> Column:
+        own = F.array(_fault(b["v"], c["s"], owned, rule))
+        return F.concat(own, *_below(c["s"], node)) if node.fields or node.item else own
+
+    return let({"v": value}, lambda b: let({"s": shape(b["v"])}, lambda c: with_shape(b, c)))
+
+
+def _below(shape: Column, node: _Node) -> list[Column]:
+    out = [_faults(F.try_element_at(shape, F.lit(name)), shape.isNotNull(), own) for name, own in node.fields.items()]
+    if node.item:
+        size = len(node.item.paths())
+        rows = F.transform(F.coalesce(shape, F.array().cast(_LIST)), lambda x: _faults(x, F.lit(True), node.item))
+        first = lambda r, i: F.get(F.filter(F.transform(r, lambda row: row[i]), lambda k: k.isNotNull()), F.lit(0))
+        out.append(let({"r": rows}, lambda b: F.array(*[first(b["r"], i) for i in range(size)])))
     return out
 
 
 def validate(docs: DataFrame, json: str = "json", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns, `violations` (empty for a valid document) and `valid`. Text that is no JSON object has the one
-    violation 'json'; null text as well. Formats are not checked and further keys are allowed."""
+    """All columns, `violations` ('path: kind', in the order of the rules; empty for a valid document) and `valid`. Text that
+    is no JSON object has the one violation 'json'; null text as well. Of the items of an array the first fault of each rule
+    counts. A field inside something that is no object breaks no rule of its own; formats are not checked, and further keys
+    are allowed."""
+    top = _tree(rules)
+    paths = F.array(*[F.lit(f"{p}: ") for n in top.values() for p in n.paths()])
 
     def all_checks(x: Column) -> Column:
-        object_ = F.coalesce(F.schema_of_variant(x["doc"]).rlike("^OBJECT"), F.lit(False))
-        found = F.filter(F.array(*[_check(x["doc"], r) for r in rules]), lambda v: v.isNotNull())
-        return F.when(object_, found).otherwise(F.array(F.lit("json")))
+        kinds = F.concat(*[_faults(F.try_element_at(x["doc"], F.lit(name)), F.lit(True), n) for name, n in top.items()])
+        found = F.filter(F.transform(kinds, lambda k, i: F.concat(F.get(paths, i), k)), lambda v: v.isNotNull())
+        return F.when(x["doc"].isNotNull(), found).otherwise(F.array(F.lit("json")))
 
-    out = docs.withColumn("violations", let({"doc": F.try_parse_json(json)}, all_checks))
+    out = docs.withColumn("violations", let({"doc": F.try_variant_get(F.try_parse_json(json), "$", _MAP)}, all_checks))
     return out.withColumn("valid", F.size("violations") == 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -68,18 +70,74 @@ query("mode_fill", "SELECT 'A' AS kind, o_orderpriority AS value FROM (SELECT o_
     lambda spark, d: spark.createDataFrame([("A", learning.fit_impute(table(spark, d, "orders"), [], ["o_orderpriority"])["o_orderpriority"])], "kind string, value string"))
 
 
-@query("doc_validate", """SELECT event_id, CASE WHEN event_id % 10 = 1 THEN 'confidence: required' WHEN event_id % 10 = 2 THEN 'approval: required' WHEN event_id % 10 = 3 THEN 'event.severity: enum' WHEN event_id % 10 = 4 THEN 'confidence.score: range'
-  WHEN event_id % 10 = 5 THEN 'event.event_id: type' WHEN event_id % 10 = 6 THEN 'confidence.applies_to: items' WHEN event_id % 10 = 7 THEN 'json' ELSE '' END AS violations, event_id % 10 NOT IN (1, 2, 3, 4, 5, 6, 7) AS valid FROM events""")
+def _broken_documents() -> list[str]:
+    """A valid document, one document for every way to break every rule, and texts that are no JSON object."""
+    good = {
+        "event": {"event_id": "e", "timestamp": "2026-01-01T00:00:00Z", "source": "s", "event_type": "dns", "severity": "low"},
+        "enrichment": {"threat_intel_matches": [{"indicator": "i", "source": "f", "threat_type": "t"}] * 2, "asset_context": {"owner": "o", "environment": "staging", "criticality": "high"}, "related_events": ["r", "q"]},
+        "confidence": {"score": 0.5, "scale": "0.0-1.0", "applies_to": ["event_type"]},
+        "approval": {"approval_status": "approved", "approver_id": "a", "approval_timestamp": "2026-01-02T00:00:00Z"},
+        "audit_trail": [{"actor": {"id": "x", "type": "human"}, "action": "triage", "timestamp": "2026-01-03T00:00:00Z"}] * 2,
+        "more": None,
+    }
+
+    def changed(path: str, value: object) -> str:
+        doc = json.loads(json.dumps(good))
+        at, keys = doc, path.replace("[]", ".[]").split(".")
+        for k in keys[:-1]:
+            at = at[-1] if k == "[]" else at[k]  # of an array the last item is broken
+        last = -1 if keys[-1] == "[]" else keys[-1]
+        if value is None:
+            del at[last]
+        else:
+            at[last] = value
+        return json.dumps(doc)
+
+    out = [json.dumps(good)]
+    for r in documents.RULES:
+        out += [changed(r.path, None)] if r.required else []
+        out.append(changed(r.path, 5 if r.type != "number" else "5"))
+        out += [changed(r.path, "odd")] if r.values else []
+        out += [changed(r.path, 1.5), changed(r.path, -0.5)] if r.low is not None else []
+        out += [changed(r.path, [])] if r.min_items else []
+    return [*out, "{}", "not json", "[1]", "null", '{"event": {}, "audit_trail": [{}, 7]}']
+
+
+_DOCUMENTS = _broken_documents()
+
+
+def _rule_sql(rule: documents.Rule) -> str:
+    """CASE expression of DuckDB: the violation of one rule by the JSON value j, or NULL."""
+    kinds = {"object": "('OBJECT')", "array": "('ARRAY')", "string": "('VARCHAR')", "number": "('BIGINT', 'UBIGINT', 'DOUBLE')"}
+
+    def first(holder: str, path: str) -> str:
+        parent = path.rpartition(".")[0]
+        own = f"json_extract({holder}, '$.{path}')" if path else holder
+        above = f"json_extract({holder}, '$.{parent}')" if parent else holder
+        cases = [f"WHEN json_type({above}) = 'OBJECT' AND {own} IS NULL THEN 'required'"] if rule.required else []
+        cases.append(f"WHEN json_type({own}) NOT IN {kinds[rule.type]} THEN 'type'")
+        cases += [f"WHEN json_extract_string({own}, '$') NOT IN ({', '.join(repr(v) for v in rule.values)}) THEN 'enum'"] if rule.values else []
+        cases += [f"WHEN CAST({own} AS DOUBLE) NOT BETWEEN {rule.low} AND {rule.high} THEN 'range'"] if rule.low is not None else []
+        cases += [f"WHEN json_array_length({own}) < {rule.min_items} THEN 'items'"] if rule.min_items else []
+        return f"CASE {' '.join(cases)} END"
+
+    if "[]" not in rule.path:
+        kind = first("j", rule.path)
+    else:
+        head, _, tail = rule.path.partition("[]")
+        items = f"CASE WHEN json_type(j, '$.{head}') = 'ARRAY' THEN CAST(json_extract(j, '$.{head}') AS JSON[]) END"
+        kind = f"list_filter(list_transform({items}, lambda x: {first('x', tail.lstrip('.'))}), lambda k: k IS NOT NULL)[1]"
+    return f"'{rule.path}: ' || ({kind})"
+
+
+@query("doc_validate", f"""WITH cases(n, t) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(_DOCUMENTS))}),
+checked AS (SELECT n, CASE WHEN json_type(j) = 'OBJECT' THEN list_filter([{", ".join(_rule_sql(r) for r in documents.RULES)}], lambda v: v IS NOT NULL) ELSE ['json'] END AS found
+  FROM (SELECT n, TRY_CAST(t AS JSON) AS j FROM cases))
+SELECT event_id, array_to_string(found, ';') AS violations, len(found) = 0 AS valid FROM events JOIN checked ON n = event_id % {len(_DOCUMENTS)}""")
 def doc_validate(spark, d):
-    n = F.col("event_id") % 10
-    text = F.format_string(
-        '{"event": {"event_id": %s, "timestamp": "t", "source": "s", "event_type": "x", "severity": "%s"}%s%s, "audit_trail": []}',
-        F.when(n == 5, "5").otherwise('"e"'),
-        F.when(n == 3, "odd").otherwise("low"),
-        F.when(n == 1, "").otherwise(F.concat(F.lit(', "confidence": {"score": '), F.when(n == 4, "1.5").otherwise("0.5"), F.lit(', "applies_to": ['), F.when(n == 6, "").otherwise('"a"'), F.lit("]}"))),
-        F.when(n == 2, "").otherwise(', "approval": {"approval_status": "approved"}'),
-    )
-    df = table(spark, d, "events").select("event_id", F.when(n == 7, "not json").otherwise(text).alias("json"))
+    """Documents of every kind in turn: each rule is broken in each way it can be."""
+    texts = F.array(*[F.lit(t) for t in _DOCUMENTS])
+    df = table(spark, d, "events").select("event_id", F.get(texts, (F.col("event_id") % len(_DOCUMENTS)).cast("int")).alias("json"))
     return documents.validate(df).select("event_id", F.array_join("violations", ";").alias("violations"), "valid")
 
 
