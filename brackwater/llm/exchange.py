@@ -13,7 +13,7 @@ def text_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def in_chunks(docs: DataFrame, total: int, *columns: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = 3_000_000) -> DataFrame:
+def in_chunks(docs: DataFrame, total: int, *columns: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = 6_000_000) -> DataFrame:
     """key, text and `columns` with a chunk number, so that a chunk has about `chunk_bytes` of text.
 
     The number is a hash of key and text: no source, bucket or key makes one chunk large, and a row read again after an
@@ -23,12 +23,16 @@ def in_chunks(docs: DataFrame, total: int, *columns: str, key: str = "doc_id", t
     return bounded_batches(docs).select(key, text, *columns, F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("chunk"))
 
 
-def index_blocks(total: int, block_bytes: int = 8_000_000) -> int:
+def index_blocks(total: int, block_bytes: int = 24_000_000) -> int:
     return max(1, -(-total // block_bytes))
 
 
+_FEW = 8
+
+
 def squeeze(a: np.ndarray, ascending: bool = False) -> bytes:
-    """64-bit numbers by byte planes, compressed; ascending ones as differences."""
+    """64-bit numbers by byte planes, compressed; ascending ones as differences. A few numbers stay as they are: they would
+    not pay for the head of a compressed block, and where the collection is large most messages are short."""
     import zstandard
 
     if not len(a):
@@ -36,7 +40,9 @@ def squeeze(a: np.ndarray, ascending: bool = False) -> bytes:
     a = a.astype(np.uint64)
     if ascending:
         a = np.diff(a, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+    if len(a) <= _FEW:
+        return b"\0" + a.tobytes()
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def expand(b: bytes, ascending: bool = False) -> np.ndarray:
@@ -44,7 +50,10 @@ def expand(b: bytes, ascending: bool = False) -> np.ndarray:
 
     if not b:
         return np.zeros(0, np.uint64)
-    a = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    if b[0]:
+        a = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    else:
+        a = np.frombuffer(b, np.uint64, offset=1)
     return np.cumsum(a, dtype=np.uint64) if ascending else a
 
 

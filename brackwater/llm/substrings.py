@@ -1,67 +1,95 @@
-"""Substring dedup (operator 2): relative Lempel-Ziv parsing against a blocked phrase index of the whole collection.
-
-The collection is its own reference. Its phrases (`span` consecutive words) are indexed in blocks, each a range of phrase
-hashes, that hold for every phrase the least key of a document that has it: the source. Each document is then parsed
-greedily from its start against all blocks: a factor opens at the first phrase with an earlier source, and is drawn out
-word by word while the same source has the phrase that follows; where that source ends, the next phrase's own source is
-asked, so phrases that straddle the boundary of two factors are checked too. The words of the factors are the duplicate
-spans.
-
-Chunks of documents (bounded bytes, chosen by hash) are the unit of work. A chunk sends each distinct phrase once, with
-the least key that has it there, so a passage that a third of all documents share costs its block one entry a chunk. A
-block answers a chunk only for phrases with an earlier source elsewhere. Text is shuffled once; both steps read that
-exchange. Phrases are compared by 64-bit hashes of their words' 64-bit hashes.
-
-Defined cases: a null text has no words; a text shorter than a phrase keeps all; rows with the same key do not
-duplicate one another (only a smaller key counts), so repeated rows have equal results; a null key is larger than all
-others; an empty table gives an empty table; columns not asked for are not read.
+"""Substring dedup (operator 2): relative Lempel-Ziv parsing against the indexed blocks of the whole collection.
+
+The collection is its own reference. An index block holds a range of phrase hashes (`span` consecutive words) and for each
+phrase its first place in the collection: the least key, and the word at which the phrase begins there. Documents are parsed
+greedily from their start against all blocks: a factor opens at the first phrase that a document with a smaller key has, at
+that place of the reference, and is drawn out word by word for as long as the reference goes on alike; so a factor (start,
+words, source, source_start) is a stretch of the source, word for word. Where the reference ends or parts from the document,
+the phrases across that boundary are looked up as well, and the next factor opens there. The words of all factors, none
+shorter than a phrase before it is trimmed to where the last one ended, are the duplicate spans.
+
+Messages travel between chunks of documents (bounded bytes, chosen by hash) and blocks:
+
+1. a chunk asks each block about its distinct phrases, by 48 bits of the hash; the block marks those that another chunk has;
+2. for the marked ones, some tenths of all, the chunk sends 96 bits of hash, its least key and the place there;
+3. the block answers with the place of an earlier document wherever there is one.
+
+A passage that a third of all documents share costs its block one entry a chunk. Chunks and blocks have bounded bytes, so no
+task grows with the collection; the number of messages is at most that of phrases, and short ones are sent bare (see
+`exchange.squeeze`), so the traffic grows in proportion. Text is shuffled once, and all three steps read that exchange.
+
+Defined cases: a null text has no words; a text shorter than a phrase keeps all; rows with the same key do not duplicate one
+another (only a smaller key counts), so repeated rows have equal results, and a source place of such a key is one in any of
+its rows; a null key is larger than all others, and the largest 64-bit number counts as null; keys that are no whole numbers
+are an error; an empty table gives an empty table; columns not asked for are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, IntegralType, StructType
 
 from brackwater.llm.exchange import block_bounds, expand, in_chunks, index_blocks, squeeze, text_size
-from brackwater.llm.words import Spans, find_words, rolling, text_bytes, whole
+from brackwater.llm.words import U64, Spans, find_words, mix, rolling, text_bytes, whole
 
 _LAST = np.iinfo(np.int64).max
+_SHORT, _CHECK = U64(16), U64(32)  # bits left out of the first question, and of the second hash
+
+
+@dataclass
+class Phrases:
+    """The phrases of a chunk in word order: global word number, hash, second hash, document's key and word number in it."""
 
+    spans: Spans
+    at: np.ndarray
+    hash: np.ndarray
+    check: np.ndarray
+    key: np.ndarray
+    place: np.ndarray
 
-def _phrases(table: pa.Table, key: str, text: str, span: int) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and the place, hash and document key of each phrase."""
+
+def phrases_of(table: pa.Table, key: str, text: str, span: int) -> Phrases:
     spans = find_words(*text_bytes(table.column(text)))
     at = np.flatnonzero(whole(spans, span))
-    keys = table.column(key).combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-    return spans, at, rolling(spans.hashes(), span)[at], keys[spans.doc[at]]
+    keys = table.column(key).combine_chunks().cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
+    words = spans.hashes()
+    doc = spans.doc[at]
+    return Phrases(spans, at, rolling(words, span)[at], rolling(mix(words ^ U64(0x5BD1)), span)[at] >> _CHECK, keys[doc], at - spans.ptr[doc])
 
 
-def _least(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, the least key of each, and each hash's place among them."""
-    distinct, inverse = np.unique(hashes, return_inverse=True)
-    inverse = inverse.ravel()
-    least = np.full(len(distinct), _LAST, np.int64)
-    np.minimum.at(least, inverse, keys)
-    return distinct, least, inverse
+def firsts(hashes: np.ndarray, checks: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows that have the least (key, place) of each distinct phrase, phrases ascending; and each row's phrase."""
+    order = np.lexsort((places, keys, checks, hashes))
+    h, c = hashes[order], checks[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return order[fresh], which
 
 
-def factors(at: np.ndarray, source: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors over the ascending places of phrases that have a source: first word, number of words, source, document.
+def factors(at: np.ndarray, source: np.ndarray, place: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """Greedy factors over the ascending word numbers `at` of phrases that have a source and a place there: first word, number
+    of words, source, place of the first word there, document.
 
-    A factor ends where the next place is not the next word or has another source; it takes no word of the one before.
+    A factor ends where the next phrase is not the next word, or has not the next place of the same source; it takes no word
+    of the factor before.
     """
     if not len(at):
-        return at, at, source, doc
-    opens = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (source[1:] != source[:-1]) | (doc[1:] != doc[:-1])]))
+        return at, at, source, place, doc
+    goes_on = (np.diff(at) == 1) & (source[1:] == source[:-1]) & (place[1:] == place[:-1] + 1) & (doc[1:] == doc[:-1])
+    opens = np.flatnonzero(np.concatenate([[True], ~goes_on]))
     last = np.append(opens[1:], len(at)) - 1
     begin, end = at[opens], at[last] + span
     before = np.concatenate([[0], end[:-1]])
     same = np.concatenate([[False], doc[opens][1:] == doc[opens][:-1]])
-    begin = np.where(same, np.maximum(begin, before), begin)
-    return begin, end - begin, source[opens], doc[opens]
+    trimmed = np.where(same, np.maximum(begin, before), begin)
+    return trimmed, end - trimmed, source[opens], place[opens] + trimmed - begin, doc[opens]
 
 
 def kept_texts(spans: Spans, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -81,60 +109,91 @@ def kept_texts(spans: Spans, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", span: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, n_words, n_removed, kept_text, factors (first word, words, source key) and, if asked for, the struct `carried`
-    of the columns `carry` (a struct, so that their names may be any)."""
+    """key, n_words, n_removed, kept_text, factors (start, words, source, source_start) and, if asked for, the struct
+    `carried` of the columns `carry` (a struct, so that their names may be any)."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"keys must be whole numbers, {key} is {docs.schema[key].dataType.simpleString()}")
     total = text_size(docs, text)
     blocks = index_blocks(total)
     carried = [F.struct(*carry).alias("carried")] if carry else []
     docs = docs.select(key, text, *carried)
     chunks = in_chunks(docs, total, *(["carried"] if carry else []), key=key, text=text)
+    chunk_type, blob = pa.int32(), pa.binary()
 
-    def send(group: tuple, table: pa.Table) -> pa.Table:
-        _, _, h, k = _phrases(table, key, text, span)
-        distinct, least, _ = _least(h, k)
-        cut = block_bounds(distinct, blocks)
-        some = np.flatnonzero(np.diff(cut))
-        rows = [(squeeze(distinct[cut[b] : cut[b + 1]], True), squeeze(least[cut[b] : cut[b + 1]])) for b in some]
-        return pa.table({"block": pa.array(some, pa.int32()), "chunk": pa.array([group[0].as_py()] * len(some), pa.int32()), "hashes": pa.array([r[0] for r in rows], pa.binary()), "sources": pa.array([r[1] for r in rows], pa.binary())})
+    def by_block(hashes: np.ndarray) -> list[tuple[int, slice]]:
+        cut = block_bounds(hashes, blocks)
+        return [(int(b), slice(cut[b], cut[b + 1])) for b in np.flatnonzero(np.diff(cut))]
 
-    def answer(table: pa.Table) -> pa.Table:
+    def messages(chunk: int, found: list[tuple[int, slice]], **columns: tuple[np.ndarray, bool]) -> pa.Table:
+        packed = {n: pa.array([squeeze(a[s], up) for _, s in found], blob) for n, (a, up) in columns.items()}
+        return pa.table({"block": pa.array([b for b, _ in found], pa.int32()), "chunk": pa.array([chunk] * len(found), chunk_type), **packed})
+
+    def ask(group: tuple, table: pa.Table) -> pa.Table:
+        short = np.unique(phrases_of(table, key, text, span).hash >> _SHORT)
+        return messages(group[0].as_py(), by_block(short << _SHORT), hashes=(short, True))
+
+    def mark(group: tuple, table: pa.Table) -> pa.Table:
         parts = [expand(b.as_py(), True) for b in table.column("hashes")]
-        own = [expand(b.as_py()).view(np.int64) for b in table.column("sources")]
-        distinct, least, inverse = _least(np.concatenate(parts), np.concatenate(own))
-        out, at = [], 0
-        for chunk, h, k in zip(table.column("chunk").to_pylist(), parts, own, strict=True):
-            least_here = least[inverse[at : at + len(h)]]
-            at += len(h)
-            earlier = least_here < k
-            if earlier.any():
-                out.append((chunk, squeeze(h[earlier], True), squeeze(least_here[earlier])))
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("chunk", pa.int32()), ("hashes", pa.binary()), ("sources", pa.binary())))})
+        _, inverse, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = (times > 1)[inverse.ravel()]
+        cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        out = [(c, np.packbits(shared[a:b]).tobytes()) for c, a, b in zip(table.column("chunk").to_pylist(), cut, cut[1:], strict=False) if shared[a:b].any()]
+        return pa.table({"block": pa.array([group[0].as_py()] * len(out), pa.int32()), "chunk": pa.array([c for c, _ in out], chunk_type), "marks": pa.array([m for _, m in out], blob)})
+
+    def send(group: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
+        p = phrases_of(table, key, text, span)
+        short = np.unique(p.hash >> _SHORT)
+        cut = block_bounds(short << _SHORT, blocks)
+        wanted = np.zeros(len(short), bool)
+        for b, m in zip(marks.column("block").to_pylist(), marks.column("marks"), strict=True):
+            n = int(cut[b + 1] - cut[b])
+            wanted[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=n).astype(bool)
+        rows = np.flatnonzero(wanted[np.searchsorted(short, p.hash >> _SHORT)])
+        rows = rows[firsts(p.hash[rows], p.check[rows], p.key[rows], p.place[rows])[0]]
+        return messages(group[0].as_py(), by_block(p.hash[rows]), hashes=(p.hash[rows], True), checks=(p.check[rows], False), sources=(p.key[rows], False), places=(p.place[rows], False))
+
+    def answer(table: pa.Table) -> pa.Table:
+        columns = [[expand(b.as_py(), up) for b in table.column(n)] for n, up in (("hashes", True), ("checks", False), ("sources", False), ("places", False))]
+        h, c, s, at = (np.concatenate(x) for x in columns)
+        s = s.view(np.int64)
+        best, which = firsts(h, c, s, at)
+        first = best[which]
+        cut = np.concatenate([[0], np.cumsum([len(p) for p in columns[0]])])
+        out = []
+        for chunk, a, b in zip(table.column("chunk").to_pylist(), cut, cut[1:], strict=False):
+            rows = np.flatnonzero(s[first[a:b]] < s[a:b]) + a
+            if len(rows):
+                out.append((chunk, squeeze(h[rows], True), squeeze(c[rows]), squeeze(s[first[rows]]), squeeze(at[first[rows]])))
+        names = ("chunk", "hashes", "checks", "sources", "places")
+        return pa.table({n: pa.array([r[i] for r in out], blob if i else chunk_type) for i, n in enumerate(names)})
 
     def parse(group: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        spans, at, h, k = _phrases(table, key, text, span)
-        distinct, least, inverse = _least(h, k)
-        for hashes, sources in zip(answers.column("hashes"), answers.column("sources"), strict=True):
-            where = np.searchsorted(distinct, expand(hashes.as_py(), True))
-            least[where] = np.minimum(least[where], expand(sources.as_py()).view(np.int64))
-        source = least[inverse]
-        hit = source < k
-        doc = spans.doc
-        first, size, source, owner = factors(at[hit], source[hit], doc[at[hit]], span)
+        p = phrases_of(table, key, text, span)
+        given = [np.concatenate([np.zeros(0, np.uint64), *(expand(b.as_py(), n == "hashes") for b in answers.column(n))]) for n in ("hashes", "checks", "sources", "places")]
+        n = len(p.at)
+        keys = np.concatenate([p.key, given[2].view(np.int64)])
+        places = np.concatenate([p.place, given[3].astype(np.int64)])
+        best, which = firsts(np.concatenate([p.hash, given[0]]), np.concatenate([p.check, given[1]]), keys, places)
+        first = best[which[:n]]
+        hit = np.flatnonzero(keys[first] < p.key)
+        spans, doc = p.spans, p.spans.doc
+        begin, size, source, place, owner = factors(p.at[hit], keys[first[hit]], places[first[hit]], doc[p.at[hit]], span)
         gone = np.zeros(len(doc) + 1, np.int64)
-        np.add.at(gone, first, 1)
-        np.add.at(gone, first + size, -1)
+        np.add.at(gone, begin, 1)
+        np.add.at(gone, begin + size, -1)
         keep = np.cumsum(gone[:-1]) == 0
-        n = len(table)
         raw, cut = kept_texts(spans, keep)
-        texts = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.string())
-        values = pa.StructArray.from_arrays([pa.array(first - spans.ptr[owner]), pa.array(size), pa.array(source)], ["start", "words", "source"])
-        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
-        removed = np.bincount(doc, ~keep, n).astype(np.int64)
+        texts = pa.Array.from_buffers(pa.large_string(), len(table), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.string())
+        values = pa.StructArray.from_arrays([pa.array(begin - spans.ptr[owner]), pa.array(size), pa.array(source), pa.array(place)], ["start", "words", "source", "source_start"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(table) + 1)), pa.int32()), values)
+        removed = np.bincount(doc, ~keep, len(table)).astype(np.int64)
         return pa.table({key: table.column(key), "n_words": pa.array(np.diff(spans.ptr)), "n_removed": pa.array(removed), "kept_text": texts, "factors": lists, **({"carried": table.column("carried")} if carry else {})})
 
-    sent = chunks.groupBy("chunk").applyInArrow(send, "block int, chunk int, hashes binary, sources binary")
-    answers = sent.groupBy("block").applyInArrow(answer, "chunk int, hashes binary, sources binary")
-    source = StructType().add("start", "long").add("words", "long").add("source", "long")
-    schema = StructType([docs.schema[key]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("factors", ArrayType(source))
+    asked = chunks.groupBy("chunk").applyInArrow(ask, "block int, chunk int, hashes binary")
+    marks = asked.groupBy("block").applyInArrow(mark, "block int, chunk int, marks binary")
+    sent = chunks.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(send, "block int, chunk int, hashes binary, checks binary, sources binary, places binary")
+    answers = sent.groupBy("block").applyInArrow(answer, "chunk int, hashes binary, checks binary, sources binary, places binary")
+    factor = StructType().add("start", "long").add("words", "long").add("source", "long").add("source_start", "long")
+    schema = StructType([docs.schema[key]]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string").add("factors", ArrayType(factor))
     schema = StructType([*schema.fields, docs.schema["carried"]]) if carry else schema
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(parse, schema)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brackwater.llm import exchange, substrings, words
 from brackwater.session import table
@@ -40,7 +41,10 @@ def test_documents(spark, monkeypatch, chunk):
     monkeypatch.setattr(substrings, "in_chunks", lambda *a, **k: inner(*a, **k, chunk_bytes=chunk))
     monkeypatch.setattr(substrings, "index_blocks", lambda total: 1 if chunk > 100_000 else 5)
     docs = table(spark, DIR, "documents")
-    assert got(substrings.remove_repeats(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    df = substrings.remove_repeats(docs)
+    assert got(df) == brute(rows)
+    check_factors(rows, df)
 
 
 def test_small_cases(spark):
@@ -52,10 +56,57 @@ def test_small_cases(spark):
     docs = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, chunk string, n_words int")
     df = substrings.remove_repeats(docs, span=5)
     assert got(df) == brute(rows, 5)
+    check_factors(rows, df)
+    assert substrings.remove_repeats(docs.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        substrings.remove_repeats(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+
+
+def check_factors(rows, df):
+    """Every factor is, word for word, a stretch of a document with a smaller key; factors do not overlap."""
+    texts = {}
+    for k, t in rows:
+        texts.setdefault(k, []).append(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     for r in df.collect():
+        at = 0
         for f in r.factors:
-            assert f.words > 0 and f.source < (float("inf") if r.doc_id is None else r.doc_id)
-    assert substrings.remove_repeats(docs.limit(0)).count() == 0
+            assert f.words > 0 and f.start >= at and f.source < (float("inf") if r.doc_id is None else r.doc_id)
+            at = f.start + f.words
+            stretches = {tuple(w[f.start : at]) for w in texts[r.doc_id]}
+            assert stretches & {tuple(w[f.source_start : f.source_start + f.words]) for w in texts[f.source]}
+        assert r.n_removed == sum(f.words for f in r.factors)
+
+
+def test_factors_follow_the_reference(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["x", *a[10:40], *b[5:30], *a[40:60], "y", *a[50:55]])), (4, " ".join([*a[50:60], *a[:5]] + a[20:33])), (5, " ".join(a[:30] + ["z"] + a[30:]))]
+    df = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    check_factors(rows, df)
+    found = {r.doc_id: [tuple(f) for f in r.factors] for r in df.collect()}
+    assert found == {1: [], 2: [], 3: [(1, 30, 1, 10), (31, 25, 2, 5), (56, 20, 1, 40)], 4: [(15, 13, 1, 20)], 5: [(0, 30, 1, 0), (31, 30, 1, 30)]}
+
+
+def test_very_long_text_and_many_copies(spark):
+    rng = np.random.default_rng(9)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 5000, 60_000))
+    part = " ".join(long.split()[40_000:40_100])
+    rows = [(1, long), (2, "q " * 30 + part), (3, long + " end")] + [(10 + i, part) for i in range(300)]
+    df = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got_ = {r.doc_id: (r.n_words, r.n_removed) for r in df.collect()}
+    # of the thirty q the phrases repeat within their own document only
+    assert got_ == {1: (60_000, 0), 2: (130, 100), 3: (60_001, 60_000)} | {10 + i: (100, 100) for i in range(300)}
+
+
+def test_messages_grow_in_proportion(spark):
+    """Bytes between chunks and blocks for twice the text, with as many chunks and blocks as it asks for, are about twice."""
+    rng = np.random.default_rng(5)
+    sizes = []
+    for n in (400, 800):
+        hashes = np.sort(rng.integers(0, 2**63, n * 50, dtype=np.uint64))
+        chunks, blocks = n // 20, n // 20
+        parts = [hashes[i::chunks] for i in range(chunks)]
+        sizes.append(sum(len(exchange.squeeze(p[c:d], True)) + 64 for p in parts for c, d in zip(*(lambda e: (e, e[1:]))(exchange.block_bounds(p, blocks)), strict=False) if d > c))
+    assert sizes[1] < 2.6 * sizes[0]
 
 
 def test_long_spans_hash_alike():
@@ -70,5 +121,7 @@ def test_numbers_travel():
     a = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64))
     assert (exchange.expand(exchange.squeeze(a, True), True) == a).all() and (exchange.expand(exchange.squeeze(a[::-1])) == a[::-1]).all()
     assert len(exchange.expand(exchange.squeeze(a[:0]))) == 0
+    for n in (1, 8, 9):
+        assert (exchange.expand(exchange.squeeze(a[:n], True), True) == a[:n]).all() and (exchange.expand(exchange.squeeze(a[:n][::-1])) == a[:n][::-1]).all()
     cut = exchange.block_bounds(a, 7)
     assert cut[0] == 0 and cut[-1] == 1000 and (np.diff(cut) >= 0).all()
