@@ -26,8 +26,6 @@ are an error; an empty table gives an empty table; columns not asked for are not
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,36 +39,50 @@ _LAST = np.iinfo(np.int64).max
 _SHORT, _CHECK = U64(16), U64(32)  # bits left out of the first question, and of the second hash
 
 
-@dataclass
-class Phrases:
-    """The phrases of a chunk in word order: global word number, hash, second hash, document's key and word number in it."""
-
-    spans: Spans
-    at: np.ndarray
-    hash: np.ndarray
-    check: np.ndarray
-    key: np.ndarray
-    place: np.ndarray
-
-
-def phrases_of(table: pa.Table, key: str, text: str, span: int) -> Phrases:
+def phrases_of(table: pa.Table, text: str, span: int) -> tuple[Spans, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a chunk, their hashes, and number (of the first word) and hash of each phrase."""
     spans = find_words(*text_bytes(table.column(text)))
     at = np.flatnonzero(whole(spans, span))
-    keys = table.column(key).combine_chunks().cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
     words = spans.hashes()
-    doc = spans.doc[at]
-    return Phrases(spans, at, rolling(words, span)[at], rolling(mix(words ^ U64(0x5BD1)), span)[at] >> _CHECK, keys[doc], at - spans.ptr[doc])
+    return spans, words, at, rolling(words, span)[at]
+
+
+def second_hashes(words: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """32 further bits of hash of the phrases at these words."""
+    return rolling(mix(words ^ U64(0x5BD1)), span)[at] >> _CHECK
+
+
+def keys_of(table: pa.Table, key: str) -> np.ndarray:
+    return table.column(key).combine_chunks().cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
+
+
+def groups(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a, and where in that order each distinct value begins."""
+    order = np.argsort(a)
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = a[order][1:] != a[order][:-1]
+    return order, np.flatnonzero(fresh)
 
 
-def firsts(hashes: np.ndarray, checks: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the rows that have the least (key, place) of each distinct phrase, phrases ascending; and each row's phrase."""
-    order = np.lexsort((places, keys, checks, hashes))
-    h, c = hashes[order], checks[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+def firsts(hashes: np.ndarray, checks: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each distinct phrase, ascending: a row that has it, the least key, the least place under that key. And each row's
+    phrase among them."""
+    order, begin = groups(hashes)
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    c = checks[order]
+    if (c != c[begin][group]).any():  # two phrases with one first hash
+        order = np.lexsort((checks, hashes))
+        h, c = hashes[order], checks[order]
+        fresh = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+        begin, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
     which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(fresh) - 1
-    return order[fresh], which
+    which[order] = group
+    if not len(begin):
+        return order, keys, places, which
+    k = keys[order]
+    least = np.minimum.reduceat(k, begin)
+    place = np.minimum.reduceat(np.where(k == least[group], places[order], _LAST), begin)
+    return order[begin], least, place, which
 
 
 def factors(at: np.ndarray, source: np.ndarray, place: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
@@ -96,8 +108,8 @@ def kept_texts(spans: Spans, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The kept words of each text joined by one space, one text after another, and where each begins."""
     buf = spans.buf.copy()
     use = np.zeros(len(buf) + 1, np.int8)
-    np.add.at(use, spans.start[keep], 1)
-    np.add.at(use, spans.end[keep], -1)
+    use[spans.start[keep]] = 1
+    use[spans.end[keep]] -= 1  # words do not touch within a text; where two texts touch, the two marks add up to none
     mask = np.cumsum(use[:-1], dtype=np.int8).astype(bool)
     doc = spans.doc[keep]
     followed = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else doc
@@ -129,7 +141,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return pa.table({"block": pa.array([b for b, _ in found], pa.int32()), "chunk": pa.array([chunk] * len(found), chunk_type), **packed})
 
     def ask(group: tuple, table: pa.Table) -> pa.Table:
-        short = np.unique(phrases_of(table, key, text, span).hash >> _SHORT)
+        short = np.sort(phrases_of(table, text, span)[3] >> _SHORT)
+        short = short[np.append(True, short[1:] != short[:-1])] if len(short) else short
         return messages(group[0].as_py(), by_block(short << _SHORT), hashes=(short, True))
 
     def mark(group: tuple, table: pa.Table) -> pa.Table:
@@ -141,43 +154,46 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return pa.table({"block": pa.array([group[0].as_py()] * len(out), pa.int32()), "chunk": pa.array([c for c, _ in out], chunk_type), "marks": pa.array([m for _, m in out], blob)})
 
     def send(group: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
-        p = phrases_of(table, key, text, span)
-        short = np.unique(p.hash >> _SHORT)
-        cut = block_bounds(short << _SHORT, blocks)
-        wanted = np.zeros(len(short), bool)
+        spans, words, at, h = phrases_of(table, text, span)
+        order, begin = groups(h >> _SHORT)
+        cut = block_bounds((h[order[begin]] >> _SHORT) << _SHORT, blocks)
+        wanted = np.zeros(len(begin), bool)
         for b, m in zip(marks.column("block").to_pylist(), marks.column("marks"), strict=True):
             n = int(cut[b + 1] - cut[b])
             wanted[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=n).astype(bool)
-        rows = np.flatnonzero(wanted[np.searchsorted(short, p.hash >> _SHORT)])
-        rows = rows[firsts(p.hash[rows], p.check[rows], p.key[rows], p.place[rows])[0]]
-        return messages(group[0].as_py(), by_block(p.hash[rows]), hashes=(p.hash[rows], True), checks=(p.check[rows], False), sources=(p.key[rows], False), places=(p.place[rows], False))
+        rows = order[np.repeat(wanted, np.diff(np.append(begin, len(order))))]
+        at, h = at[rows], h[rows]
+        doc = spans.doc[at]
+        checks = second_hashes(words, at, span) if len(rows) else at.astype(U64)
+        row, least, place, _ = firsts(h, checks, keys_of(table, key)[doc], at - spans.ptr[doc])
+        return messages(group[0].as_py(), by_block(h[row]), hashes=(h[row], True), checks=(checks[row], False), sources=(least, False), places=(place, False))
 
     def answer(table: pa.Table) -> pa.Table:
         columns = [[expand(b.as_py(), up) for b in table.column(n)] for n, up in (("hashes", True), ("checks", False), ("sources", False), ("places", False))]
-        h, c, s, at = (np.concatenate(x) for x in columns)
-        s = s.view(np.int64)
-        best, which = firsts(h, c, s, at)
-        first = best[which]
+        h, c, own, at = (np.concatenate(x) for x in columns)
+        own = own.view(np.int64)
+        _, least, place, which = firsts(h, c, own, at.astype(np.int64))
+        source, place = least[which], place[which]
         cut = np.concatenate([[0], np.cumsum([len(p) for p in columns[0]])])
         out = []
         for chunk, a, b in zip(table.column("chunk").to_pylist(), cut, cut[1:], strict=False):
-            rows = np.flatnonzero(s[first[a:b]] < s[a:b]) + a
+            rows = np.flatnonzero(source[a:b] < own[a:b]) + a
             if len(rows):
-                out.append((chunk, squeeze(h[rows], True), squeeze(c[rows]), squeeze(s[first[rows]]), squeeze(at[first[rows]])))
+                out.append((chunk, squeeze(h[rows], True), squeeze(c[rows]), squeeze(source[rows]), squeeze(place[rows])))
         names = ("chunk", "hashes", "checks", "sources", "places")
         return pa.table({n: pa.array([r[i] for r in out], blob if i else chunk_type) for i, n in enumerate(names)})
 
     def parse(group: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        p = phrases_of(table, key, text, span)
-        given = [np.concatenate([np.zeros(0, np.uint64), *(expand(b.as_py(), n == "hashes") for b in answers.column(n))]) for n in ("hashes", "checks", "sources", "places")]
-        n = len(p.at)
-        keys = np.concatenate([p.key, given[2].view(np.int64)])
-        places = np.concatenate([p.place, given[3].astype(np.int64)])
-        best, which = firsts(np.concatenate([p.hash, given[0]]), np.concatenate([p.check, given[1]]), keys, places)
-        first = best[which[:n]]
-        hit = np.flatnonzero(keys[first] < p.key)
-        spans, doc = p.spans, p.spans.doc
-        begin, size, source, place, owner = factors(p.at[hit], keys[first[hit]], places[first[hit]], doc[p.at[hit]], span)
+        spans, words, at, h = phrases_of(table, text, span)
+        checks = second_hashes(words, at, span) if len(at) else at.astype(U64)
+        doc = spans.doc
+        own = keys_of(table, key)[doc[at]]
+        given = [np.concatenate([np.zeros(0, U64), *(expand(b.as_py(), n == "hashes") for b in answers.column(n))]) for n in ("hashes", "checks", "sources", "places")]
+        n = len(at)
+        _, least, place, which = firsts(np.concatenate([h, given[0]]), np.concatenate([checks, given[1]]), np.concatenate([own, given[2].view(np.int64)]), np.concatenate([at - spans.ptr[doc[at]], given[3].astype(np.int64)]))
+        hit = np.flatnonzero(least[which[:n]] < own)
+        phrase = which[hit]
+        begin, size, source, place, owner = factors(at[hit], least[phrase], place[phrase], doc[at[hit]], span)
         gone = np.zeros(len(doc) + 1, np.int64)
         np.add.at(gone, begin, 1)
         np.add.at(gone, begin + size, -1)
