@@ -2,7 +2,8 @@
 
 The canonical form of a text is its NFKC normal form, case-folded, normalised again, with each run of white space as
 one space and none at the ends. The fingerprint is xxh3-128 of that form's UTF-8 bytes. `copy_groups` groups by the
-fingerprint and compares the bytes inside equal buckets, so two texts in one group always have one canonical form.
+fingerprint and compares the bytes inside equal buckets, so two texts in one group always have one canonical form. Only
+texts in buckets of two or more are shuffled for it.
 
 Defined cases: a null text counts as empty; empty texts share one fingerprint; a null key sorts after all others (in
 descending order) and stays null; rows with one key follow each other in the order of their texts' hashes; an empty
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brackwater.llm.tokens import _key_type
@@ -41,29 +42,45 @@ def digest(form: bytes) -> str:
 
 
 def fingerprint(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_form: bool = False) -> DataFrame:
-    """key and fingerprint of each text, and its canonical bytes if asked for."""
+    """key and fingerprint of each text, and if asked for its canonical bytes: compressed, for they are only compared, and equal
+    bytes are compressed alike."""
+    import zstandard
+
     kind, arrow = _key_type(docs, key)
     names = [key, "fingerprint"] + ["canonical"] * with_form
     schema = pa.schema(list(zip(names, (arrow, pa.string(), pa.binary()), strict=False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress if with_form else None
         for batch in batches:
             for part in slices(batch, text):
                 forms = [canonical(t) for t in part.column(text).to_pylist()]
-                columns = [part.column(key), pa.array([digest(f) for f in forms], pa.string()), pa.array(forms, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns[: len(names)], schema=schema)
+                columns = [part.column(key), pa.array([digest(f) for f in forms], pa.string())]
+                columns += [pa.array([pack(f) for f in forms], pa.binary())] if pack else []
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return bounded_batches(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, fingerprint string" + ", canonical binary" * with_form)
 
 
-def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """fingerprint, class_id (least key) and n_copies of each group of texts with one canonical form.
+MOST_BROADCAST = 500_000  # fingerprints of 32 hexadecimal digits: some 50 MB in a worker
+
 
-    Spark's grouping hashes the wide fingerprint and then compares the canonical bytes inside equal buckets; the map-side
-    combine leaves one row of a group for each task, however many copies it has.
+def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """fingerprint, canonical (compressed canonical bytes; null for a text without copies), class_id (least key) and n_copies
+    of each group of texts with one canonical form.
+
+    First the fingerprints alone are counted. Those that occur again, if `most_broadcast` or fewer, are broadcast and pick
+    their texts where they lie; if more, texts are joined by shuffle. Spark's grouping then hashes the wide fingerprint
+    and compares the bytes inside equal buckets, and its map-side combine leaves one row of a group for each task.
     """
-    forms = fingerprint(docs, key=key, text=text, with_form=True)
-    return forms.groupBy("fingerprint", "canonical").agg(F.min(key).alias("class_id"), F.count("*").alias("n_copies")).drop("canonical")
+    digests = fingerprint(docs, key=key, text=text).groupBy("fingerprint").agg(F.min(key).alias("class_id"), F.count("*").alias("n_copies"))
+    digests = cut_lineage(digests)
+    again = digests.filter("n_copies > 1").select("fingerprint")
+    few = again.limit(most_broadcast + 1).count() <= most_broadcast
+    forms = fingerprint(docs, key=key, text=text, with_form=True).join(F.broadcast(again) if few else again, "fingerprint", "left_semi")
+    groups = forms.groupBy("fingerprint", "canonical").agg(F.min(key).alias("class_id"), F.count("*").alias("n_copies"))
+    alone = digests.filter("n_copies = 1").select("fingerprint", F.lit(None).cast("binary").alias("canonical"), "class_id", "n_copies")
+    return groups.unionByName(alone)
 
 
 def _partitions(docs: DataFrame, text: str, part_bytes: int = 8_000_000) -> int:
@@ -76,7 +93,7 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
 
     Edited: the last floor(n / share) code points are replaced by as many first ones of the next document in descending
     key order; the last document's next is the first. One shuffle ranges the rows by key; each partition is read as a
-    stream, and only its last row waits for the first row of the partition that follows (two rows a partition).
+    stream, and only its last row is joined with the first row of the partition that follows (two rows a partition).
     Returns key, n_chars, edited (sha-256 is left to the caller: `edited_sha256`), fingerprint, edited_fingerprint,
     near_edited, near_next (1.0 for equal fingerprints of equal canonical bytes, else 0.0).
     """
@@ -118,19 +135,37 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
             row = (before[0], None, None, None, None, None, None, 2, part, before[1])
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-    def join_edges(table: pa.Table) -> pa.Table:
-        rows = sorted(((r["part"], r["place"], r[key], r["edge"]) for r in table.to_pylist()), key=lambda r: r[:2])
-        firsts = [r for r in rows if r[1] == 1]
-        lasts = [r for r in rows if r[1] == 2]
-        out = []
-        for i, (_, _, k, t) in enumerate(lasts):
-            after = firsts[(i + 1) % len(firsts)][3]
-            out.append(finished(k, t, canonical(t), after, canonical(after)))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[:7], strict=True)], schema=pa.schema(fields))
+    def join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [finished(k, t, canonical(t), after, canonical(after)) for k, t, after in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[:7], strict=True)], schema=pa.schema(fields))
 
     order = [F.col(key).desc_nulls_last(), F.xxhash64(text)]
     ranged = bounded_batches(docs).select(key, text).repartitionByRange(_partitions(docs, text), *order).sortWithinPartitions(*order)
     streamed = cut_lineage(ranged.mapInArrow(stream, f"{ddl}, place int, part int, edge string"))
     done = streamed.filter("place = 0").drop("place", "part", "edge")
-    edges = streamed.filter("place > 0").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(join_edges, ddl)
-    return done.unionByName(edges)
+    firsts = streamed.filter("place = 1").select("part", F.col("edge").alias("after"))
+    lasts = streamed.filter("place = 2").select(F.col(key).alias("key"), F.col("edge").alias("own"), "part")
+    pairs = lasts.join(following(firsts.select("part")), "part").drop("part").join(firsts.withColumnRenamed("part", "next"), "next")
+    return done.unionByName(pairs.select("key", "own", "after").mapInArrow(join_edges, ddl))
+
+
+def following(parts: DataFrame, bucket: int = 1024) -> DataFrame:
+    """part and next (the least larger one; of the largest, the least of all) of distinct numbers `part`. Numbers follow one
+    another inside buckets, buckets by a table with one row a bucket."""
+    parts = parts.withColumn("bucket", F.floor(F.col("part") / bucket))
+    heads = parts.groupBy("bucket").agg(F.min("part").alias("head"))
+    w = Window.partitionBy(F.lit(1)).orderBy("bucket")
+    heads = heads.select("bucket", F.coalesce(F.lead("head").over(w), F.first("head").over(w)).alias("head"))
+    inside = F.lead("part").over(Window.partitionBy("bucket").orderBy("part"))
+    return parts.withColumn("inside", inside).join(heads, "bucket").select("part", F.coalesce("inside", "head").alias("next"))
+
+
+def compared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", share: int = 3) -> DataFrame:
+    """`edited_fingerprints`, with class_id (least key) and n_copies of each text's group, from `copy_groups`. Should two
+    canonical forms have one fingerprint, n_forms is above 1 and both are null: the groups then tell them apart by bytes only."""
+    groups = copy_groups(docs, key=key, text=text)
+    one = F.count("*") == 1
+    groups = groups.groupBy("fingerprint").agg(F.count("*").alias("n_forms"), *[F.when(one, F.min(c)).alias(c) for c in ("class_id", "n_copies")])
+    return edited_fingerprints(docs, key=key, text=text, share=share).join(groups, "fingerprint")

@@ -3,10 +3,12 @@
 import hashlib
 import re
 import textwrap
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brackwater.llm import fingerprints, language, licences, quality, queries
 
@@ -110,11 +112,46 @@ def test_partition_edges(spark, docs, monkeypatch):
     assert whole == {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
 
 
-def test_canonical_and_groups(spark, odd):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_canonical_and_groups(spark, docs, odd, most):
     c = fingerprints.canonical
     assert c("Straße") == c("STRASSE") and c("a  b\tc") == c("A B C") and c("ﬁn") == c("FIN") and c("é") == c("é") and c(None) == c("  ") == b""
-    groups = {r.class_id: r.n_copies for r in fingerprints.copy_groups(odd.filter("doc_id is not null")).collect()}
+    groups = {r.class_id: r.n_copies for r in fingerprints.copy_groups(odd.filter("doc_id is not null"), most_broadcast=most).collect()}
     assert groups[0] == 3 and groups[4] == 2 and groups[6] == 3 and groups[11] == 2 and groups[13] == 2
+    assert fingerprints.copy_groups(odd.limit(0), most_broadcast=most).count() == 0
+    forms = Counter(c(r.text) for r in docs.collect())
+    rows = fingerprints.copy_groups(docs, most_broadcast=most).collect()
+    assert sorted(r.n_copies for r in rows) == sorted(forms.values()) and all((r.canonical is None) == (r.n_copies == 1) for r in rows)
+
+
+def test_equal_fingerprints_of_unlike_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["aa", "AA", "b", "c", "cc"])], "doc_id long, text string")
+    inner = fingerprints.fingerprint
+    monkeypatch.setattr(fingerprints, "fingerprint", lambda *a, **k: inner(*a, **k).withColumn("fingerprint", F.lit("same")))
+    assert sorted((r.class_id, r.n_copies) for r in fingerprints.copy_groups(df).collect()) == [(0, 2), (2, 1), (3, 1), (4, 1)]
+
+
+def test_classes_of_all_documents(spark, docs):
+    got = queries.op8_fingerprints(spark, DIR).toPandas()
+    forms = {}
+    for r in docs.collect():
+        forms.setdefault(fingerprints.canonical(r.text), []).append(r.doc_id)
+    want = {k: (min(ks), len(ks)) for ks in forms.values() for k in ks}
+    assert {r.doc_id: (r.class_id, r.n_copies) for r in got.itertuples()} == want and (got.n_forms == 1).all()
+
+
+def test_following_parts(spark):
+    parts = [0, 1, 2, 5, 6, 13, 14, 40]
+    df = spark.createDataFrame([(p,) for p in parts], "part int")
+    assert {r.part: r.next for r in fingerprints.following(df, 4).collect()} == dict(zip(parts, parts[1:] + parts[:1], strict=True))
+    assert {r.part: r.next for r in fingerprints.following(df.limit(1), 4).collect()} == {0: 0}
+
+
+def test_several_rows_of_one_key(spark):
+    texts = ["Aa bb", "x", "", "aa  BB", "zz " * 50, None]
+    rows = [(k, t) for k in (None, 3, 3, 9) for t in texts]
+    got = Counter((r.doc_id, r.n_chars, r.fingerprint) for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((k, len(t or ""), fingerprints.digest(fingerprints.canonical(t))) for k, t in rows)
 
 
 TEXTS = {
