@@ -5,7 +5,8 @@ dictionary; the language whose dictionary gives the smallest result is chosen. I
 bytes, the choice is marked as rejected. Letters are compared in ASCII lower case and all other ASCII characters count
 as spaces, so that shouting or signs between words do not hide the language.
 
-Learning takes a bounded sample (`sample_rows` expected texts and `dictionary_bytes` for each language); every text is
+Learning takes a bounded sample (`sample_rows` expected texts and `dictionary_bytes` for each language, which is the bound of
+what reaches the driver at every input size); every text is
 classified whole. Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the language
 first in alphabetical order and are rejected; with no training rows everything is `und`; rows with a null language
 teach nothing; repeated rows get equal answers; other columns are not read.
@@ -43,17 +44,18 @@ def folded(texts: pa.Array) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def fit_dictionaries(train: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", dictionary_bytes: int = 65_536, sample_rows: int = 150, most_chars: int = 4000) -> dict[str, bytes]:
-    """Language -> dictionary. `sample_rows` texts of each language are expected, chosen by a hash of the key; of a long
-    one the dictionary takes `most_chars` characters, so that it holds many texts."""
+def fit_dictionaries(train: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", dictionary_bytes: int = 65_536, sample_rows: int = 150, most_chars: int = 4000, most_languages: int = 1000) -> dict[str, bytes]:
+    """Language -> dictionary, for the `most_languages` commonest values. `sample_rows` texts of each are expected, chosen by a
+    hash of key and text; of a long one the dictionary takes `most_chars` characters from a place chosen by hash, so that it
+    holds many texts."""
     train = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in train.groupBy(lang).agg(F.count("*")).collect()}
+    sizes = {r[0]: r[1] for r in train.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(most_languages).collect()}
     if not sizes:
         return {}
-    steps = 1_000_000
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(steps, steps * sample_rows // n + 1))])
-    chosen = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(steps)) < share[F.col(lang)]
-    rows = train.filter(chosen).select(lang, F.substring(text, 1, most_chars).alias("text"), F.xxhash64(key, F.lit(5)).alias("at")).toPandas()
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample_rows / n)])
+    chosen = F.xxhash64(F.col(key), F.col(text), F.lit(17)) / F.lit(2.0**64) + 0.5 < share[F.col(lang)]
+    begin = F.pmod(F.xxhash64(F.col(text), F.lit(23)), F.greatest(F.lit(1), F.length(text) - most_chars + 1)).cast("int")
+    rows = train.filter(chosen).select(lang, F.substring(F.col(text), begin + 1, F.lit(most_chars)).alias("text"), F.xxhash64(key, F.lit(5)).alias("at")).toPandas()
     out = {}
     for name, own in rows.sort_values(["at", "text"]).groupby(lang):
         whole = b" ".join(folded(pa.array(own["text"])))

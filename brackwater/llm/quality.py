@@ -194,14 +194,13 @@ def base_failed() -> F.Column:
 
 
 def fit_trees(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = 20_000, keep: float = 0.998) -> Trees | None:
-    """Trees from at most `train_rows` labelled rows, chosen by a hash of the key."""
-    labels = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label)
-    n = labels.count()
-    if not n:
+    """Trees from at most `train_rows` labelled rows, the first in the order of a hash of the key: the same ones in every run."""
+    spark = docs.sparkSession
+    labels = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
+    picked = labels.orderBy(F.xxhash64(F.col(key), F.lit(29)), key).limit(train_rows).collect()
+    if not picked:
         return None
-    steps = 1_000_000
-    some = labels.filter(F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(steps)) < min(steps, steps * train_rows // n))
-    some = some.groupBy(key).agg(F.min(label).alias("label")).limit(train_rows)  # the bound of what is broadcast
+    some = spark.createDataFrame(picked, labels.schema)  # bounded by `train_rows`
     rows = measure(docs.select(key, text).join(F.broadcast(some), key, "left_semi"), key=key, text=text)
     found = rows.join(F.broadcast(some), key).select(key, "features", "label", (~base_failed()).alias("passed")).toPandas().sort_values(key)
     if not len(found):

@@ -47,7 +47,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.jaccard_join(table(spark, sf_dir, "documents")).drop("row_id")
+    return similar.jaccard_join(table(spark, sf_dir, "documents")).drop("row_id", "row_check")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

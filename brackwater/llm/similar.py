@@ -27,7 +27,7 @@ from brackwater.llm.words import U64, bounded_batches, find_words, mix, rolling,
 from brackwater.session import cut_lineage
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
-ROW = "_brackwater_row_id"
+ROW, CHECK = "_brackwater_row_id", "_brackwater_row_check"
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
@@ -77,12 +77,17 @@ def _row_id(key: str, text: str) -> F.Column:
     return F.xxhash64(F.col(key), F.col(text))
 
 
+def _row_check(key: str, text: str) -> F.Column:
+    """A second hash: with it rows have 128 bits, so that no two documents are taken for one."""
+    return F.xxhash64(F.lit(77), F.col(text), F.col(key))
+
+
 def sign(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = NGRAM, bands: int, rows: int) -> DataFrame:
-    """row_id, key, the set's two hashes (`set_a`, `set_b`), n_grams and band hashes of each whole text."""
+    """row_id, row_check, key, the set's two hashes (`set_a`, `set_b`), n_grams and band hashes of each whole text."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[key].dataType
-    schema = pa.schema([("row_id", pa.int64()), (key, to_arrow_type(kind)), ("set_a", pa.int64()), ("set_b", pa.int64()), ("n_grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("row_id", pa.int64()), ("row_check", pa.int64()), (key, to_arrow_type(kind)), ("set_a", pa.int64()), ("set_b", pa.int64()), ("n_grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +95,9 @@ def sign(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = N
                 grams, ptr = ngram_sets(part.column(text), n)
                 marks, own = signatures(grams, ptr, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(own.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column(key), *(pa.array(np.ascontiguousarray(m).view(np.int64)) for m in marks.T), pa.array(np.diff(ptr)), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("row_check"), part.column(key), *(pa.array(np.ascontiguousarray(m).view(np.int64)) for m in marks.T), pa.array(np.diff(ptr)), lists], schema=schema)
 
-    return bounded_batches(docs).select(_row_id(key, text).alias("row_id"), key, text).mapInArrow(run, f"row_id long, `{key}` {kind.simpleString()}, set_a long, set_b long, n_grams long, bands array<long>")
+    return bounded_batches(docs).select(_row_id(key, text).alias("row_id"), _row_check(key, text).alias("row_check"), key, text).mapInArrow(run, f"row_id long, row_check long, `{key}` {kind.simpleString()}, set_a long, set_b long, n_grams long, bands array<long>")
 
 
 def _overlaps(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
@@ -170,8 +175,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = 128) -> DataFrame:
-    """One row per document: row_id (hash of key and text), key, class_id (least key of its component), root (least row_id of
+def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = 256) -> DataFrame:
+    """One row per document: row_id and row_check (hashes of key and text), key, class_id (least key of its component), root (least row_id of
     its component; unlike class_id no two components share one), n_links (other documents alike at the threshold) and
     n_set_links (other n-gram sets alike)."""
     bands, rows = bands_for(threshold, recall)
@@ -222,8 +227,8 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
     joined = sets.join(roots, sets.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep")).join(counts, "rep", "left")
     least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = joined.join(least, "root").select("set_a", "set_b", "class_id", "root", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"))
-    alone = signed.filter("n_grams = 0").select("row_id", key, F.col(key).alias("class_id"), F.col("row_id").alias("root"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_set_links"))
-    rest = signed.filter("n_grams > 0").join(classes, ["set_a", "set_b"]).select("row_id", key, "class_id", "root", "n_links", "n_set_links")
+    alone = signed.filter("n_grams = 0").select("row_id", "row_check", key, F.col(key).alias("class_id"), F.col("row_id").alias("root"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_set_links"))
+    rest = signed.filter("n_grams > 0").join(classes, ["set_a", "set_b"]).select("row_id", "row_check", key, "class_id", "root", "n_links", "n_set_links")
     return rest.unionByName(alone)
 
 
@@ -232,6 +237,7 @@ def one_of_each(docs: DataFrame, joined: DataFrame, *, key: str = "doc_id", text
     Components that share their least key, or have none but nulls, keep a row each."""
     same = F.col(key).eqNullSafe(F.col("class_id"))
     # texts without n-grams are classes of their own, unless rows repeat
-    keepers = joined.filter(same).groupBy("root").agg(F.min("row_id").alias(ROW)).select(ROW)
-    found = docs.withColumn(ROW, _row_id(key, text)).join(keepers, ROW, "left_semi")
-    return found.dropDuplicates([ROW]).drop(ROW)
+    least = F.min(F.struct("row_id", "row_check")).alias("least")
+    keepers = joined.filter(same).groupBy("root").agg(least).select(F.col("least.row_id").alias(ROW), F.col("least.row_check").alias(CHECK))
+    found = docs.withColumns({ROW: _row_id(key, text), CHECK: _row_check(key, text)}).join(keepers, [ROW, CHECK], "left_semi")
+    return found.dropDuplicates([ROW, CHECK]).drop(ROW, CHECK)

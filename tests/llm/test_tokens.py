@@ -9,6 +9,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from brackwater.llm import packing, queries, tokens
+from brackwater.llm.words import hash_spans
 
 ODD = [None, "", " ", "  a  b ", "a\n b\n\nc", "\n", "\nfoo\r\nbar", "é́x 　y", "</s> <s> <unk> <0x0A>", "a▁b", "x\x00y", "ﬁ \U0001f600\U0001f469‍\U0001f469", "a\tb", "日本語のテキスト", "It's 'twas don't 'Something 12a3b!!?? <|endoftext|> end", "É́ İstanbul ΑΣ ß-ß", "wordé.—.x“y”", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "z" * 30000 + " \r\r  ", "The Cat's  cat", "é,è.Ÿ!ß3ñ×÷ÀÉ-ö's naïve’s ﬁ ŉ K Å", "e\u0301,ab,\u0301 ç", "\x00a\x1cb\x7f\x85c\xa0d", "ÿ\u0300. ǆ ǅ"]
 DIR = "/root/testdata/sf0.001"
@@ -50,8 +51,20 @@ def test_prefix_table_is_plain_merging():
 def test_counts_are_the_librarys(spark, odd, library):
     for docs in (odd, spark.read.parquet(f"{DIR}/documents.parquet")):
         want = {r.doc_id: r.text or "" for r in docs.collect()}
-        for r in tokens.count_tokens(docs, sample_rows=5, table_size=50).collect():
-            assert (r.n_bytes, r.n_tokens) == (len(want[r.doc_id].encode()), len(library.encode(want[r.doc_id])))
+        for share, size in ((0.0, 50), (0.5, 20), (1.0, 5000)):
+            for r in tokens.count_tokens(docs, sample_share=share, table_size=size).collect():
+                assert (r.n_bytes, r.n_tokens) == (len(want[r.doc_id].encode()), len(library.encode(want[r.doc_id])))
+
+
+def test_frequent_segments_come_from_all_partitions(spark, library):
+    rows = [(i, "alpha " * 5 if i < 500 else "omega beta " * 5) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    h, n = tokens.frequent_segments(docs, "piece_bpe_32k.model", "doc_id", "text", 0.2, 3, None)
+    words = [b" alpha", b" omega", b" beta"]
+    end = np.cumsum([len(w) for w in words])
+    want = hash_spans(np.frombuffer(b"".join(words), np.uint8), end - [len(w) for w in words], end)
+    assert h.tolist() == sorted(want.tolist())
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {k: len(library.encode(w[1:].decode())) for k, w in zip(want.tolist(), words, strict=True)}
 
 
 def test_packing_pieces(spark, odd):
