@@ -162,10 +162,16 @@ def following(parts: DataFrame, bucket: int = 1024) -> DataFrame:
     return parts.withColumn("inside", inside).join(heads, "bucket").select("part", F.coalesce("inside", "head").alias("next"))
 
 
-def compared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", share: int = 3) -> DataFrame:
+def compared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", share: int = 3, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """`edited_fingerprints`, with class_id (least key) and n_copies of each text's group, from `copy_groups`. Should two
-    canonical forms have one fingerprint, n_forms is above 1 and both are null: the groups then tell them apart by bytes only."""
-    groups = copy_groups(docs, key=key, text=text)
+    canonical forms have one fingerprint, n_forms is above 1 and both are null: the groups then tell them apart by bytes only.
+
+    Only groups of two or more are joined, by broadcast where they are few, so no shuffle meets a hot fingerprint there.
+    """
+    groups = copy_groups(docs, key=key, text=text, most_broadcast=most_broadcast).filter("canonical IS NOT NULL")
     one = F.count("*") == 1
-    groups = groups.groupBy("fingerprint").agg(F.count("*").alias("n_forms"), *[F.when(one, F.min(c)).alias(c) for c in ("class_id", "n_copies")])
-    return edited_fingerprints(docs, key=key, text=text, share=share).join(groups, "fingerprint")
+    groups = cut_lineage(groups.groupBy("fingerprint").agg(F.count("*").alias("n_forms"), *[F.when(one, F.min(c)).alias(c) for c in ("class_id", "n_copies")]))
+    few = groups.limit(most_broadcast + 1).count() <= most_broadcast
+    found = edited_fingerprints(docs, key=key, text=text, share=share).join(F.broadcast(groups) if few else groups, "fingerprint", "left")
+    alone = F.col("n_forms").isNull()
+    return found.withColumns({"class_id": F.when(alone, F.col(key)).otherwise(F.col("class_id")), "n_copies": F.when(alone, F.lit(1).cast("long")).otherwise(F.col("n_copies")), "n_forms": F.coalesce("n_forms", F.lit(1).cast("long"))})

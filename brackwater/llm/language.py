@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.llm.tokens import _key_type
-from brackwater.llm.words import bounded_batches, slices, text_bytes
+from brackwater.llm.words import best_of, bounded_batches, slices, text_bytes
 
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -49,7 +49,7 @@ def fit_dictionaries(train: DataFrame, *, key: str = "doc_id", text: str = "text
     hash of key and text; of a long one the dictionary takes `most_chars` characters from a place chosen by hash, so that it
     holds many texts."""
     train = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in train.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(most_languages).collect()}
+    sizes = {r[0]: r[1] for r in best_of(train.groupBy(lang).agg(F.count("*").alias("n")), most_languages, F.desc("n"), lang).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample_rows / n)])

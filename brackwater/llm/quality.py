@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.llm.tokens import _key_type
-from brackwater.llm.words import bounded_batches, find_words, hash_spans, mix, rolling, slices, text_bytes, whole
+from brackwater.llm.words import best_of, bounded_batches, find_words, hash_spans, mix, rolling, slices, text_bytes, whole
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -197,7 +197,7 @@ def fit_trees(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     """Trees from at most `train_rows` labelled rows, the first in the order of a hash of the key: the same ones in every run."""
     spark = docs.sparkSession
     labels = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
-    picked = labels.orderBy(F.xxhash64(F.col(key), F.lit(29)), key).limit(train_rows).collect()
+    picked = best_of(labels, train_rows, F.xxhash64(F.col(key), F.lit(29)), key).collect()
     if not picked:
         return None
     some = spark.createDataFrame(picked, labels.schema)  # bounded by `train_rows`

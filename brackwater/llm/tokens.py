@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.llm.words import LOWER, SPACE, Spans, bounded_batches, find_words, gather, hash_spans, ragged, slices, text_bytes
+from brackwater.llm.words import LOWER, SPACE, Spans, best_of, bounded_batches, find_words, gather, hash_spans, ragged, slices, text_bytes
 
 CACHE = 200_000
 #: Bytes of text encoded at once: larger than elsewhere, as each slice looks up its distinct segments.
@@ -305,7 +305,7 @@ def frequent_segments(docs: DataFrame, model: str, key: str, text: str, share: f
 
     drawn = docs.filter(F.xxhash64(F.col(key), F.col(text), F.lit(61)) / F.lit(2.0**64) + 0.5 < share)
     counted = bounded_batches(drawn).select(text).mapInArrow(partial, "segment binary, n long").groupBy("segment").agg(F.sum("n").alias("n"))
-    segments = [bytes(r[0]) for r in counted.orderBy(F.desc("n"), "segment").limit(size).collect()]
+    segments = [bytes(r[0]) for r in best_of(counted, size, F.desc("n"), "segment").collect()]
     if not segments:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     raw = np.frombuffer(b"".join(segments), np.uint8)
