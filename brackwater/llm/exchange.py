@@ -13,7 +13,7 @@ def text_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def in_chunks(docs: DataFrame, total: int, *columns: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = 6_000_000) -> DataFrame:
+def in_chunks(docs: DataFrame, total: int, *columns: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4_000_000) -> DataFrame:
     """key, text and `columns` with a chunk number, so that a chunk has about `chunk_bytes` of text.
 
     The number is a hash of key and text: no source, bucket or key makes one chunk large, and a row read again after an
@@ -23,7 +23,7 @@ def in_chunks(docs: DataFrame, total: int, *columns: str, key: str = "doc_id", t
     return bounded_batches(docs).select(key, text, *columns, F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("chunk"))
 
 
-def index_blocks(total: int, block_bytes: int = 24_000_000) -> int:
+def index_blocks(total: int, block_bytes: int = 16_000_000) -> int:
     return max(1, -(-total // block_bytes))
 
 
