@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
+# White space and digits are spelled out: dates with or without hyphens, hours, minutes and seconds with or without colons.
+_FORMS = "^([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|([0-9]{2})([0-9]{2}))(?:[^0-9]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]+))?)?)?)?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)?$"
 _ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 
 
@@ -17,8 +19,15 @@ def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
 
 
 def to_instant(s: Column) -> Column:
-    """Timestamp of 'Y-m-d H:M:S' (UTC) or an ISO form with fraction, Z or offset; a form without zone is UTC; else null."""
-    return F.when(s.rlike(_ISO), s.try_cast("timestamp"))
+    """Timestamp of 'Y-m-d H:M:S' (UTC) or an ISO form: extended or basic, of a date alone or to the hour, minute, second or
+    fraction (cut to microseconds), with Z, an offset or none; a form without zone is UTC; else null. Week dates are not read."""
+    part = lambda i: F.regexp_extract(s, _FORMS, i)
+    two = lambda i: F.coalesce(F.nullif(part(i), F.lit("")), F.lit("00"))
+    zone = F.regexp_replace(part(10), ":", "")
+    offset = F.when(F.length(zone) < 3, "Z").otherwise(F.concat(F.left(zone, F.lit(3)), F.lit(":"), F.rpad(F.substring(zone, 4, 2), 2, "0")))
+    day = F.concat_ws("-", part(1), F.concat(part(2), part(4)), F.concat(part(3), part(5)))
+    whole = F.concat(day, F.lit("T"), two(6), F.lit(":"), two(7), F.lit(":"), two(8), F.lit("."), F.rpad(F.left(part(9), F.lit(6)), 6, "0"), offset)
+    return F.when(s.rlike(_ISO), s.try_cast("timestamp")).when(s.rlike(_FORMS), whole.try_cast("timestamp"))
 
 
 def iso_second(ts: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 # The range each feature must lie in.
 RANGES = {
@@ -115,6 +116,29 @@ def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return run.agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max(F.abs(F.col("cum_a") / F.col("n_a") - F.col("cum_b") / F.col("n_b"))).alias("ks_stat"))
 
 
+def ks_p_column(d: Column, n: Column, m: Column) -> Column:
+    """`ks_p_value` as an expression."""
+    en = F.sqrt(n.cast("double") * m / (n + m))
+    x = (en + 0.12 + 0.11 / en) * d
+    sign = lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0)
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda a, k: a + sign(k) * F.exp(-2.0 * k * k * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * total)))
+
+
+def drift_table(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """feature, psi, ks_stat, ks_pvalue and status of each numeric column of `current` that `reference` has as well. A column
+    without values on one side has no row."""
+    numeric = [f.name for f in current.schema.fields if isinstance(f.dataType, NumericType) and f.name in reference.columns]
+    if not numeric:
+        return current.sparkSession.createDataFrame([], "feature string, psi double, ks_stat double, ks_pvalue double, status string")
+    out = None
+    for c in numeric:
+        ks = ks_statistic(reference, current, c).filter("n_a > 0 AND n_b > 0")
+        row = psi(reference, current, c).join(F.broadcast(ks)).select("feature", "psi", "ks_stat", ks_p_column(F.col("ks_stat"), F.col("n_a"), F.col("n_b")).alias("ks_pvalue"), "status")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def ks_p_value(d: float, n: int, m: int) -> float:
     """Asymptotic two-sided p-value of the two-sample statistic."""
     import math

@@ -86,5 +86,5 @@ def stratified_split(df: DataFrame, label: str, key: Column, shares: Sequence[fl
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows in the order of a seeded hash: the same ones whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows in the order of a seeded digest of the key, then of the key: the same ones whatever the partitions."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key).limit(n)

@@ -101,7 +101,7 @@ def fit(train: DataFrame, columns: Sequence[str], trees: int = 100, sample: int
     """Each tree samples `sample` of all training rows: `trees * sample` rows are drawn in Spark, each row with the same chance
     whatever its values, and dealt to the trees; where there are fewer, every tree samples them all. The offset is the
     contamination quantile of the scores of all training rows. Nulls count 0."""
-    clean = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    clean = train.select(*[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in columns])
     picked = draw_rows(clean, trees * sample, seed).toPandas().to_numpy(float)
     forest = grow(picked, columns, trees, sample, seed)
     q = clean.select(score_column(forest).alias("s")).agg(F.percentile_approx("s", contamination, 100_000)).first()[0]
@@ -115,7 +115,7 @@ def score_column(forest: Forest) -> Column:
         x = np.stack([c.fillna(0).to_numpy(float) for c in cols], 1)
         return pd.Series(np.concatenate([forest.score(x[i : i + 4096]) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0))
 
-    return run(*[F.col(c).cast("double") for c in forest.columns])
+    return run(*[F.col(c).try_cast("double") for c in forest.columns])
 
 
 def predict(df: DataFrame, forest: Forest, threshold: float = 0.0) -> DataFrame:
@@ -134,5 +134,12 @@ def noise_attack(df: DataFrame, columns: Sequence[str], sigma: float, scale: dic
     return df.withColumns({c: F.col(c) + F.randn(seed + i) * F.lit(sigma * scale[c][1]) for i, c in enumerate(columns)})
 
 
-def scaling_attack(df: DataFrame, columns: Sequence[str], factor: float) -> DataFrame:
-    return df.withColumns({c: F.col(c) * F.lit(factor) for c in columns})
+def scaling_attack(df: DataFrame, columns: Sequence[str], factor: float, scale: dict[str, tuple[float, float]]) -> DataFrame:
+    """Standardised values times `factor`: each column moves from or towards its fitted mean."""
+    return df.withColumns({c: F.lit(scale[c][0]) + (F.col(c) - F.lit(scale[c][0])) * F.lit(factor) for c in columns})
+
+
+def evasion_base(scored: DataFrame, label: str, use_labels: bool = True) -> DataFrame:
+    """The rows that attacks start from: those found, and of them (with `use_labels`) the true anomalies."""
+    found = scored.filter("is_anomaly = 1")
+    return (found.filter(F.col(label) == 1) if use_labels else found).drop("anomaly_score", "is_anomaly")

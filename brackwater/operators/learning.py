@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,11 @@ def finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(~bad(c), F.col(c)) for c in columns})
 
 
+def to_number(value: Column) -> Column:
+    """A number, or null where the value is none."""
+    return value.try_cast("double")
+
+
 def fit_impute(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> dict[str, object]:
     """Exact median of each numeric column and commonest value (least of equals) of each categorical one, of the training rows."""
     aggs = [F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric]

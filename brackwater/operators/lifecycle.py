@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brackwater.functions.network import is_ipv4
 from brackwater.operators.scoring import Client, confidence, enrich_indicators, offline_client
 
 # Days an indicator lives, by type.
@@ -132,7 +133,7 @@ def numbered(found: DataFrame, start: int = 1_000_001) -> DataFrame:
 
 def suricata_rules(found: DataFrame, start: int = 1_000_001) -> DataFrame:
     """sid and rule line of IPv4 and domain candidates; ids count over all candidates, so other types leave gaps."""
-    ip = F.format_string('drop ip %s any -> any any (msg:"Malicious IP [%s]"; classtype:trojan-activity; sid:%d; rev:1;)', "indicator", "indicator", "sid")
+    ip = F.format_string('drop ip %s any -> any any (msg:"Malicious IP [%s]"; reference:url,virustotal.com; classtype:trojan-activity; sid:%d; rev:1;)', "indicator", "indicator", "sid")
     name = F.format_string('drop dns any any -> any any (msg:"Malicious DNS query [%s]"; dns.query; content:"%s"; nocase; sid:%d; rev:1;)', "indicator", "indicator", "sid")
     return numbered(found, start).filter("type IN ('ipv4', 'domain')").select("sid", "indicator", F.when(F.col("type") == "ipv4", ip).otherwise(name).alias("line"))
 
@@ -141,6 +142,28 @@ def blocklist_table(found: DataFrame) -> DataFrame:
     return found.select("seq", "indicator", "type", "risk_score", "confidence", "status", "expiration", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ";").alias("tags"))
 
 
+# The environments a configuration may name.
+ENVIRONMENTS = ("prod", "staging", "dev")
+
+
+def is_cidr(c: Column) -> Column:
+    """Whether c is an IPv4 network: an address, a slash and 0 to 32."""
+    return F.coalesce(is_ipv4(F.substring_index(c, "/", 1)) & c.rlike("^[^/]*/([0-9]|[12][0-9]|3[0-2])$"), F.lit(False))
+
+
+def config_rules(settings: DataFrame) -> DataFrame:
+    """Adds a verdict for each of region, environment, vpc_cidr, public_cidr, private_cidr, ssh_cidr (anything but the whole
+    Internet) and bucket; null fails."""
+    fits = lambda c, pattern: F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+    return settings.withColumns({
+        "region_ok": fits("region", "^[a-z]{2}-[a-z]+-[0-9]$"),
+        "environment_ok": F.coalesce(F.col("environment").isin(*ENVIRONMENTS), F.lit(False)),
+        **{f"{c}_ok": is_cidr(F.col(c)) for c in ("vpc_cidr", "public_cidr", "private_cidr")},
+        "ssh_cidr_ok": F.coalesce(F.col("ssh_cidr") != "0.0.0.0/0", F.lit(False)),
+        "bucket_ok": fits("bucket", "^[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]$"),
+    })
+
+
 def compliance(controls: DataFrame) -> DataFrame:
     """host, passed, score: ten points for each control with rc 0 whose output holds or equals what is asked (null: nothing)."""
     fine = (F.col("rc") == 0) & F.coalesce(F.col("stdout").contains(F.col("must_contain")), F.col("must_contain").isNull()) & F.coalesce(F.col("stdout") == F.col("must_equal"), F.col("must_equal").isNull())

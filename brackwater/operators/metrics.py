@@ -48,6 +48,14 @@ def curve(df: DataFrame, label: str, score: str) -> DataFrame:
     return running_totals(steps, "score", ["pos", "neg"], descending=True)
 
 
+def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
+    """score, precision and recall from the highest score down; recall is null without positives."""
+    c = curve(df, label, score)
+    total = c.agg(F.sum("pos").alias("all_pos"))
+    share = F.when(F.col("all_pos") > 0, F.col("cum_pos") / F.col("all_pos"))
+    return c.join(F.broadcast(total)).select("score", (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"), share.alias("recall"))
+
+
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: area under the ROC curve; null without both labels."""
     c = curve(df, label, score)

@@ -81,6 +81,88 @@ def parse_feeds(raw: DataFrame) -> DataFrame:
     return raw.select("indicator", "type", F.struct(*parsed).alias("enrichment"))
 
 
+_ANSWERS = {
+    "virustotal": "struct<data: struct<attributes: struct<last_analysis_stats: map<string, long>, reputation: long, tags: array<string>, as_owner: string, network: string>>>",
+    "abuseipdb": "struct<data: struct<abuseConfidenceScore: long, totalReports: long, isWhitelisted: boolean, countryCode: string, isp: string, usageType: string, domain: string, lastReportedAt: string>>",
+    "alienvault_otx": "struct<pulse_info: struct<count: long, pulses: array<struct<tags: array<string>, adversary: string, malware_families: array<string>>>>>",
+}
+# How much of an answer is kept.
+VT_TAGS, OTX_PULSES, OTX_TAGS, OTX_NAMES = 5, 15, 10, 5
+
+
+def _virustotal(a: Column) -> dict[str, Column]:
+    attributes = a["data"]["attributes"]
+    stats = attributes["last_analysis_stats"]
+    n = lambda name: F.coalesce(F.try_element_at(stats, F.lit(name)), F.lit(0).cast("long"))
+    engines = F.coalesce(F.aggregate(F.map_values(stats), F.lit(0).cast("long"), lambda x, y: x + F.coalesce(y, F.lit(0))), F.lit(0).cast("long"))
+    return {
+        **{c: n(c) for c in ("malicious", "suspicious", "harmless", "undetected")},
+        "total_engines": engines,
+        "reputation": F.coalesce(attributes["reputation"], F.lit(0).cast("long")),
+        "tags": F.slice(F.coalesce(attributes["tags"], F.array().cast("array<string>")), 1, VT_TAGS),
+        "owner": F.coalesce(attributes["as_owner"], attributes["network"], F.lit("N/A")),
+    }
+
+
+def _abuseipdb(a: Column) -> dict[str, Column]:
+    d = a["data"]
+    named = {"country": "countryCode", "isp": "isp", "usage_type": "usageType", "domain": "domain"}
+    return {
+        "score": F.coalesce(d["abuseConfidenceScore"], F.lit(0).cast("long")),
+        "total_reports": F.coalesce(d["totalReports"], F.lit(0).cast("long")),
+        "is_whitelisted": F.coalesce(d["isWhitelisted"], F.lit(False)),
+        **{k: F.coalesce(d[v], F.lit("N/A")) for k, v in named.items()},
+        "last_reported_at": d["lastReportedAt"],
+    }
+
+
+def _alienvault_otx(a: Column) -> dict[str, Column]:
+    info = a["pulse_info"]
+    none = F.array().cast("array<string>")
+    pulses = F.coalesce(info["pulses"], F.array().cast("array<struct<tags: array<string>, adversary: string, malware_families: array<string>>>"))
+    first = F.slice(pulses, 1, OTX_PULSES)
+    few = lambda values, most: F.slice(F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull()))), 1, most)
+    lists = lambda field: F.flatten(F.transform(first, lambda p: F.coalesce(p[field], none)))
+    return {
+        "pulse_count": F.coalesce(info["count"], F.lit(0).cast("long")),
+        "pulses_analyzed": F.size(pulses).cast("long"),
+        "tags": few(F.transform(lists("tags"), lambda t: F.lower(t)), OTX_TAGS),
+        "adversaries": few(F.transform(first, lambda p: F.nullif(p["adversary"], F.lit(""))), OTX_NAMES),
+        "malware_families": few(lists("malware_families"), OTX_NAMES),
+    }
+
+
+def from_answers(raw: DataFrame) -> DataFrame:
+    """indicator, type and `enrichment` from what the feeds answer: for each feed a JSON column and its HTTP code (`<feed>_code`).
+
+    200 with a JSON object is a success; 404 is `not_found` with counts of 0 (for the abuse feed an error, as are all other
+    codes and texts that are no JSON object). The abuse feed knows IPv4 addresses alone: for other types it is `n_a`.
+    """
+    feeds = []
+    for feed, fields, kind in (("virustotal", _virustotal, VIRUSTOTAL), ("abuseipdb", _abuseipdb, ABUSEIPDB), ("alienvault_otx", _alienvault_otx, OTX)):
+        answer = F.from_json(feed, _ANSWERS[feed])
+        code = F.col(f"{feed}_code")
+        object_ = F.coalesce(F.schema_of_variant(F.try_parse_json(feed)).rlike("^OBJECT"), F.lit(False))
+        good = (code == 200) & object_
+        status = F.when(good, "success").when(F.lit(feed != "abuseipdb") & (code == 404), "not_found").otherwise("error")
+        if feed == "abuseipdb":
+            status = F.when(F.col("type") != "ipv4", "n_a").otherwise(status)
+        found = F.struct(status.alias("status"), *[c.alias(n) for n, c in fields(answer).items()]).cast(kind)
+        empty = F.from_json(F.lit("{}"), _ANSWERS[feed])
+        nothing = F.struct(status.alias("status"), *[c.alias(n) for n, c in fields(empty).items()]).cast(kind)
+        alone = F.from_json(F.concat(F.lit('{"status": "'), status, F.lit('"}')), kind)
+        feeds.append(F.when(status == "success", found).when(status == "not_found", nothing).otherwise(alone).alias(feed))
+    return raw.select("indicator", "type", F.struct(*feeds).alias("enrichment"))
+
+
+def updated_cache(cache: DataFrame, fetched: DataFrame, now: Column) -> DataFrame:
+    """The cache with fresh entries: of each indicator the row fetched now if there is one, else the one it had."""
+    new = fetched.withColumn("cached_at", now)
+    both = cache.select(*new.columns).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    best = both.groupBy("indicator").agg(F.max_by(F.struct(*new.columns), F.struct("_new", "cached_at")).alias("best"))
+    return best.select("best.*")
+
+
 Client = Callable[[str, str], Mapping[str, str]]
 
 

@@ -92,8 +92,10 @@ query("blocklist", f"WITH {ad.IOCS} SELECT seq, indicator, risk_score, indicator
     lambda spark, d: lifecycle.blocklist_ip(lifecycle.candidates(ad.iocs(spark, d))))
 query("blocklist_csv", f"WITH {ad.IOCS} SELECT seq, indicator, type, risk_score, confidence, status, strftime(expiration, '%Y-%m-%d') AS expiration, 't1;t' || (seq % 9) AS tags FROM iocs WHERE {_BEST}")(
     lambda spark, d: lifecycle.blocklist_table(lifecycle.candidates(ad.iocs(spark, d))).withColumn("expiration", F.date_format("expiration", "yyyy-MM-dd")))
-query("suricata_sid", f"WITH {ad.IOCS}, r AS (SELECT *, 1000000 + row_number() OVER (ORDER BY risk_score DESC, seq, indicator) AS sid FROM iocs WHERE {_BEST}) SELECT sid, indicator FROM r WHERE type IN ('ipv4', 'domain')")(
-    lambda spark, d: lifecycle.suricata_rules(lifecycle.candidates(ad.iocs(spark, d))).select("sid", "indicator"))
+query("suricata_sid", f"""WITH {ad.IOCS}, r AS (SELECT *, 1000000 + row_number() OVER (ORDER BY risk_score DESC, seq, indicator) AS sid FROM iocs WHERE {_BEST})
+SELECT sid, indicator, CASE type WHEN 'ipv4' THEN 'drop ip ' || indicator || ' any -> any any (msg:"Malicious IP [' || indicator || ']"; reference:url,virustotal.com; classtype:trojan-activity; sid:' || sid || '; rev:1;)'
+  ELSE 'drop dns any any -> any any (msg:"Malicious DNS query [' || indicator || ']"; dns.query; content:"' || indicator || '"; nocase; sid:' || sid || '; rev:1;)' END AS line FROM r WHERE type IN ('ipv4', 'domain')""")(
+    lambda spark, d: lifecycle.suricata_rules(lifecycle.candidates(ad.iocs(spark, d))))
 query("kpi", f"""WITH {ad.IOCS} SELECT count(*) AS total, count_if(status = 'active') AS active, count_if(status = 'expired') AS expired, count_if(status = 'revoked') AS revoked,
   count_if(risk_score >= 75) AS critical, count_if(risk_score BETWEEN 50 AND 74) AS high, count_if(risk_score BETWEEN 20 AND 49) AS suspicious, count_if(risk_score < 20) AS clean,
   count_if(type = 'ipv4') AS type_ipv4, count_if(type = 'domain') AS type_domain, count_if(type = 'url') AS type_url, count_if(type = 'hash') AS type_hash, count_if(type = 'other') AS type_other,
@@ -112,14 +114,25 @@ def compliance(spark, d):
     return lifecycle.compliance(c)
 
 
-@query("config_rules", r"""SELECT s_suppkey, regexp_matches('us-east-' || (s_suppkey % 12), '^[a-z]{2}-[a-z]+-[0-9]$') AS region_ok, (CASE s_suppkey % 4 WHEN 0 THEN 'dev' WHEN 1 THEN 'prod' WHEN 2 THEN 'staging' ELSE 'qa' END) IN ('dev', 'staging', 'prod') AS environment_ok,
-  s_suppkey % 5 <> 0 AS cidr_ok, regexp_matches(lower(replace(s_name, '#', '-')), '^[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]$') AS bucket_ok FROM supplier""")
+_SSH = "CASE WHEN s_suppkey % 5 = 0 THEN '0.0.0.0/0' WHEN s_suppkey % 5 = 1 THEN NULL ELSE '10.' || (s_suppkey % 300) || '.0.0/' || (s_suppkey % 40) END"
+_V4_CIDR = f"regexp_matches({_SSH}, '{ad.V4[:-1]}/([0-9]|[12][0-9]|3[0-2])$')"
+
+
+@query("config_rules", f"""SELECT s_suppkey, regexp_matches('us-east-' || (s_suppkey % 12), '^[a-z]{{2}}-[a-z]+-[0-9]$') AS region_ok, (CASE s_suppkey % 4 WHEN 0 THEN 'dev' WHEN 1 THEN 'prod' WHEN 2 THEN 'staging' ELSE 'qa' END) IN ('dev', 'staging', 'prod') AS environment_ok,
+  coalesce({_V4_CIDR}, false) AS vpc_cidr_ok, coalesce({_V4_CIDR}, false) AS public_cidr_ok, s_suppkey % 2 = 0 AS private_cidr_ok, coalesce({_SSH} <> '0.0.0.0/0', false) AS ssh_cidr_ok,
+  regexp_matches(lower(replace(s_name, '#', '-')), '^[a-z0-9][a-z0-9.-]{{1,61}}[a-z0-9]$') AS bucket_ok FROM supplier""")
 def config_rules(spark, d):
-    k = F.col("s_suppkey")
-    cidr = F.when(k % 5 == 0, "0.0.0.0/0").otherwise(F.concat(F.lit("10."), (k % 200).cast("string"), F.lit(".0.0/16")))
-    env = F.when(k % 4 == 0, "dev").when(k % 4 == 1, "prod").when(k % 4 == 2, "staging").otherwise("qa")
-    good_cidr = network.is_ipv4(F.substring_index(cidr, "/", 1)) & F.substring_index(cidr, "/", -1).try_cast("int").between(0, 32) & (cidr != "0.0.0.0/0")
-    return table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("us-east-"), (k % 12).cast("string")).rlike("^[a-z]{2}-[a-z]+-[0-9]$").alias("region_ok"), env.isin("dev", "staging", "prod").alias("environment_ok"), good_cidr.alias("cidr_ok"), F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))).rlike("^[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]$").alias("bucket_ok"))
+    k, s = F.col("s_suppkey"), lambda c: c.cast("string")
+    cidr = F.when(k % 5 == 0, "0.0.0.0/0").when(k % 5 == 1, F.lit(None)).otherwise(F.concat(F.lit("10."), s(k % 300), F.lit(".0.0/"), s(k % 40)))
+    settings = table(spark, d, "supplier").select(
+        "s_suppkey",
+        F.concat(F.lit("us-east-"), s(k % 12)).alias("region"),
+        F.when(k % 4 == 0, "dev").when(k % 4 == 1, "prod").when(k % 4 == 2, "staging").otherwise("qa").alias("environment"),
+        *[cidr.alias(c) for c in ("vpc_cidr", "public_cidr", "ssh_cidr")],
+        F.when(k % 2 == 0, "10.0.2.0/24").otherwise("10.0.2.0").alias("private_cidr"),
+        F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("bucket"),
+    )
+    return lifecycle.config_rules(settings).select("s_suppkey", *[f"{c}_ok" for c in ("region", "environment", "vpc_cidr", "public_cidr", "private_cidr", "ssh_cidr", "bucket")])
 
 
 @query("tag_merge", """WITH t AS (SELECT o_custkey, list_sort(list_distinct(flatten(list([lower(o_orderpriority), lower(o_orderstatus), 'x' || (o_orderkey % 3)])))) AS a FROM orders GROUP BY 1)
@@ -129,13 +142,57 @@ def tag_merge(spark, d):
     return o.groupBy("o_custkey").agg(F.array_join(F.slice(F.array_sort(F.collect_set("tag")), 1, 5), ";").alias("tags"))
 
 
-@query("enrich_offline")
+_N = "(length(indicator) % 9)"
+
+
+@query("enrich_offline", f"""WITH {ad.INDICATORS}, i AS (SELECT DISTINCT indicator, {_TYPE} AS type FROM (SELECT indicator, trim(indicator) AS s FROM indicators)),
+n AS (SELECT *, {_N} AS n FROM i),
+w AS (SELECT *, least(100.0, n * 14.0 + 4) AS vt, least(100.0, (n % 4) * 12.0 + 6) AS otx, CASE type WHEN 'ipv4' THEN 0.35 WHEN 'hash' THEN 0.75 ELSE 0.7 END AS a, CASE type WHEN 'ipv4' THEN 0.2 WHEN 'hash' THEN 0.25 ELSE 0.3 END AS b FROM n),
+r AS (SELECT *, CAST(round_even(round(CAST(a AS DOUBLE) * vt + CAST(b AS DOUBLE) * otx, 9), 0) AS INTEGER) AS risk_score FROM w)
+SELECT indicator, type, risk_score, CASE WHEN risk_score >= 75 THEN 'CRITICAL' WHEN risk_score >= 50 THEN 'HIGH' WHEN risk_score >= 20 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS risk_tier,
+  CAST(n AS VARCHAR) AS vt_malicious, 'N/A' AS abuse_score, CAST(n % 4 AS VARCHAR) AS otx_pulses, 'botnet;c2;x' || n AS tags FROM r""")
 def enrich_offline(spark, d):
     """Feed calls through the client interface, parsed, scored and flattened (a made-up client; nothing leaves the machine)."""
 
     def client(indicator: str, kind: str) -> dict[str, str]:
-        n = sum(indicator.encode()) % 9
+        n = len(indicator) % 9
         return {"virustotal": f'{{"status": "success", "malicious": {n}, "suspicious": 1, "tags": ["C2", "x{n}"]}}', "abuseipdb": '{"status": "n_a"}', "alienvault_otx": f'{{"status": "success", "pulse_count": {n % 4}, "tags": ["botnet"]}}'}
 
     some = ad.indicators(spark, d).select("indicator").distinct()
     return scoring.flat(scoring.enrich(scoring.parse_feeds(scoring.query_feeds(some, client, lanes=4))))
+
+
+@query("feed_answers", """WITH k AS (SELECT o_orderkey AS k, o_orderkey % 7 AS m FROM orders)
+SELECT 'i' || k AS indicator, CASE WHEN m = 0 THEN 'success' WHEN m = 1 THEN 'not_found' ELSE CASE WHEN m = 2 THEN 'error' ELSE 'success' END END AS vt_status,
+  CASE WHEN m = 1 THEN 0 WHEN m <> 2 THEN k % 5 END AS malicious, CASE WHEN m = 1 THEN 0 WHEN m <> 2 THEN k % 5 + 60 END AS total_engines, CASE WHEN m = 1 THEN '' WHEN m <> 2 THEN 'a,b,c,d,e' END AS vt_tags, CASE WHEN m = 1 THEN 'N/A' WHEN m <> 2 THEN 'AS' || k % 3 END AS owner,
+  CASE WHEN k % 2 = 1 THEN 'n_a' WHEN m = 1 THEN 'error' WHEN m = 2 THEN 'error' ELSE 'success' END AS abuse_status, CASE WHEN k % 2 = 0 AND m NOT IN (1, 2) THEN k % 101 END AS abuse_score, CASE WHEN k % 2 = 0 AND m NOT IN (1, 2) THEN 'N/A' END AS isp,
+  CASE WHEN m = 1 THEN 'not_found' WHEN m = 2 THEN 'error' ELSE 'success' END AS otx_status, CASE WHEN m = 1 THEN 0 WHEN m <> 2 THEN 20 END AS pulses_analyzed,
+  CASE WHEN m = 1 THEN '' WHEN m <> 2 THEN 'both,t00,t01,t02,t03,t04,t05,t06,t07,t08' END AS otx_tags, CASE WHEN m = 1 THEN '' WHEN m <> 2 THEN 'adv0,adv1,adv2' END AS adversaries, CASE WHEN m = 1 THEN '' WHEN m <> 2 THEN 'f00,f01,f02,f03,f04' END AS families FROM k""")
+def feed_answers(spark, d):
+    """Raw answers of the three feeds, with more pulses, tags and names than are kept, and error codes."""
+    k = F.col("o_orderkey")
+    m, s = k % 7, lambda c: c.cast("string")
+    stats = F.format_string('{"data": {"attributes": {"last_analysis_stats": {"malicious": %d, "harmless": 60}, "tags": ["a", "b", "c", "d", "e", "f"], "as_owner": "AS%d"}}}', k % 5, k % 3)
+    abuse = F.format_string('{"data": {"abuseConfidenceScore": %d, "countryCode": "DE"}}', k % 101)
+    pulses = ", ".join(f'{{"tags": ["T{i:02d}", "Both"], "adversary": "{f"adv{i % 3}" if i % 4 else ""}", "malware_families": ["f{i:02d}"]}}' for i in range(20))
+    otx = F.lit(f'{{"pulse_info": {{"count": 40, "pulses": [{pulses}]}}}}')
+    code = F.when(m == 1, 404).when(m == 2, 500).otherwise(200)
+    raw = table(spark, d, "orders").select(F.concat(F.lit("i"), s(k)).alias("indicator"), F.when(k % 2 == 0, "ipv4").otherwise("domain").alias("type"), stats.alias("virustotal"), code.alias("virustotal_code"), abuse.alias("abuseipdb"), code.alias("abuseipdb_code"), otx.alias("alienvault_otx"), code.alias("alienvault_otx_code"))
+    e = F.col("enrichment")
+    listed = lambda feed, field: F.when(e[feed][field].isNotNull(), F.array_join(e[feed][field], ","))
+    return scoring.from_answers(raw).select(
+        "indicator", e["virustotal"]["status"].alias("vt_status"), e["virustotal"]["malicious"].alias("malicious"), e["virustotal"]["total_engines"].alias("total_engines"), listed("virustotal", "tags").alias("vt_tags"), e["virustotal"]["owner"].alias("owner"),
+        e["abuseipdb"]["status"].alias("abuse_status"), e["abuseipdb"]["score"].alias("abuse_score"), e["abuseipdb"]["isp"].alias("isp"),
+        e["alienvault_otx"]["status"].alias("otx_status"), e["alienvault_otx"]["pulses_analyzed"].alias("pulses_analyzed"), listed("alienvault_otx", "tags").alias("otx_tags"), listed("alienvault_otx", "adversaries").alias("adversaries"), listed("alienvault_otx", "malware_families").alias("families"),
+    )
+
+
+@query("cache_update", """WITH cache AS (SELECT user_id AS u, max(ts) AS cached_at, 0 AS payload FROM events WHERE user_id % 2 = 0 GROUP BY 1), fetched AS (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 3 = 0)
+SELECT coalesce(c.u, f.u) AS indicator, CASE WHEN f.u IS NOT NULL THEN 1 ELSE 0 END AS payload, strftime(CASE WHEN f.u IS NOT NULL THEN TIMESTAMP '2020-01-01' ELSE c.cached_at END, '%Y-%m-%d %H:%M:%S') AS cached_at FROM cache c FULL JOIN fetched f ON c.u = f.u""")
+def cache_update(spark, d):
+    u = F.col("user_id")
+    e = table(spark, d, "events")
+    cache = e.filter(u % 2 == 0).groupBy(u.alias("indicator")).agg(F.max("ts").cast("timestamp").alias("cached_at"), F.lit(0).alias("payload"))
+    fetched = e.filter(u % 3 == 0).select(u.alias("indicator"), F.lit(1).alias("payload")).distinct()
+    out = scoring.updated_cache(cache, fetched, F.lit("2020-01-01 00:00:00").cast("timestamp"))
+    return out.select("indicator", "payload", F.date_format("cached_at", "yyyy-MM-dd HH:mm:ss").alias("cached_at"))

@@ -166,7 +166,16 @@ def perm_importance(spark, d):
 
 query("model_search")(model_search)
 query("perm_importance")(perm_importance)
-query("hash_sample")(lambda spark, d: exploration.hash_sample(ad.flows(spark, d), "l_orderkey", 500))
+query("hash_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 500")(
+    lambda spark, d: exploration.hash_sample(table(spark, d, "orders"), "o_orderkey", 500).select("o_orderkey", "o_totalprice"))
+query("m_retention", f"""WITH {ad.SCORED}, c AS (SELECT count_if(score >= 0.5) AS total, count_if(score >= 0.7) AS still FROM scored)
+SELECT total, still, round(still * 100.0 / total, 6) AS retained, CASE WHEN still * 100.0 / total >= 80 THEN 'ROBUST' WHEN still * 100.0 / total >= 50 THEN 'MODERATE' ELSE 'VULNERABLE' END AS tier FROM c""")(
+    lambda spark, d: ad.scored(spark, d).agg(*metrics.retention(F.col("score") >= 0.5, F.col("score") >= 0.7)).withColumn("retained", F.round(F.col("retained").cast("double"), 6)))
+query("m_pr_curve", f"WITH {_STEPS} SELECT round(score, 9) AS score, round(cp / (cp + cn), 9) AS precision, round(cp / (SELECT sum(pos) FROM c), 9) AS recall FROM c")(
+    lambda spark, d: metrics.pr_curve(ad.scored(spark, d), "y", "score").withColumns({c: F.round(c, 9) for c in ("score", "precision", "recall")}))
+query("coerce_numbers", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST(value AS VARCHAR) WHEN 2 THEN 'n/a' WHEN 3 THEN 'inf' ELSE '17' END AS raw,
+  CASE event_id % 5 WHEN 1 THEN value WHEN 4 THEN 17.0 END AS number FROM events""")(
+    lambda spark, d: learning.finite(_raw_numbers(spark, d).withColumn("number", learning.to_number(F.col("raw"))), ["number"]))
 query("rf")(_model("random_forest", numTrees=20, maxDepth=6))
 query("gbt")(_model("boosted_trees", maxIter=10, maxDepth=4))
 query("lr")(_model("logistic", regParam=0.001))
@@ -178,19 +187,30 @@ def iforest_fit_score(spark, d):
     return isolation.predict(f, isolation.fit(f, COLUMNS, trees=50)).select("l_orderkey", "l_linenumber", "anomaly_score", "is_anomaly")
 
 
-def _attack(change):
+def _raw_numbers(spark, d):
+    n = F.col("event_id") % 5
+    return table(spark, d, "events").select("event_id", F.when(n == 1, F.col("value").cast("string")).when(n == 2, "n/a").when(n == 3, "inf").when(n == 4, "17").alias("raw"))
+
+
+def _attacks(changes):
+    """One row for each attack on the true anomalies that were found: total, still found, retained and tier."""
+
     def run(spark, d):
-        f = ad.flows(spark, d).withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "price"))
+        f = ad.flows(spark, d)
         forest, scale = isolation.fit(f, COLUMNS, trees=50), learning.fit_scale(f, COLUMNS)
-        before = isolation.predict(f, forest).filter("is_anomaly = 1")
-        after = isolation.predict(change(before.drop("anomaly_score").withColumnRenamed("is_anomaly", "was"), scale), forest)
-        return after.agg(*metrics.retention(F.col("was") == 1, F.col("is_anomaly") == 1))
+        base = isolation.evasion_base(isolation.predict(f, forest), "label")
+        out = None
+        for name, change in changes.items():
+            after = isolation.predict(change(base, scale), forest)
+            row = after.agg(*metrics.retention(F.lit(True), F.col("is_anomaly") == 1)).withColumn("attack", F.lit(name))
+            out = row if out is None else out.unionByName(row)
+        return out
 
     return run
 
 
-query("evasion_noise")(_attack(lambda f, scale: isolation.noise_attack(f, COLUMNS, 0.1, scale)))
-query("evasion_scale")(_attack(lambda f, scale: isolation.scaling_attack(f, COLUMNS, 0.9)))
+query("evasion_noise")(_attacks({f"noise {s:.2f}": lambda f, scale, s=s: isolation.noise_attack(f, COLUMNS, s, scale) for s in (0.05, 0.10, 0.20)}))
+query("evasion_scale")(_attacks({f"scale {x:.1f}": lambda f, scale, x=x: isolation.scaling_attack(f, COLUMNS, x, scale) for x in (0.8, 0.9, 1.1, 1.2)}))
 
 
 def iforest_tuning(spark, d):

@@ -36,19 +36,45 @@ query("quarantine_reasons", f"WITH {ad.PARSED} SELECT error_code, count(*) AS n
     lambda spark, d: logs.quarantine_of(parsed(spark, d)).groupBy("error_code").agg(F.count("*").alias("n")))
 query("quarantine_lines", f"WITH {ad.PARSED} SELECT line_number, original_line, error_code FROM parsed WHERE error_code IS NOT NULL")(lambda spark, d: logs.quarantine_of(parsed(spark, d)))
 
-_FORMS = """CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.250+02:00'
-  WHEN 3 THEN strftime(ts, '%Y-%m-%d') WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE 'bad' END"""
-
-
-@query("normalize_ts", f"""SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 4) THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN event_id % 6 = 2 THEN strftime(date_trunc('second', ts) - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') END AS normalized,
-  {_FORMS} AS raw FROM events""")
+_FORMS = (  # Spark's pattern and DuckDB's, what stands behind, hours to take off, and the unit that is left
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "", 0, "second"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", "Z", 0, "second"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", ".250+02:00", 2, "second"),
+    ("yyyy-MM-dd", "%Y-%m-%d", "", 0, "day"),
+    ("yyyy-MM-dd'T'HH:mm", "%Y-%m-%dT%H:%M", "", 0, "minute"),
+    ("yyyyMMdd'T'HHmmss", "%Y%m%dT%H%M%S", "", 0, "second"),
+    ("yyyyMMdd", "%Y%m%d", "", 0, "day"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", ".12345678-0330", -3.5, "second"),
+    ("yyyy-MM-dd HH", "%Y-%m-%d %H", "+01", 1, "hour"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", ",5", 0, "second"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", ".", None, ""),
+    ("yyyy-MM", "%Y-%m", "", None, ""),
+    ("yyyy-13-dd", "%Y-13-%d", "", None, ""),
+    ("dd.MM.yyyy", "%d.%m.%Y", "", None, ""),
+)
+
+
+def _by_form(of) -> str:
+    return f"CASE event_id % {len(_FORMS)} {' '.join(f'WHEN {i} THEN {of(*f)}' for i, f in enumerate(_FORMS))} END"
+
+
+@query("normalize_ts", f"""SELECT event_id, {_by_form(lambda _, form, tail, off, unit: f"strftime(ts, '{form}') || '{tail}'")} AS raw,
+  {_by_form(lambda _, form, tail, off, unit: "NULL" if off is None else f"strftime(date_trunc('{unit}', ts) - INTERVAL ({int(off * 60)}) MINUTE, '%Y-%m-%dT%H:%M:%SZ')")} AS normalized FROM events""")
 def normalize_ts(spark, d):
-    n, fmt = F.col("event_id") % 6, lambda f: F.date_format("ts", f)
-    raw = F.when(n == 0, fmt("yyyy-MM-dd HH:mm:ss")).when(n == 1, fmt("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n == 2, F.concat(fmt("yyyy-MM-dd'T'HH:mm:ss"), F.lit(".250+02:00"))).when(n == 3, fmt("yyyy-MM-dd")).when(n == 4, fmt("yyyy-MM-dd'T'HH:mm:ss")).otherwise("bad")
+    n = F.col("event_id") % len(_FORMS)
+    raw = F.coalesce(*[F.when(n == i, F.concat(F.date_format("ts", form), F.lit(tail))) for i, (form, _, tail, _, _) in enumerate(_FORMS)])
     df = table(spark, d, "events").select("event_id", raw.alias("raw"))
     return df.select("event_id", "raw", scalars.normalize_timestamp(F.col("raw")).alias("normalized"))
 
 
+@query("entity_key", "SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'u' || CAST(user_id AS VARCHAR) END, ''), nullif(CASE WHEN event_id % 5 > 0 THEN '10.0.0.' || CAST(user_id % 250 AS VARCHAR) ELSE '' END, '')) AS entity FROM events")
+def entity_key(spark, d):
+    n, user = F.col("event_id"), F.col("user_id")
+    name = F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit("u"), user.cast("string")))
+    ip = F.when(n % 5 > 0, F.concat(F.lit("10.0.0."), (user % 250).cast("string"))).otherwise("")
+    return table(spark, d, "events").select("event_id", features.entity_of(name, ip).alias("entity"))
+
+
 _IP = "CAST(event_id % 260 AS VARCHAR) || '.' || CAST((event_id * 7) % 200 AS VARCHAR) || CASE WHEN event_id % 11 = 0 THEN '.01' ELSE '.1' END || CASE WHEN event_id % 13 = 0 THEN '' ELSE '.' || CAST(event_id % 256 AS VARCHAR) END"
 
 
@@ -124,7 +150,8 @@ def q_summary(spark, d):
     return s.select(F.explode("by_check").alias("check_type", "v"), "total_records", "valid_records", "error_count", "warning_count").select("check_type", "v.status", "v.issues_count", "total_records", "valid_records", "error_count", "warning_count")
 
 
-query("q_recommendations", None)(lambda spark, d: record_quality.top_recommendations(found(spark, d)))
+query("q_recommendations", f"""WITH {_SQL_ISSUES}, advice(rule, recommended_action) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in record_quality.ADVICE.items())})
+SELECT recommended_action, min(line_number) AS first_line FROM found JOIN advice USING (rule) GROUP BY 1 ORDER BY first_line, recommended_action LIMIT 5""")(lambda spark, d: record_quality.top_recommendations(found(spark, d)))
 
 # features ------------------------------------------------------------------------------------------------------------
 _KM = "2 * 6371.0 * atan2(sqrt(h), sqrt(1 - h))"
@@ -164,6 +191,8 @@ for _name, _feature in (("feat_failed_login", "failed_login_ratio"), ("feat_logi
     query(_name, f"WITH {SQL_FEATURES} SELECT entity, win, {_feature} FROM feats")(lambda spark, d, f=_feature: feature_table(spark, d, (f,)).select("entity", "win", f))
 query("feat_hop_counts", f"WITH {SQL_FEATURES} SELECT entity, win, win_start, event_count FROM feats")(lambda spark, d: feature_table(spark, d, ()).select("entity", "win", "win_start", "event_count"))
 query("feat_all", f"WITH {SQL_FEATURES} SELECT * FROM feats")(lambda spark, d: feature_table(spark, d))
+query("feat_release", f"""WITH {SQL_FEATURES} SELECT sha256(entity || '{SALT}') AS entity_id, strftime(date_trunc('hour', make_timestamp(win_start)), '%Y-%m-%dT%H:%M:%S') AS window_start, event_count, failed_login_ratio, dns_query_entropy, NULL::VARCHAR AS generalized_ip FROM feats""")(
+    lambda spark, d: features.private_features(feature_table(spark, d), SALT, epsilon=0.0).select("entity_id", "window_start", "event_count", "failed_login_ratio", "dns_query_entropy", "generalized_ip"))
 query("feat_private")(lambda spark, d: features.private_features(features.window_features(ad.sec_events(spark, d)), SALT))
 
 # dataset quality, drift ----------------------------------------------------------------------------------------------
@@ -190,7 +219,7 @@ query("ds_duplicates", f"""WITH {SQL_FEATURES}, h AS (SELECT entity, win_start /
 x AS (SELECT 'duplicate_rows' AS check_name, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM h)) AS BIGINT) AS affected FROM h UNION ALL SELECT 'duplicate_keys', CAST(count(*) - count(DISTINCT entity) AS BIGINT) FROM h)
 SELECT *, CASE WHEN affected > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM x""")(
     lambda spark, d: dataset_quality.check_duplicates(feature_table(spark, d, ()).select("entity", scalars.floor_div(F.col("win_start"), 3_600_000_000).alias("hour_no")), ["entity"]))
-query("ds_schema")(lambda spark, d: dataset_quality.check_schema(feature_table(spark, d), ["entity", "win", "event_count", *features.FEATURES, "generalized_ip"]))
+query("ds_schema", "SELECT * FROM (VALUES ('missing_columns', 'FAIL', 'generalized_ip', 1::BIGINT), ('extra_columns', 'WARN', 'win_start', 1::BIGINT)) AS t(check_name, status, details, affected)")(lambda spark, d: dataset_quality.check_schema(feature_table(spark, d), ["entity", "win", "event_count", *features.FEATURES, "generalized_ip"]))
 
 _HALVES = "halves AS (SELECT value AS v, CASE WHEN event_id * 2 < (SELECT max(event_id) FROM events) THEN 'e' ELSE 'a' END AS side FROM events)"
 
@@ -218,6 +247,28 @@ def drift_ks_stat(spark, d):
     return dataset_quality.ks_statistic(*_halves(spark, d), "value").withColumn("ks_stat", F.round("ks_stat", 9))
 
 
+_DRIFT = ("value", "hour", "flat")
+_KS_P = "CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * x * x))))) END"
+
+
+@query("drift_table", f"""WITH sides AS (SELECT value, CAST(hour(ts) AS DOUBLE) AS hour, 1.0 AS flat, CASE WHEN event_id * 2 < (SELECT max(event_id) FROM events) THEN 'e' ELSE 'a' END AS side FROM events),
+long AS ({_union("SELECT '{c}' AS feature, side, CAST({c} AS DOUBLE) AS v FROM sides WHERE {c} IS NOT NULL", _DRIFT)}),
+b AS (SELECT feature, side, min(v) AS lo, max(v) AS hi, count(*) AS n FROM long GROUP BY ALL),
+c AS (SELECT feature, side, CASE WHEN lo = hi THEN 5 ELSE least(9, CAST(floor((v - lo) / ((hi - lo) / 10)) AS INTEGER)) END AS bin, count(*) / any_value(n) AS p FROM long JOIN b USING (feature, side) GROUP BY 1, 2, 3),
+g AS (SELECT f.feature, bin, coalesce(max(CASE WHEN side = 'e' THEN p END), 1e-4) AS e, coalesce(max(CASE WHEN side = 'a' THEN p END), 1e-4) AS a FROM (SELECT DISTINCT feature, unnest(range(10)) AS bin FROM b) f LEFT JOIN c USING (feature, bin) GROUP BY 1, 2),
+psi AS (SELECT feature, sum((a - e) * ln(a / e)) AS psi FROM g GROUP BY 1),
+s AS (SELECT feature, v, count_if(side = 'e') AS e, count_if(side = 'a') AS a FROM long GROUP BY 1, 2),
+r AS (SELECT feature, sum(e) OVER w AS ce, sum(a) OVER w AS ca, sum(e) OVER (PARTITION BY feature) AS ne, sum(a) OVER (PARTITION BY feature) AS na FROM s WINDOW w AS (PARTITION BY feature ORDER BY v)),
+k AS (SELECT feature, max(abs(ce / ne - ca / na)) AS d, sqrt(CAST(max(ne) AS DOUBLE) * max(na) / (max(ne) + max(na))) AS en FROM r GROUP BY 1),
+x AS (SELECT feature, d, (en + 0.12 + 0.11 / en) * d AS x FROM k)
+SELECT feature, round(psi, 9) AS psi, round(d, 9) AS ks_stat, round({_KS_P}, 9) AS ks_pvalue, CASE WHEN psi >= 0.25 THEN 'Significant' WHEN psi >= 0.1 THEN 'Moderate' ELSE 'No Drift' END AS status FROM psi JOIN x USING (feature)""")
+def drift_table(spark, d):
+    e = table(spark, d, "events")
+    e = e.join(F.broadcast(e.agg(F.max("event_id").alias("top")))).select("value", F.hour("ts").cast("double").alias("hour"), F.lit(1.0).alias("flat"), "event_type", (F.col("event_id") * 2 < F.col("top")).alias("old"))
+    out = dataset_quality.drift_table(e.filter("NOT old").drop("old"), e.filter("old").drop("old").withColumn("only_there", F.lit(1)))
+    return out.withColumns({c: F.round(c, 9) for c in ("psi", "ks_stat", "ks_pvalue")})
+
+
 # exploration ---------------------------------------------------------------------------------------------------------
 KINDS = ("click", "error", "purchase", "signup", "view")
 query("eda_value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")(lambda spark, d: exploration.value_counts(table(spark, d, "events"), "event_type"))

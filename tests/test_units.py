@@ -318,7 +318,7 @@ def test_isolation_ranks_planted_outliers(spark, tmp_path):
     sweep = isolation.tune(df, forest, "label", [-0.2, 0.0, 0.1])
     assert metrics.best_threshold(sweep).first().threshold == 0.0
     scale = learning.fit_scale(df, cols)
-    assert isolation.scaling_attack(df, cols, 2.0).count() == isolation.noise_attack(df, cols, 0.1, scale).count() == 3000
+    assert isolation.scaling_attack(df, cols, 2.0, scale).count() == isolation.noise_attack(df, cols, 0.1, scale).count() == 3000
 
 
 def test_models(spark):
