@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping, Sequence
 from itertools import product
 
@@ -16,6 +18,9 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brackwater.operators.metrics import confusion, rates, roc_auc
+from brackwater.session import cut_lineage, shared_dir
+
 
 def finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NaN and infinities become null."""
@@ -159,6 +164,50 @@ def train_classifier(df: DataFrame, kind: str, numeric: Sequence[str], categoric
     return pipeline(model, numeric, categorical).fit(balanced(df, label))
 
 
+def stratified_folds(df: DataFrame, label: str, folds: int, seed: int = 42, part_rows: int = 1_000_000) -> DataFrame:
+    """Adds `fold`, 0 to folds - 1: the rows of each label are dealt in turn in a random order, whatever their values. Labels with
+    many rows are dealt in parts of about `part_rows`, so folds of a label differ by one row a part at most. The folds are
+    checkpointed: they are drawn once, and every model sees the same ones."""
+    sizes = df.groupBy(label).agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("_parts"))
+    drawn = df.withColumns({"_u": F.rand(seed), "_v": F.rand(seed + 1)}).join(F.broadcast(sizes), label)
+    drawn = drawn.withColumn("_part", F.floor(F.col("_u") * F.col("_parts")))
+    place = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_v"))
+    return cut_lineage(drawn.withColumn("fold", ((place - 1 + F.col("_part")) % folds).cast("int")).drop("_u", "_v", "_part", "_parts"))
+
+
+CV_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
+
+
+def cross_validate(df: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequence[str] = (), label: str = "label", folds: int = 5, seed: int = 42, **params) -> DataFrame:
+    """metric, mean and deviation over stratified folds of each of CV_METRICS; a model learns from the other folds alone."""
+    data = stratified_folds(df, label, folds, seed)
+    rows = []
+    for i in range(folds):
+        fitted = train_classifier(data.filter(F.col("fold") != i), kind, numeric, categorical, label, seed, **params)
+        scored = probabilities(fitted, data.filter(F.col("fold") == i))
+        row = rates(confusion(scored, F.col(label), F.col("predicted"))).first()
+        rows.append([row[m] for m in CV_METRICS[:4]] + [roc_auc(scored, label, "score").first()[0]])
+    table = np.array(rows, float)
+    found = [(m, float(a), float(s)) for m, a, s in zip(CV_METRICS, table.mean(0), table.std(0), strict=True)]
+    return df.sparkSession.createDataFrame(found, "metric string, mean double, deviation double")
+
+
+def production_check(fitted, df: DataFrame, label: str = "label", rows: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: milliseconds a row to score `rows` rows, the model's size in MB as saved, F1 on a random half of df."""
+    spark = df.sparkSession
+    few = cut_lineage(df.limit(rows))
+    n = max(1, few.count())
+    began = time.perf_counter()
+    probabilities(fitted, few).write.format("noop").mode("overwrite").save()
+    each = (time.perf_counter() - began) * 1000 / n
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
+    half = probabilities(fitted, df.filter(F.rand(seed) < 0.5))
+    f1 = rates(confusion(half, F.col(label), F.col("predicted"))).first()["f1"]
+    return spark.createDataFrame([(each, size / 2**20, float(f1))], "inference_time_ms double, model_size_mb double, robustness_f1 double")
+
+
 def search(df: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequence[str] = (), label: str = "label", n_iter: int = 3, folds: int = 5, parallelism: int = 4, seed: int = 42):
     """Randomised search by stratified cross-validation on F1 of the positive class; the best PipelineModel and its scores."""
     cls, grid = MODELS[kind]
@@ -167,8 +216,7 @@ def search(df: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequen
     picked = [options[i] for i in rng.permutation(len(options))[:n_iter]]
     model = cls(featuresCol="features", labelCol=label, weightCol="weight")
     maps = [{model.getParam(k): v for k, v in o.items()} for o in picked]
-    fold = F.pmod(F.xxhash64(*numeric, *categorical), F.lit(folds)).cast("int")
-    data = balanced(df, label).withColumn("fold", fold)
+    data = stratified_folds(balanced(df, label), label, folds, seed)
     judge = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
     found = CrossValidator(estimator=pipeline(model, numeric, categorical), estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism).fit(data)
     return found.bestModel, list(zip(picked, found.avgMetrics, strict=True))

@@ -159,6 +159,11 @@ def model_search(spark, d):
     return spark.createDataFrame([(str(sorted(p.items())), float(f1)) for p, f1 in scores], "parameters string, f1 double")
 
 
+query("cv_metrics")(lambda spark, d: learning.cross_validate(ad.flows(spark, d), "logistic", COLUMNS, folds=3, regParam=0.001))
+query("fold_counts", f"WITH {ad.FLOWS}, n AS (SELECT label, count(*) AS n FROM flows GROUP BY 1) SELECT label, CAST(fold AS INTEGER) AS fold, n // 5 + CASE WHEN fold < n % 5 THEN 1 ELSE 0 END AS rows FROM n, (SELECT unnest(range(5)) AS fold)")(
+    lambda spark, d: learning.stratified_folds(ad.flows(spark, d), "label", 5).groupBy("label", "fold").agg(F.count("*").alias("rows")))
+
+
 def perm_importance(spark, d):
     f = ad.flows(spark, d)
     return learning.permutation_importance(learning.train_classifier(f, "logistic", COLUMNS), f, COLUMNS)

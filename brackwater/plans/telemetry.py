@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from brackwater.functions import network, scalars
 from brackwater.operators import dataset_quality, exploration, features, record_quality
 from brackwater.plans import adapters as ad
 from brackwater.plans.registry import query
-from brackwater.session import table
-from brackwater.sources import logs
+from brackwater.session import shared_dir, table
+from brackwater.sources import logs, tables, writers
 
 NOW = dt.datetime.fromisoformat(ad.NOW)
 SALT = "pepper"
@@ -36,6 +37,40 @@ query("quarantine_reasons", f"WITH {ad.PARSED} SELECT error_code, count(*) AS n
     lambda spark, d: logs.quarantine_of(parsed(spark, d)).groupBy("error_code").agg(F.count("*").alias("n")))
 query("quarantine_lines", f"WITH {ad.PARSED} SELECT line_number, original_line, error_code FROM parsed WHERE error_code IS NOT NULL")(lambda spark, d: logs.quarantine_of(parsed(spark, d)))
 
+def _written(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("lines_scan", f"""WITH {ad.PARSED} SELECT coalesce(error_code, log_type) AS kind, count(*) AS n, min(line_number) AS first_line, max(line_number) AS last_line FROM parsed GROUP BY 1""")
+def lines_scan(spark, d):
+    """The log lines written as one text file, in order, and read again with their numbers."""
+    path = _written(spark, "lines")
+    lines = ad.log_lines(spark, d)
+    writers.write_lines(lines, path, ["line_number"])
+    found = logs.parse_lines(logs.read_lines(spark, path))
+    first = lines.agg(F.min("line_number")).first()[0] - 1
+    return found.groupBy(F.coalesce("error_code", "log_type").alias("kind")).agg(F.count("*").alias("n"), (F.min("line_number") + first).alias("first_line"), (F.max("line_number") + first).alias("last_line"))
+
+
+@query("jsonl_scan", f"""WITH {ad.PARSED} SELECT line_number, source_ip, "user", action, bytes, dns_domain FROM parsed WHERE error_code IS NULL""")
+def jsonl_scan(spark, d):
+    """Normalised events written as JSON lines and read again."""
+    path = _written(spark, "events")
+    writers.write_jsonl(logs.events_of(parsed(spark, d)).withColumn("parsed_at", F.col("line_number").cast("string")), path)
+    return logs.read_normalized(spark, path).select(F.col("parsed_at").cast("long").alias("line_number"), "source_ip", "user", "action", "bytes", F.col("dns_query.domain").alias("dns_domain"))
+
+
+@query("csv_scan", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN NULL ELSE c_acctbal END AS balance, 'a, \"b\" ' || c_name AS note, NULL::VARCHAR AS more FROM customer")
+def csv_scan(spark, d):
+    """A CSV file with missing and bad cells, quotes and commas, columns in another order and one that is not declared."""
+    path = _written(spark, "customers")
+    k = F.col("c_custkey")
+    balance = F.when(k % 7 == 0, "N/A").when(k % 7 == 1, "none at all").otherwise(F.col("c_acctbal").cast("string"))
+    out = table(spark, d, "customer").select(F.lit(1).alias("unknown"), balance.alias("balance"), F.concat(F.lit('a, "b" '), F.col("c_name")).alias("note"), "c_custkey")
+    out.write.option("header", True).option("escape", '"').csv(path)
+    return tables.read_table(spark, path, "c_custkey long, balance double, note string, more string")
+
+
 _FORMS = (  # Spark's pattern and DuckDB's, what stands behind, hours to take off, and the unit that is left
     ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "", 0, "second"),
     ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", "Z", 0, "second"),

@@ -25,7 +25,8 @@ def read_indicators(spark: SparkSession, path: str) -> DataFrame:
     if not path.lower().endswith(".csv"):
         values = lines.select("line_number", F.col("line").alias("indicator"))
     else:
-        cells = F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+        # a cell is all between two quotes, or all up to a comma
+        cells = F.transform(F.regexp_extract_all(F.concat("line", F.lit(",")), F.lit('\\s*("(?:[^"]|"")*"|[^,]*)\\s*,'), F.lit(1)), lambda c: F.trim(F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))))
         first = lines.orderBy("line_number").select("line_number", cells.alias("cells")).first()
         names = [c.lower() for c in first["cells"]] if first else []
         at = next((names.index(h) for h in HEADERS if h in names), None)
@@ -50,13 +51,18 @@ class Settings:
     tiers: tuple[tuple[str, int], ...] = field(default=(("CRITICAL", 75), ("HIGH", 50), ("SUSPICIOUS", 20)))
 
 
-def load_settings(text: str | None = None, override: Mapping[str, object] | None = None) -> Settings:
-    """Settings from YAML text over the defaults, then `override`. Unknown keys are an error."""
+def load_settings(text: str | None = None, override: Mapping[str, object] | None = None, environ: Mapping[str, str] | None = None) -> Settings:
+    """Settings from YAML text over the defaults, then from `environ` (BRACKWATER_MIN_RISK and so on), then `override`. Unknown
+    keys are an error."""
     found: dict[str, object] = {}
     if text:
         import yaml
 
         found |= yaml.safe_load(text) or {}
+    for f in fields(Settings):
+        given = (environ or {}).get(f"BRACKWATER_{f.name.upper()}")
+        if given is not None and f.name != "tiers":
+            found[f.name] = type(getattr(Settings(), f.name))(given)
     found |= dict(override or {})
     unknown = set(found) - {f.name for f in fields(Settings)}
     if unknown:

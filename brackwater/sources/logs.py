@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,16 +17,32 @@ from brackwater.functions.scalars import let, normalize_timestamp
 EVENT_COLUMNS = ("line_number", "event_id", "timestamp", "source_ip", "target_ip", "user", "action", "status", "log_type", "bytes", "dns_query", "original_line")
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file_number, line_number (1-based within its file, blank lines counted) and line, without blank lines.
+MOST_SPLITS = 100_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path's files as `file_path`, `line_number` (1-based within a file, blank lines counted) and `line`.
 
-    Text files carry no row numbers, so each file is numbered by the order of its lines: the counts of a file's
-    partitions are gathered first (`zipWithIndex`), then rows are numbered where they lie.
+    Spark gives rows of a text file no numbers, but rows of one split keep their order, and a split knows where in its file it
+    begins. So lines are numbered inside their splits, and the lines of the splits before are added from a table with one row
+    a split (broadcast while that is small). No row passes through Python.
     """
+    split = ("file_path", "begin")
+    place = (F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("id"))
+    rows = spark.read.text(path).select(F.col("value").alias("line"), *place)
+    splits = rows.groupBy(*split).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("file_path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(*split, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    few = rows.rdd.getNumPartitions() <= MOST_SPLITS
+    return rows.join(F.broadcast(splits) if few else splits, list(split)).select("file_path", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line_number"), "line")
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """file_number (in the order of paths), line_number (1-based within its file, blank lines counted) and line, without
+    blank lines. A path that is not there is an error."""
     out = None
     for n, path in enumerate([paths] if isinstance(paths, str) else paths):
-        rows = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0][0]))
-        one = spark.createDataFrame(rows, "line_number long, line string").withColumn("file_number", F.lit(n))
+        one = numbered_lines(spark, path).withColumn("file_number", F.lit(n))
         out = one if out is None else out.unionByName(one)
     return out.filter(F.trim("line") != "").select("file_number", "line_number", "line")
 

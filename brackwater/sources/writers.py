@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,13 +35,39 @@ def write_store(store: DataFrame, root: str, version: str) -> str:
     """A new snapshot of the indicator store, then the pointer to it; readers see the old one until the pointer is written."""
     path = f"{root}/snapshots/{version}"
     store.write.mode("errorifexists").parquet(path)
-    store.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    spark = store.sparkSession
+    count = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_records")
+    figures = [F.count("*").alias("total_records"), *map(count, STATUSES)] if "status" in store.columns else [F.count("*").alias("total_records")]
+    about = spark.read.parquet(path).agg(*figures).select(F.lit(version).alias("version"), F.current_timestamp().alias("last_updated"), "*")
+    about.coalesce(1).write.mode("overwrite").json(f"{root}/current")
     return path
 
 
-def read_store(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/current").first()[0]
-    return spark.read.parquet(f"{root}/snapshots/{version}")
+# States of an indicator.
+STATUSES = ("active", "expired", "revoked")
+_ABOUT = "version string, last_updated timestamp, total_records long, active_records long, expired_records long, revoked_records long"
+
+
+def store_metadata(spark: SparkSession, root: str) -> Row | None:
+    """Version, time and counts of the current snapshot; None if there is none that can be read."""
+    try:
+        return spark.read.schema(_ABOUT).json(f"{root}/current").first()
+    except AnalysisException:
+        return None
+
+
+def read_store(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """The current snapshot. Where there is none, or its pointer leads nowhere, an empty table of `schema`, or an error without."""
+    about = store_metadata(spark, root)
+    if about and about["version"]:
+        try:
+            return spark.read.parquet(f"{root}/snapshots/{about['version']}")
+        except AnalysisException:
+            if schema is None:
+                raise
+    if schema is None:
+        raise FileNotFoundError(f"no store at {root}")
+    return spark.createDataFrame([], schema)
 
 
 def summary_json(summary: DataFrame) -> str:

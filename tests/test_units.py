@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions import network, scalars
 from brackwater.operators import dataset_quality, documents, exploration, features, isolation, learning, lifecycle, metrics, record_quality, scoring
-from brackwater.sources import generators, indicators, logs, writers
+from brackwater.sources import generators, indicators, logs, tables, writers
 from brackwater.streaming import live
 
 NOW = dt.datetime(2026, 7, 20, tzinfo=dt.timezone.utc)
@@ -62,6 +62,75 @@ def test_files_and_events(spark, tmp_path):
     assert '"user":null' in (next((tmp_path / "out").glob("part*")).read_text())
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) if i % 10 else "" for i in range(1, 3001)]
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / f"in/{name}.log").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = logs.numbered_lines(spark, f"{tmp_path}/in").collect()
+        assert spark.read.text(f"{tmp_path}/in").rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in "ab":
+        assert sorted((r.line_number, r.line) for r in got if r.file_path.endswith(f"{name}.log")) == list(enumerate(lines, 1))
+
+
+def test_csv_and_store(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('b,a,c\n1.5,x,1\nNA,"y, ""z""",2\nbad,,3\n')
+    got = tables.read_table(spark, f"{tmp_path}/t.csv", "a string, b double, d int").collect()
+    assert [tuple(r) for r in got] == [("x", 1.5, None), ('y, "z"', None, None), (None, None, None)]
+    with pytest.raises(ValueError):
+        tables.read_table(spark, f"{tmp_path}/t.csv", "a string", required=("z",))
+    assert writers.read_store(spark, f"{tmp_path}/none", "indicator string").count() == 0
+    with pytest.raises(FileNotFoundError):
+        writers.read_store(spark, f"{tmp_path}/none")
+    store = spark.createDataFrame([("a", "active"), ("b", "active"), ("c", "revoked")], "indicator string, status string")
+    writers.write_store(store, f"{tmp_path}/s", "1")
+    about = writers.store_metadata(spark, f"{tmp_path}/s")
+    assert (about.version, about.total_records, about.active_records, about.expired_records, about.revoked_records) == ("1", 3, 2, 0, 1)
+    (tmp_path / "q.csv").write_text('note,indicator\n"a, b",1.1.1.1\n"say ""c""",evil.com\n')
+    assert [r.indicator for r in indicators.read_indicators(spark, f"{tmp_path}/q.csv").orderBy("seq").collect()] == ["1.1.1.1", "evil.com"]
+    assert indicators.load_settings("min_risk: 60", environ={"BRACKWATER_MIN_RISK": "70", "BRACKWATER_TTL_HOURS": "2"}) == indicators.load_settings(override={"min_risk": 70, "ttl_hours": 2.0})
+
+
+def test_iso_forms_as_python_reads_them(spark):
+    day, clock, zone = ("2026-03-04", "20260304", "2026-02-30", "2026-3-4"), ("", "T10", " 10:11", "T1011", "T10:11:12", "T101112", "T10:11:12.1", "T10:11:12,123456789", "T10:11:12.", "T10:11:60", "T24:00"), ("", "Z", "+02:00", "-0330", "+05", "+5")
+    forms = [d + c + z for d in day for c in clock for z in zone if c or not z]
+    got = {r.s: r.t for r in spark.createDataFrame([(s,) for s in forms], "s string").select("s", F.date_format(scalars.to_instant(F.col("s")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).collect()}
+    for s in forms:
+        try:
+            want = dt.datetime.fromisoformat(s)
+            want = (want if want.tzinfo else want.replace(tzinfo=dt.timezone.utc)).astimezone(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+        except ValueError:
+            want = None
+        assert got[s] == want, s
+
+
+def test_folds_and_checks(spark):
+    df = generators.flows(spark, 900).cache()
+    n = {(r.label, r.fold): r["count"] for r in learning.stratified_folds(df, "label", 4, part_rows=100).groupBy("label", "fold").count().collect()}
+    for y in (0, 1):
+        of = [v for (k, _), v in n.items() if k == y]
+        assert len(of) == 4 and max(of) - min(of) <= 9
+    cv = {r.metric: r["mean"] for r in learning.cross_validate(df, "logistic", ["spkts", "dur"], folds=3).collect()}
+    assert set(cv) == set(learning.CV_METRICS) and min(cv.values()) > 0.8
+    r = learning.production_check(learning.train_classifier(df, "logistic", ["spkts", "dur"]), df).first()
+    assert r.inference_time_ms > 0 and r.model_size_mb > 0 and r.robustness_f1 > 0.8
+    base = isolation.evasion_base(df.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": (F.col("id") % 2).cast("int")}), "label")
+    assert base.count() == df.filter("id % 2 = 1 AND label = 1").count()
+
+
+def test_feed_answers_odd(spark):
+    kind = "indicator string, type string, virustotal string, virustotal_code int, abuseipdb string, abuseipdb_code int, alienvault_otx string, alienvault_otx_code int"
+    rows = [("a", "ipv4", None, 200, "[1]", 200, "x", 200), ("b", "url", "{}", 200, "{}", 200, "{}", 200), ("c", "ipv4", None, None, "{}", 404, None, 404)]
+    got = [r.enrichment for r in scoring.from_answers(spark.createDataFrame(rows, kind)).collect()]
+    assert [(e.virustotal.status, e.abuseipdb.status, e.alienvault_otx.status) for e in got] == [("error", "error", "error"), ("success", "n_a", "success"), ("error", "error", "not_found")]
+    assert got[1].virustotal.total_engines == 0 and got[1].virustotal.owner == "N/A" and got[1].alienvault_otx.tags == [] and got[0].virustotal.tags is None
+
+
 def test_security_events(spark, tmp_path):
     good = {"event_id": "e1", "timestamp": "2026-07-18T14:30:00Z", "event_type": "auth", "source_ip": "1.1.1.1", "details": {"action": "login", "geo_location": {"lat": 1.0, "lon": 2.0}}}
     (tmp_path / "e.jsonl").write_text("\n".join([json.dumps(good), "{bad", json.dumps(good | {"timestamp": "18.7."}), ""]))
