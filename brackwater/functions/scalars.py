@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 # White space and digits are spelled out: dates with or without hyphens, hours, minutes and seconds with or without colons.
-_FORMS = "^([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|([0-9]{2})([0-9]{2}))(?:[^0-9]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})X)?)?)?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)?$"
+_FORMS = "^([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|([0-9]{2})([0-9]{2}))(?:[^0-9]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]+|(?=[Z+-])))?)?)?)?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)?$"
 _ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 
 
