@@ -40,7 +40,8 @@ def is_ipv6(ip: Column) -> Column:
     """Whether ip is an IPv6 address: eight groups, or fewer around one double colon."""
     s = _ipv6_text(ip)
     short = s.rlike(f"^({_HEX}(:{_HEX})*)?::({_HEX}(:{_HEX})*)?$") & (F.size(F.regexp_extract_all(s, F.lit(f"({_HEX})"), F.lit(1))) <= 7)
-    return F.coalesce(ip.contains(":") & (s.rlike(f"^({_HEX}:){{7}}{_HEX}$") | short), F.lit(False))
+    # `when`, not `&`: shared steps of an operand of `&` are worked out for every row, also where the other one is false
+    return F.when(ip.contains(":"), s.rlike(f"^({_HEX}:){{7}}{_HEX}$") | short).otherwise(False)
 
 
 def ipv6_groups(ip: Column) -> Column:
@@ -96,7 +97,7 @@ def is_private_ip(ip: Column, v6: bool = True) -> Column:
         return F.coalesce(out, F.lit(False))
 
     inside = let({"number": ipv4_number(ip)}, any_range)
-    return inside | (ip.contains(":") & is_private_ipv6(ip)) if v6 else inside
+    return F.when(ip.contains(":"), is_private_ipv6(ip)).otherwise(inside) if v6 else inside
 
 
 def is_external_facing(source: Column, line: Column, log_type: Column) -> Column:
@@ -110,7 +111,8 @@ def generalize_ip(ip: Column) -> Column:
     return F.when(F.size(parts) == 4, F.concat(F.array_join(F.slice(parts, 1, 3), "."), F.lit(".0"))).otherwise(ip)
 
 
-FQDN = "^([a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\\.)+[a-zA-Z]{2,}$"
+# Fixed value: the pattern of a domain name.
+FQDN = r"^(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}$"
 
 
 def indicator_type(s: Column) -> Column:

@@ -47,7 +47,10 @@ def window_features(events: DataFrame, which: Sequence[str] = FEATURES, open_hou
     partitioning. A busy entity is spread over its windows. Without geo_velocity and connection_burstiness there are no
     window functions, and rows are added up before the shuffle.
     """
-    e = in_windows(events.filter("entity IS NOT NULL"))
+    e = events.filter("entity IS NOT NULL")
+    if "dns_query_entropy" in which:  # once an event, not once a window
+        e = e.withColumn("bits", F.when((F.col("event_type") == "dns") & F.col("query").isNotNull(), entropy_bits(F.col("query"))))
+    e = in_windows(e)
     keys = ("entity", "win", "win_start")
     kind = F.col("event_type")
     login = (kind == "auth") & (F.col("action") == "login")
@@ -62,8 +65,6 @@ def window_features(events: DataFrame, which: Sequence[str] = FEATURES, open_hou
         extra["speed"] = F.when(placed & (gap > 0), haversine_km(last["lat"], last["lon"], F.col("lat"), F.col("lon")) / gap)
     if "connection_burstiness" in which:
         extra["bin"] = floor_div(F.col("us") - F.min("us").over(Window.partitionBy(*keys)), BIN_S * 1_000_000)
-    if "dns_query_entropy" in which:
-        extra["bits"] = F.when((kind == "dns") & F.col("query").isNotNull(), entropy_bits(F.col("query")))
     e = e.withColumns(extra)
     # name -> what is gathered from rows, and how the parts of a window (its bins) are put together
     total = lambda n: F.sum(n).alias(n)
@@ -73,7 +74,7 @@ def window_features(events: DataFrame, which: Sequence[str] = FEATURES, open_hou
         "login_frequency": {"logged_in": (one(login & (F.col("status") == "success")), total("logged_in"))},
         "geo_velocity": {"fastest": (F.max("speed") if "speed" in extra else F.lit(None), F.max("fastest").alias("fastest"))},
         "port_scan_index": {"ports": (F.collect_set(F.when(kind == "network", F.col("dest_port"))), F.size(F.array_distinct(F.flatten(F.collect_list("ports")))).alias("ports"))},
-        "dns_query_entropy": {"bits": (F.sum("bits") if "bits" in extra else F.lit(None), total("bits")), "names": (F.count("bits") if "bits" in extra else F.lit(0), total("names"))},
+        "dns_query_entropy": {"bits": (F.sum("bits") if "dns_query_entropy" in which else F.lit(None), total("bits")), "names": (F.count("bits") if "dns_query_entropy" in which else F.lit(0), total("names"))},
         "data_exfil_ratio": {c: (F.coalesce(F.sum(F.when(kind == "network", F.col(f"bytes_{c}"))), F.lit(0)), total(c)) for c in ("sent", "received")},
         "privilege_escalation_score": {"raised": (one((kind == "endpoint") & (F.col("privilege_change") == "user_to_admin")), total("raised"))},
         "off_hours_ratio": {"off_hours": (one((hour < open_hour) | (hour >= close_hour)), total("off_hours"))},

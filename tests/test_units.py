@@ -154,10 +154,10 @@ def test_ips(spark):
 
 def test_scalars(spark):
     r = spark.range(1).select(
-        scalars.entropy_bits(F.lit("google.com")).alias("e"), scalars.entropy_bits(F.lit("")).alias("z"), scalars.half_even(F.lit(2.5)).alias("h"), scalars.url_id(F.lit("http://a.b/?")).alias("u"),
+        scalars.entropy_bits(F.lit("google.com")).alias("e"), scalars.entropy_bits(F.lit("")).alias("z"), scalars.entropy_bits(F.lit("a.\U0001f600\n")).alias("four"), scalars.half_even(F.lit(2.5)).alias("h"), scalars.url_id(F.lit("http://a.b/?")).alias("u"),
         scalars.haversine_km(F.lit(40.7), F.lit(-74.0), F.lit(51.5), F.lit(-0.1)).alias("km"), scalars.pseudonymize(F.lit(""), "s").alias("blank"),
     ).first()
-    assert abs(r.e - 2.6464393446710157) < 1e-9 and r.z == 0 and r.h == 2 and r.u == "aHR0cDovL2EuYi8_" and 5550 < r.km < 5590 and r.blank == ""
+    assert abs(r.e - 2.6464393446710157) < 1e-9 and r.z == 0 and r.four == 2 and r.h == 2 and r.u == "aHR0cDovL2EuYi8_" and 5550 < r.km < 5590 and r.blank == ""
     noise = np.array([x[0] for x in spark.range(20000).select(scalars.laplace_noise(F.lit(0.5), 0.01, 0.5, seed=1)).collect()]) - 0.5
     assert abs(noise.mean()) < 0.001 and abs(np.abs(noise).mean() - 0.02) < 0.001
 
@@ -187,6 +187,29 @@ def test_record_rules(spark):
     assert found == [] and s.valid_records == 2 and {v.status for v in s.by_check.values()} == {"PASS"}
 
 
+def test_record_rules_in_blocks(spark):
+    rows = [event(i, event_id=["same", f"e{i}", "", None][i % 4], source_ip=["9.9.9.9", "x", "10.0.0.1"][i % 3], timestamp=[f"2026-07-18T14:30:{i // 4 % 60:02}.{i % 4}00Z", "", "late", None][i % 7 % 4], bytes=-i, log_type="dns") for i in range(-20, 60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = record_quality.issues(df, NOW)
+    want = record_quality.summary(df, whole).first()
+    seen, last, before = [], {}, {}
+    for r in rows:
+        if r["event_id"]:
+            before[r["event_id"]] = before.get(r["event_id"], -1) + 1
+            seen += [(r["line_number"], "duplicate")] * (before[r["event_id"]] > 0)
+        if (r["timestamp"] or "").startswith("2026"):
+            at = dt.datetime.fromisoformat(r["timestamp"])
+            gap = at - last.get(r["source_ip"], NOW)
+            seen += [(r["line_number"], "rapid")] * (dt.timedelta(0) <= gap < dt.timedelta(seconds=1))
+            last[r["source_ip"]] = at
+    assert sorted((r.line_number, r.rule) for r in whole.filter("rule IN ('duplicate', 'rapid')").collect()) == sorted(seen)
+    for lines in (1, 3, 1000):
+        assert record_quality.quick_summary(df, NOW, lines=lines).first() == want
+        assert sorted(record_quality.rapid_issues(df, lines).collect()) == sorted(whole.filter("rule = 'rapid'").collect())
+        assert sorted(record_quality.duplicate_issues(df, lines).collect()) == sorted(whole.filter("rule = 'duplicate'").collect())
+    assert record_quality.quick_summary(df.limit(0), NOW).first() == record_quality.summary(df.limit(0), record_quality.issues(df.limit(0), NOW)).first()
+
+
 def brute_windows(rows):
     lo, hi = min(r[2] for r in rows), max(r[2] for r in rows)
     out, k = {}, 0
