@@ -7,6 +7,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brackwater.operators.dataset_quality import running_totals
+
+
+def percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """One row, `q`: the exact percentiles of a column at `shares`, between two values in proportion; nulls without values.
+
+    Values are counted and ranged over partitions, and ranks are looked up in the running totals, so no task has all values.
+    """
+    steps = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    place = lambda s: s * (F.col("all") - 1)
+    at = lambda rank: F.min(F.when(F.col("cum_n") > rank, F.col("v")))
+    ends = [x for i, s in enumerate(shares) for x in (at(F.floor(place(s))).alias(f"a{i}"), at(F.ceil(place(s))).alias(f"b{i}"))]
+    row = running_totals(steps, "v", ["n"]).join(F.broadcast(steps.agg(F.sum("n").alias("all")))).agg(F.max("all").alias("all"), *ends)
+
+    def between(i: int, s: float) -> Column:
+        a, b, part = F.col(f"a{i}"), F.col(f"b{i}"), place(s) - F.floor(place(s))
+        return F.when(a == b, a).otherwise((1 - part) * a + part * b)
+
+    return row.select(F.array(*[between(i, s) for i, s in enumerate(shares)]).alias("q"))
+
 
 def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     out = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
@@ -23,9 +43,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = []
     for c in columns:
         v = F.col(c).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        out.append((c, [F.count(v).alias(f"{c}_n"), F.avg(v).alias(f"{c}_m"), F.stddev_samp(v).alias(f"{c}_s"), F.min(v).alias(f"{c}_a"), q.alias(f"{c}_q"), F.max(v).alias(f"{c}_b")]))
+        out.append((c, [F.count(v).alias(f"{c}_n"), F.avg(v).alias(f"{c}_m"), F.stddev_samp(v).alias(f"{c}_s"), F.min(v).alias(f"{c}_a"), F.max(v).alias(f"{c}_b")]))
     row = df.agg(*[x for _, xs in out for x in xs])
+    for c in columns:  # one row each
+        row = row.join(F.broadcast(percentiles(df, c, (0.25, 0.5, 0.75)).withColumnRenamed("q", f"{c}_q")))
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_m").alias("mean"), F.col(f"{c}_s").alias("std"), F.col(f"{c}_a").alias("min"), *[F.col(f"{c}_q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], F.col(f"{c}_b").alias("max")) for c in columns]
     return row.select(F.inline(F.array(*rows)))
 
@@ -47,7 +68,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """One row: quartiles, bounds, rows outside and their share in percent."""
     v = F.col(column).cast("double")
-    q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = percentiles(df, column, (0.25, 0.75)).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     q = q.withColumn("lower", F.col("q1") - k * (F.col("q3") - F.col("q1"))).withColumn("upper", F.col("q3") + k * (F.col("q3") - F.col("q1")))
     outside = F.count_if((v < F.col("lower")) | (v > F.col("upper")))
     return df.join(F.broadcast(q)).groupBy("q1", "q3", "lower", "upper").agg(outside.alias("outliers"), (outside * 100.0 / F.count("*")).alias("pct"))
@@ -65,18 +86,21 @@ def alerts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"r{i}").alias("n")) for i, n in enumerate(rules)])))
 
 
-def stratified_split(df: DataFrame, label: str, key: Column, shares: Sequence[float] = (0.7, 0.15, 0.15), salts: int = 16) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, key: Column, shares: Sequence[float] = (0.7, 0.15, 0.15), part_rows: int = 1 << 20, most_broadcast: int = 100_000) -> DataFrame:
     """Adds `split` (0, 1, ...): exact shares of each label, in the order of `key` (a unique hash).
 
-    Rank within the label comes from ranks within salted parts of the key's range, so a label with most rows is not one task.
+    Rank within the label comes from ranks within parts of the key's range, as many as leave about `part_rows` of all rows to
+    each, so a label with most rows is not one task. The table of the parts' sizes is broadcast up to `most_broadcast` rows.
     """
+    salts = max(1, -(-df.count() // part_rows))
     part = F.floor((key.cast("double") / 2.0**64 + 0.5) * salts).cast("int")
     df = df.withColumn("_key", key).withColumn("_salt", part)
     sizes = df.groupBy(label, "_salt").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(label).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(label, "_salt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(label)).alias("_all"))
     same = F.row_number().over(Window.partitionBy(label, "_salt").orderBy("_key"))
-    ranked = df.withColumn("_in", same).join(F.broadcast(sizes), [label, "_salt"])
+    small = sizes.limit(most_broadcast + 1).count() <= most_broadcast
+    ranked = df.withColumn("_in", same).join(F.broadcast(sizes) if small else sizes, [label, "_salt"])
     place = (F.col("_before") + F.col("_in") - 0.5) / F.col("_all")
     split, edge = F.lit(len(shares) - 1), 0.0
     for i, s in enumerate(shares[:-1]):

@@ -18,6 +18,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brackwater.operators.exploration import percentiles
 from brackwater.operators.metrics import confusion, rates, roc_auc
 from brackwater.session import cut_lineage, shared_dir
 
@@ -35,8 +36,7 @@ def to_number(value: Column) -> Column:
 
 def fit_impute(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> dict[str, object]:
     """Exact median of each numeric column and commonest value (least of equals) of each categorical one, of the training rows."""
-    aggs = [F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in numeric]
-    found = train.agg(*aggs).first().asDict() if aggs else {}
+    found: dict[str, object] = {c: percentiles(train, c, (0.5,)).first()["q"][0] for c in numeric}
     for c in categorical:
         top = train.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).first()
         found[c] = top[0] if top else None

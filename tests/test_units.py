@@ -473,6 +473,18 @@ def test_split_is_exact(spark):
     assert got == {(0, 0): 630, (0, 1): 135, (0, 2): 135, (1, 0): 70, (1, 1): 15, (1, 2): 15}
 
 
+def test_percentiles(spark):
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=501).round(1).tolist(), [7.0] * 900 + rng.random(50).tolist() + [None] * 9, [1.0, 2.0], [4.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        want = np.percentile([v for v in values if v is not None], [0, 25, 50, 75, 99, 100])
+        assert np.allclose(exploration.percentiles(df, "v", (0, 0.25, 0.5, 0.75, 0.99, 1)).first().q, want)
+    assert exploration.percentiles(df.limit(0), "v", (0.5,)).first().q == [None]
+    df = spark.range(1000).withColumn("label", F.col("id") % 10 == 0)
+    keyed = lambda **k: sorted(exploration.stratified_split(df, "label", F.xxhash64("id"), **k).select("id", "split").collect())
+    assert keyed() == keyed(part_rows=30) == keyed(part_rows=30, most_broadcast=3)
+
+
 def test_reports(spark):
     df = spark.createDataFrame([event(1, source_ip="x")], SCHEMA)
     found = record_quality.issues(df, NOW)
