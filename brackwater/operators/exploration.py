@@ -77,7 +77,7 @@ def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
 def clip_by_label(df: DataFrame, column: str, label: str, share: float = 0.99) -> DataFrame:
     """Rows at or below their label's percentile."""
     tops = df.groupBy(label).agg(F.percentile(F.col(column).cast("double"), share).alias("_top"))
-    return df.join(F.broadcast(tops), label).filter(F.col(column) <= F.col("_top")).drop("_top")
+    return df.join(tops, label).filter(F.col(column) <= F.col("_top")).drop("_top")
 
 
 def alerts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

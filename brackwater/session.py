@@ -30,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. The cluster names it; only where it does not (tests) is one chosen here."""
+    """The folder that all executors share. The cluster names it; only a session without executors (tests) may choose its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     chosen = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
     return f"file://{chosen}"
 
