@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.llm import fingerprints, language, language_model, licences, packing, quality, similar, substrings, tokens
+from brackwater.llm import fingerprints, language, language_model, licences, packing, periodic, quality, similar, substrings, tokens
 from brackwater.session import table
 
 
@@ -63,8 +63,41 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("rules", "licences")})
 
 
+def periodised(docs: DataFrame) -> DataFrame:
+    """doc_id and text, of which every tenth (by crc32 of the id) goes on from some word as a repetition of the words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " ")).otherwise("")
+
+    cut = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    once = F.transform(F.array(cut), repeated)[0]  # the words of a text are taken apart once, not for each place
+    return docs.select("doc_id", F.when(h % 10 == 0, once).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodised(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    return found.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_lm_scores, op4_piece_codec, op5_quality_rules, op6_packing, op7_ngram_jaccard, op8_fingerprints, op9_token_counts, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_lm_scores, op4_piece_codec, op5_quality_rules, op6_packing, op7_ngram_jaccard, op8_fingerprints, op9_token_counts, op10_licence_scan, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
