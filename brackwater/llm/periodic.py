@@ -158,7 +158,7 @@ class _Classes:
 
 def find_runs(words: np.ndarray, ptr: np.ndarray, exponent: int = 4, least: int = 6) -> tuple[np.ndarray, ...]:
     """Runs of all documents (words[ptr[d]:ptr[d+1]], numbered so that equal numbers are equal words of one document):
-    document, start, length and period, by document, start and period. A run has `least` words and `exponent` periods or more."""
+    document, start, length and period, by document, start and period. A run has `least` words and `exponent` (2 at least) periods or more."""
     docs = len(ptr) - 1
     sizes = np.diff(ptr)
     doc = np.repeat(np.arange(docs), sizes + 1)  # one more position a document: an end that equals nothing
@@ -207,8 +207,8 @@ def find_runs(words: np.ndarray, ptr: np.ndarray, exponent: int = 4, least: int
     squares(1, limit > 0)
     most = int(limit.max()) if docs else 0
     while len(moved) and level < most:
-        # a run of period q > level with e periods has q * e - level + 1 repeated positions or more
-        active = (limit > level) & (alive >= exponent * (level + 1) - level + 1)
+        # a run of period q > level with e > 2 periods has q * e - level + 1 repeated positions or more; with two, the ends alone
+        active = (limit > level) & (alive >= (exponent * (level + 1) - level + 1 if exponent > 2 else 4))
         use = active[doc[moved]] & (moved != first[doc[moved]])
         pos = moved[use] - 1
         pos = pos[classes.size[classes.of[pos]] > 1]
