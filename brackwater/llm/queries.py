@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.llm import fingerprints, language, language_model, licences, packing, periodic, quality, similar, substrings, tokens
+from brackwater.llm import fingerprints, language, language_model, licences, negatives, packing, periodic, quality, similar, substrings, suffixes, tokens
 from brackwater.session import table
 
 
@@ -63,6 +63,16 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("rules", "licences")})
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def periodised(docs: DataFrame) -> DataFrame:
     """doc_id and text, of which every tenth (by crc32 of the id) goes on from some word as a repetition of the words there."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -97,8 +107,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_lm_scores, op4_piece_codec, op5_quality_rules, op6_packing, op7_ngram_jaccard, op8_fingerprints, op9_token_counts, op10_licence_scan, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_lm_scores, op4_piece_codec, op5_quality_rules, op6_packing, op7_ngram_jaccard, op8_fingerprints, op9_token_counts, op10_licence_scan, op11_suffix_dedup, op12_hard_negatives, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licence_scan": licences.oracle()}
+    return {"op10_licence_scan": licences.oracle(), "op12_hard_negatives": negatives.ORACLE}
