@@ -98,7 +98,11 @@ def find_anchors(buf: np.ndarray, offs: np.ndarray, span: int, gram: int) -> Ent
     if not found:
         none = np.zeros(0, np.int64)
         return Entries(none, none, none, none, none.astype(U64), none.astype(U64))
-    return Entries(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    place, first, last, doc, hashes, around = (np.concatenate(x) for x in zip(*found, strict=True))
+    fresh = np.append(True, place[1:] != place[:-1])[: len(place)]
+    begin = np.flatnonzero(fresh)  # an anchor whose strings begin in two segments is one
+    last = last[np.append(begin[1:], len(place)) - 1] if len(begin) else last
+    return Entries(place[begin], first[begin], last, doc[begin], hashes[begin], around[begin])
 
 
 def string_hashes(buf: np.ndarray, first: np.ndarray, last: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
