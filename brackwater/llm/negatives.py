@@ -161,11 +161,12 @@ def _packed(rows: DataFrame, scale: int, block: int, prefix: str, slots: int = 0
 
 def _search(pairs: DataFrame, keep: int, slots: int, low: int, high: int) -> DataFrame:
     """anchor, slot, other, score: the best rows that a task has found. Without slots rows of the anchor's label, at any score;
-    with them rows of other labels, between `low` and `high` hundredths of the score of each slot."""
-    schema = "anchor long, slot int, other long, score long"
+    with them rows of other labels, between `low` and `high` hundredths of the score of each slot, and the positive of the slot."""
+    schema = "anchor long, slot int, other long, score long, positive long, positive_score long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, list[np.ndarray]] = {}  # by the keys of an anchor block: group, score, key
+        asked: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # the positives and their scores
         for batch in batches:
             for at in range(len(batch)):
                 row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
@@ -182,6 +183,7 @@ def _search(pairs: DataFrame, keep: int, slots: int, low: int, high: int) -> Dat
                 else:
                     floor, ceil = np.full((len(own), 1), LEAST), np.full((len(own), 1), MOST)
                 held = best.setdefault(row["a_keys"], [np.zeros(0, np.int64)] * 3)
+                asked[row["a_keys"]] = (np.frombuffer(row["a_others"], np.int64), goal.ravel()) if slots else (np.zeros(len(own), np.int64),) * 2
                 bar = _kth(held[0], held[1], keep, len(own) * bands).reshape(-1, bands)
                 step = max(1, _PAIRS // max(1, len(other)))
                 new = [held]
@@ -198,7 +200,9 @@ def _search(pairs: DataFrame, keep: int, slots: int, low: int, high: int) -> Dat
         for keys, (group, score, key) in best.items():
             own, bands = np.frombuffer(keys, np.int64), max(1, slots)
             if len(group):
-                yield pa.record_batch([pa.array(own[group // bands]), pa.array((group % bands).astype(np.int32)), pa.array(key), pa.array(score)], ["anchor", "slot", "other", "score"])
+                positive, goal = asked[keys]
+                columns = (own[group // bands], (group % bands).astype(np.int32), key, score, positive[group], goal[group])
+                yield pa.record_batch([pa.array(c) for c in columns], ["anchor", "slot", "other", "score", "positive", "positive_score"])
 
     return pairs.mapInArrow(work, schema)
 
@@ -222,10 +226,7 @@ def mine(rows: DataFrame, is_anchor: Column, *, key: str = "vec_id", vector: str
     asked = queries.join(found, queries["k"] == found["anchor"]).select("k", "l", "v", "found")
     second = _packed(asked.repartition(blocks, "k"), scale, anchor_block, "a_", positives)
     mined = best(_search(all_rows.crossJoin(second), negatives, positives, low, high), negatives, "anchor", "slot")
-    slots = found.select("anchor", F.posexplode("found").alias("slot", "p"))
-    return mined.join(slots, ["anchor", "slot"]).select(
-        F.col("anchor").alias("anchor_id"), F.col("p.other").alias("positive_id"), "rank", F.col("other").alias("negative_id"), F.col("p.score").alias("positive_score"), F.col("score").alias("negative_score")
-    )
+    return mined.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
 #: The same by all products, for small tables.
