@@ -8,7 +8,11 @@ on behind them: a text of the three-clause licence is not also one of the two-cl
 Sentences end at signs before white space and at blank lines. One that is not known as a whole is looked up line by line,
 so that headings and tags on lines of their own are found, and so are wrapped paragraphs. The normal form is lower case,
 everything but a-z and 0-9 as one space, with what frames a licence's name ("this project is licensed under the ...",
-"... see the file for details") reduced to `under` and the name.
+"... see the file for details") reduced to `under` and the name, and "or later" and "+" as one word.
+
+A short sentence that is not known is parted at its "or", "and" and "with": in a frame every name in it counts, without one it is an
+expression of names ("MIT OR Apache-2.0") if every part is a name, and counts where a label stands before it, as a bare name does.
+Every text is cut; no word decides whether a text is looked at.
 
 Defined cases: a null or empty text has no sentences and no licence; a repeated sentence counts as often as it stands;
 a text with several licences lists each once, in the order of the rules; an empty table gives an empty table; other
@@ -96,9 +100,20 @@ GNU_VERSIONS = {"GPL": ("2", "3"), "LGPL": ("2 1", "3"), "AGPL": ("3",)}
 CC = {"by": "attribution", "nc": "noncommercial", "sa": "sharealike", "nd": "noderivatives"}
 CC_KINDS = (("by",), ("by", "sa"), ("by", "nc"), ("by", "nd"), ("by", "nc", "sa"), ("by", "nc", "nd"))
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-# What stands before a bare name, and the line that reserves all rights.
-NAMING = "licen"  # names without this word count only in texts that have it
+# What stands before a bare name, the exceptions that a licence can come with, and the line that reserves all rights.
 LABELS = ("license", "licence", "spdx license identifier", "spdx licence identifier", "licensed under", "license name")
+EXCEPTIONS = {
+    "Classpath-exception-2.0": ("classpath exception 2 0", "classpath exception", "the classpath exception"),
+    "GCC-exception-3.1": ("gcc exception 3 1", "gcc runtime library exception"),
+    "LLVM-exception": ("llvm exception", "llvm exceptions"),
+    "Linux-syscall-note": ("linux syscall note",),
+    "Autoconf-exception-3.0": ("autoconf exception 3 0",),
+    "OpenSSL-exception": ("openssl exception",),
+}
+_TITLED = "licen"  # a name with this in it is also a title on a line of its own
+_SHORT = 160  # letters of the longest sentence that is parted at its conjunctions
+_JOINED = " (or|and|with) (the |a |an )?"
+_UNDER = "^(.* )?under (the |a |an )?"
 RESERVED = "LicenseRef-All-Rights-Reserved"
 
 
@@ -109,8 +124,8 @@ def _made_names() -> dict[str, tuple[str, ...]]:
         for v in GNU_VERSIONS[family]:
             whole = v if " " in v else f"{v} 0"
             exact = [f"{s} {joined}{x}" for s in stems for joined in ("version ", "v", "") for x in dict.fromkeys((v, whole))]
-            out[f"{family}-{whole.replace(' ', '.')}"] = (*exact, *(f"{family.lower()}{v}", f"{family.lower()} {whole} only"))
-            out[f"{family}-{whole.replace(' ', '.')}-or-later"] = tuple(n for e in exact for n in (f"{e} or later", f"{e} or any later version"))
+            out[f"{family}-{whole.replace(' ', '.')}"] = (*exact, *(f"{family.lower()}{v}", f"{family.lower()}v{v}", f"{family.lower()} {whole} only"))
+            out[f"{family}-{whole.replace(' ', '.')}-or-later"] = tuple(f"{e} orlater" for e in (*exact, f"{family.lower()}v{v}"))
     for kind in CC_KINDS:
         short, long = " ".join(kind), " ".join(CC[k] for k in kind)
         for v in CC_VERSIONS:
@@ -127,12 +142,16 @@ _AFTER = "( the license)?( see .*| for (details|more).*)?$"
 _HOLDER = "^neither the name of .* nor the names of its contributors may be used"
 _NAMED = "neither the name of the copyright holder nor the names of its contributors may be used"
 # White space is spelled out, so that all regular expression engines agree on it.
+_PLUS = "([0-9])[+]"
+_LATER = " or (any )?later( versions?)?"
 _END = "[.;:!?]+([ \\t\\r\\n]+|$)|\\n[ \\t\\r*#/-]*\\n"
 
 
 def normal(sentence: str) -> str:
     """The normal form of a sentence, as the DataFrame expression makes it."""
-    s = re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
+    s = re.sub(_PLUS, r"\1 or later", sentence.lower())
+    s = re.sub("[^a-z0-9]+", " ", s).strip(" ")
+    s = re.sub(_LATER, " orlater", s)
     s = re.sub(_FRAME, "under ", s)
     s = re.sub(_HOLDER, _NAMED, s)
     return re.sub(_AFTER, "", s) if s.startswith("under ") else s
@@ -150,12 +169,12 @@ def _tables() -> tuple[dict[str, int], dict[str, int], list[tuple[str, tuple[int
     below 1000; a licence's name has one in a frame (from 1000), and another as a title (from 2000)."""
     known: dict[str, int] = dict.fromkeys(LABELS, _LABEL)
     bare: dict[str, int] = {}
-    names = NAMES | _made_names()
+    names = NAMES | _made_names() | EXCEPTIONS
     for i, own in enumerate(names.values()):
         for n in own:
-            (known if NAMING in n else bare).setdefault(f"under {n}", _NAME + i)
+            known.setdefault(f"under {n}", _NAME + i)
             bare.setdefault(n, _NAME + i)
-            if NAMING in n:
+            if _TITLED in n:
                 known.setdefault(n, _TITLE + i)
                 known.setdefault(f"the {n}", _TITLE + i)
     fresh = iter(range(_NAME))
@@ -168,13 +187,16 @@ def _tables() -> tuple[dict[str, int], dict[str, int], list[tuple[str, tuple[int
     for i, licence in enumerate(names):
         rules += [(licence, (_LABEL, _NAME + i)), (licence, (_LABEL, _TITLE + i)), (licence, (_TITLE + i,)), (licence, (_NAME + i,))]
     rules.append((RESERVED, (number("all rights reserved"),)))
-    return known, {n: i for n, i in bare.items() if n not in known}, rules
+    return known, bare, rules
 
 
 KNOWN, BARE, RULES = _tables()
-#: A bare name alone is no licence: it counts where the identifier before it is a label.
-_BARE_CODE = {n: f"<{i}>" if n.startswith("under ") else f"<{i}b>" for n, i in BARE.items()}
 _KNOWN_CODE = {s: f"<{i}>" for s, i in KNOWN.items()}
+#: A bare name alone is no licence: it counts where the identifier before it is a label, or (c) where it goes on a list that does.
+_BARE_CODE = {n: f"<{i}b>" for n, i in BARE.items() if n not in KNOWN}
+_LISTED = {n: f"<{i}c>" for n, i in BARE.items()}
+_GOES_ON = f"(<{_LABEL}><[0-9]+b?>)<([0-9]+)c>"  # after a label and a name, a further name counts as if it had the label as well
+_MOST_LISTED = 5
 
 
 def _patterns() -> list[tuple[str, str]]:
@@ -190,13 +212,9 @@ def _patterns() -> list[tuple[str, str]]:
 
 
 PATTERNS = _patterns()
-# Parts of words of which every text that fits a rule has one; no line end, space or sign can part them. A text
-# without them is not cut, and no sentence of it counts.
-ANCHORS = ("licens", "licenc", "permission", "warrant", "liable", "redistribut", "reserved", "copyright", "unencumbered", "mozilla")
-
-
 def _normal(s: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), _PLUS, "$1 or later"), "[^a-z0-9]+", " "))
+    plain = F.regexp_replace(plain, _LATER, " orlater")
     framed = F.regexp_replace(F.regexp_replace(plain, _FRAME, "under "), _HOLDER, _NAMED)
     return F.when(framed.startswith("under "), F.regexp_replace(framed, _AFTER, "")).otherwise(framed)
 
@@ -206,25 +224,34 @@ def _table(codes: dict[str, str]) -> Column:
 
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_sentences (known ones), sentence_ids (their codes in order), rules (numbers of the rules that fired, ascending)
+    """key, n_sentences (known ones, and names in lists), sentence_ids (their codes in order), rules (numbers of the rules that fired, ascending)
     and licences (distinct, in rule order) of each whole text."""
-    low = F.lower(text)
-    any_anchor = low.contains(ANCHORS[0])
-    for a in ANCHORS[1:]:
-        any_anchor = any_anchor | low.contains(a)
-    known, bare = _table(_KNOWN_CODE), _table(_BARE_CODE)
+    known, bare, listed = _table(_KNOWN_CODE), _table(_BARE_CODE), _table(_LISTED)
+
+    def list_code(s: Column) -> Column:
+        """The codes of a list of names: those known, in a frame; all or none, without one."""
+        framed = s.startswith("under ")
+        names = F.split(F.regexp_replace(s, _JOINED, "\u0001"), "\u0001")
+        inside = F.transform(names, lambda n: F.try_element_at(known, F.concat(F.lit("under "), F.regexp_replace(n, _UNDER, ""))))
+        loose = F.transform(names, lambda n: F.try_element_at(listed, n))
+        first = F.regexp_replace(F.array_join(loose, ""), "^<([0-9]+)c>", "<$1b>")
+        code = F.when(framed, F.array_join(inside, "")).when(~F.exists(loose, lambda c: c.isNull()), first)
+        return F.when((F.length(s) <= _SHORT) & s.rlike(_JOINED) & (code != ""), code)
 
     def code(pieces: Column) -> Column:
-        found = F.transform(F.transform(pieces, _normal), lambda s: F.when(s != "", F.coalesce(F.try_element_at(known, s), F.when(F.col("naming"), F.try_element_at(bare, s)))))
+        look = lambda s: F.when(s != "", F.coalesce(F.try_element_at(known, s), F.try_element_at(bare, s), list_code(s)))
+        found = F.transform(F.transform(pieces, _normal), look)
         return F.transform(F.arrays_zip(pieces.alias("p"), found.alias("c")), lambda x: x)
 
     whole = code(F.split(F.regexp_replace(F.col(text), _END, "\u0001"), "\u0001"))
     lines = lambda p: F.array_join(F.transform(code(F.split(p, "[\\r\\n]+")), lambda x: x["c"]), "")
     each = F.transform(whole, lambda x: F.coalesce(x["c"], F.when(x["p"].contains("\n"), lines(x["p"]))))
-    found = docs.select(key, text, low.contains(NAMING).alias("naming"), any_anchor.alias("anchored"))
-    found = found.select(key, F.when(F.col("anchored"), F.array_join(each, "")).otherwise("").alias("sentence_ids"))
+    ids = F.col("sentence_ids")
+    for _ in range(_MOST_LISTED):
+        ids = F.regexp_replace(ids, _GOES_ON, f"$1<{_LABEL}><$2b>")
+    found = docs.select(key, text).select(key, F.array_join(each, "").alias("sentence_ids")).withColumn("named_ids", ids)
     number = F.create_map(*[F.lit(x) for i, (_, p) in enumerate(PATTERNS) for x in (p, i)])
-    fired = F.regexp_extract_all("sentence_ids", F.lit("|".join(p for _, p in PATTERNS)), F.lit(0))
+    fired = F.regexp_extract_all("named_ids", F.lit("|".join(p for _, p in PATTERNS)), F.lit(0))
     names = F.array(*[F.lit(n) for n, _ in PATTERNS])
     ids = F.coalesce("sentence_ids", F.lit(""))
     found = found.select(key, ids.alias("sentence_ids"), F.array_sort(F.array_distinct(F.transform(fired, lambda p: F.try_element_at(number, p)))).alias("rules"))
@@ -238,38 +265,55 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def oracle(key: str = "doc_id") -> str:
-    """The same scan in DuckDB SQL, by joins of sentences with the tables; texts are cut whether they have an anchor or not."""
+    """The same scan in DuckDB SQL, by joins of sentences and of the parts of lists with the tables."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     table = lambda codes: ", ".join(f"({quoted(s)}, '{c}')" for s, c in codes.items())
     rules = ", ".join(f"({i}, {quoted(name)}, '{p}')" for i, (name, p) in enumerate(PATTERNS))
-    anchored = " OR ".join(f"contains(lower(text), '{a}')" for a in ANCHORS)
 
     def form(s: str) -> str:
-        plain = f"trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g'))"
+        plain = f"trim(regexp_replace(regexp_replace(lower({s}), {quoted(_PLUS)}, '\\1 or later', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+        plain = f"regexp_replace({plain}, {quoted(_LATER)}, ' orlater', 'g')"
         framed = f"regexp_replace(regexp_replace({plain}, {quoted(_FRAME)}, 'under '), {quoted(_HOLDER)}, {quoted(_NAMED)})"
         return f"CASE WHEN starts_with({framed}, 'under ') THEN regexp_replace({framed}, {quoted(_AFTER)}, '') ELSE {framed} END"
 
+    ids = "ids"
+    for _ in range(_MOST_LISTED):
+        ids = f"regexp_replace({ids}, {quoted(_GOES_ON)}, '\\1<{_LABEL}><\\2b>', 'g')"
+
+    def coded(pieces: str) -> str:
+        """Pieces with their code: as a whole, or put together from the parts of a list."""
+        return f"""
+  SELECT p.*, coalesce(known.code, bare.code, lists.code) AS code
+  FROM {pieces} p LEFT JOIN known ON known.s = f LEFT JOIN bare ON bare.s = f LEFT JOIN lists ON lists.f = p.f"""
+
     return f"""
-WITH known(s, code) AS (VALUES {table(_KNOWN_CODE)}), bare(s, code) AS (VALUES {table(_BARE_CODE)}), rules(i, licence, pattern) AS (VALUES {rules}),
+WITH known(s, code) AS (VALUES {table(_KNOWN_CODE)}), bare(s, code) AS (VALUES {table(_BARE_CODE)}), listed(s, code) AS (VALUES {table(_LISTED)}), rules(i, licence, pattern) AS (VALUES {rules}),
 pieces AS (
-  SELECT {key}, contains(lower(text), '{NAMING}') AS naming, unnest(p) AS s, generate_subscripts(p, 1) AS nth
-  FROM (SELECT {key}, text, string_split(regexp_replace(text, {quoted(_END)}, chr(1), 'g'), chr(1)) AS p FROM documents WHERE {anchored})),
-whole AS (
-  SELECT {key}, naming, p.s, nth, coalesce(known.code, CASE WHEN naming THEN bare.code END) AS code
-  FROM (SELECT *, {form('s')} AS f FROM pieces) p LEFT JOIN known ON known.s = f LEFT JOIN bare ON bare.s = f),
+  SELECT *, {form('s')} AS f FROM (
+    SELECT {key}, unnest(p) AS s, generate_subscripts(p, 1) AS nth
+    FROM (SELECT {key}, string_split(regexp_replace(text, {quoted(_END)}, chr(1), 'g'), chr(1)) AS p FROM documents))),
 lines AS (
-  SELECT {key}, naming, nth, unnest(l) AS s, generate_subscripts(l, 1) AS line
-  FROM (SELECT *, regexp_split_to_array(s, '[\\r\\n]+') AS l FROM whole WHERE code IS NULL AND contains(s, chr(10)))),
-coded AS (
+  SELECT *, {form('s')} AS f FROM (
+    SELECT {key}, nth, unnest(l) AS s, generate_subscripts(l, 1) AS line
+    FROM (SELECT {key}, nth, regexp_split_to_array(s, '[\r\n]+') AS l FROM pieces WHERE contains(s, chr(10))))),
+parts AS (
+  SELECT f, unnest(l) AS n, generate_subscripts(l, 1) AS nth
+  FROM (SELECT f, string_split(regexp_replace(f, {quoted(_JOINED)}, chr(1), 'g'), chr(1)) AS l
+    FROM (SELECT f FROM pieces UNION SELECT f FROM lines) WHERE length(f) <= {_SHORT} AND regexp_matches(f, {quoted(_JOINED)}))),
+lists AS (
+  SELECT f, CASE WHEN starts_with(f, 'under ') THEN string_agg(known.code, '' ORDER BY nth)
+    WHEN count(listed.code) = count(*) THEN regexp_replace(string_agg(listed.code, '' ORDER BY nth), '^<([0-9]+)c>', '<\\1b>') END AS code
+  FROM parts LEFT JOIN known ON known.s = 'under ' || regexp_replace(n, {quoted(_UNDER)}, '') LEFT JOIN listed ON listed.s = n GROUP BY f),
+whole AS ({coded('pieces')}),
+found AS (
   SELECT {key}, nth, 0 AS line, code FROM whole WHERE code IS NOT NULL
-  UNION ALL SELECT {key}, nth, line, coalesce(known.code, CASE WHEN naming THEN bare.code END)
-  FROM (SELECT *, {form('s')} AS f FROM lines) p LEFT JOIN known ON known.s = f LEFT JOIN bare ON bare.s = f),
-ids AS (SELECT {key}, string_agg(code, '' ORDER BY nth, line) AS ids, count(code) AS n FROM coded GROUP BY 1),
+  UNION ALL SELECT {key}, nth, line, code FROM ({coded('lines')}) JOIN (SELECT {key}, nth FROM whole WHERE code IS NULL) USING ({key}, nth)),
+ids AS (SELECT {key}, string_agg(code, '' ORDER BY nth, line) AS ids FROM found GROUP BY 1),
 fired AS (
   SELECT DISTINCT {key}, i, licence
-  FROM (SELECT {key}, unnest(regexp_extract_all(ids, '{"|".join(p for _, p in PATTERNS)}')) AS m FROM ids WHERE ids IS NOT NULL) JOIN rules ON pattern = m),
+  FROM (SELECT {key}, unnest(regexp_extract_all({ids}, '{"|".join(p for _, p in PATTERNS)}')) AS m FROM ids WHERE ids IS NOT NULL) JOIN rules ON pattern = m),
 firsts AS (SELECT {key}, licence, min(i) AS i FROM fired GROUP BY 1, 2),
 named AS (SELECT {key}, string_agg(licence, ',' ORDER BY i) AS licences FROM firsts GROUP BY 1),
 numbered AS (SELECT {key}, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS rules FROM fired GROUP BY 1)
-SELECT d.{key}, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(rules, '') AS rules, coalesce(licences, '') AS licences
+SELECT d.{key}, CAST(length(coalesce(ids, '')) - length(replace(coalesce(ids, ''), '<', '')) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(rules, '') AS rules, coalesce(licences, '') AS licences
 FROM documents d LEFT JOIN ids USING ({key}) LEFT JOIN named USING ({key}) LEFT JOIN numbered USING ({key})"""
