@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from brackwater.operators.ranks import running_totals
+
 # The range each feature must lie in.
 RANGES = {
     "failed_login_ratio": (0.0, 1.0),
@@ -86,27 +88,6 @@ def drift_status(value: Column) -> Column:
     return F.when(value >= 0.25, "Significant").when(value >= 0.1, "Moderate").otherwise("No Drift")
 
 
-def running_totals(df: DataFrame, value: str, counts: Sequence[str], descending: bool = False, parts: int | None = None) -> DataFrame:
-    """Adds `cum_<c>`: totals of each count over all rows up to this value (one row per value).
-
-    Rows are ranged by value into partitions; each sums its own, and the sums of the partitions before it are added from a
-    table with one row per partition. No partition holds all rows.
-    """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    sign = -1 if descending else 1
-    bounds = df.select(F.percentile_approx(F.col(value), [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    cuts = sorted(set(bounds or []))
-    ranged = df.withColumn("_part", sum((F.col(value) > c).cast("int") for c in cuts) * sign if cuts else F.lit(0))
-    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("_part").agg(*[F.sum(c).alias(c) for c in counts])
-    sums = sums.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b_{c}") for c in counts])
-    out = ranged.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in counts]).join(F.broadcast(sums), "_part")
-    return out.withColumns({f"cum_{c}": F.col(f"_i_{c}") + F.col(f"_b_{c}") for c in counts}).drop("_part", *[f"_{k}_{c}" for k in "ib" for c in counts])
-
-
 def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """One row: n_a, n_b and D, the largest distance of the two cumulative shares. Equal values are one step."""
     both = a.select(F.col(column).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.col(column).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))

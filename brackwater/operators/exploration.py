@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brackwater.operators.dataset_quality import running_totals
+from brackwater.operators.ranks import group_percentiles
 
 
 def percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
-    """One row, `q`: the exact percentiles of a column at `shares`, between two values in proportion; nulls without values.
-
-    Values are counted and ranged over partitions, and ranks are looked up in the running totals, so no task has all values.
-    """
-    steps = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-    place = lambda s: s * (F.col("all") - 1)
-    at = lambda rank: F.min(F.when(F.col("cum_n") > rank, F.col("v")))
-    ends = [x for i, s in enumerate(shares) for x in (at(F.floor(place(s))).alias(f"a{i}"), at(F.ceil(place(s))).alias(f"b{i}"))]
-    row = running_totals(steps, "v", ["n"]).join(F.broadcast(steps.agg(F.sum("n").alias("all")))).agg(F.max("all").alias("all"), *ends)
-
-    def between(i: int, s: float) -> Column:
-        a, b, part = F.col(f"a{i}"), F.col(f"b{i}"), place(s) - F.floor(place(s))
-        return F.when(a == b, a).otherwise((1 - part) * a + part * b)
-
-    return row.select(F.array(*[between(i, s) for i, s in enumerate(shares)]).alias("q"))
+    """One row, `q`: the exact percentiles of a column at `shares`, between two values in proportion; nulls without values."""
+    found = group_percentiles(df.select(F.lit(0).alias("_g"), F.col(column).alias("_c")), ["_g"], "_c", shares).agg(F.first("q").alias("q"))
+    return found.select(F.coalesce("q", F.array(*[F.lit(None).cast("double") for _ in shares])).alias("q"))
 
 
 def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
@@ -39,16 +29,14 @@ def hour_by_type(df: DataFrame, ts: str, kind: str, kinds: Sequence[str]) -> Dat
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, least, exact quartiles and largest of each column, nulls left out."""
-    out = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        out.append((c, [F.count(v).alias(f"{c}_n"), F.avg(v).alias(f"{c}_m"), F.stddev_samp(v).alias(f"{c}_s"), F.min(v).alias(f"{c}_a"), F.max(v).alias(f"{c}_b")]))
-    row = df.agg(*[x for _, xs in out for x in xs])
-    for c in columns:  # one row each
-        row = row.join(F.broadcast(percentiles(df, c, (0.25, 0.5, 0.75)).withColumnRenamed("q", f"{c}_q")))
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_m").alias("mean"), F.col(f"{c}_s").alias("std"), F.col(f"{c}_a").alias("min"), *[F.col(f"{c}_q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], F.col(f"{c}_b").alias("max")) for c in columns]
-    return row.select(F.inline(F.array(*rows)))
+    """Count, mean, sample deviation, least, exact quartiles and largest of each column, nulls left out. All columns' values are
+    counted in one pass as (column, value)."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])))
+    stats = [("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
+    row = df.agg(*[f(F.col(c).cast("double")).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in stats])
+    each = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name, _ in stats]) for i, c in enumerate(columns)])))
+    q = group_percentiles(long, ["column"], "v", (0.25, 0.5, 0.75))
+    return each.join(q, "column", "left").select("column", "n", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max")
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -58,11 +46,52 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*rows)))
 
 
+def moments(df: DataFrame, columns: Sequence[str], first_rows: int = 1000) -> DataFrame:
+    """a, b and the sums over rows that have both values: n, sa, sb, qa, qb (squares) and p (product), of values less a column's mean
+    over some first rows, which keeps sums of large values exact.
+
+    Each task adds up whole matrices of its rows and hands on one row a column; the matrices of all tasks are added by column.
+    """
+    m = len(columns)
+    number = [F.col(c).cast("double") for c in columns]
+    finite = [F.when(F.abs(x) < float("inf"), x) for x in number]  # NaN is above all numbers
+    row = df.select(*columns).limit(first_rows).agg(*[F.avg(x).alias(f"c{i}") for i, x in enumerate(finite)]).first()
+    shift = np.array([row[i] or 0.0 for i in range(m)])
+    kinds = ("n", "s", "q", "p")
+    schema = "i int, " + ", ".join(f"{k} array<double>" for k in kinds)
+
+    def rows_of(sums: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+        lists = [pa.array(list(x), pa.list_(pa.float64())) for x in sums]
+        return pa.record_batch([pa.array(which, pa.int32()), *lists], ["i", *kinds])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, m, m))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(float) - shift
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield rows_of(total, np.arange(m))
+
+    def merge(table: pa.Table) -> pa.Table:
+        sums = np.stack([np.stack(table.column(k).to_numpy(zero_copy_only=False)).sum(0)[None] for k in kinds])
+        return pa.Table.from_batches([rows_of(sums, table.column("i").to_numpy()[:1])])
+
+    parts = df.select(*[x.alias(f"c{i}") for i, x in enumerate(number)]).mapInArrow(add_up, schema)
+    whole = parts.groupBy("i").applyInArrow(merge, schema)
+    names = F.array(*[F.lit(c) for c in columns])
+    cells = whole.select("i", F.posexplode(F.arrays_zip(*kinds)).alias("j", "x")).select("i", "j", "x.*")
+    other = cells.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("sb"), F.col("q").alias("qb"))
+    both = cells.withColumnsRenamed({"s": "sa", "q": "qa"}).filter("i <= j").join(other, ["i", "j"])
+    return both.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "n", "sa", "sb", "qa", "qb", "p")
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of each pair; null where one is constant."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(F.col(f"{a}__{b}")), F.col(f"{a}__{b}")).alias("r")) for a, b in pairs])))
+    """Pearson r of each pair over the rows that have both values; null where one is constant or there are none. NaN counts as missing."""
+    va, vb = F.col("n") * F.col("qa") - F.col("sa") ** 2, F.col("n") * F.col("qb") - F.col("sb") ** 2
+    spread = (va > 1e-12 * F.col("n") * F.col("qa")) & (vb > 1e-12 * F.col("n") * F.col("qb"))
+    r = (F.col("n") * F.col("p") - F.col("sa") * F.col("sb")) / F.sqrt(va * vb)
+    return moments(df, columns).filter("a <> b").select("a", "b", F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
@@ -75,8 +104,8 @@ def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
 
 
 def clip_by_label(df: DataFrame, column: str, label: str, share: float = 0.99) -> DataFrame:
-    """Rows at or below their label's percentile."""
-    tops = df.groupBy(label).agg(F.percentile(F.col(column).cast("double"), share).alias("_top"))
+    """Rows at or below their label's exact percentile; rows without a label or a value are left out."""
+    tops = group_percentiles(df, [label], column, [share]).select(label, F.col("q")[0].alias("_top"))
     return df.join(tops, label).filter(F.col(column) <= F.col("_top")).drop("_top")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import product
 
 import numpy as np
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import Bucketizer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
@@ -57,79 +58,70 @@ def scale(df: DataFrame, fitted: Mapping[str, tuple[float, float]], suffix: str
     return df.withColumns({c + suffix: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in fitted.items()})
 
 
-def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins: int = 20) -> DataFrame:
-    """column and mi (nats) between its quantile bins and the label. Cut points are a bounded list for each column; the
-    counts are one aggregation over (column, bin, label)."""
-    qs = [i / bins for i in range(1, bins)]
-    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), qs, 10_000).alias(c) for c in columns]).first()
-    place = lambda c: sum((F.col(c).cast("double") > v).cast("int") for v in sorted(set(cuts[c] or []))) if cuts[c] else F.lit(0)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(place(c), F.lit(-1)).alias("bin")) for c in columns])
-    counts = df.filter(F.col(label).isNotNull()).select(F.inline(rows), F.col(label).alias("y")).groupBy("column", "bin", "y").agg(F.count("*").alias("n"))
-    w = lambda *k: Window.partitionBy("column", *k)
-    counts = counts.withColumns({"nx": F.sum("n").over(w("bin")), "ny": F.sum("n").over(w("y")), "all": F.sum("n").over(w())})
-    term = F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))
-    return counts.groupBy("column").agg(F.greatest(F.lit(0.0), F.sum(term)).alias("mi"))
-
-
-BLOCK_SPAN = 1 << 32  # numbers of blocks kept apart for each table
-
-
-def _in_blocks(df: DataFrame, line: str, blocks: int, base: int) -> DataFrame:
-    """df with `_block`: about equal ranges of `line`, found by binary search in the cut points; NaN has its own."""
-    cuts = df.filter(~F.isnan(line)).select(F.percentile_approx(line, [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks))).first()[0] if blocks > 1 else []
-    if not cuts:
-        return df.withColumn("_block", F.lit(base))
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    found = Bucketizer(splits=splits, inputCol=line, outputCol="_at", handleInvalid="keep").transform(df)
-    return found.withColumn("_block", F.lit(base) + F.col("_at").cast("long")).drop("_at")
-
-
-def _in_parts(df: DataFrame, block_rows: int, seed: int) -> DataFrame:
-    """df with `_part`: 0, but for blocks of 1.5 times `block_rows` counted rows or more (cut points are not exact), whose rows
-    are dealt at random (not by value, so that copies of one row are dealt too). A part has about 0.75 to 1.5 times `block_rows`."""
-    sizes = df.groupBy("_block").agg(F.greatest(F.lit(1.0), F.round(F.count("*") / F.lit(block_rows))).alias("_parts"))
-    drawn = df.withColumn("_u", F.rand(seed))
-    return drawn.join(F.broadcast(sizes), "_block").withColumn("_part", F.floor(F.col("_u") * F.col("_parts"))).drop("_u", "_parts")
-
-
-def smote(train: DataFrame, columns: Sequence[str], label: str, minority: int = 1, k: int = 5, tables: int = 4, block_rows: int = 2000, seed: int = 42) -> DataFrame:
+def near_rows(x: np.ndarray, k: int, leaf: int = 64) -> np.ndarray:
+    """The k nearest other rows (fewer, if there are no more) of each row among those of its leaf: rows are halved along their
+    widest column until about `leaf` are left. A distance from or to a row with a missing value is the largest of all."""
+    k = min(k, len(x) - 1)
+    out = np.zeros((len(x), max(k, 0)), np.int64)
+    todo = [np.arange(len(x))] if k > 0 else []
+    while todo:
+        rows = todo.pop()
+        y = x[rows]
+        if len(rows) > max(leaf, 2 * k + 2):
+            spread = np.nan_to_num(np.nanmax(y, 0, initial=-np.inf) - np.nanmin(y, 0, initial=np.inf), nan=0.0, neginf=0.0)
+            order = np.argpartition(y[:, int(spread.argmax())], len(rows) // 2)
+            todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+            continue
+        d = ((y[:, None, :] - y[None, :, :]) ** 2).sum(2)
+        d[np.isnan(d)] = np.finfo(float).max
+        np.fill_diagonal(d, np.inf)
+        out[rows] = rows[np.argpartition(d, k - 1, axis=1)[:, :k]]
+    return out
+
+
+def smote(train: DataFrame, columns: Sequence[str], label: str, minority: int = 1, k: int = 5, tables: int = 4, block_rows: int = 4096, seed: int = 42) -> DataFrame:
     """Synthetic minority rows (columns and label), as many as bring the minority level with the rest.
 
-    Neighbours come from the minority alone: rows are dealt by random projection into blocks of about `block_rows` near
-    ones, `tables` times; in each, a row's k nearest of the block are found and one draws the synthetic row. No pairs leave
-    a block. Only a block that is counted to be far larger (ties of the projection) is dealt at random into parts of that size.
+    Neighbours come from the minority alone, by distances of standardised columns: rows are ranged by a random projection,
+    `tables` times, and in each partition worked through in that order, `block_rows` at once; a block is halved on until
+    leaves of near rows are left (`near_rows`), and each row draws its synthetic rows towards one of the nearest of its leaf.
+    Ties of the projection are ranged by a random number, so copies of one row fill no single partition, and nothing but
+    two counts and the columns' scales reaches the driver.
     """
     few = train.filter(F.col(label) == minority).select(*[F.col(c).cast("double").alias(c) for c in columns])
     n = train.groupBy().agg(F.count_if(F.col(label) == minority).alias("a"), F.count_if(F.col(label) != minority).alias("b")).first()
     need = max(0, (n["b"] or 0) - (n["a"] or 0))
-    share = need / n["a"] if n["a"] else 0.0
-    rng = np.random.default_rng(seed)
-    blocks = max(1, -(-(n["a"] or 1) // block_rows))
+    per = need / n["a"] / tables if n["a"] else 0.0
     fitted = fit_scale(few, columns)
+    mean, deviation = (np.array([fitted[c][i] for c in columns]) for i in (0, 1))
+    rng = np.random.default_rng(seed)
     out = None
     for t in range(tables):
-        weights = rng.normal(size=len(columns))
-        line = sum(((F.col(c) - F.lit(fitted[c][0])) / F.lit(fitted[c][1])) * F.lit(float(w)) for c, w in zip(columns, weights, strict=True))
-        dealt = few.withColumn("_line", F.coalesce(line, F.lit(float("nan"))))
-        salted = _in_parts(_in_blocks(dealt, "_line", blocks, t * BLOCK_SPAN), block_rows, seed + t).drop("_line")
-
-        def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-            t = int(pdf["_block"].iloc[0]) // BLOCK_SPAN
-            x = pdf[list(columns)].to_numpy()
-            own = np.random.default_rng([seed, t, len(x), int(abs(x[0, 0] * 1000)) % 2**31])
-            per = share / tables
-            times = np.floor(per).astype(int) + (own.random(len(x)) < per - np.floor(per))
-            new = []
-            for lo in range(0, len(x), 256):
-                d = ((x[lo : lo + 256, None, :] - x[None, :, :]) ** 2).sum(2)
-                near = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1]
-                for i, m in enumerate(times[lo : lo + 256]):
-                    for _ in range(m):
-                        other = x[near[i][own.integers(len(near[i]))]] if len(near[i]) else x[lo + i]
-                        new.append(x[lo + i] + own.random() * (other - x[lo + i]))
-            return pd.DataFrame(np.array(new).reshape(-1, len(columns)), columns=list(columns))
-
-        made = salted.groupBy("_block", "_part").applyInPandas(draw, ", ".join(f"`{c}` double" for c in columns))
+        line = sum(((F.col(c) - F.lit(fitted[c][0])) / F.lit(fitted[c][1])) * F.lit(float(w)) for c, w in zip(columns, rng.normal(size=len(columns)), strict=True))
+        dealt = few.withColumns({"_line": F.coalesce(line, F.lit(float("nan"))), "_tie": F.rand(seed + t)})
+
+        def drawn(x: np.ndarray, t: int) -> pd.DataFrame:
+            own = np.random.default_rng([seed, t, zlib.crc32(np.ascontiguousarray(x).tobytes())])
+            near = near_rows((x - mean) / deviation, k)
+            times = int(np.floor(per)) + (own.random(len(x)) < per - np.floor(per))
+            base = np.repeat(np.arange(len(x)), times)
+            other = near[base, own.integers(near.shape[1], size=len(base))] if near.shape[1] else base
+            return pd.DataFrame(x[base] + own.random(len(base))[:, None] * (x[other] - x[base]), columns=list(columns))
+
+        def draw(batches: Iterator[pd.DataFrame], t: int = t) -> Iterator[pd.DataFrame]:
+            held, count = [], 0
+            for pdf in batches:
+                held.append(pdf.to_numpy(float))
+                count += len(pdf)
+                while count >= 2 * block_rows:  # so that the last block is no small rest
+                    rows = np.concatenate(held)
+                    yield drawn(rows[:block_rows], t)
+                    held, count = [rows[block_rows:]], count - block_rows
+            if count:
+                yield drawn(np.concatenate(held), t)
+
+        sorted_ = dealt.repartitionByRange("_line", "_tie").sortWithinPartitions("_line", "_tie").select(*columns)
+        made = sorted_.mapInPandas(draw, ", ".join(f"`{c}` double" for c in columns))
         out = made if out is None else out.unionByName(made)
     return out.withColumn(label, F.lit(minority))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brackwater.operators.dataset_quality import running_totals
+from brackwater.operators.ranks import running_totals
 
 
 def confusion(df: DataFrame, label: Column, predicted: Column, *by: str) -> DataFrame:

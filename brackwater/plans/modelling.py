@@ -7,7 +7,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from brackwater.operators import documents, exploration, isolation, learning, metrics
+from brackwater.operators import attributions, documents, exploration, information, isolation, learning, metrics
 from brackwater.plans import adapters as ad
 from brackwater.plans.registry import query
 from brackwater.session import table
@@ -141,18 +141,54 @@ def doc_validate(spark, d):
     return documents.validate(df).select("event_id", F.array_join("violations", ";").alias("violations"), "valid")
 
 
-query("mi_topk")(lambda spark, d: learning.mutual_information(ad.flows(spark, d), COLUMNS, "label").orderBy(F.desc("mi")).limit(3))
+def _information_sql(label: str, columns=COLUMNS) -> str:
+    """The estimator over all rows one by one: neighbours by rank in the label's order, rows nearer by a window of values."""
+    far = "CAST(4e18 AS BIGINT)"
+    back, ahead = ([f"coalesce(abs(u - {f}(u, {i}) OVER w), {far})" for i in (1, 2, 3)] for f in ("lag", "lead"))
+    radius = f"least({back[2]}, greatest({back[1]}, {ahead[0]}), greatest({back[0]}, {ahead[1]}), {ahead[2]})"
+    return f"""WITH {ad.FLOWS}, cells AS (SELECT {label} AS y, unnest([{", ".join(f"'{c}'" for c in columns)}]) AS "column", unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in columns)}]) AS v FROM flows),
+placed AS (SELECT "column", y, CAST(round(v * 1000000.0) AS BIGINT) AS u FROM cells WHERE v IS NOT NULL),
+near AS (SELECT *, {radius} AS radius, count(*) OVER (PARTITION BY "column", y) AS ny FROM placed WINDOW w AS (PARTITION BY "column", y ORDER BY u)),
+counted AS (SELECT *, count(*) OVER (PARTITION BY "column" ORDER BY u RANGE BETWEEN greatest(radius, 1) - 1 PRECEDING AND greatest(radius, 1) - 1 FOLLOWING) AS m FROM near),
+found AS (SELECT "column", greatest(0.0, {information.digamma_sql("count(*)")} + avg({information.digamma_sql("3")} - {information.digamma_sql("ny")} - {information.digamma_sql("m")})) AS mi FROM counted GROUP BY 1)"""
+
+
+query("mi_topk", f"""{_information_sql("label")} SELECT "column", round(mi, 8) AS mi FROM found ORDER BY mi DESC, "column" LIMIT 3""")(
+    lambda spark, d: information.mutual_information(ad.flows(spark, d), COLUMNS, "label").select("column", F.round("mi", 8).alias("mi")).orderBy(F.desc("mi"), "column").limit(3))
+query("mi_neighbours", f"""{_information_sql("CAST(floor(quantity / 10) AS INTEGER)", ("quantity", "price"))} SELECT "column", round(mi, 8) AS mi FROM found""")(
+    lambda spark, d: information.mutual_information(ad.flows(spark, d).withColumn("band", F.floor(F.col("quantity") / 10).cast("int")), ("quantity", "price"), "band").select("column", F.round("mi", 8).alias("mi")))
 query("smote")(lambda spark, d: learning.smote(ad.flows(spark, d), COLUMNS, "label").groupBy("label").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in COLUMNS]))
 
 
+def _trained(spark, d, kind, **params):
+    """A model of two thirds of the flows (by a hash of the key), and all flows with `held_out`, the rest."""
+    f = ad.flows(spark, d).withColumn("held_out", F.crc32(F.concat_ws(":", "l_orderkey", "l_linenumber").cast("binary")) % 3 == 1)
+    return learning.train_classifier(f.filter("NOT held_out"), kind, COLUMNS, **params), f
+
+
 def _model(kind, **params):
     def run(spark, d):
-        f = ad.flows(spark, d)
-        return learning.probabilities(learning.train_classifier(f, kind, COLUMNS, **params), f).select("l_orderkey", "l_linenumber", "label", "score", "predicted")
+        fitted, f = _trained(spark, d, kind, **params)
+        return learning.probabilities(fitted, f).select("l_orderkey", "l_linenumber", "label", "held_out", "score", "predicted")
 
     return run
 
 
+@query("tree_contributions")
+def tree_contributions(spark, d):
+    """What each column adds to the margin of boosted trees, for every flow."""
+    fitted, f = _trained(spark, d, "boosted_trees", maxIter=10, maxDepth=4)
+    found = attributions.explain(fitted, f)
+    return found.select("l_orderkey", "l_linenumber", "base", *[F.col("contributions")[i].alias(c) for i, c in enumerate(COLUMNS)])
+
+
+@query("top_contributions")
+def top_contributions(spark, d):
+    """Mean absolute contribution of each column to the probability of a forest."""
+    fitted, f = _trained(spark, d, "random_forest", numTrees=20, maxDepth=6)
+    return attributions.mean_contributions(attributions.explain(fitted, f.filter("held_out")), COLUMNS).orderBy(F.desc("mean_abs"), "feature").limit(10)
+
+
 def model_search(spark, d):
     """Parameters and cross-validated F1 of a small random search."""
     _, scores = learning.search(ad.flows(spark, d), "logistic", COLUMNS, n_iter=2, folds=3)
