@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.operators.metrics import threshold_sweep
+from brackwater.session import cut_lineage
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -97,18 +99,34 @@ def draw_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.withColumn("_drawn", F.rand(seed)).filter(F.col("_drawn") < bound).orderBy("_drawn").limit(n).drop("_drawn")
 
 
+def _clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in columns])
+
+
+def _offset(scores: DataFrame, contamination: float) -> float:
+    q = scores.agg(F.percentile_approx("s", contamination, 100_000)).first()[0]
+    return float(q) if q is not None else -0.5
+
+
 def fit(train: DataFrame, columns: Sequence[str], trees: int = 100, sample: int = 256, contamination: float = 0.1, seed: int = 42) -> Forest:
     """Each tree samples `sample` of all training rows: `trees * sample` rows are drawn in Spark, each row with the same chance
     whatever its values, and dealt to the trees; where there are fewer, every tree samples them all. The offset is the
     contamination quantile of the scores of all training rows. Nulls count 0."""
-    clean = train.select(*[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    picked = draw_rows(clean, trees * sample, seed).toPandas().to_numpy(float)
-    forest = grow(picked, columns, trees, sample, seed)
-    q = clean.select(score_column(forest).alias("s")).agg(F.percentile_approx("s", contamination, 100_000)).first()[0]
-    forest.offset = float(q) if q is not None else -0.5
+    clean = _clean(train, columns)
+    forest = grow(draw_rows(clean, trees * sample, seed).toPandas().to_numpy(float), columns, trees, sample, seed)
+    forest.offset = _offset(clean.select(score_column(forest).alias("s")), contamination)
     return forest
 
 
+def fit_predict(df: DataFrame, columns: Sequence[str], trees: int = 100, sample: int = 256, contamination: float = 0.1, threshold: float = 0.0, seed: int = 42) -> tuple[Forest, DataFrame]:
+    """The forest of df and its predictions on df: rows are scored once, and the scores checkpointed for both."""
+    forest = grow(draw_rows(_clean(df, columns), trees * sample, seed).toPandas().to_numpy(float), columns, trees, sample, seed)
+    scored = cut_lineage(df.withColumn("anomaly_score", score_column(forest)))
+    forest.offset = _offset(scored.select(F.col("anomaly_score").alias("s")), contamination)
+    shifted = scored.withColumn("anomaly_score", F.col("anomaly_score") - F.lit(forest.offset))
+    return forest, shifted.withColumn("is_anomaly", (F.col("anomaly_score") < threshold).cast("int"))
+
+
 def score_column(forest: Forest) -> Column:
     @F.pandas_udf("double")
     def run(*cols: pd.Series) -> pd.Series:
@@ -129,6 +147,22 @@ def tune(df: DataFrame, forest: Forest, label: str, thresholds: Sequence[float])
     return threshold_sweep(predict(df, forest), label, "anomaly_score", thresholds, below=True)
 
 
+def load_or_fit(train: DataFrame, columns: Sequence[str], path: str, **params) -> Forest:
+    """The forest saved under `path`; where there is none, one is trained on `train` and saved there."""
+    spark = train.sparkSession
+    try:
+        return load(spark, path)
+    except AnalysisException:
+        forest = fit(train, columns, **params)
+        forest.save(spark, path)
+        return forest
+
+
+def tune_saved(df: DataFrame, columns: Sequence[str], label: str, thresholds: Sequence[float], path: str, **params) -> DataFrame:
+    """The sweep of `tune` for the saved forest, which is trained on df first if there is none."""
+    return tune(df, load_or_fit(df, columns, path, **params), label, thresholds)
+
+
 def noise_attack(df: DataFrame, columns: Sequence[str], sigma: float, scale: dict[str, tuple[float, float]], seed: int = 42) -> DataFrame:
     """Gaussian noise of `sigma` deviations on each column."""
     return df.withColumns({c: F.col(c) + F.randn(seed + i) * F.lit(sigma * scale[c][1]) for i, c in enumerate(columns)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 import zlib
@@ -10,13 +11,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brackwater.operators.exploration import percentiles
@@ -214,22 +215,57 @@ def search(df: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequen
     return found.bestModel, list(zip(picked, found.avgMetrics, strict=True))
 
 
+def save_classifier(fitted: PipelineModel, path: str, features: Sequence[str], log: DataFrame | None = None, **about: object) -> None:
+    """The model, the list of features in order, what is known of the training (`about`) and its log (one row a model) under `path`."""
+    spark = SparkSession.active()
+    fitted.write().overwrite().save(f"{path}/model")
+    meta = json.dumps({"features": list(features), "kind": type(fitted.stages[-1]).__name__, "about": about}, default=str)
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    if log is not None:
+        log.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/training_log")
+
+
+def load_classifier(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    """The saved model and what was saved with it (features, kind, about). An incomplete folder is an error of Spark's readers."""
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+
+def train_best(train: DataFrame, numeric: Sequence[str], path: str, categorical: Sequence[str] = (), label: str = "label", kinds: Sequence[str] = ("random_forest", "boosted_trees", "logistic"), n_iter: int = 3, folds: int = 5, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+    """Searches each kind, saves the model with the best cross-validated F1 (the first of equals) under `path` with features and log;
+    returns it and the log: kind, parameters, f1, seconds, best."""
+    spark = train.sparkSession
+    rows, models = [], {}
+    for kind in kinds:
+        began = time.perf_counter()
+        models[kind], scores = search(train, kind, numeric, categorical, label, n_iter, folds, seed=seed)
+        params, f1 = max(scores, key=lambda x: x[1])
+        rows.append((kind, json.dumps(params, sort_keys=True), float(f1), time.perf_counter() - began))
+    best = max(rows, key=lambda r: r[2])[0]
+    log = spark.createDataFrame([(*r, r[0] == best) for r in rows], "kind string, parameters string, f1 double, seconds double, best boolean")
+    save_classifier(models[best], path, [*numeric, *categorical], log, label=label, folds=folds, seed=seed)
+    return models[best], log
+
+
 def probabilities(fitted, df: DataFrame) -> DataFrame:
     """df with `score` (probability of 1) and `predicted` (score >= 0.5)."""
     out = fitted.transform(df).withColumn("score", vector_to_array("probability")[1])
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*df.columns, "score", "predicted")
 
 
-def permutation_importance(fitted, df: DataFrame, columns: Sequence[str], label: str = "label", seed: int = 42) -> DataFrame:
-    """Loss of accuracy when one column's values move to other rows (values are matched by two seeded hash orders inside
-    hash parts, so nothing is sorted in one task). It stands where the reference explains its model row by row."""
+def permutation_importance(fitted, df: DataFrame, columns: Sequence[str], key: Sequence[str], label: str = "label", seed: int = 42) -> DataFrame:
+    """Loss of accuracy when one column's values move to other rows. Rows are put in two orders by hashes of the unique `key`, within
+    parts of a hash of it, and each takes the value of the row at its place in the other order: whatever the layout, the same
+    rows exchange values. Parts hold about a million rows."""
     spark = df.sparkSession
     right = lambda d: probabilities(fitted, d).agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
+    parts = max(1, -(-df.count() // 1_000_000))
+    mark = lambda n: F.xxhash64(*key, F.lit(n))
     base = right(df)
     rows = []
     for i, c in enumerate(columns):
-        part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(64))
-        d = df.withColumn("_p", part).withColumn("_r", F.rand(seed + i))
-        moved = F.coalesce(F.lead(c).over(Window.partitionBy("_p").orderBy("_r")), F.first(c).over(Window.partitionBy("_p").orderBy("_r")))
-        rows.append((c, float(base - right(d.withColumn(c, moved).drop("_p", "_r")))))
+        own = Window.partitionBy("_p")
+        d = df.withColumn("_p", F.pmod(mark(seed), F.lit(parts)))
+        placed = d.withColumns({"_i": F.row_number().over(own.orderBy(mark(seed + 1), *key)), "_j": F.row_number().over(own.orderBy(mark(seed + 2 + i), *key))})
+        given = placed.select("_p", F.col("_j").alias("_i"), F.col(c).alias("_given"))
+        rows.append((c, float(base - right(placed.join(given, ["_p", "_i"]).withColumn(c, F.col("_given")).select(*df.columns)))))
     return spark.createDataFrame(rows, "column string, importance double")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions.network import indicator_type
 from brackwater.functions.scalars import half_even
+from brackwater.sources import cache_log
 
 VIRUSTOTAL = "struct<status: string, malicious: long, suspicious: long, harmless: long, undetected: long, total_engines: long, reputation: long, tags: array<string>, owner: string>"
 ABUSEIPDB = "struct<status: string, score: long, total_reports: long, is_whitelisted: boolean, country: string, isp: string, usage_type: string, domain: string, last_reported_at: string>"
@@ -132,27 +133,39 @@ def _alienvault_otx(a: Column) -> dict[str, Column]:
     }
 
 
+FEEDS = {"virustotal": (_virustotal, VIRUSTOTAL), "abuseipdb": (_abuseipdb, ABUSEIPDB), "alienvault_otx": (_alienvault_otx, OTX)}
+
+
+def _from_answer(feed: str) -> Column:
+    """The struct of one feed from its JSON column and its HTTP code."""
+    fields, kind = FEEDS[feed]
+    answer = F.from_json(feed, _ANSWERS[feed])
+    code = F.col(f"{feed}_code")
+    object_ = F.coalesce(F.schema_of_variant(F.try_parse_json(feed)).rlike("^OBJECT"), F.lit(False))
+    good = (code == 200) & object_
+    status = F.when(good, "success").when(F.lit(feed != "abuseipdb") & (code == 404), "not_found").otherwise("error")
+    if feed == "abuseipdb":
+        status = F.when(F.col("type") != "ipv4", "n_a").otherwise(status)
+    found = F.struct(status.alias("status"), *[c.alias(n) for n, c in fields(answer).items()]).cast(kind)
+    empty = F.from_json(F.lit("{}"), _ANSWERS[feed])
+    nothing = F.struct(status.alias("status"), *[c.alias(n) for n, c in fields(empty).items()]).cast(kind)
+    alone = F.from_json(F.concat(F.lit('{"status": "'), status, F.lit('"}')), kind)
+    return F.when(status == "success", found).when(status == "not_found", nothing).otherwise(alone)
+
+
 def from_answers(raw: DataFrame) -> DataFrame:
     """indicator, type and `enrichment` from what the feeds answer: for each feed a JSON column and its HTTP code (`<feed>_code`).
 
     200 with a JSON object is a success; 404 is `not_found` with counts of 0 (for the abuse feed an error, as are all other
     codes and texts that are no JSON object). The abuse feed knows IPv4 addresses alone: for other types it is `n_a`.
     """
-    feeds = []
-    for feed, fields, kind in (("virustotal", _virustotal, VIRUSTOTAL), ("abuseipdb", _abuseipdb, ABUSEIPDB), ("alienvault_otx", _alienvault_otx, OTX)):
-        answer = F.from_json(feed, _ANSWERS[feed])
-        code = F.col(f"{feed}_code")
-        object_ = F.coalesce(F.schema_of_variant(F.try_parse_json(feed)).rlike("^OBJECT"), F.lit(False))
-        good = (code == 200) & object_
-        status = F.when(good, "success").when(F.lit(feed != "abuseipdb") & (code == 404), "not_found").otherwise("error")
-        if feed == "abuseipdb":
-            status = F.when(F.col("type") != "ipv4", "n_a").otherwise(status)
-        found = F.struct(status.alias("status"), *[c.alias(n) for n, c in fields(answer).items()]).cast(kind)
-        empty = F.from_json(F.lit("{}"), _ANSWERS[feed])
-        nothing = F.struct(status.alias("status"), *[c.alias(n) for n, c in fields(empty).items()]).cast(kind)
-        alone = F.from_json(F.concat(F.lit('{"status": "'), status, F.lit('"}')), kind)
-        feeds.append(F.when(status == "success", found).when(status == "not_found", nothing).otherwise(alone).alias(feed))
-    return raw.select("indicator", "type", F.struct(*feeds).alias("enrichment"))
+    return raw.select("indicator", "type", F.struct(*[_from_answer(feed).alias(feed) for feed in FEEDS]).alias("enrichment"))
+
+
+def parse_answers(raw: DataFrame) -> DataFrame:
+    """The same for the rows of `query_feeds`: answers that came with a code are read as the feed's own, others as payloads."""
+    parsed = [F.when(F.col(f"{feed}_code").isNull(), F.from_json(feed, kind)).otherwise(_from_answer(feed)).alias(feed) for feed, (_, kind) in FEEDS.items()]
+    return raw.select("indicator", "type", F.struct(*parsed).alias("enrichment"))
 
 
 def updated_cache(cache: DataFrame, fetched: DataFrame, now: Column) -> DataFrame:
@@ -163,12 +176,15 @@ def updated_cache(cache: DataFrame, fetched: DataFrame, now: Column) -> DataFram
     return best.select("best.*")
 
 
-Client = Callable[[str, str], Mapping[str, str]]
+#: What a feed answers: its HTTP code and text; or a payload in the form of `parse_feeds`.
+Answer = tuple[int, str | None] | str | None
+#: Asks all feeds about an indicator of a type.
+Client = Callable[[str, str], Mapping[str, Answer]]
 
 
-def offline_client(indicator: str, kind: str) -> Mapping[str, str]:
+def offline_client(indicator: str, kind: str) -> Mapping[str, Answer]:
     """Answers for no indicator; the default, so that nothing here reaches a network unasked."""
-    return {"virustotal": '{"status": "error"}', "abuseipdb": '{"status": "n_a"}' if kind != "ipv4" else '{"status": "error"}', "alienvault_otx": '{"status": "error"}'}
+    return dict.fromkeys(FEEDS, (0, None))
 
 
 class TooManyRequests(Exception):
@@ -180,15 +196,21 @@ class TooManyRequests(Exception):
 
 
 def with_retries(client: Client, attempts: int = 3, pause_s: float = 2.0) -> Client:
-    """The client called again after TooManyRequests (when it says) and after timeouts (pauses grow by `pause_s`); any other
-    error, and the last one, becomes an error payload."""
+    """The client called again after TooManyRequests or a code 429 (when it says, or after `pause_s`), and after timeouts (pauses grow
+    by `pause_s`); any other error, and the last one, becomes an error payload. Of several feeds only those that answered
+    429 are taken from the next call."""
 
-    def call(indicator: str, kind: str) -> Mapping[str, str]:
+    def call(indicator: str, kind: str) -> Mapping[str, Answer]:
         import time
 
+        got: dict[str, Answer] = {}
+        busy = lambda a: isinstance(a, tuple) and a[0] == 429
         for n in range(1, attempts + 1):
+            wait = pause_s
             try:
-                return client(indicator, kind)
+                got = dict(client(indicator, kind)) | {f: a for f, a in got.items() if not busy(a)}
+                if not any(map(busy, got.values())):
+                    return got
             except TooManyRequests as e:
                 wait = e.seconds
             except TimeoutError:
@@ -197,32 +219,37 @@ def with_retries(client: Client, attempts: int = 3, pause_s: float = 2.0) -> Cli
                 break
             if n < attempts:
                 time.sleep(wait)
-        return dict.fromkeys(("virustotal", "abuseipdb", "alienvault_otx"), '{"status": "error"}')
+        return {f: got.get(f, '{"status": "error"}') for f in FEEDS}
 
     return call
 
 
 def query_feeds(indicators: DataFrame, client: Client = offline_client, min_interval_s: float = 0.0, lanes: int = 1) -> DataFrame:
-    """JSON payloads of the three feeds by indicator. `lanes` partitions call at once, each no faster than one call in
-    `min_interval_s` seconds; retries are the client's matter."""
+    """Text and HTTP code of the three feeds' answers by indicator, a call for each distinct one.
+
+    `lanes` partitions call at once and share one rate: together they make a call in `min_interval_s` seconds at most, as each
+    waits `lanes` times as long between its own and begins at its own part of the interval.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
-        last = 0.0
+        from pyspark import TaskContext
+
+        due = time.monotonic() + TaskContext.get().partitionId() % lanes * min_interval_s
         for batch in batches:
             rows = []
             for ind, kind in zip(batch["indicator"], batch["type"], strict=True):
-                wait = last + min_interval_s - time.monotonic()
-                if wait > 0 and last:
-                    time.sleep(wait)
-                last = time.monotonic()
-                got = client(ind, kind)
-                rows.append((ind, kind, got.get("virustotal"), got.get("abuseipdb"), got.get("alienvault_otx")))
-            yield pd.DataFrame(rows, columns=["indicator", "type", "virustotal", "abuseipdb", "alienvault_otx"])
+                time.sleep(max(0.0, due - time.monotonic()))
+                due = time.monotonic() + min_interval_s * lanes
+                answers = client(ind, kind)
+                parts = [a if isinstance(a, tuple) else (None, a) for a in (answers.get(f) for f in FEEDS)]
+                rows.append((ind, kind, *[x for code, text in parts for x in (text, code)]))
+            out = pd.DataFrame(rows, columns=["indicator", "type", *[x for f in FEEDS for x in (f, f"{f}_code")]])
+            yield out.astype({f"{f}_code": "Int32" for f in FEEDS})
 
-    typed = indicators.select("indicator", indicator_type(F.col("indicator")).alias("type")).repartition(lanes, "indicator")
-    return typed.mapInPandas(run, "indicator string, type string, virustotal string, abuseipdb string, alienvault_otx string")
+    typed = indicators.select("indicator").filter("indicator IS NOT NULL").distinct().withColumn("type", indicator_type(F.col("indicator"))).repartition(lanes, "indicator")
+    return typed.mapInPandas(run, "indicator string, type string, " + ", ".join(f"{f} string, {f}_code int" for f in FEEDS))
 
 
 def fresh(cached_at: Column, now: Column, ttl_hours: float = 24.0) -> Column:
@@ -253,7 +280,18 @@ def enrich(payloads: DataFrame, weights: Mapping[str, tuple[float, float, float]
 
 def enrich_indicators(indicators: DataFrame, client: Client = offline_client, min_interval_s: float = 0.0, lanes: int = 1) -> DataFrame:
     """From a column of indicators to scored rows: ask, parse, score."""
-    return enrich(parse_feeds(query_feeds(indicators, client, min_interval_s, lanes)))
+    return enrich(parse_answers(query_feeds(indicators, client, min_interval_s, lanes)))
+
+
+def enrich_cached(indicators: DataFrame, root: str, now: Column, client: Client = offline_client, ttl_hours: float = 24.0, min_interval_s: float = 0.0, lanes: int = 1) -> DataFrame:
+    """Scored rows with `from_cache`: fresh ones from the cache log at `root`, the others asked for once and appended to it."""
+    spark = indicators.sparkSession
+    cache = cache_log.read(spark, root, f"indicator string, type string, enrichment {ENRICHMENT}, cached_at timestamp")
+    asked = indicators.filter("indicator IS NOT NULL").select("indicator").distinct()
+    hits, misses = with_cache(asked, cache, now, ttl_hours)
+    new = cache_log.append(parse_answers(query_feeds(misses, client, min_interval_s, lanes)).withColumn("cached_at", now), root)
+    rows = hits.select("indicator", "type", "enrichment", "from_cache").unionByName(new.select("indicator", "type", "enrichment", F.lit(False).alias("from_cache")))
+    return enrich(rows)
 
 
 def flat(enriched: DataFrame) -> DataFrame:

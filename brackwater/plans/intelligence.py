@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from brackwater.functions import network
 from brackwater.operators import lifecycle, scoring
 from brackwater.plans import adapters as ad
 from brackwater.plans.registry import query
-from brackwater.session import table
+from brackwater.session import shared_dir, table
+from brackwater.sources import cache_log
 
 _TYPE = f"""CASE WHEN regexp_matches(s, '{ad.V4}') THEN 'ipv4' WHEN regexp_matches(s, '^([a-fA-F0-9]{{32}}|[a-fA-F0-9]{{40}}|[a-fA-F0-9]{{64}})$') THEN 'hash'
   WHEN regexp_matches(s, '(?i)^https?://') OR (strpos(s, '/') > 0 AND strpos(s, '.') > 0 AND strpos(s, '.') < strpos(s, '/')) THEN 'url'
@@ -152,14 +155,16 @@ r AS (SELECT *, CAST(round_even(round(CAST(a AS DOUBLE) * vt + CAST(b AS DOUBLE)
 SELECT indicator, type, risk_score, CASE WHEN risk_score >= 75 THEN 'CRITICAL' WHEN risk_score >= 50 THEN 'HIGH' WHEN risk_score >= 20 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS risk_tier,
   CAST(n AS VARCHAR) AS vt_malicious, 'N/A' AS abuse_score, CAST(n % 4 AS VARCHAR) AS otx_pulses, 'botnet;c2;x' || n AS tags FROM r""")
 def enrich_offline(spark, d):
-    """Feed calls through the client interface, parsed, scored and flattened (a made-up client; nothing leaves the machine)."""
+    """Feed calls through the client interface, the feeds' own answers parsed, scored and flattened (a made-up client; nothing leaves
+    the machine)."""
 
-    def client(indicator: str, kind: str) -> dict[str, str]:
+    def client(indicator: str, kind: str) -> dict[str, tuple[int, str]]:
         n = len(indicator) % 9
-        return {"virustotal": f'{{"status": "success", "malicious": {n}, "suspicious": 1, "tags": ["C2", "x{n}"]}}', "abuseipdb": '{"status": "n_a"}', "alienvault_otx": f'{{"status": "success", "pulse_count": {n % 4}, "tags": ["botnet"]}}'}
+        vt = f'{{"data": {{"attributes": {{"last_analysis_stats": {{"malicious": {n}, "suspicious": 1}}, "tags": ["C2", "x{n}"]}}}}}}'
+        otx = f'{{"pulse_info": {{"count": {n % 4}, "pulses": [{{"tags": ["botnet"]}}]}}}}'
+        return {"virustotal": (200, vt), "abuseipdb": (503, "busy"), "alienvault_otx": (200, otx)}
 
-    some = ad.indicators(spark, d).select("indicator").distinct()
-    return scoring.flat(scoring.enrich(scoring.parse_feeds(scoring.query_feeds(some, client, lanes=4))))
+    return scoring.flat(scoring.enrich_indicators(ad.indicators(spark, d), client, lanes=4))
 
 
 @query("feed_answers", """WITH k AS (SELECT o_orderkey AS k, o_orderkey % 7 AS m FROM orders)
@@ -196,3 +201,18 @@ def cache_update(spark, d):
     fetched = e.filter(u % 3 == 0).select(u.alias("indicator"), F.lit(1).alias("payload")).distinct()
     out = scoring.updated_cache(cache, fetched, F.lit("2020-01-01 00:00:00").cast("timestamp"))
     return out.select("indicator", "payload", F.date_format("cached_at", "yyyy-MM-dd HH:mm:ss").alias("cached_at"))
+
+
+@query("cache_log", """WITH e AS (SELECT 'u' || user_id AS indicator, event_id AS payload, ts AS cached_at, event_id % 3 AS part FROM events)
+SELECT indicator, max_by(payload, (cached_at, part, payload)) AS payload, strftime(max(cached_at), '%Y-%m-%d %H:%M:%S') AS cached_at FROM e GROUP BY 1""")
+def cache_log_read(spark, d):
+    """All events as cache entries, appended to a log in three deltas with a compaction between, and the log read back."""
+    root = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    kind = "indicator string, payload long, cached_at timestamp"
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("indicator"), F.col("event_id").alias("payload"), F.col("ts").cast("timestamp").alias("cached_at"))
+    for part in range(3):
+        one = e.filter(F.col("payload") % 3 == part).groupBy("indicator").agg(F.max_by("payload", F.struct("cached_at", "payload")).alias("payload"), F.max("cached_at").alias("cached_at"))
+        cache_log.append(one, root)
+        if part == 1:
+            cache_log.compact(spark, root, kind)
+    return cache_log.read(spark, root, kind).select("indicator", "payload", F.date_format("cached_at", "yyyy-MM-dd HH:mm:ss").alias("cached_at"))

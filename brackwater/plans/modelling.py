@@ -201,8 +201,8 @@ query("fold_counts", f"WITH {ad.FLOWS}, n AS (SELECT label, count(*) AS n FROM f
 
 
 def perm_importance(spark, d):
-    f = ad.flows(spark, d)
-    return learning.permutation_importance(learning.train_classifier(f, "logistic", COLUMNS), f, COLUMNS)
+    fitted, f = _trained(spark, d, "logistic")
+    return learning.permutation_importance(fitted, f.filter("held_out"), COLUMNS, ("l_orderkey", "l_linenumber"))
 
 
 query("model_search")(model_search)
@@ -224,8 +224,7 @@ query("lr")(_model("logistic", regParam=0.001))
 
 @query("iforest_fit_score")
 def iforest_fit_score(spark, d):
-    f = ad.flows(spark, d)
-    return isolation.predict(f, isolation.fit(f, COLUMNS, trees=50)).select("l_orderkey", "l_linenumber", "anomaly_score", "is_anomaly")
+    return isolation.fit_predict(ad.flows(spark, d), COLUMNS, trees=50)[1].select("l_orderkey", "l_linenumber", "anomaly_score", "is_anomaly")
 
 
 def _raw_numbers(spark, d):

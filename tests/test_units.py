@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions import network, scalars
 from brackwater.operators import dataset_quality, documents, exploration, features, isolation, learning, lifecycle, metrics, record_quality, scoring
-from brackwater.sources import generators, indicators, logs, tables, writers
+from brackwater.sources import cache_log, generators, indicators, logs, tables, writers
 from brackwater.streaming import live
 
 NOW = dt.datetime(2026, 7, 20, tzinfo=dt.timezone.utc)
@@ -359,6 +359,85 @@ def test_clients_and_ingest(spark, tmp_path):
     assert {r.risk_tier for r in again.collect()} == {"SUSPICIOUS", "HIGH"}
 
 
+def test_raw_answers_on_the_path(spark, tmp_path):
+    now = lambda day: F.lit(f"2026-01-{day:02d} 00:00:00").cast("timestamp")
+    asked = tmp_path / "asked"
+
+    def client(indicator, kind):
+        with asked.open("a") as f:
+            f.write(indicator + "\n")
+        if indicator == "odd.com":
+            return {"virustotal": (404, None), "abuseipdb": (200, "[]"), "alienvault_otx": (500, "no")}
+        return {"virustotal": (200, '{"data": {"attributes": {"last_analysis_stats": {"malicious": 4, "harmless": 60}}}}'), "abuseipdb": (200, '{"data": {"abuseConfidenceScore": 80}}'), "alienvault_otx": '{"status": "success", "pulse_count": 2}'}
+
+    some = spark.createDataFrame([("9.9.9.9",), ("odd.com",), ("9.9.9.9",), (None,)], "indicator string")
+    root = f"{tmp_path}/cache"
+    first = {r.indicator: r for r in scoring.enrich_cached(some, root, now(1), client).collect()}
+    assert len(first) == 2 and not any(r.from_cache for r in first.values()) and sorted(asked.read_text().split()) == ["9.9.9.9", "odd.com"]
+    e = first["9.9.9.9"].enrichment
+    assert (e.virustotal.malicious, e.virustotal.total_engines, e.abuseipdb.score, e.alienvault_otx.pulse_count) == (4, 64, 80, 2)
+    odd = first["odd.com"].enrichment
+    assert (odd.virustotal.status, odd.abuseipdb.status, odd.alienvault_otx.status, first["odd.com"].risk_score) == ("not_found", "n_a", "error", 0)
+    again = scoring.enrich_cached(some.unionByName(spark.createDataFrame([("new.org",)], "indicator string")), root, now(1), client)
+    assert {r.indicator: r.from_cache for r in again.collect()} == {"9.9.9.9": True, "odd.com": True, "new.org": False}
+    assert len(asked.read_text().split()) == 3
+    late = {r.indicator: r for r in scoring.enrich_cached(some, root, now(9), client).collect()}
+    assert not any(r.from_cache for r in late.values()) and late["9.9.9.9"].risk_score == first["9.9.9.9"].risk_score
+    busy = iter([{"virustotal": (429, None), "abuseipdb": (200, "{}")}, {"virustotal": (200, "{}"), "abuseipdb": (500, "late")}])
+    assert scoring.with_retries(lambda i, k: next(busy), pause_s=0)("x", "ipv4") == {"virustotal": (200, "{}"), "abuseipdb": (200, "{}")}
+
+
+def test_lanes_share_one_rate(spark, tmp_path):
+    def client(indicator, kind):
+        (tmp_path / indicator).write_text(str(dt.datetime.now().timestamp()))
+        return {}
+
+    few = spark.createDataFrame([(f"h{i}",) for i in range(12)], "indicator string")
+    assert scoring.query_feeds(few, client, min_interval_s=0.1, lanes=3).filter("virustotal IS NULL AND virustotal_code IS NULL").count() == 12
+    times = sorted(float(p.read_text()) for p in tmp_path.iterdir())
+    assert times[-1] - times[0] > 0.7
+
+
+def test_cache_log_after_a_broken_write(spark, tmp_path):
+    root, kind = f"{tmp_path}/log", "indicator string, v int, cached_at timestamp"
+    at = lambda *rows: spark.createDataFrame([(k, v, dt.datetime(2026, 1, d)) for k, v, d in rows], kind)
+    got = lambda: {r.indicator: r.v for r in cache_log.read(spark, root, kind).collect()}
+    assert got() == {} and cache_log.compact(spark, root, kind) == 0
+    cache_log.append(at(("a", 1, 1), ("b", 1, 5)), root)
+    cache_log.append(at(("a", 2, 3), ("b", 2, 4), ("c", 2, 1)), root)
+    want = {"a": 2, "b": 1, "c": 2}
+    assert got() == want
+    at(("a", 9, 9)).write.parquet(f"{root}/entries/3-unnamed")  # a writer that died before its line
+    unfinished = tmp_path / "log/log/_temporary/0/_temporary/attempt_0"
+    unfinished.mkdir(parents=True)
+    (unfinished / "part-0.json").write_text('{"version": 3, "path": "nowhere"')
+    assert got() == want
+    assert cache_log.compact(spark, root, kind) == 3 and got() == want
+    cache_log.append(at(("a", 3, 3), ("d", 3, 1)), root)
+    assert got() == {"a": 3, "b": 1, "c": 2, "d": 3}  # of equal times the later delta
+    assert cache_log.compact(spark, root, kind) == 5 and got() == {"a": 3, "b": 1, "c": 2, "d": 3}
+
+
+def test_saved_models(spark, tmp_path):
+    df = generators.flows(spark, 400)
+    cols = ["spkts", "dur"]
+    fitted, log = learning.train_best(df, cols, f"{tmp_path}/best", kinds=("logistic", "boosted_trees"), n_iter=1, folds=2)
+    again, about = learning.load_classifier(spark, f"{tmp_path}/best")
+    assert about["features"] == cols and about["about"]["folds"] == 2
+    same = lambda m: [(r.id, r.predicted) for r in learning.probabilities(m, df).orderBy("id").collect()]
+    assert same(fitted) == same(again)
+    rows = log.collect()
+    assert [r.kind for r in rows if r.best] == [max(rows, key=lambda r: r.f1).kind] and spark.read.option("header", True).csv(f"{tmp_path}/best/training_log").count() == 2
+    with pytest.raises(Exception, match="nothing"):
+        learning.load_classifier(spark, f"{tmp_path}/nothing")
+    sweep = isolation.tune_saved(df, cols, "label", [-0.1, 0.0], f"{tmp_path}/forest", trees=20)
+    forest = isolation.load(spark, f"{tmp_path}/forest")
+    assert sweep.collect() == isolation.tune_saved(df, cols, "label", [-0.1, 0.0], f"{tmp_path}/forest", trees=3).collect() and len(forest.roots) == 20
+    both, once = isolation.fit(df, cols, trees=20), isolation.fit_predict(df, cols, trees=20)
+    assert (both.roots == once[0].roots).all() and abs(both.offset - once[0].offset) < 1e-12
+    assert once[1].select("id", "anomaly_score", "is_anomaly").orderBy("id").collect() == isolation.predict(df, both).select("id", "anomaly_score", "is_anomaly").orderBy("id").collect()
+
+
 def test_suricata_gaps(spark):
     rows = [(i, f"x{i}", k, r, 60, "active") for i, (k, r) in enumerate([("hash", 90), ("ipv4", 90), ("domain", 70), ("url", 95), ("ipv4", 10)])]
     df = spark.createDataFrame(rows, "seq long, indicator string, type string, risk_score int, confidence int, status string")
@@ -481,8 +560,9 @@ def test_search_and_importance(spark):
     df = generators.flows(spark, 400)
     best, scores = learning.search(df, "logistic", ["spkts", "dur"], n_iter=2, folds=3)
     assert len(scores) == 2 and max(s for _, s in scores) > 0.8
-    imp = {r.column: r.importance for r in learning.permutation_importance(best, df, ["spkts", "dur"]).collect()}
+    imp = {r.column: r.importance for r in learning.permutation_importance(best, df, ["spkts", "dur"], ["id"]).collect()}
     assert imp["spkts"] >= imp["dur"]
+    assert imp == {r.column: r.importance for r in learning.permutation_importance(best, df.repartition(7), ["spkts", "dur"], ["id"]).collect()}
 
 
 def test_split_is_exact(spark):
