@@ -83,9 +83,11 @@ def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mos
     return groups.unionByName(alone)
 
 
-def _partitions(docs: DataFrame, text: str, part_bytes: int = 8_000_000) -> int:
+def _partitions(docs: DataFrame, text: str, part_bytes: int = 8_000_000, most: int = 20_000) -> int:
+    """Range partitions of `part_bytes`, but `most` of them: partitions are sorted with spilling and read as streams, so larger ones
+    cost time, not memory, where a scheduler would not survive a task for every 8 MB of a large corpus."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, total // part_bytes)
+    return min(most, max(1, total // part_bytes))
 
 
 def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", share: int = 3) -> DataFrame:

@@ -194,7 +194,8 @@ def base_failed() -> F.Column:
 
 
 def fit_trees(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = 20_000, keep: float = 0.998) -> Trees | None:
-    """Trees from at most `train_rows` labelled rows, the first in the order of a hash of the key: the same ones in every run."""
+    """Trees from at most `train_rows` labelled keys, the first in the order of a hash of the key: the same ones in every run. A key of
+    several rows teaches one of them, that with the least features, so a key on a third of all rows is one row of the driver's."""
     spark = docs.sparkSession
     labels = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
     picked = best_of(labels, train_rows, F.xxhash64(F.col(key), F.lit(29)), key).collect()
@@ -202,7 +203,8 @@ def fit_trees(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
         return None
     some = spark.createDataFrame(picked, labels.schema)  # bounded by `train_rows`
     rows = measure(docs.select(key, text).join(F.broadcast(some), key, "left_semi"), key=key, text=text)
-    found = rows.join(F.broadcast(some), key).select(key, "features", "label", (~base_failed()).alias("passed")).toPandas().sort_values(key)
+    one = rows.groupBy(key).agg(F.min(F.struct("features", (~base_failed()).alias("passed"))).alias("x"))
+    found = one.join(F.broadcast(some), key).select(key, "x.features", "label", "x.passed").toPandas().sort_values(key)
     if not len(found):
         return None
     return _fit(np.stack(found["features"].to_numpy()).astype(np.float32), (found["label"].to_numpy() > 0).astype(float), found["passed"].to_numpy(), keep)

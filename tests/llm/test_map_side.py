@@ -282,3 +282,17 @@ def test_no_sentence_needs_another_word(spark):
     got = scanned(df)
     assert all(got[i].sentence_ids == licences._KNOWN_CODE[s] for i, s in enumerate(known))
     assert {k: flat(r) for k, r in got.items()} == by_oracle(df)
+
+
+def test_a_labelled_key_on_many_rows(spark, docs, monkeypatch):
+    """A key on a third of all rows is one row of what the trees learn from."""
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    seen = []
+    inner = quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda x, y, passed, keep: seen.append(x.tolist()) or inner(x, y, passed, keep))
+    hot = labels.orderBy("doc_id").first().doc_id
+    copies = docs.limit(500).withColumn("doc_id", F.lit(hot))
+    quality.fit_trees(docs.unionByName(copies), labels)
+    assert len(seen[0]) == labels.select("doc_id").distinct().join(docs, "doc_id").count()
+    quality.fit_trees(docs.repartition(5).unionByName(copies.repartition(3)), labels)
+    assert seen[0] == seen[1]
