@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brackwater.session import shared_dir
+from brackwater.session import remove_folder, shared_dir
 
 _TABLE = 256  # tables of up to so many patterns are made once; beyond, only the patterns that occur
 
@@ -119,6 +119,7 @@ def explainer(fitted: PipelineModel, names: Sequence[str] = ()) -> Explainer:
         (F.col("prediction") if boosted else F.get(stats, F.lit(1)) / total).alias("value"),
         (F.get(stats, F.lit(0)) if boosted else total).alias("cover"),
     ).toPandas()  # bounded by the model's size
+    remove_folder(spark, path)
     if (nodes["categories"] > 0).any():
         raise ValueError("splits by categories are not explained; encode them as columns")
     weights = list(model.treeWeights)

@@ -65,6 +65,26 @@ def check_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return out.withColumn("status", F.when(F.col("affected") > 0, "FAIL").otherwise("PASS"))
 
 
+# What to do about a check that did not pass.
+REMEDIES = {"missing": "Find out why values are missing upstream.", "range": "Look at the unit and the source of values out of range.", "duplicate": "Remove repeated rows before they are counted.", "columns": "Bring the table to the declared columns."}
+
+
+def all_checks(df: DataFrame, expected: Sequence[str], key: Sequence[str], ranges: Mapping[str, tuple[float, float]] = RANGES) -> DataFrame:
+    """check_name, status, details, affected, total and recommendation of all dataset checks: columns, missing values of each expected
+    column, ranges, duplicates. Checks that cannot be made for want of a column are left out; the column check names it."""
+    here = [c for c in expected if c in df.columns]
+    total = df.agg(F.count("*").alias("total"))
+    told = lambda d, name, details, kind: d.select(name.alias("check_name"), "status", details.alias("details"), F.col("affected").cast("long").alias("affected"), F.when(F.col("status") == "PASS", "").otherwise(REMEDIES[kind]).alias("recommendation"))
+    out = told(check_schema(df, expected), F.col("check_name"), F.col("details"), "columns")
+    if here:
+        out = out.unionByName(told(check_missing(df, here), F.concat(F.lit("missing: "), "column"), F.format_string("%.2f %%", "pct"), "missing"))
+    if [c for c in ranges if c in df.columns]:
+        out = out.unionByName(told(check_ranges(df, ranges), F.concat(F.lit("range: "), "column"), F.lit(""), "range"))
+    if all(c in df.columns for c in key):
+        out = out.unionByName(told(check_duplicates(df, key), F.col("check_name"), F.lit(""), "duplicate"))
+    return out.crossJoin(F.broadcast(total)).select("check_name", "status", "details", "affected", "total", "recommendation")
+
+
 def psi(expected: DataFrame, actual: DataFrame, column: str, buckets: int = 10, shared_bins: bool = False) -> DataFrame:
     """One row: psi and status. Each side is cut into equal widths of its own range (or of both with `shared_bins`), the
     last bin closed; a constant side is all in the middle bin; an empty bin counts 1e-4. Nulls and NaN are left out."""

@@ -122,11 +122,23 @@ def _tree(rules: tuple[Rule, ...]) -> dict[str, _Node]:
     return nodes[""].fields
 
 
-_MAP, _LIST = "map<string,variant>", "array<variant>"
+_LIST = "array<variant>"
+
+
+def _child(value: Column, *names: str) -> Column:
+    """The field of an object down a path of names; null where there is none."""
+    return F.try_variant_get(value, "$" + "".join(f'["{n}"]' for n in names), "variant")
+
+
+def _shape(value: Column, rule: Rule) -> Column:
+    """Null where the type is wrong; the items of an array, else true."""
+    if rule.type == "array":
+        return F.try_variant_get(value, "$", _LIST)
+    return F.when(F.schema_of_variant(value).rlike(_KINDS[rule.type]), F.lit(True))
 
 
 def _fault(value: Column, shape: Column, owned: Column, rule: Rule) -> Column:
-    """Kind of the first violation of one value, or null. `shape` is null where the type is wrong."""
+    """Kind of the first violation of one value, or null."""
     there = value.isNotNull()
     out = F.when(owned & ~there, F.lit("required")) if rule.required else F.when(F.lit(False), F.lit(""))
     out = out.when(there & shape.isNull(), "type")
@@ -142,42 +154,66 @@ def _fault(value: Column, shape: Column, owned: Column, rule: Rule) -> Column:
     return out
 
 
-def _faults(value: Column, owned: Column, node: _Node) -> Column:
-    """The kind of violation, or null, of a node and of all below it, in the order of `paths`. Each value is taken out of
-    its holder once; the shape of an object is its map, of an array its list."""
-    rule = node.rule
-    scalar = lambda v: F.when(F.schema_of_variant(v).rlike(_KINDS[rule.type]), F.lit(True))
-    shape = {"object": lambda v: F.try_variant_get(v, "$", _MAP), "array": lambda v: F.try_variant_get(v, "$", _LIST)}.get(rule.type, scalar)
+def _item_faults(value: Column, owned: Column, node: _Node) -> Column:
+    """The kind of violation, or null, of an item and of all below it, in the order of `paths`; each value is taken out once."""
 
-    def with_shape(b: Column, c: Column) -> Column:
-        own = F.array(_fault(b["v"], c["s"], owned, rule))
-        return F.concat(own, *_below(c["s"], node)) if node.fields or node.item else own
+    def with_shape(v: Column, s: Column) -> Column:
+        parts = [F.array(_fault(v, s, owned, node.rule))]
+        parts += [_item_faults(_child(v, name), s.isNotNull(), own) for name, own in node.fields.items()]
+        parts += [_first_faults(s, node.item)] if node.item else []
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    return let({"v": value}, lambda b: let({"s": shape(b["v"])}, lambda c: with_shape(b, c)))
+    return let({"v": value}, lambda b: let({"s": _shape(b["v"], node.rule)}, lambda c: with_shape(b["v"], c["s"])))
 
 
-def _below(shape: Column, node: _Node) -> list[Column]:
-    out = [_faults(F.try_element_at(shape, F.lit(name)), shape.isNotNull(), own) for name, own in node.fields.items()]
-    if node.item:
-        size = len(node.item.paths())
-        rows = F.transform(F.coalesce(shape, F.array().cast(_LIST)), lambda x: _faults(x, F.lit(True), node.item))
-        first = lambda r, i: F.get(F.filter(F.transform(r, lambda row: row[i]), lambda k: k.isNotNull()), F.lit(0))
-        out.append(let({"r": rows}, lambda b: F.array(*[first(b["r"], i) for i in range(size)])))
-    return out
+def _first_faults(items: Column, node: _Node) -> Column:
+    """The first fault of each rule among the items of an array."""
+    size = len(node.paths())
+    rows = F.transform(F.coalesce(items, F.array().cast(_LIST)), lambda x: _item_faults(x, F.lit(True), node))
+    first = lambda r, i: F.get(F.filter(F.transform(r, lambda row: row[i]), lambda k: k.isNotNull()), F.lit(0))
+    return let({"r": rows}, lambda b: F.array(*[first(b["r"], i) for i in range(size)]))
 
 
 def validate(docs: DataFrame, json: str = "json", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns, `violations` ('path: kind', in the order of the rules; empty for a valid document) and `valid`. Text that
     is no JSON object has the one violation 'json'; null text as well. Of the items of an array the first fault of each rule
     counts. A field inside something that is no object breaks no rule of its own; formats are not checked, and further keys
-    are allowed."""
-    top = _tree(rules)
-    paths = F.array(*[F.lit(f"{p}: ") for n in top.values() for p in n.paths()])
-
-    def all_checks(x: Column) -> Column:
-        kinds = F.concat(*[_faults(F.try_element_at(x["doc"], F.lit(name)), F.lit(True), n) for name, n in top.items()])
-        found = F.filter(F.transform(kinds, lambda k, i: F.concat(F.get(paths, i), k)), lambda v: v.isNotNull())
-        return F.when(x["doc"].isNotNull(), found).otherwise(F.array(F.lit("json")))
-
-    out = docs.withColumn("violations", let({"doc": F.try_variant_get(F.try_parse_json(json), "$", _MAP)}, all_checks))
+    are allowed.
+
+    Values outside arrays, and then their shapes, are columns of their own, so all their checks are compiled; only items of
+    arrays go through lambdas.
+    """
+    kept = docs.columns
+    nodes: list[tuple[_Node, tuple[str, ...], str]] = []  # with the names above and the column of the holder's shape
+
+    def walk(fields: dict[str, _Node], above: tuple[str, ...], holder: str) -> None:
+        for name, node in fields.items():
+            nodes.append((node, (*above, name), holder))
+            walk(node.fields, (*above, name), f"_brackwater_s{len(nodes) - 1}")
+
+    walk(_tree(rules), (), "_brackwater_root")
+    parsed = docs.withColumn("_brackwater_doc", F.try_parse_json(json))
+    root = F.when(F.schema_of_variant("_brackwater_doc").rlike("^OBJECT"), F.lit(True))
+    values = parsed.select("*", root.alias("_brackwater_root"), *[_child(F.col("_brackwater_doc"), *path).alias(f"_brackwater_v{i}") for i, (_, path, _) in enumerate(nodes)])
+    shapes = values.select("*", *[_shape(F.col(f"_brackwater_v{i}"), node.rule).alias(f"_brackwater_s{i}") for i, (node, _, _) in enumerate(nodes)])
+    parts, some = [], []
+
+    def named(kind: Column, path: str) -> Column:
+        return F.concat(F.lit(f"{path}: "), kind)
+
+    def named_items(kinds: Column, paths: list[str]) -> Column:
+        names = F.array(*[F.lit(f"{p}: ") for p in paths])
+        return F.transform(kinds, lambda k, j: F.concat(F.get(names, j), k))
+
+    for i, (node, _, holder) in enumerate(nodes):
+        v, s = F.col(f"_brackwater_v{i}"), F.col(f"_brackwater_s{i}")
+        some.append(named(_fault(v, s, F.col(holder).isNotNull(), node.rule), node.rule.path))
+        if node.item:
+            # an array that is missing or empty has no items to look at
+            found = F.when(F.size(s) > 0, named_items(_first_faults(s, node.item), node.item.paths()))
+            parts += [F.array(*some), F.coalesce(found, F.array().cast("array<string>"))]
+            some = []
+    parts += [F.array(*some)] if some else []
+    violations = F.filter(F.concat(*parts), lambda v: v.isNotNull())
+    out = shapes.select(*kept, F.when(F.col("_brackwater_root").isNotNull(), violations).otherwise(F.array(F.lit("json"))).alias("violations"))
     return out.withColumn("valid", F.size("violations") == 0)

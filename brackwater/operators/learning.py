@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from brackwater.operators.exploration import percentiles
 from brackwater.operators.metrics import confusion, rates, roc_auc
-from brackwater.session import cut_lineage, shared_dir
+from brackwater.session import cut_lineage, remove_folder, shared_dir
 
 
 def finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -196,6 +196,7 @@ def production_check(fitted, df: DataFrame, label: str = "label", rows: int = 10
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     fitted.write().save(path)
     size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
+    remove_folder(spark, path)
     half = probabilities(fitted, df.filter(F.rand(seed) < 0.5))
     f1 = rates(confusion(half, F.col(label), F.col("predicted"))).first()["f1"]
     return spark.createDataFrame([(each, size / 2**20, float(f1))], "inference_time_ms double, model_size_mb double, robustness_f1 double")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackwater.functions.network import is_ipv4
+from brackwater.operators.ranks import row_numbers
 from brackwater.operators.scoring import Client, confidence, enrich_indicators, offline_client
 
 # Days an indicator lives, by type.
@@ -119,16 +120,9 @@ def blocklist_ip(found: DataFrame) -> DataFrame:
 
 
 def numbered(found: DataFrame, start: int = 1_000_001) -> DataFrame:
-    """Candidates with `sid`: start plus the rank over all of them, (risk_score desc, seq, indicator).
-
-    The rank is the rank inside a risk score plus the number of candidates with a higher one: there are 101 scores, so the
-    totals are a small table and no partition needs every row of other scores. (A hot score is one partition's sort.)
-    """
-    per = found.groupBy("risk_score").agg(F.count("*").alias("n"))
-    above = Window.partitionBy(F.lit(1)).orderBy(F.desc("risk_score")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("risk_score", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("risk_score").orderBy("seq", "indicator"))
-    return found.withColumn("_in", inside).join(F.broadcast(per), "risk_score").withColumn("sid", F.lit(start) + F.col("before") + F.col("_in") - 1).drop("before", "_in")
+    """Candidates with `sid`: start plus the rank over all of them, (risk_score desc, seq, indicator), from range partitions: no risk
+    score is one task."""
+    return row_numbers(found, *_order(), name="sid").withColumn("sid", F.col("sid") + F.lit(start - 1))
 
 
 def suricata_rules(found: DataFrame, start: int = 1_000_001) -> DataFrame:

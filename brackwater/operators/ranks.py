@@ -41,6 +41,15 @@ def running_totals(df: DataFrame, value: str, counts: Sequence[str], by: Sequenc
     return out.withColumns({f"cum_{c}": F.col(f"_i_{c}") + F.col(f"_b_{c}") for c in counts}).drop("_part", *[f"_{k}_{c}" for k in "ib" for c in counts])
 
 
+def row_numbers(df: DataFrame, *order: Column | str, name: str = "nth", parts: int | None = None) -> DataFrame:
+    """Adds the number of each row (from 1) in an order without ties: rows are numbered inside their range partition, and the rows of
+    the partitions before are added from a table with one row a partition."""
+    rows = ranged(df, *order, parts=parts)
+    held = _before(rows.groupBy("_part").agg(F.count("*").alias("_n")), [], ["_n"]).select("_part", "_b__n")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn(name, inside).join(F.broadcast(held), "_part").withColumn(name, F.col(name) + F.col("_b__n")).select(*df.columns, name)
+
+
 def group_percentiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], parts: int | None = None) -> DataFrame:
     """by and `q`: the exact percentiles of each group at `shares`, between two values in proportion. Rows without a value or a group
     are left out.

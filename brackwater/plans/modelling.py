@@ -7,7 +7,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from brackwater.operators import attributions, documents, exploration, information, isolation, learning, metrics
+from brackwater.operators import attributions, boosting, documents, exploration, information, isolation, learning, metrics
 from brackwater.plans import adapters as ad
 from brackwater.plans.registry import query
 from brackwater.session import table
@@ -160,9 +160,14 @@ query("mi_neighbours", f"""{_information_sql("CAST(floor(quantity / 10) AS INTEG
 query("smote")(lambda spark, d: learning.smote(ad.flows(spark, d), COLUMNS, "label").groupBy("label").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in COLUMNS]))
 
 
+def _split_flows(spark, d):
+    """All flows with `held_out`: a third, by a hash of the key."""
+    return ad.flows(spark, d).withColumn("held_out", F.crc32(F.concat_ws(":", "l_orderkey", "l_linenumber").cast("binary")) % 3 == 1)
+
+
 def _trained(spark, d, kind, **params):
-    """A model of two thirds of the flows (by a hash of the key), and all flows with `held_out`, the rest."""
-    f = ad.flows(spark, d).withColumn("held_out", F.crc32(F.concat_ws(":", "l_orderkey", "l_linenumber").cast("binary")) % 3 == 1)
+    """A model of the flows that are not held out, and all flows."""
+    f = _split_flows(spark, d)
     return learning.train_classifier(f.filter("NOT held_out"), kind, COLUMNS, **params), f
 
 
@@ -174,6 +179,14 @@ def _model(kind, **params):
     return run
 
 
+@query("hist_boosting")
+def hist_boosting(spark, d):
+    """Histogram boosting with row and column sampling on two thirds of the flows; all are scored."""
+    f = _split_flows(spark, d)
+    model = boosting.fit(f.filter("NOT held_out"), COLUMNS, "label", ("l_orderkey", "l_linenumber"), rounds=10, depth=4)
+    return boosting.predict(f, model).select("l_orderkey", "l_linenumber", "label", "held_out", "score", "predicted")
+
+
 @query("tree_contributions")
 def tree_contributions(spark, d):
     """What each column adds to the margin of boosted trees, for every flow."""

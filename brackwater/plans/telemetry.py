@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brackwater.functions import network, scalars
@@ -43,13 +43,17 @@ def _written(spark, name: str) -> str:
 
 @query("lines_scan", f"""WITH {ad.PARSED} SELECT coalesce(error_code, log_type) AS kind, count(*) AS n, min(line_number) AS first_line, max(line_number) AS last_line FROM parsed GROUP BY 1""")
 def lines_scan(spark, d):
-    """The log lines written as one text file, in order, and read again with their numbers."""
+    """The log lines written as many text files, in order, and read again in one scan; a line's number is that within its file and
+    the lines of the files before."""
     path = _written(spark, "lines")
     lines = ad.log_lines(spark, d)
-    writers.write_lines(lines, path, ["line_number"])
-    found = logs.parse_lines(logs.read_lines(spark, path))
-    first = lines.agg(F.min("line_number")).first()[0] - 1
-    return found.groupBy(F.coalesce("error_code", "log_type").alias("kind")).agg(F.count("*").alias("n"), (F.min("line_number") + first).alias("first_line"), (F.max("line_number") + first).alias("last_line"))
+    lines.repartitionByRange(16, "line_number").sortWithinPartitions("line_number").select("line").write.text(path)
+    rows = logs.numbered_lines(spark, path)
+    before = Window.partitionBy(F.lit(1)).orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = rows.groupBy("file_path").agg(F.max("line_number").alias("n")).select("file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    first = lines.agg((F.min("line_number") - 1).alias("first"))
+    numbered = rows.join(F.broadcast(files), "file_path").crossJoin(F.broadcast(first)).select((F.col("line_number") + F.col("before") + F.col("first")).alias("line_number"), "line")
+    return logs.parse_lines(numbered).groupBy(F.coalesce("error_code", "log_type").alias("kind")).agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"))
 
 
 @query("jsonl_scan", f"""WITH {ad.PARSED} SELECT line_number, source_ip, "user", action, bytes, dns_domain FROM parsed WHERE error_code IS NULL""")

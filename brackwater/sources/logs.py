@@ -5,7 +5,9 @@ Everything is a projection over built-in functions, so it works on streams as we
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ EVENT_COLUMNS = ("line_number", "event_id", "timestamp", "source_ip", "target_ip
 MOST_SPLITS = 100_000
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path's files as `file_path`, `line_number` (1-based within a file, blank lines counted) and `line`.
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The files of one path or several, in one scan, as `file_path`, `line_number` (1-based within a file, blank lines counted) and `line`.
 
     Spark gives rows of a text file no numbers, but rows of one split keep their order, and a split knows where in its file it
     begins. So lines are numbered inside their splits, and the lines of the splits before are added from a table with one row
@@ -39,12 +41,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """file_number (in the order of paths), line_number (1-based within its file, blank lines counted) and line, without
-    blank lines. A path that is not there is an error."""
-    out = None
-    for n, path in enumerate([paths] if isinstance(paths, str) else paths):
-        one = numbered_lines(spark, path).withColumn("file_number", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return out.filter(F.trim("line") != "").select("file_number", "line_number", "line")
+    blank lines. All files are one scan; a file that two paths name counts for both. A path that is not there is an error."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    named = [(unquote(f), n) for n, p in enumerate(paths) for f in sorted(set(spark.read.text(p).inputFiles()))]
+    rows = numbered_lines(spark, sorted({f for f, _ in named})).filter(F.trim("line") != "")
+    if len(paths) == 1:
+        return rows.select(F.lit(0).alias("file_number"), "line_number", "line")
+    # local files are named with one slash or three, and with or without escapes
+    numbers = spark.createDataFrame([(re.sub("^file:/+", "file:/", f), n) for f, n in named], "file_path string, file_number int")
+    plain = F.regexp_replace(F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    return rows.withColumn("file_path", plain).join(numbers, "file_path").select("file_number", "line_number", "line")
 
 
 def _part(parts: Column, i: int) -> Column:

@@ -20,6 +20,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_enrichment(enriched: DataFrame, path: str) -> None:
+    """Scored indicators with their feeds' answers, nested, one JSON object a row; nulls are written out."""
+    write_jsonl(enriched.select("indicator", "type", "risk_score", "risk_tier", "tags", "sources", "enrichment"), path)
+
+
 def write_lines(df: DataFrame, path: str, order: list, header: list[str] = ()) -> None:
     """The column `line`, in order, as one text file behind the header. For exports that a device loads whole: blocklists
     are bounded by what it can hold."""

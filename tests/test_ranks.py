@@ -23,6 +23,16 @@ def test_running_totals(spark, parts):
     assert ranks.running_totals(df.limit(0), "v", ["n"], parts=parts).count() == 0
 
 
+def test_row_numbers(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(r), i) for i, r in enumerate(rng.integers(0, 3, 500))]
+    df = spark.createDataFrame(rows, "risk int, seq int").repartition(6)
+    want = {r: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
+    for parts in (None, 1, 40):
+        assert {(r.risk, r.seq): r.nth for r in ranks.row_numbers(df, F.desc("risk"), "seq", parts=parts).collect()} == want
+    assert ranks.row_numbers(df.limit(0), "seq").count() == 0
+
+
 @pytest.mark.parametrize("parts", [None, 1, 9])
 def test_group_percentiles(spark, parts):
     rng = np.random.default_rng(2)

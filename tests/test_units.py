@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions import network, scalars
 from brackwater.operators import dataset_quality, documents, exploration, features, isolation, learning, lifecycle, metrics, record_quality, scoring
-from brackwater.sources import cache_log, generators, indicators, logs, tables, writers
+from brackwater.sources import cache_log, generators, indicators, logs, reports, tables, writers
 from brackwater.streaming import live
 
 NOW = dt.datetime(2026, 7, 20, tzinfo=dt.timezone.utc)
@@ -62,6 +62,16 @@ def test_files_and_events(spark, tmp_path):
     assert '"user":null' in (next((tmp_path / "out").glob("part*")).read_text())
 
 
+def test_many_files_in_one_scan(spark, tmp_path):
+    (tmp_path / "with space").mkdir()
+    for name, text in (("with space/a b.log", "one\n\ntwo\n"), ("x.log", "three\n"), ("with space/c%20d.log", "four\n")):
+        (tmp_path / name).write_text(text)
+    got = logs.read_lines(spark, [f"{tmp_path}/x.log", f"{tmp_path}/with space", f"{tmp_path}/x.log"]).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, "three"), (1, 1, "four"), (1, 1, "one"), (1, 3, "two"), (2, 1, "three")]
+    with pytest.raises(Exception, match="none.log"):
+        logs.read_lines(spark, [f"{tmp_path}/x.log", f"{tmp_path}/none.log"])
+
+
 def test_line_numbers_over_splits(spark, tmp_path):
     lines = [f"line {i} " + "x" * (i % 50) if i % 10 else "" for i in range(1, 3001)]
     (tmp_path / "in").mkdir()
@@ -594,6 +604,30 @@ def test_reports(spark):
     assert "Retrain" in writers.drift_markdown(drift)
 
 
+def test_reports_with_content(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, None), ("b", 2, 0.5)], "entity_id string, window_start int, failed_login_ratio double")
+    checks = dataset_quality.all_checks(df, ["entity_id", "window_start", "failed_login_ratio", "geo_velocity"], ["entity_id", "window_start"])
+    got = {r.check_name: (r.status, r.affected, r.total) for r in checks.collect()}
+    assert got["missing_columns"] == ("FAIL", 1, 3) and got["missing: failed_login_ratio"] == ("FAIL", 1, 3) and got["range: failed_login_ratio"] == ("FAIL", 1, 3) and got["duplicate_keys"] == ("FAIL", 1, 3) and got["extra_columns"][0] == "PASS"
+    text = reports.quality_report(checks)
+    assert text.index("missing_columns") < text.index("extra_columns") and "<b>4</b>FAIL" in text and "unit and the source" in text and text.count("<tr>") == len(got) + 1
+    rates = metrics.rates(spark.createDataFrame([(5, 1, 2, 4)], "tn long, fp long, fn long, tp long"))
+    scored = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.6)], "y int, s double")
+    text = reports.evaluation_report("Model <1>", rates, metrics.threshold_sweep(scored, "y", "s", [0.3, 0.5]), spark.createDataFrame([("x", 0.5), ("z", 0.7)], "feature string, mean_abs double"), spark.createDataFrame([("web", 1, 2)], "category string, false_positives long, false_negatives long"))
+    assert "Model &lt;1&gt;" in text and "<b>0.750</b>accuracy" in text and "<td>5</td><td>1</td>" in text and "Best F1 at 0.3" in text and text.index(">z<") < text.index(">x<") and ">web<" in text
+    rows = [("1.1.1.1", "ipv4", "active", "HIGH", 60, 80), ("x.org", "domain", "active", "CRITICAL", 90, 50), ("y", "odd", "expired", None, 10, 90), ("<z>", "url", "active", "strange", 70, 99)]
+    store = spark.createDataFrame(rows, "indicator string, type string, status string, risk_tier string, risk_score int, confidence int")
+    n = reports.store_figures(store)
+    assert n["all"] == {"all": 4, "confident": 2} and n["status"] == {"active": 3, "expired": 1, "revoked": 0} and n["tier"] == {"CRITICAL": 1, "HIGH": 1, "SUSPICIOUS": 0, "CLEAN": 1} and n["type"]["other"] == 1
+    text = reports.executive_report(store)
+    assert "&lt;z&gt;" in text and "<z>" not in text and text.index("x.org") < text.index("&lt;z&gt;") < text.index("1.1.1.1") and "expired</div>" in text
+    assert reports.store_lines(store).splitlines()[1] == "status: active 3, expired 1, revoked 0"
+    assert reports.text_table(store.orderBy("indicator"), ["indicator", "type"]).splitlines()[2].split() == ["1.1.1.1", "ipv4"]
+    writers.write_enrichment(scoring.enrich_indicators(store), f"{tmp_path}/enriched")
+    back = [json.loads(x) for p in (tmp_path / "enriched").glob("part*") for x in p.read_text().splitlines()]
+    assert len(back) == 4 and all(set(r["enrichment"]) == set(scoring.FEEDS) and "owner" in r["enrichment"]["virustotal"] for r in back)
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = [f"2026-07-18 14:{i // 60:02d}:{i % 60:02d} u h FAILURE 9.9.9.9" for i in range(0, 120, 30)] + ["2026-07-18T14:30:00Z,192.168.7.21,10.4.0.9,8443,ALLOW,5120", "junk", "2026-07-18T20:30:00Z,192.168.7.21,10.0.0.50,443,ALLOW,15234"]
