@@ -11,7 +11,7 @@ shuffled, and no document meets another. A document leaves the refinement when i
 for a run of a longer period, or when the period is too long for its words.
 
 Defined cases: a null text has no words, no runs and an empty rest; a text of any length is worked through whole (a slice of
-its own, about 100 bytes of memory a word); repeated rows have equal results; an empty table gives an empty table; columns
+its own, about 200 bytes of memory a word); repeated rows have equal results; an empty table gives an empty table; columns
 not asked for are not read.
 """
 

@@ -12,8 +12,8 @@ their hash:
 
 1. a chunk asks about its distinct anchors (48 bits) and with how many surroundings it has them; the block marks those that
    another chunk has, and those with more surroundings than `most_group`;
-2. for the marked ones the chunk sends each distinct surrounding once (hash of the anchor, and of all bytes that a string with
-   this anchor can have), with its first place; the block says whether it was there earlier, and whether it is one of several;
+2. for the marked ones the chunk sends each distinct surrounding once (64 bits of hash of the anchor, and 64 of all bytes that a
+   string with this anchor can have; equal hashes count as equal bytes), with its first place; the block says whether it was there earlier, and whether it is one of several;
 3. only of first ones among several the bytes travel, and the block sorts their suffixes;
 4. the chunk removes the bytes of all strings found earlier.
 
