@@ -39,13 +39,44 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
 
 
+def test_rows_follow_threshold_and_hashes():
+    assert similar.bands_for() == (18, 5)
+    for threshold in (0.3, 0.5, 0.7, 0.9, 1.0):
+        bands, rows = similar.bands_for(threshold)
+        assert 1 - (1 - threshold**rows) ** bands >= 0.999 and bands * rows <= 128
+    assert similar.bands_for(0.9)[1] > similar.bands_for(0.5)[1] and similar.bands_for(0.01)[1] == 1
+
+
+def test_tiles_count_every_pair_once():
+    rng = np.random.default_rng(5)
+    members = [np.unique(rng.choice(40, 30)).astype(np.uint64) for _ in range(50)]
+    bands, weight = rng.integers(0, 3, (50, 4)), rng.integers(1, 4, 50)
+    for sides in (np.zeros(50, int), rng.integers(0, 2, 50)):
+        whole = similar.block_links(members, 2, bands, sides, weight, 0.3)
+        for tile in (1, 7, 50):
+            cut = similar.tiled_links(members, 2, bands, sides, weight, 0.3, tile)
+            assert all(np.array_equal(a, b) for a, b in zip(whole, cut, strict=True)) and whole[1].sum() > 50
+
+
+def test_rows_with_equal_first_hashes(spark, monkeypatch):
+    """Rows whose first hash is one and the same are told apart by the second."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(similar, "_row_id", lambda key, text: F.lit(1).cast("long"))
+    docs = spark.createDataFrame([(i, " ".join(f"{'abcd'[i // 3]}{j}" for j in range(40)) + " end" * (i % 3)) for i in range(12)], "doc_id long, text string")
+    joined = similar.jaccard_join(docs)
+    assert got(joined) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert joined.select("root").distinct().count() == 4
+    assert sorted(r.doc_id for r in similar.one_of_each(docs, joined).collect()) == [0, 3, 6, 9]
+
+
 def test_documents(spark):
     docs = table(spark, DIR, "documents")
     assert got(similar.jaccard_join(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("block", [128, 7])
-def test_groups_of_near_copies(spark, block):
+@pytest.mark.parametrize(("block", "block_bytes"), [(128, 1 << 20), (7, 1 << 20), (128, 1500)])
+def test_groups_of_near_copies(spark, block, block_bytes):
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(500)]
     rows, k = [], 0
@@ -59,7 +90,7 @@ def test_groups_of_near_copies(spark, block):
             k += 1
     rows += [(100, None), (101, ""), (102, "  "), (103, "one two"), (104, "one  two\n"), (105, "one three"), (None, "one two"), (106, rows[0][1]), (106, rows[0][1]), (107, "a"), (None, None)]
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, band string")
-    joined = similar.jaccard_join(docs, block=block)
+    joined = similar.jaccard_join(docs, block=block, block_bytes=block_bytes)
     assert got(joined) == brute(rows)
     kept = Counter(r.doc_id for r in similar.one_of_each(docs, joined).collect())
     classes = {r.class_id for r in joined.collect()}
