@@ -131,9 +131,12 @@ def _child(value: Column, *names: str) -> Column:
 
 
 def _shape(value: Column, rule: Rule) -> Column:
-    """Null where the type is wrong; the items of an array, else true."""
+    """Null where the type is wrong; the items of an array, else true. Objects are told by a cast that reads no field, as
+    their schema would be built from all that they hold."""
     if rule.type == "array":
         return F.try_variant_get(value, "$", _LIST)
+    if rule.type == "object":
+        return F.when(F.try_variant_get(value, "$", "struct<>").isNotNull(), F.lit(True))
     return F.when(F.schema_of_variant(value).rlike(_KINDS[rule.type]), F.lit(True))
 
 
@@ -154,8 +157,9 @@ def _fault(value: Column, shape: Column, owned: Column, rule: Rule) -> Column:
     return out
 
 
-def _item_faults(value: Column, owned: Column, node: _Node) -> Column:
-    """The kind of violation, or null, of an item and of all below it, in the order of `paths`; each value is taken out once."""
+def _item_faults(value: Column, owned: Column, node: _Node, named: bool = False) -> Column:
+    """The kind of violation, or null, of an item and of all below it, in the order of `paths`; each value is taken out once.
+    `named`: the value is a lambda's variable already. The shape of a value that holds no others is used once and needs no name."""
 
     def with_shape(v: Column, s: Column) -> Column:
         parts = [F.array(_fault(v, s, owned, node.rule))]
@@ -163,13 +167,18 @@ def _item_faults(value: Column, owned: Column, node: _Node) -> Column:
         parts += [_first_faults(s, node.item)] if node.item else []
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    return let({"v": value}, lambda b: let({"s": _shape(b["v"], node.rule)}, lambda c: with_shape(b["v"], c["s"])))
+    def shaped(v: Column) -> Column:
+        if not node.fields and not node.item:
+            return with_shape(v, _shape(v, node.rule))
+        return let({"s": _shape(v, node.rule)}, lambda c: with_shape(v, c["s"]))
+
+    return shaped(value) if named else let({"v": value}, lambda b: shaped(b["v"]))
 
 
 def _first_faults(items: Column, node: _Node) -> Column:
     """The first fault of each rule among the items of an array."""
     size = len(node.paths())
-    rows = F.transform(F.coalesce(items, F.array().cast(_LIST)), lambda x: _item_faults(x, F.lit(True), node))
+    rows = F.transform(F.coalesce(items, F.array().cast(_LIST)), lambda x: _item_faults(x, F.lit(True), node, named=True))
     first = lambda r, i: F.get(F.filter(F.transform(r, lambda row: row[i]), lambda k: k.isNotNull()), F.lit(0))
     return let({"r": rows}, lambda b: F.array(*[first(b["r"], i) for i in range(size)]))
 
@@ -193,7 +202,7 @@ def validate(docs: DataFrame, json: str = "json", rules: tuple[Rule, ...] = RULE
 
     walk(_tree(rules), (), "_brackwater_root")
     parsed = docs.withColumn("_brackwater_doc", F.try_parse_json(json))
-    root = F.when(F.schema_of_variant("_brackwater_doc").rlike("^OBJECT"), F.lit(True))
+    root = _shape(F.col("_brackwater_doc"), Rule("", "object"))
     values = parsed.select("*", root.alias("_brackwater_root"), *[_child(F.col("_brackwater_doc"), *path).alias(f"_brackwater_v{i}") for i, (_, path, _) in enumerate(nodes)])
     shapes = values.select("*", *[_shape(F.col(f"_brackwater_v{i}"), node.rule).alias(f"_brackwater_s{i}") for i, (node, _, _) in enumerate(nodes)])
     parts, some = [], []
