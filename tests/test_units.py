@@ -648,3 +648,18 @@ def test_streams(spark, tmp_path):
     assert run(live.rapid_stream(good), "rapid").count() == 1
     assert run(live.without_duplicates(good.withColumn("event_id", F.sha2("original_line", 256))), "once").count() == 7
     assert math.isfinite(spark.range(1).count())
+
+
+def test_document_rules_in_nested_arrays(spark):
+    R = documents.Rule
+    rules = (R("a", "array"), R("a[]", "array", min_items=1), R("a[][]", "object"), R("a[][].b", "object", True), R("a[][].b.c", "number", high=5.0))
+    cases = {
+        '{"a": [[{"b": {"c": 1}}], [{"b": {}}]]}': [],
+        '{"a": [[], [{"b": {"c": 9}}]]}': ["a[]: items", "a[][].b.c: range"],
+        '{"a": [["x"], "y"]}': ["a[]: type", "a[][]: type"],
+        '{"a": [[{}, {"b": [1]}]]}': ["a[][].b: required"],
+        '{"a": {}}': ["a: type"],
+        "[]": ["json"],
+    }
+    got = documents.validate(spark.createDataFrame([(k,) for k in cases], "json string"), rules=rules)
+    assert {r.json: r.violations for r in got.collect()} == cases
