@@ -1,5 +1,6 @@
 """Parsing, rules, windows, stores, models, sinks and streams on small frames."""
 
+import base64
 import datetime as dt
 import ipaddress
 import json
@@ -133,6 +134,22 @@ def test_folds_and_checks(spark):
     assert base.count() == df.filter("id % 2 = 1 AND label = 1").count()
 
 
+def test_folds_are_exact_over_parts(spark):
+    df = spark.range(1003).selectExpr("id", "CASE WHEN id < 3 THEN 'few' WHEN id < 1000 THEN 'many' END AS label")
+    for folds in (1, 5):
+        rows = learning.stratified_folds(df, "label", folds, part_rows=50).collect()
+        assert len(rows) == 1000 and len({r.id for r in rows}) == 1000
+        for label, n in (("few", 3), ("many", 997)):
+            got = [sum(r.label == label and r.fold == f for r in rows) for f in range(folds)]
+            assert got == [n // folds + (f < n % folds) for f in range(folds)]
+    assert len({r.fold for r in rows if 500 <= r.id < 520}) > 1
+
+
+def test_long_url_ids_have_no_line_breaks(spark):
+    url = "https://host.example/" + "a~" * 90
+    assert spark.createDataFrame([(url,)], "u string").select(scalars.url_id(F.col("u"))).first()[0] == base64.urlsafe_b64encode(url.encode()).decode().rstrip("=")
+
+
 def test_feed_answers_odd(spark):
     kind = "indicator string, type string, virustotal string, virustotal_code int, abuseipdb string, abuseipdb_code int, alienvault_otx string, alienvault_otx_code int"
     rows = [("a", "ipv4", None, 200, "[1]", 200, "x", 200), ("b", "url", "{}", 200, "{}", 200, "{}", 200), ("c", "ipv4", None, None, "{}", 404, None, 404)]
