@@ -143,7 +143,7 @@ def pipeline(model, numeric: Sequence[str], categorical: Sequence[str] = ()) ->
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     """Adds `weight`: rows / (classes x rows of the class)."""
-    n = df.groupBy(label).agg(F.count("*").alias("_n"))
+    n = cut_lineage(df.groupBy(label).agg(F.count("*").alias("_n")))  # counted once, however often the result is read
     total = n.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     return df.join(F.broadcast(n), label).join(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
 
@@ -158,14 +158,28 @@ def train_classifier(df: DataFrame, kind: str, numeric: Sequence[str], categoric
 
 
 def stratified_folds(df: DataFrame, label: str, folds: int, seed: int = 42, part_rows: int = 1_000_000) -> DataFrame:
-    """Adds `fold`, 0 to folds - 1: the rows of each label are dealt in turn in a random order, whatever their values. Labels with
-    many rows are dealt in parts of about `part_rows`, so folds of a label differ by one row a part at most. The folds are
-    checkpointed: they are drawn once, and every model sees the same ones."""
-    sizes = df.groupBy(label).agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("_parts"))
-    drawn = df.withColumns({"_u": F.rand(seed), "_v": F.rand(seed + 1)}).join(F.broadcast(sizes), label)
-    drawn = drawn.withColumn("_part", F.floor(F.col("_u") * F.col("_parts")))
-    place = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_v"))
-    return cut_lineage(drawn.withColumn("fold", ((place - 1 + F.col("_part")) % folds).cast("int")).drop("_u", "_v", "_part", "_parts"))
+    """Adds `fold`, 0 to folds - 1: each row draws a number, and the rows of a label are cut in its order into folds that differ by
+    one row at most, the first ones being the larger. Rows are neither moved nor put in order: counts of parts of about
+    `part_rows` rows of a label say in which part each cut lies, and only those parts are ranked to find the number that a fold
+    begins with. The draw is checkpointed: every model sees the same folds."""
+    df = df.filter(F.col(label).isNotNull())
+    if folds < 2:
+        return df.withColumn("fold", F.lit(0))
+    sizes = cut_lineage(df.groupBy(label).agg(F.count("*").alias("_n")))
+    drawn = cut_lineage(df.withColumn("_draw", F.struct(F.rand(seed).alias("u"), F.rand(seed + 1).alias("v"))))
+    spread = drawn.select(label, "_draw").join(F.broadcast(sizes), label).withColumn("_part", F.floor(F.col("_draw.u") * F.ceil(F.col("_n") / F.lit(part_rows))))
+    earlier = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = spread.groupBy(label, "_part", "_n").agg(F.count("*").alias("_own")).withColumn("_before", F.coalesce(F.sum("_own").over(earlier), F.lit(0)))
+    # the rank (from 0) that each fold but the first begins with
+    ranks = F.array(*[F.expr(f"{i} * (_n div {folds}) + least({i}, _n % {folds})") for i in range(1, folds)])
+    cuts = parts.select(label, "_part", "_before", "_own", F.explode(ranks).alias("_rank"))
+    cuts = cuts.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_own"))).groupBy(label, "_part", "_before").agg(F.collect_list("_rank").alias("_ranks"))
+    place = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_draw")) - 1 + F.col("_before")
+    begins = spread.join(F.broadcast(cuts), [label, "_part"]).withColumn("_place", place).filter(F.array_contains("_ranks", F.col("_place").cast("long")))
+    # a label of fewer rows than folds has fewer cuts: its rows are the first folds
+    begins = begins.groupBy(label).agg(F.collect_list("_draw").alias("_begins"))
+    fold = F.aggregate(F.coalesce("_begins", F.array().cast("array<struct<u: double, v: double>>")), F.lit(0), lambda n, b: n + (F.col("_draw") >= b).cast("int"))
+    return drawn.join(F.broadcast(cut_lineage(begins)), label, "left").withColumn("fold", fold).select(*df.columns, "fold")
 
 
 CV_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
@@ -173,7 +187,7 @@ CV_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
 def cross_validate(df: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequence[str] = (), label: str = "label", folds: int = 5, seed: int = 42, **params) -> DataFrame:
     """metric, mean and deviation over stratified folds of each of CV_METRICS; a model learns from the other folds alone."""
-    data = stratified_folds(df, label, folds, seed)
+    data = stratified_folds(df.select(*numeric, *categorical, label), label, folds, seed)
     rows = []
     for i in range(folds):
         fitted = train_classifier(data.filter(F.col("fold") != i), kind, numeric, categorical, label, seed, **params)
@@ -210,7 +224,7 @@ def search(df: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequen
     picked = [options[i] for i in rng.permutation(len(options))[:n_iter]]
     model = cls(featuresCol="features", labelCol=label, weightCol="weight")
     maps = [{model.getParam(k): v for k, v in o.items()} for o in picked]
-    data = stratified_folds(balanced(df, label), label, folds, seed)
+    data = stratified_folds(balanced(df.select(*numeric, *categorical, label), label), label, folds, seed)
     judge = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
     found = CrossValidator(estimator=pipeline(model, numeric, categorical), estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism).fit(data)
     return found.bestModel, list(zip(picked, found.avgMetrics, strict=True))
