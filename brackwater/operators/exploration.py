@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brackwater.operators.ranks import group_percentiles
+from brackwater.session import cut_lineage
 
 
 def percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
@@ -103,10 +104,12 @@ def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     return df.join(F.broadcast(q)).groupBy("q1", "q3", "lower", "upper").agg(outside.alias("outliers"), (outside * 100.0 / F.count("*")).alias("pct"))
 
 
-def clip_by_label(df: DataFrame, column: str, label: str, share: float = 0.99) -> DataFrame:
-    """Rows at or below their label's exact percentile; rows without a label or a value are left out."""
-    tops = group_percentiles(df, [label], column, [share]).select(label, F.col("q")[0].alias("_top"))
-    return df.join(tops, label).filter(F.col(column) <= F.col("_top")).drop("_top")
+def clip_by_label(df: DataFrame, column: str, label: str, share: float = 0.99, most_broadcast: int = 100_000) -> DataFrame:
+    """Rows at or below their label's exact percentile; rows without a label or a value are left out. The labels' bounds are
+    broadcast up to `most_broadcast` labels, so a label with most rows is not one task."""
+    tops = cut_lineage(group_percentiles(df, [label], column, [share]).select(label, F.col("q")[0].alias("_top")))
+    small = tops.limit(most_broadcast + 1).count() <= most_broadcast
+    return df.join(F.broadcast(tops) if small else tops, label).filter(F.col(column) <= F.col("_top")).drop("_top")
 
 
 def alerts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

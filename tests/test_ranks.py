@@ -140,3 +140,11 @@ def test_correlations_of_many_columns(spark):
         else:
             assert abs(got[names[a], names[b]] - np.corrcoef(x[use, a], x[use, b])[0, 1]) < 1e-9
     assert all(r.r is None for r in exploration.correlations(df.limit(0), names[:3]).collect())
+
+
+def test_clip_does_not_shuffle_rows_by_label(spark):
+    df = spark.range(2000).selectExpr("id", "CAST(id % 2 AS INT) AS label", "CAST(id AS DOUBLE) AS v")
+    out = exploration.clip_by_label(df, "v", "label")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(label" not in plan
+    assert out.count() == exploration.clip_by_label(df, "v", "label", most_broadcast=0).count() == 1980
