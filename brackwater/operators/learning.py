@@ -157,11 +157,11 @@ def train_classifier(df: DataFrame, kind: str, numeric: Sequence[str], categoric
     return pipeline(model, numeric, categorical).fit(balanced(df, label))
 
 
-def stratified_folds(df: DataFrame, label: str, folds: int, seed: int = 42, part_rows: int = 1_000_000) -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, folds: int, seed: int = 42, part_rows: int = 100_000) -> DataFrame:
     """Adds `fold`, 0 to folds - 1: each row draws a number, and the rows of a label are cut in its order into folds that differ by
     one row at most, the first ones being the larger. Rows are neither moved nor put in order: counts of parts of about
     `part_rows` rows of a label say in which part each cut lies, and only those parts are ranked to find the number that a fold
-    begins with. The draw is checkpointed: every model sees the same folds."""
+    begins with. Draws and folds are checkpointed: every model sees the same ones."""
     df = df.filter(F.col(label).isNotNull())
     if folds < 2:
         return df.withColumn("fold", F.lit(0))
@@ -177,9 +177,9 @@ def stratified_folds(df: DataFrame, label: str, folds: int, seed: int = 42, part
     place = F.row_number().over(Window.partitionBy(label, "_part").orderBy("_draw")) - 1 + F.col("_before")
     begins = spread.join(F.broadcast(cuts), [label, "_part"]).withColumn("_place", place).filter(F.array_contains("_ranks", F.col("_place").cast("long")))
     # a label of fewer rows than folds has fewer cuts: its rows are the first folds
-    begins = begins.groupBy(label).agg(F.collect_list("_draw").alias("_begins"))
-    fold = F.aggregate(F.coalesce("_begins", F.array().cast("array<struct<u: double, v: double>>")), F.lit(0), lambda n, b: n + (F.col("_draw") >= b).cast("int"))
-    return drawn.join(F.broadcast(cut_lineage(begins)), label, "left").withColumn("fold", fold).select(*df.columns, "fold")
+    begins = cut_lineage(begins.groupBy(label).agg(F.sort_array(F.collect_list("_draw")).alias("_begins")))
+    fold = sum((F.coalesce((F.col("_draw") >= F.get("_begins", F.lit(i))).cast("int"), F.lit(0)) for i in range(folds - 1)), F.lit(0))
+    return cut_lineage(drawn.join(F.broadcast(begins), label, "left").withColumn("fold", fold).select(*df.columns, "fold"))
 
 
 CV_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
