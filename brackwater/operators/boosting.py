@@ -1,6 +1,7 @@
 """Histogram boosting for binary labels: gradient and hessian histograms added up in Spark, level by level.
 
-Values become bin numbers once (cut points are a bounded list for each column), kept with label and margin in a checkpoint. For
+Values become bin numbers once (cut points are a bounded list for each column), kept with label and margin in a checkpoint, whose
+rows each hold the arrays of some thousand rows, so a pass costs array operations alone. For
 each level of a tree a task adds up gradients and hessians of its rows by (node, column, bin); the histograms of all tasks
 are added by node, and the driver, which holds one histogram a node, picks the splits. Sums are of whole numbers (2**-26), so
 trees do not depend on partitions, batches or the order of tasks. Rows are sampled anew for each tree by a hash of the key,
@@ -9,7 +10,7 @@ columns by a seeded draw.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,12 +42,38 @@ class Tree:
 
     def find(self, codes: np.ndarray, depth: int) -> np.ndarray:
         """The node of each row after `depth` steps."""
-        at = np.zeros(len(codes), np.int64)
+        return self.finder(depth)(codes)
+
+    def finder(self, depth: int) -> Callable[[np.ndarray], np.ndarray]:
+        """`find` for many batches. A row asks all nodes at once: a table for each column has the answers of a bin as bits, one for each
+        node that splits on it, and the bits of all columns are the place of the row's node in a table. Trees of more than
+        16 inner nodes are walked."""
         feature, cut, left, right = (np.array(a) for a in (self.feature, self.cut, self.left, self.right))
-        rows = np.arange(len(codes))
+        inner = np.flatnonzero(left != np.arange(len(left)))
+        if len(inner) > 16:
+
+            def walk(codes: np.ndarray) -> np.ndarray:
+                at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+                for _ in range(depth):
+                    at = np.where(codes[rows, feature[at]] <= cut[at], left[at], right[at])
+                return at
+
+            return walk
+        bit = np.zeros(len(left), np.int64)
+        bit[inner] = np.arange(len(inner))
+        pattern = np.arange(1 << len(inner))
+        at = np.zeros(len(pattern), np.int64)
         for _ in range(depth):
-            at = np.where(codes[rows, feature[at]] <= cut[at], left[at], right[at])
-        return at
+            at = np.where((pattern >> bit[at]) & 1, left[at], right[at])  # a leaf leads to itself both ways
+        answers = {int(j): sum(((np.arange(256) <= cut[i]).astype(np.uint16) << np.uint16(bit[i]) for i in inner[feature[inner] == j]), np.zeros(256, np.uint16)) for j in set(feature[inner].tolist())}
+
+        def look_up(codes: np.ndarray) -> np.ndarray:
+            found = np.zeros(len(codes), np.uint16)
+            for j, bits in answers.items():
+                found |= bits[codes[:, j]]
+            return at[found]
+
+        return look_up
 
 
 @dataclass
@@ -66,10 +93,18 @@ class Boosted:
         return out
 
     def margin(self, codes: np.ndarray) -> np.ndarray:
-        out = np.full(len(codes), self.base)
-        for t in self.trees:
-            out += np.array(t.value)[t.find(codes, self.depth)]
-        return out
+        return self.adder(self.trees)(codes, np.full(len(codes), self.base))
+
+    def adder(self, trees: Sequence[Tree]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Adds the values of `trees` to the margins of rows, for many batches."""
+        each = [(np.array(t.value), t.finder(self.depth)) for t in trees]
+
+        def add(codes: np.ndarray, margin: np.ndarray) -> np.ndarray:
+            for value, find in each:
+                margin += value[find(codes)]
+            return margin
+
+        return add
 
 
 def gradients(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +146,22 @@ def best_split(sums: np.ndarray, columns: Sequence[int], reg: float, least: floa
     return float(gain[k, b]), columns[k], int(b), left[k, b], right[k, b]
 
 
+_PACKED = "codes binary, y binary, mark binary, margin binary"
+
+
+def _packed(*arrays: np.ndarray) -> pa.RecordBatch:
+    """One row with the arrays of many."""
+    return pa.record_batch([pa.array([a.tobytes()], pa.binary()) for a in arrays], ["codes", "y", "mark", "margin"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Codes, label, mark and margin of the rows in each row of `_PACKED`."""
+    for batch in batches:
+        for packed in zip(*((v.as_py() for v in c) for c in batch.columns), strict=True):
+            codes, y, mark, margin = (np.frombuffer(b, t) for b, t in zip(packed, (np.uint8, np.float64, np.int64, np.float64), strict=True))
+            yield codes.reshape(-1, width), y, mark, margin
+
+
 def fit(df: DataFrame, columns: Sequence[str], label: str, key: Sequence[str], *, rounds: int = 20, depth: int = 4, rate: float = 0.1, bins: int = 64, reg: float = 1.0, least: float = 1.0, row_share: float = 0.8, column_share: float = 0.8, keep_every: int = 10, seed: int = 42) -> Boosted:
     """Trees of `depth` levels at most. `key` names columns that tell rows apart (rows with equal keys are sampled together). Rows
     without a label are left out; without rows the model gives even odds. Margins are checkpointed every `keep_every` trees."""
@@ -127,20 +178,13 @@ def fit(df: DataFrame, columns: Sequence[str], label: str, key: Sequence[str], *
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(width)], 1)
-            raw = [r.tobytes() for r in model.codes(x)]
-            yield pa.record_batch([pa.array(raw, pa.binary()), batch.column("y"), batch.column("mark"), pa.array(np.full(len(raw), model.base))], ["codes", "y", "mark", "margin"])
+            y, mark = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "mark"))
+            yield _packed(model.codes(x), y.astype(np.float64), mark.astype(np.int64), np.full(len(x), model.base))
 
-    rows = cut_lineage(clean.mapInArrow(encode, "codes binary, y double, mark long, margin double"))
+    rows = cut_lineage(clean.mapInArrow(encode, _PACKED))
     rng = np.random.default_rng(seed)
     fresh: list[Tree] = []  # trees that the checkpointed margins do not have
 
-    def unpack(batch: pa.RecordBatch, trees: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, width)
-        margin = batch.column("margin").to_numpy().copy()
-        for t in trees:
-            margin += np.array(t.value)[t.find(codes, depth)]
-        return codes, margin
-
     def level_sums(tree: Tree, open_: list[int], level: int, use: list[int], round_: int) -> np.ndarray:
         place = np.full(len(tree.left), -1)
         place[open_] = np.arange(len(open_))
@@ -148,10 +192,12 @@ def fit(df: DataFrame, columns: Sequence[str], label: str, key: Sequence[str], *
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(open_), len(use), many, 2), np.int64)
-            for batch in batches:
-                codes, margin = unpack(batch, trees)
-                g, h = gradients(margin, batch.column("y").to_numpy())
-                node = np.where(sampled(batch.column("mark").to_numpy(), round_, row_share, seed), place[tree.find(codes, level)], -1)
+            add_trees, find = model.adder(trees), tree.finder(level)
+            for codes, y, mark, margin in _unpacked(batches, width):
+                chosen = np.flatnonzero(sampled(mark, round_, row_share, seed))
+                codes = np.asfortranarray(codes[chosen])
+                g, h = gradients(add_trees(codes, margin[chosen]), y[chosen])
+                node = place[find(codes)]
                 total += histogram(codes, node, g, h, len(open_), use, many)
             yield pa.record_batch([pa.array(np.arange(len(open_), dtype=np.int32)), pa.array([t.tobytes() for t in total], pa.binary())], ["node", "sums"])
 
@@ -201,10 +247,11 @@ def fit(df: DataFrame, columns: Sequence[str], label: str, key: Sequence[str], *
             trees = list(fresh)
 
             def keep(batches: Iterator[pa.RecordBatch], trees=trees) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    yield pa.record_batch([*batch.columns[:3], pa.array(unpack(batch, trees)[1])], ["codes", "y", "mark", "margin"])
+                add_trees = model.adder(trees)
+                for codes, y, mark, margin in _unpacked(batches, width):
+                    yield _packed(codes, y, mark, add_trees(codes, margin.copy()))
 
-            rows = cut_lineage(rows.mapInArrow(keep, "codes binary, y double, mark long, margin double"))
+            rows = cut_lineage(rows.mapInArrow(keep, _PACKED))
             fresh = []
     return model
 

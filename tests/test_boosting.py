@@ -94,3 +94,30 @@ def test_it_learns_and_odd_tables(spark):
     assert boosting.predict(odd, few).filter("score > 0 AND score < 1").count() == 4
     none = boosting.fit(odd.limit(0), ["a", "b"], "label", ["id"], rounds=1)
     assert {r.score for r in boosting.predict(odd, none).collect()} == {0.5}
+
+
+def test_finder_equals_a_walk():
+    rng = np.random.default_rng(3)
+    for inner in (0, 1, 7, 15, 40):
+        tree = boosting.Tree()
+        tree.add()
+        ends = [0]
+        for _ in range(inner):
+            at = ends.pop(int(rng.integers(len(ends))))
+            tree.feature[at], tree.cut[at] = int(rng.integers(3)), int(rng.integers(60))
+            tree.left[at], tree.right[at] = tree.add(), tree.add()
+            ends += [tree.left[at], tree.right[at]]
+        codes = rng.integers(0, 66, (500, 3)).astype(np.uint8)
+        for depth in (0, 2, 6):
+            at = [0] * len(codes)
+            for _ in range(depth):
+                at = [(tree.left if c[tree.feature[i]] <= tree.cut[i] else tree.right)[i] for c, i in zip(codes, at)]
+            assert tree.finder(depth)(codes).tolist() == at
+
+
+def test_checkpoint_rows_hold_many(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(boosting, "cut_lineage", lambda df: kept.append(df.localCheckpoint()) or kept[-1])
+    df = spark.range(0, 5000, numPartitions=2).selectExpr("id", "CAST(id % 97 AS DOUBLE) AS a", "CAST(id % 97 > 40 AS INT) AS label")
+    model = boosting.fit(df, ["a"], "label", ["id"], rounds=3, depth=2, keep_every=1)
+    assert all(k.count() <= 4 for k in kept) and len(model.trees) == 3
