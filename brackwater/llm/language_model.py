@@ -4,12 +4,12 @@
   distinct word once, its block adds up and answers every chunk that asked. They grow with the corpus and set the
   vocabulary, the base score, the spread of rare words and the starting biases of the network.
 * The network's weights are learnt by truncated backpropagation in Spark tasks, in two steps. One task goes over a small
-  sample several times, so that all start from the same place (`start_bytes` expected). Then come rounds over the share
-  `train_share` of all training texts, so what is learnt from grows with the corpus: texts are dealt into lanes of about
+  sample several times, so that all start from the same place (`start_bytes` expected). Then come rounds that
+  go over all training texts (`train_share` of them, if less is asked for), each text in one round: texts are dealt into lanes of about
   `lane_bytes` by a hash, each lane goes on from the common weights over its texts in the order of key and text, and the
   weights of all lanes, by their tokens, are averaged where they are summed up slice by slice, as whole numbers. So neither
-  the partitions of the table nor the order in which tasks end change a score. Texts are drawn and dealt by hashes of key
-  and text, so no hot key comes in or stays out as one, or fills one lane. The driver holds one set of weights and no text.
+  the partitions of the table nor the order in which tasks end change a score. Texts are given to rounds and lanes by hashes of
+  key and text, so no hot key fills one lane. The driver holds one set of weights and no text.
 * The output is factored: a softmax over classes, then one inside the class. The `vocabulary` commonest
   words fill classes of equal size; every other word is in one of the spelling classes (ASCII by length and last sign,
   others by their last non-ASCII byte), where its share is (c + 0.5) / (N_j + 0.5 (V_j + 1)). So all words, an unseen one
@@ -336,7 +336,7 @@ def learn(docs: DataFrame, network: Network, total: int, *, key: str, text: str,
 
         def go_on(table: pa.Table, shared=shared) -> pa.Table:
             own = shared.value.copy()  # the worker may keep the shared one for its next task
-            learner, tokens = Learner(own, rate, streams=256), 0
+            learner, tokens = Learner(own, rate, streams=512), 0
             held, size = [], 0
             for part in slices(table.sort_by([(key, "ascending"), (text, "ascending")]), text):
                 held.append(part.column(1))
@@ -349,7 +349,8 @@ def learn(docs: DataFrame, network: Network, total: int, *, key: str, text: str,
             return pa.Table.from_batches([_sliced(own, tokens)])
 
         drawn = _drawn(key, text, 43)
-        mine = docs.filter((drawn >= train_share * r / rounds) & (drawn < train_share * (r + 1) / rounds))
+        last = r + 1 == rounds and train_share >= 1  # a number may be rounded up to 1
+        mine = docs.filter((drawn >= train_share * r / rounds) & (F.lit(last) | (drawn < train_share * (r + 1) / rounds)))
         lanes = max(1, -(-int(total * train_share / rounds) // lane_bytes))
         dealt = mine.withColumn("_lane", F.pmod(F.xxhash64(key, text, F.lit(47)), F.lit(lanes)))
         learnt += _averaged(network, dealt.groupBy("_lane").applyInArrow(lambda table: go_on(table.select([0, 1])), _WEIGHTS))
@@ -357,7 +358,7 @@ def learn(docs: DataFrame, network: Network, total: int, *, key: str, text: str,
     return started, learnt
 
 
-def score(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", vocabulary: int = 2048, chunk_bytes: int = 6_000_000, start_bytes: int = 4_000_000, start_epochs: int = 4, train_share: float = 3 / 8, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", vocabulary: int = 2048, chunk_bytes: int = 6_000_000, start_bytes: int = 4_000_000, start_epochs: int = 4, train_share: float = 1.0, rounds: int = 2) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of each whole text."""
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))

@@ -163,3 +163,11 @@ def test_scores_do_not_depend_on_the_layout(spark):
     for other in found[1:]:
         assert found[0].keys() == other.keys()
         assert max(abs(other[k] / v - 1) for k, v in found[0].items()) < 1e-4
+
+
+def test_network_learns_from_all_training_texts(spark, monkeypatch):
+    told, learn = [], language_model.learn
+    monkeypatch.setattr(language_model, "learn", lambda *a, **k: told.append(learn(*a, **k)) or told[-1])
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i} more text of {i}") for i in range(200)], "doc_id long, text string")
+    rows = language_model.score(docs, F.col("doc_id") % 5 == 1).collect()
+    assert told[0][1] == rows[0].train_tokens == sum(r.n_tokens for r in rows if not r.held_out)
