@@ -73,6 +73,9 @@ class Explainer:
     features: int
     names: list[str]
 
+    def cells(self) -> Cells:
+        return Cells(self)
+
     def contributions(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.features))
         x = np.where(np.isnan(x), np.inf, x)  # no value goes right at every split
@@ -81,6 +84,36 @@ class Explainer:
         return out
 
 
+class Cells:
+    """Contributions looked up by cell. All rows between the same two neighbouring bounds of every feature meet the same leaves, so
+    each cell is worked out once, and those of the last `most` cells at least are kept by a task."""
+
+    def __init__(self, trees: Explainer, most: int = 1 << 17):
+        self.trees, self.most = trees, most
+        ends = [(int(f), b) for leaf in trees.leaves for f, lo, hi in zip(leaf.features, leaf.low, leaf.high, strict=True) for b in (lo, hi) if np.isfinite(b)]
+        self.bounds = [np.unique([b for f, b in ends if f == j]) for j in range(trees.features)]
+        self.place: dict[bytes, int] = {}
+        self.known = np.zeros((0, trees.features))
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        x = np.where(np.isnan(x), np.inf, x)  # as `Explainer.contributions`
+        code = np.stack([np.searchsorted(b, x[:, j], "left") for j, b in enumerate(self.bounds)], 1) if self.bounds else np.zeros((len(x), 0), np.int64)
+        sizes = [len(b) + 1 for b in self.bounds]
+        if np.prod(np.array(sizes, float)) < 2.0**62:
+            key = code @ np.cumprod([1, *sizes[:-1]]).astype(np.int64) if sizes else np.zeros(len(x), np.int64)
+        else:
+            key = np.ascontiguousarray(code.astype(np.int32)).view(f"V{4 * code.shape[1]}").ravel()
+        cells, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        names = cells.tolist()
+        new = np.array([i for i, c in enumerate(names) if c not in self.place], np.int64)
+        if len(new):
+            if len(self.place) + len(new) > self.most:
+                self.place, self.known, new = {}, self.known[:0], np.arange(len(names))
+            self.place.update(zip((names[i] for i in new), range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.known = np.concatenate([self.known, self.trees.contributions(x[first[new]])])
+        return self.known[np.array([self.place[c] for c in names], np.int64)][inverse.ravel()]
+
+
 def _leaves(nodes: pd.DataFrame, scale: float) -> tuple[list[Leaf], float]:
     """Leaves of one tree (columns id, left, right, feature, threshold, value, cover) and its mean, both times `scale`."""
     by = {r.id: r for r in nodes.itertuples()}
@@ -143,9 +176,10 @@ def explain(fitted: PipelineModel, df: DataFrame, trees: Explainer | None = None
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cells = trees.cells()
         for rows in batches:
             x = np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, trees.features))
-            parts = [trees.contributions(x[i : i + 4096]) for i in range(0, len(x), 4096)]
+            parts = [cells.contributions(x[i : i + 16384]) for i in range(0, len(x), 16384)]
             yield pd.Series(list(np.concatenate(parts)) if parts else [], dtype=object)
 
     features = fitted.stages[-1].getFeaturesCol()

@@ -148,13 +148,19 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(n), label).join(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
 
 
-def train_classifier(df: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequence[str] = (), label: str = "label", seed: int = 42, **params):
-    """A fitted PipelineModel of `kind` (random_forest, boosted_trees, logistic), classes weighted level."""
+def train_classifier(df: DataFrame, kind: str, numeric: Sequence[str], categorical: Sequence[str] = (), label: str = "label", seed: int = 42, part_rows: int = 500_000, **params):
+    """A fitted PipelineModel of `kind` (random_forest, boosted_trees, logistic), classes weighted level. More than `part_rows` rows
+    are dealt into partitions of so many at most, as Spark ML keeps the rows of a partition in an inflated form (about 330 bytes
+    a row for trees) and reads them whole in each pass."""
     cls, _ = MODELS[kind]
     known = {p.name for p in cls().params}
     own = {"seed": seed} if "seed" in known else {}
     model = cls(featuresCol="features", labelCol=label, weightCol="weight", **(own | params))
-    return pipeline(model, numeric, categorical).fit(balanced(df, label))
+    rows = balanced(df.select(*numeric, *categorical, label), label)
+    parts = -(-df.count() // part_rows)
+    if parts > 1:
+        rows = rows.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism))
+    return pipeline(model, numeric, categorical).fit(rows)
 
 
 def stratified_folds(df: DataFrame, label: str, folds: int, seed: int = 42, part_rows: int = 100_000) -> DataFrame:

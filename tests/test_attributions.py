@@ -73,3 +73,17 @@ def test_missing_values_and_categories(spark):
     score = {r.id: r.score for r in learning.probabilities(fitted, odd).collect()}
     for r in attributions.explain(fitted, odd).collect():
         assert abs(1 / (1 + np.exp(-2 * (r.base + sum(r.contributions)))) - score[r.id]) < 1e-9
+
+
+def test_each_cell_is_worked_out_once(monkeypatch):
+    low = lambda a: np.array([a], float)
+    leaves = [attributions.Leaf(v, np.array([j]), low(a), low(b), low(s)) for v, j, a, b, s in ((1.0, 0, -np.inf, 3, 0.4), (2.0, 0, 3, np.inf, 0.6), (5.0, 1, -np.inf, 0.5, 0.3), (7.0, 1, 0.5, np.inf, 0.7))]
+    trees = attributions.Explainer(leaves, 0.0, 2, ["a", "b"])
+    rng = np.random.default_rng(1)
+    x = np.stack([rng.integers(0, 7, 5000), rng.choice([0.2, 0.5, 0.9, np.nan], 5000)], 1).astype(float)
+    want, seen, plain = trees.contributions(x), [], attributions.Explainer.contributions
+    monkeypatch.setattr(attributions.Explainer, "contributions", lambda self, some: seen.append(len(some)) or plain(self, some))
+    for most in (1 << 17, 1):
+        cells = attributions.Cells(trees, most)
+        assert np.array_equal(np.concatenate([cells.contributions(part) for part in np.array_split(x, 5)]), want)
+    assert seen[:1] == [4] and sum(seen) <= 4 + 5 * 4
