@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions import network, scalars
 from brackwater.operators import dataset_quality, documents, exploration, features, isolation, learning, lifecycle, metrics, record_quality, scoring
+from brackwater.plans import registry
 from brackwater.sources import cache_log, generators, indicators, logs, reports, tables, writers
 from brackwater.streaming import live
 
@@ -680,3 +681,8 @@ def test_document_rules_in_nested_arrays(spark):
     }
     got = documents.validate(spark.createDataFrame([(k,) for k in cases], "json string"), rules=rules)
     assert {r.json: r.violations for r in got.collect()} == cases
+
+
+def test_documents_of_one_split_are_many_tasks(spark, tmp_path):
+    spark.range(60_000).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert registry.queries()["doc_validate"](spark, str(tmp_path)).rdd.getNumPartitions() >= 3
