@@ -38,6 +38,7 @@ from brackwater.session import cut_lineage
 
 SPELLINGS = 24
 F32 = np.float32
+BLOCK = 1024  # tokens whose outputs are worked out at once
 
 
 def spelling(spans: Spans) -> np.ndarray:
@@ -105,25 +106,28 @@ class Network:
         return np.where(self.counts.words[at] == hashes, self.rank[at], k + spellings)
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        d = self.hidden
-        u = h @ self.p["h"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * d] + u[:, : 2 * d])))
-        r, z = gates[:, :d], gates[:, d:]
-        new = np.tanh(x[:, 2 * d :] + r * u[:, 2 * d :])
-        return new + z * (h - new), r, z, new, u[:, 2 * d :]
+        """The next state of each row of inputs `x`, and what `_move` tells beside it."""
+        return _move(_blocks(x), h, _blocks(self.p["h"]))
+
+    def _by_class(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of tokens by class, and where each class of words begins in it."""
+        order = _order(cls, len(self.p["class_b"]))
+        return order, np.searchsorted(cls[order], np.arange(self.n_classes + 1))
 
     def log_p(self, hs: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each token id given its state; of a spelling class for words outside the vocabulary."""
-        a = hs @ self.p["class_w"] + self.p["class_b"]
-        cls = self.class_of[ids]
-        out = a[np.arange(len(a)), cls] - _lse(a)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for c in range(self.n_classes):
-            rows = order[cut[c] : cut[c + 1]]
-            if len(rows):
-                a = hs[rows] @ self.p["word_w"][c] + self.p["word_b"][c]
-                out[rows] += a[np.arange(len(rows)), ids[rows] % self.per_class] - _lse(a)
+        p, cls = self.p, self.class_of[ids]
+        out = np.empty(len(ids), hs.dtype)
+        for lo in range(0, len(ids), BLOCK):
+            out[lo : lo + BLOCK] = _log_share(hs[lo : lo + BLOCK], p["class_w"], p["class_b"], cls[lo : lo + BLOCK])
+        order, cut = self._by_class(cls)
+        words = order[: cut[-1]]
+        hs, at = np.take(hs, words, axis=0), ids[words] % self.per_class
+        found = np.empty(len(words), hs.dtype)
+        for c in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[c], cut[c + 1])
+            found[own] = _log_share(hs[own], p["word_w"][c], p["word_b"][c], at[own])
+        out[words] += found
         return out
 
     def train(self, texts: list[np.ndarray], *, epochs: int = 1, rate: float = 0.01, decay: float = 0.95, **more: int) -> int:
@@ -134,74 +138,106 @@ class Network:
 
     def _window(self, before: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         p, d = self.p, self.hidden
+        begin = before == self.begin
+        begins = begin.any(1)
+        x, weights = _blocks(p["x"]), _blocks(p["h"])
         kept, hs = [], []
         for t in range(len(ids)):
-            h = np.where((before[t] == self.begin)[:, None], F32(0), h)
-            new_h, *parts = self.step(p["x"][before[t]], h)
+            if begins[t]:
+                h = np.where(begin[t][:, None], F32(0), h)
+            new_h, *parts = _move(np.take(x, before[t], axis=1), h, weights)
             kept.append((h, *parts))
             hs.append(new_h)
             h = new_h
-        g = {k: np.zeros_like(x) for k, x in p.items()}
+        g = {k: np.zeros_like(v) for k, v in p.items()}
         flat, y = np.concatenate(hs), ids.ravel()
-        size = F32(1 / len(y))
-        a = flat @ p["class_w"] + p["class_b"]
-        a = np.exp(a - _lse(a)[:, None])
+        size = flat.dtype.type(1 / len(y))
         cls = self.class_of[y]
-        a[np.arange(len(y)), cls] -= 1
-        a *= size
-        g["class_w"], g["class_b"] = flat.T @ a, a.sum(0)
-        down = a @ p["class_w"].T
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for c in range(self.n_classes):
-            rows = order[cut[c] : cut[c + 1]]
-            if len(rows):
-                a = flat[rows] @ p["word_w"][c] + p["word_b"][c]
-                a = np.exp(a - _lse(a)[:, None])
-                a[np.arange(len(rows)), y[rows] % self.per_class] -= 1
-                a *= size
-                g["word_w"][c], g["word_b"][c] = flat[rows].T @ a, np.where(self.real[c], a.sum(0), 0)
-                down[rows] += a @ p["word_w"][c].T
+        down = np.empty_like(flat)
+        for lo in range(0, len(y), BLOCK):
+            own = slice(lo, lo + BLOCK)
+            a = _misses(flat[own], p["class_w"], p["class_b"], cls[own], size)
+            g["class_w"] += flat[own].T @ a
+            g["class_b"] += _ones(len(a), a) @ a
+            np.matmul(a, p["class_w"].T, out=down[own])
+        order, cut = self._by_class(cls)
+        words = order[: cut[-1]]
+        flat, at = np.take(flat, words, axis=0), y[words] % self.per_class
+        deeper = np.empty_like(flat)
+        for c in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[c], cut[c + 1])
+            a = _misses(flat[own], p["word_w"][c], p["word_b"][c], at[own], size)
+            g["word_w"][c], g["word_b"][c] = flat[own].T @ a, np.where(self.real[c], _ones(len(a), a) @ a, 0)
+            np.matmul(a, p["word_w"][c].T, out=deeper[own])
+        down[words] += deeper
         down = down.reshape(len(ids), -1, d)
         back = np.zeros_like(h)
-        inputs = np.empty((len(ids), h.shape[0], 3 * d), h.dtype)
+        turned, of_h = weights.transpose(0, 2, 1), np.zeros_like(weights)
+        inputs = np.empty((3, *ids.shape, d), h.dtype)
+        du = np.empty((3, ids.shape[1], d), h.dtype)
         for t in range(len(ids) - 1, -1, -1):
-            old, r, z, new, un = kept[t]
-            dh = down[t] + back
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (old - new) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dr, dz, dn * r], 1)
-            inputs[t, :, :d], inputs[t, :, d : 2 * d], inputs[t, :, 2 * d :] = dr, dz, dn
-            g["h"] += old.T @ du
-            back = (dh * z + du @ p["h"].T) * (before[t] != self.begin)[:, None]
+            old, gates, new, un = kept[t]
+            dh = down[t]
+            dh += back
+            rest = 1 - gates
+            dn = inputs[2, t]
+            np.multiply(new, new, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= dh
+            dn *= rest[1]
+            rest *= gates
+            np.multiply(dn, un, out=du[0])
+            np.subtract(old, new, out=du[1])
+            du[1] *= dh
+            du[:2] *= rest
+            np.multiply(dn, gates[0], out=du[2])
+            inputs[:2, t] = du[:2]
+            of_h += old.T @ du
+            dh *= gates[1]
+            back = (du @ turned).sum(0)
+            back += dh
+            if begins[t]:
+                back[begin[t]] = 0
+        g["h"] = np.concatenate(of_h, axis=1)
         flat = before.ravel()
-        order = np.argsort(flat, kind="stable")
-        begins = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        g["x"][flat[order[begins]]] = np.add.reduceat(inputs.reshape(-1, 3 * d)[order], begins)
+        order = _order(flat, len(p["x"]))
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        g["x"][flat[order[first]]] = np.concatenate([np.add.reduceat(np.take(part.reshape(-1, d), order, axis=0), first) for part in inputs], axis=1)
         return g, h
 
-    def score(self, ids: np.ndarray, ptr: np.ndarray, window: int = 64) -> np.ndarray:
-        """Natural log probability of each token of whole texts; state carried from window to window."""
+    def score(self, ids: np.ndarray, ptr: np.ndarray, window: int = 64, rows: int = 512) -> np.ndarray:
+        """Natural log probability of each token of whole texts, their state carried to the end. Texts of like length are read
+        together, `rows` at once, so that what a step needs stays in the processor's cache; the outputs of about `window`
+        steps of them are worked out at once."""
         sizes = np.diff(ptr)
         by_size = np.argsort(-sizes, kind="stable")
-        ordered = sizes[by_size]
         out = np.zeros(len(ids), np.float64)
-        h = np.zeros((len(sizes), self.hidden), F32)
-        first = ptr[by_size]
-        longest = int(ordered[0]) if len(ordered) else 0
-        alive = np.searchsorted(-ordered, -np.arange(longest), "left")  # texts with a token at each time
-        for lo in range(0, longest, window):
-            places, hs = [], []
-            for t in range(lo, min(lo + window, longest)):
-                n = int(alive[t])
+        x, weights = _blocks(self.p["x"]), _blocks(self.p["h"])
+        places, hs, held = [], [], 0
+
+        def rate() -> None:
+            at = np.concatenate(places)
+            out[at] = self.log_p(np.concatenate(hs), ids[at])
+            places.clear()
+            hs.clear()
+
+        for lo in range(0, len(sizes), rows):
+            some = by_size[lo : lo + rows]
+            first, ordered = ptr[some], sizes[some]
+            h = np.zeros((len(some), self.hidden), F32)
+            alive = np.searchsorted(-ordered, -np.arange(ordered[0]), "left")  # texts with a token at each time
+            for t, n in enumerate(alive.tolist()):
                 at = first[:n] + t
                 before = ids[at - 1] if t else np.full(n, self.begin)
-                h = self.step(self.p["x"][before], h[:n])[0]
+                h = _move(np.take(x, before, axis=1), h[:n], weights)[0]
                 places.append(at)
                 hs.append(h)
-            at = np.concatenate(places)
-            out[at] = self.log_p(np.concatenate(hs), ids[at])
+                held += n
+                if held >= window * rows:
+                    rate()
+                    held = 0
+        if places:
+            rate()
         return out
 
 
@@ -255,9 +291,67 @@ class Learner:
             self.net.p[k] -= g
 
 
-def _lse(a: np.ndarray) -> np.ndarray:
-    top = a.max(1)
-    return top + np.log(np.exp(a - top[:, None]).sum(1))
+def _blocks(a: np.ndarray) -> np.ndarray:
+    """Columns of resets, updates and candidates as three blocks, each in one piece: sums over narrow slices of wide rows take
+    several times as long."""
+    return np.ascontiguousarray(a.reshape(len(a), 3, -1).transpose(1, 0, 2))
+
+
+def _move(x: np.ndarray, h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The next state, both gates, the candidate, and its share of the old state, from blocks of inputs and weights."""
+    u = h @ weights
+    gates = x[:2] + u[:2]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    new = gates[0] * u[2]
+    new += x[2]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= gates[1]
+    out += new
+    return out, gates, new, u[2]
+
+
+def _order(a: np.ndarray, top: int) -> np.ndarray:
+    """The stable order of whole numbers below `top`; those of 16 bits are sorted by digits."""
+    return np.argsort(a.astype(np.uint16) if top <= 1 << 16 else a, kind="stable")
+
+
+def _ones(n: int, like: np.ndarray) -> np.ndarray:
+    return np.ones(n, like.dtype)
+
+
+def _logits(hs: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Outputs less a number of each row that keeps their exponentials in range. States lie between -1 and 1, so the weights
+    bound all rows at once; only if that bound is loose the largest of each row is looked for."""
+    reach = np.abs(w).sum(0)
+    top = (b + reach).max()
+    a = hs @ w
+    if top - (b - reach).max() < 60:
+        a += b - top
+    else:
+        a += b
+        a -= a.max(1)[:, None]
+    return a
+
+
+def _log_share(hs: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at one place."""
+    a = _logits(hs, w, b)
+    own = a[np.arange(len(a)), at]
+    np.exp(a, out=a)
+    return own - np.log(a @ _ones(a.shape[1], a))
+
+
+def _misses(hs: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, size: float) -> np.ndarray:
+    """The softmax of each row less 1 at one place, times `size`."""
+    a = _logits(hs, w, b)
+    np.exp(a, out=a)
+    a *= (size / (a @ _ones(a.shape[1], a)))[:, None]
+    a[np.arange(len(a)), at] -= size
+    return a
 
 
 def _tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[Spans, np.ndarray, np.ndarray]:

@@ -153,6 +153,36 @@ def test_state_is_carried_across_windows():
         assert np.allclose(whole[a:b], net.score(ids[a:b], np.array([0, b - a])), atol=1e-4)
 
 
+def test_outputs_are_worked_out_once(monkeypatch):
+    net = network()
+    ids = np.random.default_rng(7).integers(0, net.end + 1, (6, 3))
+    before = np.vstack([np.full((1, 3), net.begin), ids[:-1]])
+    told, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, **more: told.append(np.size(x)) or exp(x, **more))
+    net._window(before, ids, np.zeros((3, 5), np.float32))
+    words = int((net.class_of[ids] < net.n_classes).sum())
+    assert sum(told) == ids.size * (2 * net.hidden + len(net.p["class_b"])) + words * net.per_class
+    asked, log_p = [], language_model.Network.log_p
+    monkeypatch.setattr(language_model.Network, "log_p", lambda self, hs, ids: asked.append(len(ids)) or log_p(self, hs, ids))
+    net.score(np.zeros(5000, np.int64), np.array([0, 4990, 5000]))  # a long text asks for its outputs at once, not every 64 words
+    assert asked == [5000]
+
+
+def test_outputs_of_any_size():
+    rng = np.random.default_rng(8)
+    hs, at = rng.uniform(-1, 1, (50, 5)).astype(np.float32), rng.integers(0, 9, 50)
+    for scale in (0.1, 3, 300):  # the bound by weights holds, is loose, would lose whole rows
+        w, b = (rng.normal(0, scale, s).astype(np.float32) for s in ((5, 9), 9))
+        a = hs.astype(float) @ w + b
+        top = a.max(1)
+        whole = a - (top + np.log(np.exp(a - top[:, None]).sum(1)))[:, None]
+        got = language_model._log_share(hs, w, b, at)
+        assert np.allclose(got, whole[np.arange(50), at], rtol=1e-4, atol=1e-3)
+        want = np.exp(whole)
+        want[np.arange(50), at] -= 1
+        assert np.allclose(language_model._misses(hs, w, b, at, np.float32(0.5)), want / 2, atol=1e-4)
+
+
 def test_scores_do_not_depend_on_the_layout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     held = language.fold_of("doc_id", 5) == 1
