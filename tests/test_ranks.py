@@ -96,6 +96,28 @@ def test_digamma(spark):
         assert abs(d - (-0.57721566490153286 + sum(1 / i for i in range(1, n)))) < 1e-12
 
 
+def test_values_looked_up_elsewhere_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Of a part, only values whose neighbours reach over its edge are told apart; all others are counted where they lie."""
+    from brackwater.operators import information, ranks
+
+    held, cut_lineage = [], ranks.cut_lineage
+
+    def kept(df):
+        out = cut_lineage(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(ranks, "cut_lineage", kept)
+    monkeypatch.setattr(information, "cut_lineage", kept, raising=False)
+    more = []
+    for n in (1500, 6000):
+        df = spark.range(n).select((F.col("id") % 2).alias("label"), F.rand(3).alias("a"), F.rand(4).alias("b"))
+        held.clear()
+        assert information.mutual_information(df, ["a", "b"], "label", parts=6).count() == 2
+        more.append(sum(held[1:]))  # the first are the values themselves
+    assert max(more) <= 7 * 2 * 2 * (1 + 3 * 2 * 3)
+
+
 @pytest.mark.parametrize("parts", [None, 1, 40])
 def test_mutual_information(spark, parts):
     from brackwater.operators import information
