@@ -11,6 +11,8 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -19,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from brackwater.operators.exploration import percentiles
 from brackwater.operators.metrics import confusion, rates, roc_auc
@@ -273,20 +276,37 @@ def probabilities(fitted, df: DataFrame) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*df.columns, "score", "predicted")
 
 
+def _exchanged(columns: Sequence[str], key: Sequence[str]):
+    """The rows of a part in the order of `_m`, and beside them, as `_given<i>`, the values of each column in the order of `_m<i>`."""
+
+    def order(t: pa.Table, mark: str) -> np.ndarray:
+        marks = t.column(mark).to_numpy()
+        by_mark = np.argsort(marks, kind="stable")
+        if (np.diff(marks[by_mark]) == 0).any():  # equal hashes: by key, as rows come in any order
+            return pc.sort_indices(t, sort_keys=[(c, "ascending") for c in (mark, *key)], null_placement="at_start").to_numpy()
+        return by_mark
+
+    def run(t: pa.Table) -> pa.Table:
+        out = t.take(order(t, "_m")).drop_columns(["_p", "_m", *[f"_m{i}" for i in range(len(columns))]])
+        for i, c in enumerate(columns):
+            out = out.append_column(f"_given{i}", t.column(c).take(order(t, f"_m{i}")))
+        return out
+
+    return run
+
+
 def permutation_importance(fitted, df: DataFrame, columns: Sequence[str], key: Sequence[str], label: str = "label", seed: int = 42) -> DataFrame:
     """Loss of accuracy when one column's values move to other rows. Rows are put in two orders by hashes of the unique `key`, within
     parts of a hash of it, and each takes the value of the row at its place in the other order: whatever the layout, the same
-    rows exchange values. Parts hold about a million rows."""
-    spark = df.sparkSession
-    right = lambda d: probabilities(fitted, d).agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
+    rows exchange values. Parts hold about a million rows. Each is dealt once, and all columns change places in it; the rows as
+    they are and with each column changed are scored in one pass."""
     parts = max(1, -(-df.count() // 1_000_000))
     mark = lambda n: F.xxhash64(*key, F.lit(n))
-    base = right(df)
-    rows = []
-    for i, c in enumerate(columns):
-        own = Window.partitionBy("_p")
-        d = df.withColumn("_p", F.pmod(mark(seed), F.lit(parts)))
-        placed = d.withColumns({"_i": F.row_number().over(own.orderBy(mark(seed + 1), *key)), "_j": F.row_number().over(own.orderBy(mark(seed + 2 + i), *key))})
-        given = placed.select("_p", F.col("_j").alias("_i"), F.col(c).alias("_given"))
-        rows.append((c, float(base - right(placed.join(given, ["_p", "_i"]).withColumn(c, F.col("_given")).select(*df.columns)))))
-    return spark.createDataFrame(rows, "column string, importance double")
+    marks = {"_p": F.pmod(mark(seed), F.lit(parts)), "_m": mark(seed + 1)} | {f"_m{i}": mark(seed + 2 + i) for i in range(len(columns))}
+    schema = StructType([*df.schema.fields, *[StructField(f"_given{i}", df.schema[c].dataType) for i, c in enumerate(columns)]])
+    given = df.withColumns(marks).groupBy("_p").applyInArrow(_exchanged(columns, key), schema)
+    one = lambda i: F.struct(F.lit(i).alias("_which"), *[F.col(f"_given{j}" if j == i else c).alias(c) for j, c in enumerate(columns)])
+    each = given.select(*[c for c in df.columns if c not in columns], F.inline(F.array(*[one(i) for i in range(-1, len(columns))])))
+    right = probabilities(fitted, each).groupBy("_which").agg(F.avg((F.col("predicted") == F.col(label)).cast("double")))
+    found = dict(map(tuple, right.collect()))
+    return df.sparkSession.createDataFrame([(c, float(found[-1] - found[i])) for i, c in enumerate(columns)], "column string, importance double")

@@ -593,6 +593,22 @@ def test_search_and_importance(spark):
     assert imp == {r.column: r.importance for r in learning.permutation_importance(best, df.repartition(7), ["spkts", "dur"], ["id"]).collect()}
 
 
+def test_importance_in_one_pass(spark, monkeypatch):
+    df = generators.flows(spark, 400).select("id", "spkts", "dur", "label")
+    fitted = learning.train_classifier(df, "logistic", ["spkts", "dur"])
+    marked = df.withColumns({f"m{n}": F.xxhash64("id", F.lit(n)) for n in (43, 44, 45)}).toPandas()
+    want, right = {}, lambda d: learning.probabilities(fitted, spark.createDataFrame(d)).filter("predicted = label").count() / len(marked)
+    for i, c in enumerate(["spkts", "dur"]):
+        moved = marked.sort_values("m43").reset_index(drop=True)
+        moved[c] = marked.sort_values(f"m{44 + i}")[c].to_numpy()
+        want[c] = right(marked) - right(moved)
+    passes, probabilities = [], learning.probabilities
+    monkeypatch.setattr(learning, "probabilities", lambda *a: passes.append(1) or probabilities(*a))
+    got = {r.column: r.importance for r in learning.permutation_importance(fitted, df, ["spkts", "dur"], ["id"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want) and max(want.values()) > 0.02
+    assert len(passes) == 1
+
+
 def test_split_is_exact(spark):
     df = spark.range(1000).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     got = {(r.label, r.split): r["count"] for r in exploration.stratified_split(df, "label", F.xxhash64("id")).groupBy("label", "split").count().collect()}
